@@ -223,7 +223,7 @@ def join_external(df: DataFrame, ext: DataFrame, on: Sequence[str] | str, defaul
     return df.join(ext, on, "left").fillna(defaults)
 
 
-def pick_forecast(frames: Sequence[DataFrame], key: str = "sku_id") -> DataFrame:
+def pick_forecast(frames: Sequence[DataFrame], key: str | Sequence[str] = "sku_id") -> DataFrame:
     """Per key, keep the rows of the first frame (in preference order) that has the key.
 
     Union with a priority column, ``min(priority)`` per key, then a join back: a grouped
@@ -232,8 +232,9 @@ def pick_forecast(frames: Sequence[DataFrame], key: str = "sku_id") -> DataFrame
     for i, f in enumerate(frames):
         t = f.withColumn("_prio", F.lit(i))
         tagged = t if tagged is None else tagged.unionByName(t)
-    best = tagged.groupBy(key).agg(F.min("_prio").alias("_prio"))
-    return tagged.join(best, [key, "_prio"], "left_semi").drop("_prio")
+    keys = [key] if isinstance(key, str) else list(key)
+    best = tagged.groupBy(*keys).agg(F.min("_prio").alias("_prio"))
+    return tagged.join(best, keys + ["_prio"], "left_semi").drop("_prio")
 
 
 # ---------------------------------------------------------------- D / K01: series aggregation

@@ -252,5 +252,6 @@ def q_split_cutoff(spark, sf):
 
 def _ensure_all_modules():
     """Import modules that register further queries."""
-    from skucast.plans import catalog_models  # noqa: F401
-    from skucast.plans import catalog_analytics  # noqa: F401
+    from skucast.plans import catalog_analytics, catalog_models  # noqa: F401
+    from skucast.plans import oracle
+    oracle._load_all()

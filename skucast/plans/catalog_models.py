@@ -1,0 +1,152 @@
+"""Registered queries for samples (G), forecasts (K) and metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skucast.plans.catalog import finish, panel, query
+
+KEYS = ["sku_id", "store_id"]
+H = 14
+
+
+def daily_dense(spark, sf):
+    """D01 + K01: per-SKU daily totals over stores on a gap-free daily grid."""
+    from skucast.operators.panel import daily_series, densify
+    return densify(daily_series(panel(spark, sf), ["sku_id"]), ["sku_id"])
+
+
+def _sum_array(c):
+    return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+
+
+# ================================================================= G: samples
+@query("G01_multi_horizon")
+def q_multi_horizon(spark, sf):
+    from skucast.operators.samples import multi_horizon
+    out = multi_horizon(panel(spark, sf).select(*KEYS, "date", "sales"), H)
+    return finish(out.select(*KEYS, "date", "horizon", "target"))
+
+
+@query("G02_scoring_frame")
+def q_scoring_frame(spark, sf):
+    from skucast.operators.features import lags
+    from skucast.operators.samples import scoring_frame
+    f = lags(panel(spark, sf).select(*KEYS, "date", "sales"), lag_list=[1, 7])
+    return finish(scoring_frame(f, H, cols=["date", "sales", "lag_1", "lag_7"]))
+
+
+@query("G03_sequence_samples")
+def q_sequence_samples(spark, sf):
+    from skucast.operators.samples import sequence_samples
+    s = sequence_samples(panel(spark, sf), seq_len=30, horizon=7, features=["promo", "price"])
+    return finish(s.select(*KEYS, "date", "s_min", "s_max", "y", F.size("x").alias("seq_len"),
+                           _sum_array(F.transform("x", lambda v: v[0])).alias("seq_sales_sum"),
+                           F.element_at(F.element_at("x", -1), 3).alias("last_price_z")))
+
+
+@query("G04_G05_encdec_windows")
+def q_encdec(spark, sf):
+    from skucast.operators.samples import encdec_prepare, encdec_windows
+    prep = encdec_prepare(panel(spark, sf), 60)
+    w = encdec_windows(prep, 30, 14)
+    return finish(w.select(*KEYS, "date", "time_idx", "split", F.size("encoder").alias("enc_len"),
+                           F.size("decoder").alias("dec_len"), _sum_array("encoder").alias("enc_sum"),
+                           _sum_array("decoder").alias("dec_sum")))
+
+
+@query("G06_multitask_prepare")
+def q_multitask(spark, sf):
+    from skucast.operators.samples import multitask_prepare
+    out = multitask_prepare(panel(spark, sf).select(*KEYS, "date", "sales", "price"), aux_col="price")
+    return finish(out)
+
+
+# ================================================================= K: forecasts
+@query("K02_K07_baselines")
+def q_baselines(spark, sf):
+    from skucast.operators.forecast import MODELS, baseline_forecast, series_summary
+    d = daily_dense(spark, sf)
+    s = series_summary(d)
+    out = None
+    for m in MODELS:
+        f = baseline_forecast(d, m, H, summary=s)
+        out = f if out is None else out.unionByName(f)
+    return finish(out)
+
+
+@query("K11_forecast_all")
+def q_forecast_all(spark, sf):
+    from skucast.operators.forecast import baseline_forecast, eligible, forecast_all
+    d = daily_dense(spark, sf)
+    # preference: moving average where the series has >= 2400 days, else the trend fallback
+    ma_long = baseline_forecast(eligible(d, 2400), "moving_average", H)
+    return finish(forecast_all(d, H, order=("moving_average_long", "trend_naive"), category="PROMO", limit=2,
+                               extra={"moving_average_long": ma_long}))
+
+
+@query("K12_forecast_sku")
+def q_forecast_sku(spark, sf):
+    from skucast.operators.forecast import forecast_sku
+    return finish(forecast_sku(panel(spark, sf), "PROMO_2_001", H, order=("trend_naive",)))
+
+
+@query("K13_ma_backtest")
+def q_ma_backtest(spark, sf):
+    from skucast.operators.forecast import ma_backtest
+    return finish(ma_backtest(panel(spark, sf)))
+
+
+@query("K14_eligible")
+def q_eligible(spark, sf):
+    from skucast.operators.forecast import eligible
+    return eligible(daily_dense(spark, sf), 2400).groupBy("sku_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ================================================================= L: metrics
+def holdout_predictions(spark, sf, horizon: int = 28):
+    """Hold out the last ``horizon`` days of every SKU series, forecast them with each baseline
+    from the training part, and pair forecasts with actuals on (sku_id, h)."""
+    from skucast.operators.forecast import MODELS, baseline_forecast, holdout_split, series_summary
+    train, test = holdout_split(daily_dense(spark, sf), horizon)
+    s = series_summary(train)
+    fc = None
+    for m in MODELS:
+        f = baseline_forecast(train, m, horizon, summary=s)
+        fc = f if fc is None else fc.unionByName(f)
+    return fc.join(test.select("sku_id", "h", F.col("sales").alias("y")), ["sku_id", "h"])
+
+
+@query("L01_holdout_metrics")
+def q_holdout_metrics(spark, sf):
+    from skucast.operators.metrics import evaluate
+    pairs = holdout_predictions(spark, sf)
+    return finish(evaluate(pairs, "y", "yhat", "lo", "hi", keys=["model_used"]))
+
+
+@query("L08_per_sku_metrics")
+def q_per_sku(spark, sf):
+    from skucast.operators.metrics import evaluate
+    pairs = holdout_predictions(spark, sf)
+    return finish(evaluate(pairs, "y", "yhat", keys=["sku_id", "model_used"]))
+
+
+@query("L09_compare_models")
+def q_compare(spark, sf):
+    from skucast.operators.metrics import compare, evaluate, macro_average
+    per_sku = evaluate(holdout_predictions(spark, sf), "y", "yhat", keys=["sku_id", "model_used"])
+    macro = macro_average(per_sku, "WMAPE", by=["model_used"]).withColumnRenamed("avg_WMAPE", "WMAPE")
+    return finish(compare(macro, "mean", model_col="model_used"))
+
+
+@query("L10_pinball_multitask")
+def q_pinball(spark, sf):
+    from skucast.operators.features import series_window
+    from skucast.operators.metrics import QUANTILES, multitask_loss
+    p = panel(spark, sf).select(*KEYS, "date", "sales", "price")
+    w = series_window(KEYS)
+    frame = w.rowsBetween(-28, -1)
+    cols = {f"q{int(round(q * 100)):02d}": F.percentile("sales", q).over(frame) for q in QUANTILES}
+    t = p.withColumns(cols).withColumn("price_prev", F.lag("price", 1).over(w)).where(F.col("q50").isNotNull())
+    preds = {q: f"q{int(round(q * 100)):02d}" for q in QUANTILES}
+    return finish(multitask_loss(t, "sales", preds, "price", "price_prev", keys=["store_id"]))

@@ -248,3 +248,8 @@ sql("E24_split_cutoff", f"""
 SELECT sku_id, store_id, is_train, COUNT(*) AS n_rows FROM (
   SELECT *, t <= MAX(t) OVER () - 14 AS is_train FROM (SELECT *, ROW_NUMBER() OVER ({WK}) - 1 AS t FROM panel))
 GROUP BY 1, 2, 3""")
+
+
+def _load_all():
+    """Import the modules that add further oracle statements."""
+    from skucast.plans import oracle_analytics, oracle_models  # noqa: F401
