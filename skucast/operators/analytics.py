@@ -26,7 +26,9 @@ def kpis(df: DataFrame, keys: Sequence[str] = ("sku_id", "store_id")) -> DataFra
     (bounded by the series length); the rest is one grouped aggregate."""
     keys = list(keys)
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("date")))
-    t = df.withColumn("_rn", rn)
+    t = df.withColumn("_rn", rn).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    # previous week = tail(14).head(7): the 7 rows starting min(n, 14) rows from the end
+    top = F.least(F.col("_n"), F.lit(14))
     out = t.groupBy(*keys).agg(
         F.avg("sales").alias("avg_sales"),
         F.max("sales").alias("peak_sales"),
@@ -34,7 +36,7 @@ def kpis(df: DataFrame, keys: Sequence[str] = ("sku_id", "store_id")) -> DataFra
         F.count_distinct("date").alias("n_days"),
         F.stddev_samp("sales").alias("_std"),
         F.avg(F.when(F.col("_rn") <= 7, F.col("sales"))).alias("last7_avg"),
-        F.avg(F.when((F.col("_rn") > 7) & (F.col("_rn") <= 14), F.col("sales"))).alias("prev7_avg"),
+        F.avg(F.when((F.col("_rn") > top - 7) & (F.col("_rn") <= top), F.col("sales"))).alias("prev7_avg"),
     )
     trend = (F.col("last7_avg") - F.col("prev7_avg")) / (F.col("prev7_avg") + F.lit(EPS)) * 100
     return (out.withColumn("cv", cv("_std", "avg_sales"))

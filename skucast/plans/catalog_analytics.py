@@ -1,0 +1,211 @@
+"""Registered queries for planner analytics (Q), drift (L02-L07), anomalies (M), graph (N), signals (O)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from skucast.plans.catalog import finish, panel, query
+from skucast.plans.catalog_models import daily_dense
+from skucast.sources.tables import read_table
+
+KEYS = ["sku_id", "store_id"]
+EVENT_SPLIT = "2024-01-25"  # events: first 24 days are the reference, the last 6 the current window
+
+
+def _trend_forecast(spark, sf):
+    from skucast.operators.forecast import forecast_all
+    return forecast_all(daily_dense(spark, sf), 14, ("trend_naive",))
+
+
+# ================================================================= Q
+@query("Q01_kpis")
+def q_kpis(spark, sf):
+    from skucast.operators.analytics import kpis
+    return finish(kpis(panel(spark, sf)))
+
+
+@query("Q02_history")
+def q_history(spark, sf):
+    from skucast.operators.analytics import history
+    return finish(history(panel(spark, sf).select(*KEYS, "date", "sales", "promo"), 60))
+
+
+@query("Q03_seasonality")
+def q_seasonality(spark, sf):
+    from skucast.operators.analytics import seasonality
+    return finish(seasonality(panel(spark, sf)))
+
+
+@query("Q04_portfolio")
+def q_portfolio(spark, sf):
+    from skucast.operators.analytics import portfolio
+    return finish(portfolio(panel(spark, sf)))
+
+
+@query("Q05_risk_bands")
+def q_risk(spark, sf):
+    from skucast.operators.analytics import risk_bands
+    return finish(risk_bands(panel(spark, sf)))
+
+
+@query("Q06_insights")
+def q_insights(spark, sf):
+    from skucast.operators.analytics import insights
+    return finish(insights(panel(spark, sf), forecast=_trend_forecast(spark, sf)))
+
+
+@query("Q07_forecast_summary")
+def q_forecast_summary(spark, sf):
+    from skucast.operators.analytics import forecast_summary
+    return finish(forecast_summary(_trend_forecast(spark, sf)))
+
+
+# ================================================================= L02-L07
+def _events_split(spark, sf):
+    ev = read_table(spark, sf, "events").select("ts", "value")
+    return ev.where(F.col("ts") < F.lit(EVENT_SPLIT).cast("timestamp")), \
+        ev.where(F.col("ts") >= F.lit(EVENT_SPLIT).cast("timestamp"))
+
+
+@query("L02_L04_drift_events")
+def q_drift_events(spark, sf):
+    from skucast.operators.drift import detect_drift
+    ref, cur = _events_split(spark, sf)
+    return detect_drift(ref, cur, "value")
+
+
+@query("L03_ks_events")
+def q_ks_events(spark, sf):
+    from skucast.operators.drift import ks_two_sample
+    ref, cur = _events_split(spark, sf)
+    return finish(ks_two_sample(ref, cur, "value"))
+
+
+@query("L04_L05_drift_panel")
+def q_drift_panel(spark, sf):
+    from skucast.operators.drift import detect_drift
+    from skucast.operators.features import split_fraction
+    p = split_fraction(panel(spark, sf).select(*KEYS, "date", "sales"), 0.8)
+    return detect_drift(p.where("is_train"), p.where("NOT is_train"), "sales")
+
+
+@query("D06_dist_stats")
+def q_dist_stats(spark, sf):
+    from skucast.operators.drift import dist_stats
+    return finish(dist_stats(panel(spark, sf), "sales"))
+
+
+@query("L06_L07_retrain_plan")
+def q_retrain(spark, sf):
+    from skucast.operators.drift import detect_drift, is_stale, retrain_plan
+    from skucast.operators.features import split_fraction
+    p = panel(spark, sf)
+    # registry: one artifact per category, "trained" at the end of its last sales day
+    registry = p.groupBy(F.col("category").alias("model")).agg(
+        F.max(F.col("date").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("trained_at"))
+    now = p.select(F.max("date").cast("timestamp") + F.expr("INTERVAL 1 DAY")).scalar()
+    stale = is_stale(registry, now, 24)
+    s = split_fraction(p.select(*KEYS, "date", "sales"), 0.8)
+    drift = detect_drift(s.where("is_train"), s.where("NOT is_train"), "sales")
+    return retrain_plan(drift, stale)
+
+
+# ================================================================= M
+@query("M01_anomaly_features")
+def q_anomaly_features(spark, sf):
+    from skucast.operators.anomaly import anomaly_features
+    return finish(anomaly_features(panel(spark, sf).select(*KEYS, "date", "sales")))
+
+
+@query("M03_stat_anomaly")
+def q_stat_anomaly(spark, sf):
+    from skucast.operators.anomaly import stat_anomaly
+    return stat_anomaly(panel(spark, sf).select(*KEYS, "date", "sales"))
+
+
+@query("M05_anomaly_summary")
+def q_anomaly_summary(spark, sf):
+    from skucast.operators.anomaly import anomaly_summary, detect_anomalies
+    flagged = detect_anomalies(panel(spark, sf).select(*KEYS, "date", "sales"), with_forest=False)
+    return finish(anomaly_summary(flagged))
+
+
+@query("M06_anomaly_report")
+def q_anomaly_report(spark, sf):
+    from skucast.operators.anomaly import anomaly_report, detect_anomalies
+    flagged = detect_anomalies(panel(spark, sf).select(*KEYS, "date", "sales"), with_forest=False)
+    r = anomaly_report(flagged)
+    return r.select("sku_id", "n_anomalies", F.array_join("dates", ",").alias("dates"),
+                    F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("values"),
+                    "n_statistical", "n_isolation_forest")
+
+
+@query("M02_M04_isolation_forest")
+def q_isolation_forest(spark, sf):
+    from skucast.operators.anomaly import detect_anomalies
+    flagged = detect_anomalies(panel(spark, sf).select(*KEYS, "date", "sales"), with_forest=True)
+    return flagged.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"),
+                                      F.count_if("if_anomaly").alias("n_isolation_forest"),
+                                      F.count_if("stat_anomaly").alias("n_statistical"),
+                                      F.count_if("is_anomaly").alias("n_anomalies"))
+
+
+@query("M07_zero_runs")
+def q_zero_runs(spark, sf):
+    from skucast.operators.anomaly import zero_runs
+    from skucast.operators.panel import densify
+    dense = densify(panel(spark, sf).select(*KEYS, "date", "sales"), KEYS)
+    return zero_runs(dense, 3, KEYS, include_open=True)
+
+
+# ================================================================= N
+@query("N01_correlation_edges")
+def q_edges(spark, sf):
+    from skucast.operators.graph import correlation_edges
+    return finish(correlation_edges(panel(spark, sf), 0.5))
+
+
+@query("N03_node_features")
+def q_nodes(spark, sf):
+    from skucast.operators.graph import node_features
+    return finish(node_features(panel(spark, sf)))
+
+
+@query("N04_propagate")
+def q_propagate(spark, sf):
+    from skucast.operators.graph import correlation_edges, node_features, propagate
+    p = panel(spark, sf)
+    return finish(propagate(node_features(p), correlation_edges(p, 0.5), hops=2))
+
+
+# ================================================================= O
+@query("O04_lexicon_scores")
+def q_lexicon(spark, sf):
+    from skucast.operators.signals import DISPLAY_CHARS, lexicon_score
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    s = lexicon_score(docs)
+    return finish(s.select("doc_id", F.left("text", F.lit(DISPLAY_CHARS)).alias("display"),
+                           "n_pos", "n_neg", "label", "score"))
+
+
+@query("O01_sentiment_signal")
+def q_signal(spark, sf):
+    from skucast.operators.signals import events_scored, sentiment_signal
+    return finish(sentiment_signal(events_scored(read_table(spark, sf, "events"))))
+
+
+@query("O02_O03_enrich_sentiment")
+def q_enrich(spark, sf):
+    from skucast.operators.signals import enrich_sentiment, events_scored, sentiment_signal
+    scored = events_scored(read_table(spark, sf, "events"))
+    sig = sentiment_signal(scored)
+    days = scored.agg(F.min("date").alias("d0"), F.max("date").alias("d1")).select(
+        F.explode(F.sequence("d0", F.date_add("d1", 2))).alias("date"))
+    return finish(enrich_sentiment(days, sig))
+
+
+@query("O05_commentary")
+def q_commentary(spark, sf):
+    from skucast.operators.analytics import kpis
+    from skucast.operators.signals import commentary
+    return finish(commentary(_trend_forecast(spark, sf), kpis(panel(spark, sf), ["sku_id"])))
