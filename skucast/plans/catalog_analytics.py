@@ -85,7 +85,8 @@ def q_ks_events(spark, sf):
 def q_drift_panel(spark, sf):
     from skucast.operators.drift import detect_drift
     from skucast.operators.features import split_fraction
-    p = split_fraction(panel(spark, sf).select(*KEYS, "date", "sales"), 0.8)
+    from skucast.session import cut_lineage
+    p = cut_lineage(split_fraction(panel(spark, sf).select(*KEYS, "date", "sales"), 0.8))
     return detect_drift(p.where("is_train"), p.where("NOT is_train"), "sales")
 
 
@@ -105,7 +106,8 @@ def q_retrain(spark, sf):
         F.max(F.col("date").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("trained_at"))
     now = p.select(F.max("date").cast("timestamp") + F.expr("INTERVAL 1 DAY")).scalar()
     stale = is_stale(registry, now, 24)
-    s = split_fraction(p.select(*KEYS, "date", "sales"), 0.8)
+    from skucast.session import cut_lineage
+    s = cut_lineage(split_fraction(p.select(*KEYS, "date", "sales"), 0.8))
     drift = detect_drift(s.where("is_train"), s.where("NOT is_train"), "sales")
     return retrain_plan(drift, stale)
 
