@@ -6,6 +6,7 @@ text (tokenise -> intersect with the word lists), so it stays inside whole-stage
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -28,18 +29,23 @@ NEGATIVE_WORDS = [
 ]
 
 
+def _word_pattern(words: Sequence[str]) -> str:
+    """Whole-word alternation: a listed word not preceded or followed by a letter."""
+    return r"(?<!\p{L})(?:" + "|".join(re.escape(w) for w in words) + r")(?!\p{L})"
+
+
 def lexicon_score(df: DataFrame, text_col: str = "text", pos: Sequence[str] = POSITIVE_WORDS,
                   neg: Sequence[str] = NEGATIVE_WORDS) -> DataFrame:
-    """Label and score per text. Tokens = lower-cased letter runs of the whole text; hits =
-    tokens found in each list (every occurrence counts); label POSITIVE when positive hits >= negative
-    hits; score = (winning hits + 1) / (all hits + 2) in [0.5, 1)."""
-    tokens = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"), lambda t: F.length(t) > 0)
+    """Label and score per text. Hits = occurrences of a listed word as a whole letter run of
+    the lower-cased text (the whole text, every occurrence counts); label POSITIVE when positive
+    hits >= negative hits; score = (winning hits + 1) / (all hits + 2) in [0.5, 1).
+
+    One regex pass extracts all lexicon hits; only that short hit list is classified."""
+    hits = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_word_pattern(list(pos) + list(neg))), 0)
     pos_a = F.array(*[F.lit(w) for w in pos])
-    neg_a = F.array(*[F.lit(w) for w in neg])
-    t = df.withColumns({
-        "n_pos": F.size(F.filter(tokens, lambda t: F.array_contains(pos_a, t))),
-        "n_neg": F.size(F.filter(tokens, lambda t: F.array_contains(neg_a, t))),
-    })
+    t = df.withColumn("_hits", hits)
+    n_pos = F.size(F.filter("_hits", lambda w: F.array_contains(pos_a, w)))
+    t = t.withColumns({"n_pos": n_pos, "n_neg": F.size("_hits") - n_pos}).drop("_hits")
     win = F.greatest("n_pos", "n_neg")
     return t.withColumns({
         "label": F.when(F.col("n_pos") >= F.col("n_neg"), F.lit("POSITIVE")).otherwise(F.lit("NEGATIVE")),

@@ -31,7 +31,13 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def panel(spark, sf):
-    return demand_panel(spark, sf)
+    """The canonical panel, materialised once to the shared checkpoint folder.
+
+    Operators reuse the panel several times (scalar subqueries, grouped stats joined back,
+    rankings); reading the written panel costs far less than re-deriving it from the fact
+    table each time, and the written copy survives executor loss."""
+    from skucast.session import cut_lineage
+    return cut_lineage(demand_panel(spark, sf))
 
 
 # ================================================================= panel, B, C, D

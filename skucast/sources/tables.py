@@ -51,8 +51,17 @@ def demand_panel(spark: SparkSession, sf_dir: str, with_hierarchy: bool = True)
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
         F.col("l_shipdate").cast("date").alias("date"))
+    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    reg = read_table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("store_id"))
+    # Each dimension is joined to the fact stream on its own, so Catalyst sizes every dimension
+    # scan separately: small ones are broadcast (size-checked), large ones fall back to a
+    # shuffle join. A pre-joined dimension would carry a product size estimate and force a
+    # sort-merge join that shuffles the whole fact table.
     j = (li.join(sku_dim(spark, sf_dir), li.l_partkey == F.col("p_partkey"))
-           .join(store_dim(spark, sf_dir), li.l_suppkey == F.col("s_suppkey")))
+           .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+           .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
+           .join(reg, F.col("n_regionkey") == F.col("r_regionkey")))
     panel = (j.groupBy("sku_id", "store_id", "date")
               .agg(F.sum("l_quantity").alias("sales"),
                    F.max((F.col("l_discount") >= PROMO_DISCOUNT).cast("int")).alias("promo"),
