@@ -239,8 +239,9 @@ REPORT_SCHEMA = T.StructType([
 
 
 def read_reports(spark: SparkSession, report_dir: str, dataset: str | None = None) -> DataFrame:
-    """All JSON metric reports side by side; headline WMAPE = avg_WMAPE, else WMAPE."""
-    df = spark.read.schema(REPORT_SCHEMA).option("recursiveFileLookup", True).json(report_dir)
+    """All JSON metric reports side by side; headline WMAPE = avg_WMAPE, else WMAPE.
+    Reads flat ``*.json`` files (dataset / model inside) and ``dataset=../model=..`` folders alike."""
+    df = spark.read.schema(REPORT_SCHEMA).json(report_dir)
     if dataset:
         df = df.where(F.upper("dataset") == dataset.upper())
     return df.withColumn("headline_WMAPE", F.coalesce("avg_WMAPE", "WMAPE"))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def write_report(metrics: DataFrame, report_dir: str, dataset: str, model: str) -> str:
-    """Metric rows as JSON under ``{report_dir}/dataset=../model=..`` (one file per report)."""
+    """Metric rows as JSON under ``{report_dir}/dataset=../model=..`` (one file per report);
+    rewriting a report replaces only its own partition (dynamic partition overwrite)."""
     out = metrics.withColumns({"dataset": F.lit(dataset), "model": F.lit(model)})
-    out.coalesce(1).write.mode("overwrite").partitionBy("dataset", "model").json(report_dir)
+    (out.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("dataset", "model").json(report_dir))
     return report_dir
 
 
@@ -32,5 +34,6 @@ def write_registry(entries: DataFrame, path: str) -> str:
 
 def write_forecast(forecast: DataFrame, path: str) -> str:
     """Long forecast table (sku, date, h, yhat, lo, hi, model_used), partitioned by model."""
-    forecast.write.mode("overwrite").partitionBy("model_used").parquet(path)
+    (forecast.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("model_used").parquet(path))
     return path
