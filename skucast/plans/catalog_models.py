@@ -150,3 +150,63 @@ def q_pinball(spark, sf):
     t = p.withColumns(cols).withColumn("price_prev", F.lag("price", 1).over(w)).where(F.col("q50").isNotNull())
     preds = {q: f"q{int(round(q * 100)):02d}" for q in QUANTILES}
     return finish(multitask_loss(t, "sales", preds, "price", "price_prev", keys=["store_id"]))
+
+
+# ================================================================= K08 / K09 / D17: pooled boosted trees
+_GBT_CACHE: dict = {}
+
+
+def _gbt(spark, sf):
+    """Train once per (session, tables) and reuse for the three GBT queries."""
+    from skucast.operators.features import build_features
+    from skucast.operators.gbt import gbt_samples, train_gbt
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GBT_CACHE:
+        feats = build_features(panel(spark, sf))
+        samples = gbt_samples(feats, H)
+        model, cols = train_gbt(samples)
+        _GBT_CACHE[key] = (feats, samples, model, cols)
+    return _GBT_CACHE[key]
+
+
+@query("K08_gbt_holdout_metrics")
+def q_gbt_metrics(spark, sf):
+    from skucast.operators.gbt import holdout_metrics
+    _, samples, model, cols = _gbt(spark, sf)
+    return finish(holdout_metrics(model, samples, cols))
+
+
+@query("K09_gbt_forecast")
+def q_gbt_forecast(spark, sf):
+    from skucast.operators.gbt import score_gbt
+    feats, _, model, cols = _gbt(spark, sf)
+    return finish(score_gbt(model, feats, cols, H))
+
+
+@query("D17_feature_importance")
+def q_importance(spark, sf):
+    from skucast.operators.gbt import feature_importance
+    _, _, model, cols = _gbt(spark, sf)
+    return finish(feature_importance(model, cols))
+
+
+# ================================================================= K06: seasonal AR (ARIMA role)
+@query("K06_normal_equations")
+def q_normal_equations(spark, sf):
+    from skucast.operators.seasonal_ar import NX, normal_equations
+    ne = normal_equations(daily_dense(spark, sf))
+    cols = [F.col("gram")[i * NX + j].alias(f"g{i}{j}") for i in range(NX) for j in range(i, NX)]
+    cols += [F.col("xty")[i].alias(f"b{i}") for i in range(NX)]
+    return finish(ne.select("sku_id", *cols, "yty", "n"))
+
+
+@query("K06_seasonal_ar_forecast")
+def q_seasonal_ar(spark, sf):
+    from skucast.operators.seasonal_ar import seasonal_ar
+    return finish(seasonal_ar(daily_dense(spark, sf), 28))
+
+
+@query("K06_seasonal_ar_holdout")
+def q_seasonal_ar_holdout(spark, sf):
+    from skucast.operators.seasonal_ar import holdout_report
+    return finish(holdout_report(daily_dense(spark, sf), 28))

@@ -189,3 +189,13 @@ SELECT store_id, {", ".join(f"ROUND(pinball_q{int(q * 100):02d}, 6) AS pinball_q
     SELECT store_id, {pcols}, AVG(POW(price - price_prev, 2)) AS aux_mse FROM (
       SELECT sku_id, store_id, date, sales, price, {qcols}, lag(price, 1) OVER ({FR}) AS price_prev FROM panel)
     WHERE q50 IS NOT NULL GROUP BY store_id))""")
+
+# ================================================================= K06 normal equations
+_X = ["1.0", "l1", "l2", "l7", "l14"]
+_g = ", ".join(f"{R(f'SUM({_X[i]} * {_X[j]})')} AS g{i}{j}" for i in range(5) for j in range(i, 5))
+_b = ", ".join(f"{R(f'SUM({_X[i]} * sales)')} AS b{i}" for i in range(5))
+sql("K06_normal_equations", f"""
+SELECT sku_id, {_g}, {_b}, {R('SUM(sales * sales)')} AS yty, COUNT(*) AS n FROM (
+  SELECT sku_id, sales, lag(sales, 1) OVER w AS l1, lag(sales, 2) OVER w AS l2, lag(sales, 7) OVER w AS l7,
+         lag(sales, 14) OVER w AS l14 FROM dense WINDOW w AS (PARTITION BY sku_id ORDER BY date))
+WHERE l14 IS NOT NULL GROUP BY sku_id""", *DAILY_CTES)
