@@ -211,3 +211,18 @@ def q_commentary(spark, sf):
     from skucast.operators.analytics import kpis
     from skucast.operators.signals import commentary
     return finish(commentary(_trend_forecast(spark, sf), kpis(panel(spark, sf), ["sku_id"])))
+
+
+@query("O02_O04_conversation_signal")
+def q_conversation_signal(spark, sf):
+    """O02 + O04 + O01 on the conversations table: the texts of a conversation play the role of a
+    day's headlines (conv_id as the grouping key)."""
+    from skucast.operators.signals import explode_headlines, lexicon_score, sentiment_signal
+    conv = read_table(spark, sf, "conversations")
+    lists = conv.groupBy("conv_id").agg(F.collect_list("text").alias("headlines"))
+    texts = lexicon_score(explode_headlines(lists, "headlines", "conv_id"))
+    sig = sentiment_signal(texts, "conv_id")
+    stats = texts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_texts"),
+                                         F.count_if(F.col("label") == "POSITIVE").alias("n_positive"),
+                                         F.min(F.length("display")).alias("min_display_len"))
+    return finish(stats.join(sig, "conv_id"))

@@ -258,3 +258,17 @@ SELECT sku_id, horizon, model, {R('avg_forecast')} AS avg_forecast, trend, volat
     FROM fc_tr GROUP BY sku_id) f
   LEFT JOIN (SELECT sku_id, STDDEV_SAMP(sales) / (AVG(sales) + 1e-8) AS cv FROM panel GROUP BY sku_id) k
   ON k.sku_id = f.sku_id)""", *TREND_FC)
+
+sql("O02_O04_conversation_signal", f"""
+SELECT conv_id, COUNT(*) AS n_texts, COUNT_IF(label = 'POSITIVE') AS n_positive,
+       CAST(MIN(length("left"(text, 60))) AS INTEGER) AS min_display_len,
+       {R("LEAST(1.3, GREATEST(0.7, 1 + 0.3 * AVG(CASE WHEN label = 'POSITIVE' THEN score ELSE -score END)))")}
+         AS demand_sentiment FROM (
+  SELECT conv_id, text, CASE WHEN n_pos >= n_neg THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label,
+         (GREATEST(n_pos, n_neg) + 1) / (n_pos + n_neg + 2) AS score FROM (
+    SELECT conv_id, text,
+           len(list_filter(tok, lambda t: list_contains({pos_list}, t))) AS n_pos,
+           len(list_filter(tok, lambda t: list_contains({neg_list}, t))) AS n_neg FROM (
+      SELECT conv_id, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda t: length(t) > 0) AS tok
+      FROM conversations)))
+GROUP BY conv_id""")
