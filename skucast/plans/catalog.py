@@ -30,12 +30,13 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-def panel(spark, sf):
-    """The canonical panel, materialised once to the shared checkpoint folder.
-
-    Operators reuse the panel several times (scalar subqueries, grouped stats joined back,
-    rankings); reading the written panel costs far less than re-deriving it from the fact
-    table each time, and the written copy survives executor loss."""
+def panel(spark, sf, reuse: bool = False):
+    """The canonical panel. With ``reuse`` it is materialised once to the shared checkpoint folder:
+    for queries that read it several times (scalar subqueries, grouped stats joined back, rankings,
+    model fitting), reading the written panel costs less than re-deriving it from the fact table
+    each time, and the written copy survives executor loss. Single-pass queries stream it."""
+    if not reuse:
+        return demand_panel(spark, sf)
     from skucast.session import cut_lineage
     return cut_lineage(demand_panel(spark, sf))
 
@@ -120,7 +121,7 @@ def q_first_skus(spark, sf):
 @query("C06_holidays")
 def q_holidays(spark, sf):
     from skucast.operators.panel import add_holidays
-    out = add_holidays(panel(spark, sf))
+    out = add_holidays(panel(spark, sf, reuse=True))
     return out.groupBy("store_id", "is_holiday").agg(F.count(F.lit(1)).alias("n_rows"),
                                                      F.sum("sales").alias("sales"))
 
@@ -171,7 +172,7 @@ def q_densify(spark, sf):
 @query("E01_E03_date_features")
 def q_date_features(spark, sf):
     from skucast.operators.features import date_features
-    return finish(date_features(panel(spark, sf)).drop("category", "dept_id"))
+    return finish(date_features(panel(spark, sf, reuse=True)).drop("category", "dept_id"))
 
 
 @query("E04_E07_lags_rolling")
@@ -190,7 +191,7 @@ def q_promo_price(spark, sf):
 @query("E12_encode_ids")
 def q_encode(spark, sf):
     from skucast.operators.features import encode_ids
-    p = panel(spark, sf).select("sku_id", "store_id", "date")
+    p = panel(spark, sf, reuse=True).select("sku_id", "store_id", "date")
     return encode_ids(p)
 
 
@@ -215,7 +216,7 @@ def q_zscore(spark, sf):
 @query("E17_build_features")
 def q_build_features(spark, sf):
     from skucast.operators.features import build_features
-    return finish(build_features(panel(spark, sf)).drop("category", "dept_id"))
+    return finish(build_features(panel(spark, sf, reuse=True)).drop("category", "dept_id"))
 
 
 @query("E20_diffs")
@@ -241,7 +242,7 @@ def q_split_last(spark, sf):
 @query("E23_split_fraction")
 def q_split_fraction(spark, sf):
     from skucast.operators.features import split_fraction
-    p = panel(spark, sf).select("sku_id", "store_id", "date", "sales")
+    p = panel(spark, sf, reuse=True).select("sku_id", "store_id", "date", "sales")
     g = split_fraction(p, 0.8).groupBy("is_train").agg(F.count(F.lit(1)).alias("n_rows"),
                                                        F.max("date").alias("last_date"))
     k = split_fraction(p, 0.8, ["sku_id", "store_id"]).groupBy("is_train").agg(
@@ -252,7 +253,7 @@ def q_split_fraction(spark, sf):
 @query("E24_split_cutoff")
 def q_split_cutoff(spark, sf):
     from skucast.operators.features import split_cutoff, time_idx
-    out = split_cutoff(time_idx(panel(spark, sf).select("sku_id", "store_id", "date", "sales")), 14)
+    out = split_cutoff(time_idx(panel(spark, sf, reuse=True).select("sku_id", "store_id", "date", "sales")), 14)
     return out.groupBy("sku_id", "store_id", "is_train").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

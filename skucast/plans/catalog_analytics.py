@@ -100,7 +100,7 @@ def q_dist_stats(spark, sf):
 def q_retrain(spark, sf):
     from skucast.operators.drift import detect_drift, is_stale, retrain_plan
     from skucast.operators.features import split_fraction
-    p = panel(spark, sf)
+    p = panel(spark, sf, reuse=True)
     # registry: one artifact per category, "trained" at the end of its last sales day
     registry = p.groupBy(F.col("category").alias("model")).agg(
         F.max(F.col("date").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("trained_at"))
@@ -164,19 +164,19 @@ def q_zero_runs(spark, sf):
 @query("N01_correlation_edges")
 def q_edges(spark, sf):
     from skucast.operators.graph import correlation_edges
-    return finish(correlation_edges(panel(spark, sf), 0.5))
+    return finish(correlation_edges(panel(spark, sf, reuse=True), 0.5))
 
 
 @query("N03_node_features")
 def q_nodes(spark, sf):
     from skucast.operators.graph import node_features
-    return finish(node_features(panel(spark, sf)))
+    return finish(node_features(panel(spark, sf, reuse=True)))
 
 
 @query("N04_propagate")
 def q_propagate(spark, sf):
     from skucast.operators.graph import correlation_edges, node_features, propagate
-    p = panel(spark, sf)
+    p = panel(spark, sf, reuse=True)
     return finish(propagate(node_features(p), correlation_edges(p, 0.5), hops=2))
 
 

@@ -10,10 +10,14 @@ KEYS = ["sku_id", "store_id"]
 H = 14
 
 
-def daily_dense(spark, sf):
-    """D01 + K01: per-SKU daily totals over stores on a gap-free daily grid."""
+def daily_dense(spark, sf, reuse: bool = False):
+    """D01 + K01: per-SKU daily totals over stores on a gap-free daily grid (optionally materialised)."""
     from skucast.operators.panel import daily_series, densify
-    return densify(daily_series(panel(spark, sf), ["sku_id"]), ["sku_id"])
+    d = densify(daily_series(panel(spark, sf), ["sku_id"]), ["sku_id"])
+    if not reuse:
+        return d
+    from skucast.session import cut_lineage
+    return cut_lineage(d)
 
 
 def _sum_array(c):
@@ -48,7 +52,7 @@ def q_sequence_samples(spark, sf):
 @query("G04_G05_encdec_windows")
 def q_encdec(spark, sf):
     from skucast.operators.samples import encdec_prepare, encdec_windows
-    prep = encdec_prepare(panel(spark, sf), 60)
+    prep = encdec_prepare(panel(spark, sf, reuse=True), 60)
     w = encdec_windows(prep, 30, 14)
     return finish(w.select(*KEYS, "date", "time_idx", "split", F.size("encoder").alias("enc_len"),
                            F.size("decoder").alias("dec_len"), _sum_array("encoder").alias("enc_sum"),
@@ -108,7 +112,7 @@ def holdout_predictions(spark, sf, horizon: int = 28):
     """Hold out the last ``horizon`` days of every SKU series, forecast them with each baseline
     from the training part, and pair forecasts with actuals on (sku_id, h)."""
     from skucast.operators.forecast import MODELS, baseline_forecast, holdout_split, series_summary
-    train, test = holdout_split(daily_dense(spark, sf), horizon)
+    train, test = holdout_split(daily_dense(spark, sf, reuse=True), horizon)
     s = series_summary(train)
     fc = None
     for m in MODELS:
@@ -162,7 +166,7 @@ def _gbt(spark, sf):
     from skucast.operators.gbt import gbt_samples, train_gbt
     key = (spark.sparkContext.applicationId, sf)
     if key not in _GBT_CACHE:
-        feats = build_features(panel(spark, sf))
+        feats = build_features(panel(spark, sf, reuse=True))
         samples = gbt_samples(feats, H)
         model, cols = train_gbt(samples)
         _GBT_CACHE[key] = (feats, samples, model, cols)
@@ -203,10 +207,10 @@ def q_normal_equations(spark, sf):
 @query("K06_seasonal_ar_forecast")
 def q_seasonal_ar(spark, sf):
     from skucast.operators.seasonal_ar import seasonal_ar
-    return finish(seasonal_ar(daily_dense(spark, sf), 28))
+    return finish(seasonal_ar(daily_dense(spark, sf, reuse=True), 28))
 
 
 @query("K06_seasonal_ar_holdout")
 def q_seasonal_ar_holdout(spark, sf):
     from skucast.operators.seasonal_ar import holdout_report
-    return finish(holdout_report(daily_dense(spark, sf), 28))
+    return finish(holdout_report(daily_dense(spark, sf, reuse=True), 28))
