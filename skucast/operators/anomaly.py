@@ -196,15 +196,23 @@ def anomaly_summary(flagged: DataFrame, key: str = "sku_id") -> DataFrame:
 
 
 def anomaly_report(flagged: DataFrame, key: str = "sku_id") -> DataFrame:
-    """Per SKU with >= 1 anomaly: count, dates and values in date order, counts by type."""
+    """Per SKU with >= 1 anomaly: count, first and last anomaly date, counts by type.
+    The dates and values themselves are the long table of ``anomaly_points`` (one row each), so a
+    SKU with very many anomalies never becomes one huge list in one task."""
     a = flagged.where("is_anomaly")
     return a.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_anomalies"),
-        F.sort_array(F.collect_list(F.struct("date", "sales"))).alias("_pts"),
+        F.min("date").alias("first_anomaly"),
+        F.max("date").alias("last_anomaly"),
         F.count_if("stat_anomaly").alias("n_statistical"),
         F.count_if("if_anomaly").alias("n_isolation_forest"),
-    ).select(key, "n_anomalies", F.transform("_pts", lambda p: F.date_format(p["date"], "yyyy-MM-dd")).alias("dates"),
-             F.transform("_pts", lambda p: p["sales"]).alias("values"), "n_statistical", "n_isolation_forest")
+    )
+
+
+def anomaly_points(flagged: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Every anomalous point (date as yyyy-MM-dd, value, which detector fired), long form."""
+    return flagged.where("is_anomaly").select(*keys, F.date_format("date", "yyyy-MM-dd").alias("date"),
+                                              F.col("sales").alias("value"), "stat_anomaly", "if_anomaly")
 
 
 def zero_runs(df: DataFrame, min_len: int = 3, keys: Sequence[str] = KEYS, include_open: bool = False,

@@ -136,10 +136,14 @@ def q_anomaly_summary(spark, sf):
 def q_anomaly_report(spark, sf):
     from skucast.operators.anomaly import anomaly_report, detect_anomalies
     flagged = detect_anomalies(panel(spark, sf).select(*KEYS, "date", "sales"), with_forest=False)
-    r = anomaly_report(flagged)
-    return r.select("sku_id", "n_anomalies", F.array_join("dates", ",").alias("dates"),
-                    F.array_join(F.transform("values", lambda v: v.cast("string")), ",").alias("values"),
-                    "n_statistical", "n_isolation_forest")
+    return anomaly_report(flagged)
+
+
+@query("M06_anomaly_points")
+def q_anomaly_points(spark, sf):
+    from skucast.operators.anomaly import anomaly_points, detect_anomalies
+    flagged = detect_anomalies(panel(spark, sf).select(*KEYS, "date", "sales"), with_forest=False)
+    return finish(anomaly_points(flagged))
 
 
 @query("M02_M04_isolation_forest")
@@ -219,7 +223,10 @@ def q_conversation_signal(spark, sf):
     day's headlines (conv_id as the grouping key)."""
     from skucast.operators.signals import explode_headlines, lexicon_score, sentiment_signal
     conv = read_table(spark, sf, "conversations")
-    lists = conv.groupBy("conv_id").agg(F.collect_list("text").alias("headlines"))
+    # text lists per conversation, at most 8 texts per list, so a long conversation never becomes
+    # one huge array in one task; the signal aggregates all lists of a conversation
+    lists = (conv.groupBy("conv_id", F.floor(F.col("turn") / 8).alias("_bucket"))
+                 .agg(F.collect_list("text").alias("headlines")))
     texts = lexicon_score(explode_headlines(lists, "headlines", "conv_id"))
     sig = sentiment_signal(texts, "conv_id")
     stats = texts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_texts"),

@@ -156,11 +156,14 @@ SELECT CAST(SUM(n) AS BIGINT) AS total_points, CAST(SUM(a) AS BIGINT) AS anomali
   FROM flag GROUP BY sku_id)""", STAT_CTE)
 
 sql("M06_anomaly_report", """
-SELECT sku_id, COUNT(*) AS n_anomalies, string_agg(strftime(date, '%Y-%m-%d'), ',' ORDER BY date, sales) AS dates,
-       string_agg(CAST(sales AS VARCHAR), ',' ORDER BY date, sales) AS "values",
+SELECT sku_id, COUNT(*) AS n_anomalies, MIN(date) AS first_anomaly, MAX(date) AS last_anomaly,
        COUNT_IF(stat_anomaly) AS n_statistical, COUNT_IF(FALSE) AS n_isolation_forest
 FROM flag WHERE stat_anomaly GROUP BY sku_id""", STAT_CTE)
 
+sql("M06_anomaly_points", """
+SELECT sku_id, store_id, strftime(date, '%Y-%m-%d') AS date, sales AS value, stat_anomaly, FALSE AS if_anomaly
+FROM flag WHERE stat_anomaly""", STAT_CTE)
+
 sql("M07_zero_runs", f"""
 SELECT sku_id, store_id, MIN(date) AS start, COUNT(*) AS length_days, MAX(island) = MAX(mx) AS is_open FROM (
   SELECT *, MAX(island) OVER (PARTITION BY sku_id, store_id) AS mx FROM (
