@@ -69,3 +69,12 @@ def test_isolation_forest_deterministic(p):
     a = sorted((r.sku_id, r.store_id, r.date, r.if_score) for r in f.collect())
     b = sorted((r.sku_id, r.store_id, r.date, r.if_score) for r in f.repartition(3).collect())
     assert a == b
+
+
+def test_global_index_paths_agree(spark):
+    from skucast.functions.ranking import global_index
+    keys = spark.range(5000).select((F.col("id") * 7919 % 100003).cast("string").alias("k")).distinct()
+    small = {r.k: r.i for r in global_index(keys, "k", "i").collect()}
+    big = {r.k: r.i for r in global_index(keys, "k", "i", small=10).collect()}
+    assert small == big and sorted(small.values()) == list(range(len(small)))
+    assert [k for k, _ in sorted(small.items(), key=lambda x: x[1])] == sorted(small)
