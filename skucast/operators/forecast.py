@@ -55,19 +55,7 @@ def _expand(summary: DataFrame, horizon: int, keys: Sequence[str]) -> DataFrame:
                    .withColumn("date", F.date_add("last_date", F.col("h"))))
 
 
-def _finish(t: DataFrame, yhat, model: str, keys: Sequence[str]) -> DataFrame:
-    out = t.select(*keys, "date", "h", yhat.alias("yhat"), F.lit(model).alias("model_used"))
-    return pct_band(out).select(*keys, "date", "h", "yhat", "lo", "hi", "model_used")
-
-
-def baseline_forecast(df: DataFrame, model: str, horizon: int = 14, keys: Sequence[str] = ("sku_id",),
-                      summary: DataFrame | None = None) -> DataFrame:
-    """K02 naive (last value), K03 seasonal naive (step i = y[max(0, n - 7 + i mod 7)]),
-    K04 moving average of the last 7, K05 mean of the series, K07 trend + wiggle
-    ``max(0, mean(last w) + slope * i + 2 sin(i / 7))`` with w = min(28, n); all with the +-20 % band."""
-    keys = list(keys)
-    s = summary if summary is not None else series_summary(df, keys)
-    t = _expand(s, horizon, keys)
+def _model_expr(model: str):
     i = F.col("h") - 1
     if model == "naive":
         y = F.col("last_value")
@@ -82,7 +70,27 @@ def baseline_forecast(df: DataFrame, model: str, horizon: int = 14, keys: Sequen
                        + F.lit(WIGGLE_AMP) * F.sin(i / F.lit(WIGGLE_PERIOD)))
     else:
         raise ValueError(f"unknown model {model!r}; choose from {MODELS}")
-    return _finish(t, y.cast("double"), model, keys)
+    return y.cast("double")
+
+
+def baseline_forecast(df: DataFrame, model: str, horizon: int = 14, keys: Sequence[str] = ("sku_id",),
+                      summary: DataFrame | None = None) -> DataFrame:
+    """K02 naive (last value), K03 seasonal naive (step i = y[max(0, n - 7 + i mod 7)]),
+    K04 moving average of the last 7, K05 mean of the series, K07 trend + wiggle
+    ``max(0, mean(last w) + slope * i + 2 sin(i / 7))`` with w = min(28, n); all with the +-20 % band."""
+    return baseline_forecasts(df, [model], horizon, keys, summary)
+
+
+def baseline_forecasts(df: DataFrame, models: Sequence[str] = MODELS, horizon: int = 14,
+                       keys: Sequence[str] = ("sku_id",), summary: DataFrame | None = None) -> DataFrame:
+    """Several baselines in one pass: one summary row per series -> H steps -> one row per model
+    (``inline`` of an array of (model, yhat) structs), so the models share a single plan branch."""
+    keys = list(keys)
+    s = summary if summary is not None else series_summary(df, keys)
+    t = _expand(s, horizon, keys)
+    arr = F.array(*[F.struct(F.lit(m).alias("model_used"), _model_expr(m).alias("yhat")) for m in models])
+    t = t.select(*keys, "date", "h", F.inline(arr))
+    return pct_band(t).select(*keys, "date", "h", "yhat", "lo", "hi", "model_used")
 
 
 def forecast_all(df: DataFrame, horizon: int = 14, order: Sequence[str] = ("trend_naive",),

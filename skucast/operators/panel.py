@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,16 +245,25 @@ def daily_series(df: DataFrame, keys: Sequence[str] = ("sku_id",), col: str = "s
 
 
 def densify(df: DataFrame, keys: Sequence[str] = ("sku_id",), fill: dict | None = None) -> DataFrame:
-    """Daily grid between each key's own first and last date; gaps filled (sales -> 0).
+    """Daily grid between each key's own first and last date; gaps filled (sales -> 0, other
+    value columns null, as a left join onto the grid would give).
 
-    The grid is exploded from one (min, max) row per key, so it is generated where the key
-    lives; the join back is an equi-join on (keys, date)."""
+    One window pass, no join: each row emits itself plus one row per missing day up to the next
+    row of its series (``lead(date)`` -> ``posexplode(sequence(...))``), so the data is read once
+    and shuffled once on the series key."""
     keys = list(keys)
     fill = {"sales": 0.0} if fill is None else fill
-    span = df.groupBy(*keys).agg(F.min("date").alias("_d0"), F.max("date").alias("_d1"))
-    grid = span.select(*keys, F.explode(F.sequence("_d0", "_d1")).alias("date"))
-    out = grid.join(df, keys + ["date"], "left")
-    return out.fillna({k: v for k, v in fill.items() if k in out.columns})
+    w = Window.partitionBy(*keys).orderBy("date")
+    nxt = F.lead("date").over(w)
+    t = df.withColumn("_next", nxt)
+    days = F.when(F.col("_next").isNull(), F.array(F.col("date"))).otherwise(
+        F.sequence(F.col("date"), F.date_sub(F.col("_next"), 1)))
+    t = t.select("*", F.posexplode(days).alias("_pos", "_day"))
+    vals = [c for c in df.columns if c not in keys and c != "date"]
+    first = F.col("_pos") == 0
+    cols = [F.when(first, F.col(c)).otherwise(F.lit(fill[c]) if c in fill else F.lit(None)).cast(df.schema[c].dataType)
+            .alias(c) for c in vals]
+    return t.select(*keys, F.col("_day").alias("date"), *cols)
 
 
 def metadata(df: DataFrame) -> DataFrame:

@@ -69,14 +69,8 @@ def q_multitask(spark, sf):
 # ================================================================= K: forecasts
 @query("K02_K07_baselines")
 def q_baselines(spark, sf):
-    from skucast.operators.forecast import MODELS, baseline_forecast, series_summary
-    d = daily_dense(spark, sf)
-    s = series_summary(d)
-    out = None
-    for m in MODELS:
-        f = baseline_forecast(d, m, H, summary=s)
-        out = f if out is None else out.unionByName(f)
-    return finish(out)
+    from skucast.operators.forecast import MODELS, baseline_forecasts
+    return finish(baseline_forecasts(daily_dense(spark, sf), MODELS, H))
 
 
 @query("K11_forecast_all")
@@ -111,13 +105,9 @@ def q_eligible(spark, sf):
 def holdout_predictions(spark, sf, horizon: int = 28):
     """Hold out the last ``horizon`` days of every SKU series, forecast them with each baseline
     from the training part, and pair forecasts with actuals on (sku_id, h)."""
-    from skucast.operators.forecast import MODELS, baseline_forecast, holdout_split, series_summary
+    from skucast.operators.forecast import MODELS, baseline_forecasts, holdout_split
     train, test = holdout_split(daily_dense(spark, sf, reuse=True), horizon)
-    s = series_summary(train)
-    fc = None
-    for m in MODELS:
-        f = baseline_forecast(train, m, horizon, summary=s)
-        fc = f if fc is None else fc.unionByName(f)
+    fc = baseline_forecasts(train, MODELS, horizon)
     return fc.join(test.select("sku_id", "h", F.col("sales").alias("y")), ["sku_id", "h"])
 
 
