@@ -169,7 +169,11 @@ def isolation_forest(df: DataFrame, keys: Sequence[str] = KEYS, features: Sequen
             out["if_score"], out["if_anomaly"] = 0.0, False
         return out
 
-    return slim.groupBy(*keys).applyInPandas(fit, schema)
+    # Explicit hash partitioning on the series key: the groups are CPU-heavy, and an explicit count
+    # keeps adaptive execution from coalescing the small input into a few tasks; groupBy on the
+    # same keys reuses this partitioning (no second shuffle).
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return slim.repartition(n, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def detect_anomalies(df: DataFrame, keys: Sequence[str] = KEYS, with_forest: bool = True,
