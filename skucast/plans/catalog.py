@@ -262,3 +262,20 @@ def _ensure_all_modules():
     from skucast.plans import catalog_analytics, catalog_models  # noqa: F401
     from skucast.plans import oracle
     oracle._load_all()
+
+
+@query("C01_C02_calendar_price_joins")
+def q_calendar_price(spark, sf):
+    """C01 + C02 on tables derived from the panel: a calendar (one row per day: ISO week code
+    ``year * 100 + week`` and any-promo flag) and a weekly price table (store, SKU, week -> mean
+    daily price), joined back onto the daily panel with the calendar promo and weekly price."""
+    from skucast.operators.panel import join_calendar, join_prices
+    p = panel(spark, sf, reuse=True)
+    wk = (F.year("date") * 100 + F.weekofyear("date")).alias("wm_yr_wk")
+    cal = p.groupBy("date").agg(F.max("promo").alias("promo")).select("date", wk, "promo")
+    prices = (p.select("store_id", F.col("sku_id").alias("item_id"), wk, "price")
+               .groupBy("store_id", "item_id", "wm_yr_wk").agg(F.avg("price").alias("sell_price")))
+    base = p.select("sku_id", "store_id", "date", "sales")
+    out = join_prices(join_calendar(base, cal), cal, prices, 2.0)
+    # a mean of <= 7 six-decimal prices is exact at 7-8 decimals: round at 9 so no value sits on a tie
+    return finish(out.select("sku_id", "store_id", "date", "sales", "promo", "wm_yr_wk", "price"), 9)

@@ -253,3 +253,13 @@ GROUP BY 1, 2, 3""")
 def _load_all():
     """Import the modules that add further oracle statements."""
     from skucast.plans import oracle_analytics, oracle_models  # noqa: F401
+
+sql("C01_C02_calendar_price_joins", f"""
+SELECT p.sku_id, p.store_id, p.date, p.sales, CAST(COALESCE(c.promo, 0) AS INTEGER) AS promo, c.wm_yr_wk,
+       {R('COALESCE(w.sell_price, 2.0)', 9)} AS price
+FROM panel p
+LEFT JOIN (SELECT date, CAST(year(date) * 100 + weekofyear(date) AS INTEGER) AS wm_yr_wk, MAX(promo) AS promo
+           FROM panel GROUP BY date) c ON p.date = c.date
+LEFT JOIN (SELECT store_id, sku_id, CAST(year(date) * 100 + weekofyear(date) AS INTEGER) AS wm_yr_wk,
+                  AVG(price) AS sell_price FROM panel GROUP BY 1, 2, 3) w
+  ON w.store_id = p.store_id AND w.sku_id = p.sku_id AND w.wm_yr_wk = c.wm_yr_wk""")
