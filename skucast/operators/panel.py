@@ -6,10 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from skucast.functions.columns import col_
-from skucast.schema import DEFAULTS, KEYS
+from skucast.schema import DEFAULTS
 
 # Sentinels that mean "no filter" in the planner's store / category / SKU pickers (fixed values).
 ALL_SENTINELS = (None, "All", "All Stores", "All Products", "All Categories")
@@ -300,9 +298,3 @@ def union_all(*dfs: DataFrame) -> DataFrame:
         out = out.unionByName(d)
     return out
 
-
-def key_order(keys: Sequence[str] = KEYS) -> list[Column]:
-    return [col_(k) for k in keys]
-
-
-PANEL_TYPES = {"sales": T.DoubleType(), "promo": T.IntegerType(), "price": T.DoubleType()}

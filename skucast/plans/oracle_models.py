@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skucast.plans.oracle import DENSE_CTES, WK, R, sql  # noqa: F401
+from skucast.plans.oracle import R, sql
 
 H = 14
 FR = "PARTITION BY sku_id, store_id ORDER BY date"
