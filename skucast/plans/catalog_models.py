@@ -204,3 +204,10 @@ def q_seasonal_ar(spark, sf):
 def q_seasonal_ar_holdout(spark, sf):
     from skucast.operators.seasonal_ar import holdout_report
     return finish(holdout_report(daily_dense(spark, sf, reuse=True), 28))
+
+
+@query("D18_interval_from_samples")
+def q_interval(spark, sf):
+    """D18 on the panel: per (SKU, day) the stores' sales are the draws."""
+    from skucast.operators.metrics import interval_from_samples
+    return finish(interval_from_samples(panel(spark, sf), ["sku_id", "date"], "sales"))

@@ -199,3 +199,7 @@ SELECT sku_id, {_g}, {_b}, {R('SUM(sales * sales)')} AS yty, COUNT(*) AS n FROM
   SELECT sku_id, sales, lag(sales, 1) OVER w AS l1, lag(sales, 2) OVER w AS l2, lag(sales, 7) OVER w AS l7,
          lag(sales, 14) OVER w AS l14 FROM dense WINDOW w AS (PARTITION BY sku_id ORDER BY date))
 WHERE l14 IS NOT NULL GROUP BY sku_id""", *DAILY_CTES)
+
+sql("D18_interval_from_samples", f"""
+SELECT sku_id, date, {R('AVG(sales)')} AS mean, {R('quantile_cont(sales, 0.025)')} AS lower,
+       {R('quantile_cont(sales, 0.975)')} AS upper FROM panel GROUP BY sku_id, date""")

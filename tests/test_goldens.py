@@ -129,3 +129,10 @@ def test_O01_signal(spark):
     days = spark.createDataFrame([("d1",), ("d3",)], "date string")
     out = {r.date: r.demand_sentiment for r in signals.enrich_sentiment(days, signals.sentiment_signal(scored)).collect()}
     assert out["d3"] == 1.0
+
+
+def test_D18_interval_from_samples(spark):
+    df = spark.createDataFrame([("A", float(v)) for v in range(1, 41)], "k string, pred double")
+    r = metrics.interval_from_samples(df, ["k"]).first()
+    # numpy linear interpolation: position (n - 1) * q
+    assert r.mean == 20.5 and r.lower == pytest.approx(1 + 39 * 0.025) and r.upper == pytest.approx(1 + 39 * 0.975)
