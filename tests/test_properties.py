@@ -78,3 +78,13 @@ def test_global_index_paths_agree(spark):
     big = {r.k: r.i for r in global_index(keys, "k", "i", small=10).collect()}
     assert small == big and sorted(small.values()) == list(range(len(small)))
     assert [k for k, _ in sorted(small.items(), key=lambda x: x[1])] == sorted(small)
+
+
+def test_edges_match_pandas_pivot_corr(p):
+    """Weights equal pandas' pivot_table(mean).fillna(0).corr() for every pair (threshold 0)."""
+    pdf = p.select("sku_id", "date", "sales").toPandas()
+    piv = pdf.pivot_table(index="date", columns="sku_id", values="sales", aggfunc="mean").fillna(0)
+    want = piv.corr()
+    e = graph.correlation_edges(p, 0.0, block=5, fallback=False).collect()
+    assert len(e) == len(want) * (len(want) - 1)
+    assert all(abs(r.weight - want.loc[r.src_sku, r.dst_sku]) < 1e-9 for r in e)
