@@ -128,7 +128,8 @@ def detect_drift(ref: DataFrame, cur: DataFrame, col: str = "sales", thr_psi: fl
 def is_stale(registry: DataFrame, now_ts, hours: float = STALE_HOURS, by: tuple = ("model",)) -> DataFrame:
     """Per model, stale unless some artifact was trained less than ``hours`` before ``now_ts``
     (registry columns: model, trained_at timestamp)."""
-    age_h = (F.unix_timestamp(F.lit(now_ts).cast("timestamp")) - F.unix_timestamp("trained_at")) / 3600.0
+    now = F.lit(now_ts).cast("timestamp_ntz") if isinstance(now_ts, str) else F.lit(now_ts)
+    age_h = F.timestamp_diff("SECOND", F.col("trained_at"), now) / 3600.0
     return registry.groupBy(*by).agg((~F.bool_or(age_h < hours)).alias("is_stale"),
                                      F.max("trained_at").alias("last_trained_at"))
 

@@ -63,8 +63,8 @@ def q_forecast_summary(spark, sf):
 # ================================================================= L02-L07
 def _events_split(spark, sf):
     ev = read_table(spark, sf, "events").select("ts", "value")
-    return ev.where(F.col("ts") < F.lit(EVENT_SPLIT).cast("timestamp")), \
-        ev.where(F.col("ts") >= F.lit(EVENT_SPLIT).cast("timestamp"))
+    split = F.lit(EVENT_SPLIT).cast("timestamp_ntz")  # ts is timestamp_ntz: no session time zone involved
+    return ev.where(F.col("ts") < split), ev.where(F.col("ts") >= split)
 
 
 @query("L02_L04_drift_events")
@@ -103,8 +103,8 @@ def q_retrain(spark, sf):
     p = panel(spark, sf, reuse=True)
     # registry: one artifact per category, "trained" at the end of its last sales day
     registry = p.groupBy(F.col("category").alias("model")).agg(
-        F.max(F.col("date").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("trained_at"))
-    now = p.select(F.max("date").cast("timestamp") + F.expr("INTERVAL 1 DAY")).scalar()
+        F.max(F.col("date").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).alias("trained_at"))
+    now = p.select(F.max("date").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).scalar()
     stale = is_stale(registry, now, 24)
     from skucast.session import cut_lineage
     s = cut_lineage(split_fraction(p.select(*KEYS, "date", "sales"), 0.8))
