@@ -163,7 +163,8 @@ def add_holidays(df: DataFrame, holidays: DataFrame | None = None, mode: str = "
     if holidays is None:
         holidays = holiday_dim(df)
     h = holidays.select("date").distinct().withColumn("_h", F.lit(1))
-    return df.join(h, "date", "left").withColumn("is_holiday", F.coalesce("_h", F.lit(0))).drop("_h")
+    # bounded: at most 17 rows (11 holidays + 6 observed days) per calendar year of the data
+    return df.join(F.broadcast(h), "date", "left").withColumn("is_holiday", F.coalesce("_h", F.lit(0))).drop("_h")
 
 
 def holiday_dim(df: DataFrame, date_col: str = "date") -> DataFrame:

@@ -149,7 +149,7 @@ def q_anomaly_points(spark, sf):
 @query("M02_M04_isolation_forest")
 def q_isolation_forest(spark, sf):
     from skucast.operators.anomaly import detect_anomalies
-    flagged = detect_anomalies(panel(spark, sf).select(*KEYS, "date", "sales"), with_forest=True)
+    flagged = detect_anomalies(panel(spark, sf, reuse=True).select(*KEYS, "date", "sales"), with_forest=True)
     return flagged.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"),
                                       F.count_if("if_anomaly").alias("n_isolation_forest"),
                                       F.count_if("stat_anomaly").alias("n_statistical"),

@@ -43,7 +43,7 @@ def q_scoring_frame(spark, sf):
 @query("G03_sequence_samples")
 def q_sequence_samples(spark, sf):
     from skucast.operators.samples import sequence_samples
-    s = sequence_samples(panel(spark, sf), seq_len=30, horizon=7, features=["promo", "price"])
+    s = sequence_samples(panel(spark, sf, reuse=True), seq_len=30, horizon=7, features=["promo", "price"])
     return finish(s.select(*KEYS, "date", "s_min", "s_max", "y", F.size("x").alias("seq_len"),
                            _sum_array(F.transform("x", lambda v: v[0])).alias("seq_sales_sum"),
                            F.element_at(F.element_at("x", -1), 3).alias("last_price_z")))
