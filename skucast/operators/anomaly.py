@@ -228,11 +228,13 @@ def zero_runs(df: DataFrame, min_len: int = 3, keys: Sequence[str] = KEYS, inclu
     unless ``include_open`` (A-14). Use on a densified panel (K01)."""
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    t = df.withColumn("_island", F.sum((F.col(col) != 0).cast("int")).over(w))
+    # same partitioning for both windows: one exchange; the series maximum marks the open run
+    t = (df.withColumn("_island", F.sum((F.col(col) != 0).cast("int")).over(w))
+           .withColumn("_max_island", F.max("_island").over(Window.partitionBy(*keys))))
     runs = (t.where(F.col(col) == 0).groupBy(*keys, "_island")
-             .agg(F.min("date").alias("start"), F.count(F.lit(1)).alias("length_days")))
-    last = t.groupBy(*keys).agg(F.max("_island").alias("_max_island"))
-    runs = runs.join(last, keys).withColumn("is_open", F.col("_island") == F.col("_max_island"))
+             .agg(F.min("date").alias("start"), F.count(F.lit(1)).alias("length_days"),
+                  F.max("_max_island").alias("_max_island")))
+    runs = runs.withColumn("is_open", F.col("_island") == F.col("_max_island"))
     runs = runs.where(F.col("length_days") >= min_len)
     if not include_open:
         runs = runs.where(~F.col("is_open"))
