@@ -17,21 +17,6 @@ def safe_div(num, den) -> Column:
     return F.try_divide(col_(num), col_(den))
 
 
-def clip0(c) -> Column:
-    """max(c, 0) keeping nulls."""
-    c = col_(c)
-    return F.when(c.isNull(), None).otherwise(F.greatest(c, F.lit(0.0)))
-
-
-def r(c, digits: int = 6) -> Column:
-    """Round at the output edge only (sums of doubles differ in the last bits by order)."""
-    return F.round(col_(c), digits)
-
-
 def cv(std, mean) -> Column:
     """Coefficient of variation std / (mean + 1e-8)."""
     return col_(std) / (col_(mean) + F.lit(EPS))
-
-
-def bool_int(c) -> Column:
-    return col_(c).cast("int")
