@@ -97,17 +97,22 @@ def risk_bands(df: DataFrame) -> DataFrame:
     return portfolio(df).withColumn("risk", risk_band("cv")).select("sku_id", "avg_sales", "std_sales", "cv", "risk")
 
 
+def top_k(df: DataFrame, metric: str, k: int, asc: bool = False, tie: str = "sku_id") -> DataFrame:
+    """k largest (or smallest) rows by ``metric``, ties by ``tie`` (``TakeOrderedAndProject``)."""
+    return df.orderBy(F.asc(metric) if asc else F.desc(metric), tie).limit(k)
+
+
 def insights(df: DataFrame, forecast: DataFrame | None = None, k: int = 2, cv_cut: float = 0.5,
              spike: float = 1.25) -> DataFrame:
     """Q06: top-k sellers by total, first k SKUs (id order) with CV > .5, k slowest by mean; with a
     forecast, a spike row when its mean exceeds 1.25 x the mean sales. Each list is a top-k
     (``TakeOrderedAndProject``) over the per-SKU table; ties are broken by sku_id."""
     s = portfolio(df)
-    top = s.orderBy(F.desc("total_sales"), "sku_id").limit(k).select(
+    top = top_k(s, "total_sales", k).select(
         F.lit("high_demand").alias("rule"), "sku_id", F.col("avg_sales").alias("value"))
     risky = s.where(F.col("cv") > cv_cut).orderBy("sku_id").limit(k).select(
         F.lit("stockout_risk").alias("rule"), "sku_id", F.col("cv").alias("value"))
-    slow = s.orderBy("avg_sales", "sku_id").limit(k).select(
+    slow = top_k(s, "avg_sales", k, asc=True).select(
         F.lit("slow_mover").alias("rule"), "sku_id", F.col("avg_sales").alias("value"))
     out = top.unionByName(risky).unionByName(slow)
     if forecast is not None:

@@ -55,7 +55,7 @@ def _bucket(x: Column, edges: Column) -> Column:
 
 def psi(ref: DataFrame, cur: DataFrame, col: str, bins: int = 10, exact: bool = True,
         n_ref: int | None = None, n_cur: int | None = None) -> DataFrame:
-    """Population stability index of ``cur`` against ``ref`` (one row, column ``psi``).
+    """L02 (D14 histogram on quantile edges): population stability index of ``cur`` against ``ref``.
 
     Shares are bucket counts / (n + 1e-8) (values outside the reference range stay in n),
     floored at 1e-6; PSI = sum((c - r) * ln(c / r)); fewer than 2 distinct edges -> 0.
@@ -99,6 +99,13 @@ def ks_two_sample(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     return d.select("ks_d", kolmogorov_p(lam).alias("ks_p_value"))
 
 
+def reference_current(df: DataFrame, frac: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """reference = first ``frac`` of the rows in date order, current = the rest (E23 cut-off)."""
+    from skucast.operators.features import split_fraction
+    s = split_fraction(df, frac)
+    return s.where("is_train").drop("is_train"), s.where("NOT is_train").drop("is_train")
+
+
 def detect_drift(ref: DataFrame, cur: DataFrame, col: str = "sales", thr_psi: float = PSI_THRESHOLD,
                  thr_ks: float = KS_THRESHOLD, bins: int = 10) -> DataFrame:
     """One-row drift report: drift = PSI > thr OR KS p < thr OR relative mean change > 0.3,

@@ -83,14 +83,16 @@ def filter_or_all(df: DataFrame, cond: Column) -> DataFrame:
 
 
 def min_history(df: DataFrame, n: int = 30, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
-    """Keep keys with at least ``n`` rows (count of non-null dates), as agg + left-semi join."""
+    """B10 (with D04 row count and C05 membership as a semi join): keep keys with at least ``n`` rows
+    (count of non-null dates), as agg + left-semi join."""
     keys = list(keys)
     ok = df.groupBy(*keys).agg(F.count("date").alias("_n")).where(F.col("_n") >= n).select(*keys)
     return df.join(ok, keys, "left_semi")
 
 
 def top_skus(df: DataFrame, n: int, col: str = "sales") -> DataFrame:
-    """Restrict to the n SKUs with the largest total (ties: sku_id asc).
+    """B11 (D03 totals, F04 top-k, C05 semi join): restrict to the n SKUs with the largest total
+    (ties: sku_id asc).
 
     The broadcast side holds exactly ``n`` rows (a parameter), so its size is bounded."""
     top = (df.groupBy("sku_id").agg(F.sum(col).alias("_t"))
@@ -100,7 +102,8 @@ def top_skus(df: DataFrame, n: int, col: str = "sales") -> DataFrame:
 
 def list_skus(df: DataFrame, category: str | None = None, store: str | None = None,
               limit: int | None = 1000) -> DataFrame:
-    """Sorted distinct SKUs whose id starts with ``category``; store honoured (A-17)."""
+    """Sorted distinct SKUs whose id starts with ``category``; store honoured (A-17);
+    ``limit`` applies after the total order."""
     if store not in ALL_SENTINELS:
         df = df.where(F.col("store_id") == F.lit(store))
     if category not in ALL_SENTINELS:
@@ -132,6 +135,14 @@ def winsorise(df: DataFrame, p: float = 0.99, keys: Sequence[str] = ("sku_id",),
     return df.join(caps, keys, "left").withColumn(col, F.least(F.col(col), F.col("_cap"))).drop("_cap")
 
 
+def sort_panel(df: DataFrame, keys: Sequence[str] = ("sku_id", "store_id"), within_partitions: bool = False) -> DataFrame:
+    """F02 (F01 inside every series window): multi-key sort by keys and date. A global ``orderBy``
+    is a range shuffle; ``within_partitions`` only sorts each partition (e.g. before writing files
+    clustered by series)."""
+    cols = [*keys, "date"]
+    return df.sortWithinPartitions(*cols) if within_partitions else df.orderBy(*cols)
+
+
 def first_skus(df: DataFrame, n: int) -> DataFrame:
     """Rows of the first n SKUs in id order (broadcast side bounded by n)."""
     first = df.select("sku_id").distinct().orderBy("sku_id").limit(n)

@@ -18,7 +18,7 @@ from skucast.schema import EPS, KEYS
 
 def multi_horizon(df: DataFrame, horizon: int = 14, keys: Sequence[str] = KEYS, target: str = "sales") -> DataFrame:
     """Direct multi-step samples: for h = 1..H, ``target`` = ``sales`` h rows ahead in the same
-    series (A-10), rows without a target dropped, ``horizon`` = h.
+    series (A-10), rows without a target dropped, ``horizon`` = h (C09: row x horizon product).
 
     The H leads are computed by one window pass and expanded with ``posexplode`` (narrow)."""
     w = series_window(keys)
@@ -39,7 +39,7 @@ def scoring_frame(df: DataFrame, horizon: int = 14, keys: Sequence[str] = KEYS,
 
 def sequence_samples(df: DataFrame, seq_len: int = 30, horizon: int = 7, features: Sequence[str] = ("promo", "price"),
                      keys: Sequence[str] = KEYS) -> DataFrame:
-    """Sliding windows for sequence models.
+    """G03 (D15 scaling stats): sliding windows for sequence models.
 
     Per series: sales min-max scaled (``s_min``, ``s_max`` kept for de-scaling), features z-scored
     with the population std; each sample ends at a row, holds the last ``seq_len`` rows as
@@ -66,7 +66,7 @@ def sequence_samples(df: DataFrame, seq_len: int = 30, horizon: int = 7, feature
 
 def encdec_prepare(df: DataFrame, min_len: int = 60, keys: Sequence[str] = KEYS,
                    reals: Sequence[str] = ("price", "promo")) -> DataFrame:
-    """time_idx per series, keep series whose max time_idx >= ``min_len``, reals null -> 0.0,
+    """time_idx per series, keep series whose max time_idx >= ``min_len`` (C04 semi join), reals null -> 0.0,
     sales clipped at 0."""
     from skucast.operators.features import time_idx
     keys = list(keys)

@@ -83,11 +83,10 @@ def q_ks_events(spark, sf):
 
 @query("L04_L05_drift_panel")
 def q_drift_panel(spark, sf):
-    from skucast.operators.drift import detect_drift
-    from skucast.operators.features import split_fraction
+    from skucast.operators.drift import detect_drift, reference_current
     from skucast.session import cut_lineage
-    p = cut_lineage(split_fraction(panel(spark, sf).select(*KEYS, "date", "sales"), 0.8))
-    return detect_drift(p.where("is_train"), p.where("NOT is_train"), "sales")
+    ref, cur = reference_current(cut_lineage(panel(spark, sf).select(*KEYS, "date", "sales")), 0.8)
+    return detect_drift(ref, cur, "sales")
 
 
 @query("D06_dist_stats")

@@ -136,3 +136,14 @@ def test_D18_interval_from_samples(spark):
     r = metrics.interval_from_samples(df, ["k"]).first()
     # numpy linear interpolation: position (n - 1) * q
     assert r.mean == 20.5 and r.lower == pytest.approx(1 + 39 * 0.025) and r.upper == pytest.approx(1 + 39 * 0.975)
+
+
+def test_F02_F04_sort_and_top_k(spark):
+    df = spark.createDataFrame([("B", "S2", dt.date(2023, 1, 2), 5.0), ("A", "S1", dt.date(2023, 1, 3), 5.0),
+                                ("A", "S1", dt.date(2023, 1, 1), 9.0)],
+                               "sku_id string, store_id string, date date, sales double")
+    assert [(r.sku_id, r.date.day) for r in panel.sort_panel(df).collect()] == [("A", 1), ("A", 3), ("B", 2)]
+    top = analytics.top_k(df, "sales", 2).collect()
+    assert [(r.sku_id, r.sales) for r in top] == [("A", 9.0), ("A", 5.0)]  # tie on 5.0 broken by sku_id
+    low = analytics.top_k(df, "sales", 1, asc=True).collect()
+    assert [(r.sku_id, r.sales) for r in low] == [("A", 5.0)]
