@@ -126,3 +126,33 @@ def test_forecast_and_log_sinks(spark, tmp_path):
     sinks.write_run_log(spark.createDataFrame([("retrain", True)], "step string, ok boolean"), str(tmp_path / "log"))
     sinks.write_run_log(spark.createDataFrame([("drift", False)], "step string, ok boolean"), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_m5_sample_fallback_and_dispatch(spark, subset, tmp_path):
+    """Without the wide file, load_m5 reads sample.csv (renames, defaults, clean target)."""
+    pdf, _ = subset
+    smp = pdf.head(40).rename(columns={"sku_id": "item_id"}).copy()
+    smp["sales"] = smp["sales"].astype(str)
+    smp.loc[smp.index[0], "sales"] = "n/a"  # non-numeric -> 0
+    smp["snap_event"] = 1
+    smp["sell_price"] = None
+    smp[["date", "store_id", "item_id", "sales", "snap_event", "sell_price"]].to_csv(tmp_path / "sample.csv", index=False)
+    out = readers.load_panel(spark, "m5", str(tmp_path))
+    rows = out.collect()
+    assert len(rows) == 40 and all(r.promo == 1 and r.price == 2.0 for r in rows)
+    assert min(r.sales for r in rows) == 0.0 and rows[0].category == rows[0].sku_id.split("_")[0]
+
+
+def test_favorita_sample_and_calendar_without_snaps(spark, subset, tmp_path):
+    """Favorita sample fallback without promo / family columns; A05: calendar with no snap flags."""
+    pdf, _ = subset
+    fav = pdf.head(10).assign(store_nbr=3, item_nbr=7, unit_sales=pdf.head(10)["sales"])[
+        ["date", "store_nbr", "item_nbr", "unit_sales"]]
+    fav.to_csv(tmp_path / "sample.csv", index=False)
+    out = readers.read_favorita(spark, str(tmp_path)).collect()
+    assert {(r.store_id, r.sku_id, r.category, r.promo, r.price) for r in out} == {("3", "7", "General", 0, 1.0)}
+    import pandas as pd
+    pd.DataFrame({"date": ["2011-01-29", "2011-01-30"], "wm_yr_wk": [11101, 11101]}).to_csv(
+        tmp_path / "calendar.csv", index=False)
+    cal = readers.read_calendar(spark, str(tmp_path)).collect()
+    assert [r.promo for r in cal] == [0, 0]
