@@ -88,3 +88,12 @@ def test_edges_match_pandas_pivot_corr(p):
     e = graph.correlation_edges(p, 0.0, block=5, fallback=False).collect()
     assert len(e) == len(want) * (len(want) - 1)
     assert all(abs(r.weight - want.loc[r.src_sku, r.dst_sku]) < 1e-9 for r in e)
+
+
+def test_stat_flags_numpy_equals_jvm(p):
+    """The in-map statistical detector equals the JVM one (M03) on every series."""
+    fl = anomaly.detect_anomalies(p.select(*KEYS, "date", "sales"), KEYS, with_forest=True, n_trees=5)
+    jvm = anomaly.stat_anomaly(p.select(*KEYS, "date", "sales"), KEYS)
+    a = {(r.sku_id, r.store_id, r.date): r.stat_anomaly for r in fl.collect()}
+    b = {(r.sku_id, r.store_id, r.date): r.stat_anomaly for r in jvm.collect()}
+    assert a == b and any(b.values())
