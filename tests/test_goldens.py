@@ -147,3 +147,37 @@ def test_F02_F04_sort_and_top_k(spark):
     assert [(r.sku_id, r.sales) for r in top] == [("A", 9.0), ("A", 5.0)]  # tie on 5.0 broken by sku_id
     low = analytics.top_k(df, "sales", 1, asc=True).collect()
     assert [(r.sku_id, r.sales) for r in low] == [("A", 5.0)]
+
+
+def test_C06_holidays_2021(spark):
+    df = spark.createDataFrame([(dt.date(2021, 1, 5),), (dt.date(2022, 3, 1),)], "date date")
+    got = {r.date: r.holiday for r in panel.holiday_dim(df).collect() if r.date.year == 2021}
+    d = dt.date
+    assert got[d(2021, 1, 18)] == "Martin Luther King Jr. Day"
+    assert got[d(2021, 2, 15)] == "Washington's Birthday"
+    assert got[d(2021, 5, 31)] == "Memorial Day"
+    assert got[d(2021, 6, 18)] == "Juneteenth National Independence Day (observed)"  # Saturday -> Friday
+    assert got[d(2021, 7, 5)] == "Independence Day (observed)"  # Sunday -> Monday
+    assert got[d(2021, 9, 6)] == "Labor Day" and got[d(2021, 10, 11)] == "Columbus Day"
+    assert got[d(2021, 11, 25)] == "Thanksgiving"
+    assert got[d(2021, 12, 24)] == "Christmas Day (observed)"
+    assert got[d(2021, 12, 31)] == "New Year's Day (observed)"  # 2022-01-01 is a Saturday
+    marked = panel.add_holidays(spark.createDataFrame([(d(2021, 11, 25),), (d(2021, 11, 26),)], "date date"))
+    assert sorted((r.date.day, r.is_holiday) for r in marked.collect()) == [(25, 1), (26, 0)]
+
+
+def test_C10_pick_forecast_multi_key_and_C07_defaults(spark):
+    a = spark.createDataFrame([("A", "S1", 1, 5.0)], "sku_id string, store_id string, h int, yhat double")
+    b = spark.createDataFrame([("A", "S1", 1, 7.0), ("A", "S2", 1, 9.0)], "sku_id string, store_id string, h int, yhat double")
+    got = sorted((r.store_id, r.yhat) for r in panel.pick_forecast([a, b], ["sku_id", "store_id"]).collect())
+    assert got == [("S1", 5.0), ("S2", 9.0)]
+    ext = spark.createDataFrame([("S1", 1.5)], "store_id string, web_trend double")
+    out = {r.store_id: r.web_trend for r in panel.join_external(b, ext, "store_id", {"web_trend": 1.0}).collect()}
+    assert out == {"S1": 1.5, "S2": 1.0}
+
+
+def test_L02_psi_approx_path(spark):
+    s = spark.createDataFrame([(float(v % 17),) for v in range(500)], "x double")
+    assert drift.psi(s, s, "x", exact=False).first()[0] == pytest.approx(0.0, abs=1e-12)
+    shifted = s.select((F.col("x") + 5).alias("x"))
+    assert drift.psi(s, shifted, "x").first()[0] > 0.2
