@@ -156,3 +156,22 @@ def test_favorita_sample_and_calendar_without_snaps(spark, subset, tmp_path):
         tmp_path / "calendar.csv", index=False)
     cal = readers.read_calendar(spark, str(tmp_path)).collect()
     assert [r.promo for r in cal] == [0, 0]
+
+
+def test_registry_staleness_and_plan(spark, tmp_path):
+    """A18 registry round trip; L06 stale unless an artifact is younger than 24 h; L07 plan."""
+    from skucast.operators import drift
+    reg = spark.createDataFrame(
+        [("M5", "GBT", "A", dt.datetime(2024, 1, 10, 12)), ("M5", "GBT", "B", dt.datetime(2024, 1, 1)),
+         ("M5", "SeasonalAR", "A", dt.datetime(2024, 1, 8))],
+        "dataset string, model string, sku_id string, trained_at timestamp_ntz")
+    sinks.write_registry(reg, str(tmp_path / "registry"))
+    back = spark.read.parquet(str(tmp_path / "registry"))
+    assert back.count() == 3
+    stale = {r.model: r.is_stale for r in drift.is_stale(back, "2024-01-11 00:00:00").collect()}
+    assert stale == {"GBT": False, "SeasonalAR": True}
+    no_drift = spark.createDataFrame([(False,)], "drift_detected boolean")
+    plan = {r.model: r.retrain for r in drift.retrain_plan(no_drift, drift.is_stale(back, "2024-01-11 00:00:00")).collect()}
+    assert plan == {"GBT": False, "SeasonalAR": True}
+    forced = drift.retrain_plan(no_drift, drift.is_stale(back, "2024-01-11 00:00:00"), force=True).collect()
+    assert all(r.retrain for r in forced)
