@@ -181,3 +181,33 @@ def test_L02_psi_approx_path(spark):
     assert drift.psi(s, s, "x", exact=False).first()[0] == pytest.approx(0.0, abs=1e-12)
     shifted = s.select((F.col("x") + 5).alias("x"))
     assert drift.psi(s, shifted, "x").first()[0] > 0.2
+
+
+def test_G03_sequence_samples_match_numpy(spark):
+    import numpy as np
+    sales = [3.0, 7.0, 1.0, 9.0, 4.0, 6.0, 2.0, 8.0]
+    price = [1.0, 1.5, 1.0, 2.0, 2.5, 1.0, 1.5, 2.0]
+    rows = [("A", "S", dt.date(2023, 1, 1 + i), s, p) for i, (s, p) in enumerate(zip(sales, price))]
+    df = spark.createDataFrame(rows, "sku_id string, store_id string, date date, sales double, price double")
+    out = samples.sequence_samples(df, seq_len=3, horizon=2, features=["price"]).orderBy("date").collect()
+    s, p = np.array(sales), np.array(price)
+    sn = (s - s.min()) / (s.max() - s.min() + 1e-8)
+    pz = (p - p.mean()) / (p.std() + 1e-8)
+    want = [(np.column_stack([sn[i:i + 3], pz[i:i + 3]]), sn[i + 3 + 2 - 1]) for i in range(len(s) - 3 - 2 + 1)]
+    assert len(out) == len(want)
+    for r, (x, y) in zip(out, want):
+        assert np.allclose(np.array(r.x), x) and abs(r.y - y) < 1e-12
+        assert (r.s_min, r.s_max) == (1.0, 9.0)
+
+
+def test_G04_G05_encdec_window_counts(spark):
+    rows = [("A", "S", dt.date(2023, 1, 1) + dt.timedelta(days=i), float(i), 1.0, 0) for i in range(80)]
+    df = spark.createDataFrame(rows, "sku_id string, store_id string, date date, sales double, price double, promo int")
+    prep = samples.encdec_prepare(df, min_len=60)
+    w = samples.encdec_windows(prep, enc=30, dec=14).collect()
+    train = sorted(r.time_idx for r in w if r.split == "train")
+    val = [r for r in w if r.split == "val"]
+    assert train == list(range(15, 53))
+    assert len(val) == 1 and val[0].time_idx == 66 and len(val[0].encoder) == 30 and val[0].decoder == [float(v) for v in range(66, 80)]
+    short = samples.encdec_prepare(df.where("sales < 50"), min_len=60)
+    assert short.count() == 0  # max time_idx 49 < 60
