@@ -211,3 +211,32 @@ def test_G04_G05_encdec_window_counts(spark):
     assert len(val) == 1 and val[0].time_idx == 66 and len(val[0].encoder) == 30 and val[0].decoder == [float(v) for v in range(66, 80)]
     short = samples.encdec_prepare(df.where("sales < 50"), min_len=60)
     assert short.count() == 0  # max time_idx 49 < 60
+
+
+def test_O05_commentary_rules(spark):
+    fc = spark.createDataFrame([("UP", 1, 10.0, "m"), ("UP", 2, 12.0, "m"), ("FLAT", 1, 10.0, "m"), ("FLAT", 2, 10.2, "m"),
+                                ("DOWN", 1, 10.0, "m"), ("DOWN", 2, 8.0, "m")],
+                               "sku_id string, h int, yhat double, model_used string")
+    k = spark.createDataFrame([("UP", 0.9), ("FLAT", 0.1), ("DOWN", 0.5)], "sku_id string, cv double")
+    out = {r.sku_id: r for r in signals.commentary(fc, k).collect()}
+    assert (out["UP"].trend, out["UP"].volatility) == ("increasing", "high")
+    assert (out["FLAT"].trend, out["FLAT"].volatility) == ("stable", "low")
+    assert (out["DOWN"].trend, out["DOWN"].volatility) == ("decreasing", "low")
+    assert "Plan for increased inventory" in out["UP"].commentary and "(2-day horizon)" in out["UP"].commentary
+    assert "Avg Forecast: 11.0 units/day" in out["UP"].commentary
+
+
+def test_Q03_empty_buckets_are_zero(spark):
+    rows = [("A", dt.date(2023, 1, 2), 4.0), ("A", dt.date(2023, 1, 9), 6.0)]  # two Mondays in January
+    df = spark.createDataFrame(rows, "sku_id string, date date, sales double")
+    out = {(r.profile, r.bucket): r.avg_sales for r in analytics.seasonality(df).collect()}
+    assert len(out) == 19 and out[("weekday", "Monday")] == 5.0 and out[("month", "Jan")] == 5.0
+    assert out[("weekday", "Sunday")] == 0.0 and out[("month", "Dec")] == 0.0
+
+
+def test_L10_pinball_and_multitask(spark):
+    df = spark.createDataFrame([(10.0, 8.0, 12.0, 3.0, 1.0)], "y double, q50 double, q90 double, a double, ap double")
+    r = metrics.multitask_loss(df, "y", {0.5: "q50", 0.9: "q90"}, "a", "ap").first()
+    assert r.pinball_q50 == pytest.approx(1.0) and r.pinball_q90 == pytest.approx(0.2)  # max(.9*-2, -.1*-2)
+    assert r.pinball == pytest.approx(0.6) and r.aux_mse == pytest.approx(4.0)
+    assert r.multitask_loss == pytest.approx(0.7 * 0.6 + 0.3 * 4.0)
