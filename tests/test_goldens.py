@@ -240,3 +240,25 @@ def test_L10_pinball_and_multitask(spark):
     assert r.pinball_q50 == pytest.approx(1.0) and r.pinball_q90 == pytest.approx(0.2)  # max(.9*-2, -.1*-2)
     assert r.pinball == pytest.approx(0.6) and r.aux_mse == pytest.approx(4.0)
     assert r.multitask_loss == pytest.approx(0.7 * 0.6 + 0.3 * 4.0)
+
+
+def test_N04_propagate_two_nodes(spark):
+    from skucast.operators import graph
+    nodes = spark.createDataFrame([(0, 2.0), (1, 6.0)], "node int, mean double")
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src int, dst int, weight double")
+    # self loops -> degree 2 for both, coefficient 1/sqrt(2*2) = 0.5 on every edge
+    one = {r.node: r.mean for r in graph.propagate(nodes, edges, hops=1, cols=["mean"]).collect()}
+    assert one == {0: pytest.approx(4.0), 1: pytest.approx(4.0)}
+
+
+def test_Q01_prior_week_on_short_series(spark):
+    s = series(spark, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10])
+    r = analytics.kpis(s).first()
+    assert r.last7_avg == pytest.approx(7.0) and r.prev7_avg == pytest.approx(4.0)  # rows 4-10 vs rows 1-7
+    assert r.trend == "up" and r.n_days == 10 and r.total_sales == 55.0
+
+
+def test_K13_ma_backtest(spark):
+    r = forecast.ma_backtest(series(spark, [10, 20, 30])).first()
+    # predictions: 10 (first row = actual), 10, 15 -> |e| = 0, 10, 15 over a total of 60
+    assert r.wmape == pytest.approx(25 / 60 * 100) and r.n_obs == 3
