@@ -146,7 +146,7 @@ def isolation_scores(X: np.ndarray, seed: int, n_trees: int = N_TREES, max_sampl
 
 def isolation_forest(df: DataFrame, keys: Sequence[str] = KEYS, features: Sequence[str] = ANOMALY_FEATURES,
                      contamination: float = CONTAMINATION, n_trees: int = N_TREES) -> DataFrame:
-    """Per-series isolation forest (grouped map). Adds ``if_score`` (lower = more anomalous) and
+    """Per-series isolation forest (grouped map). Adds ``if_score`` (lower = more anomalous) and
     ``if_anomaly``; the seed is crc32 of the series key, so results do not depend on partitioning
     or on task retries. Series of fewer than 2 rows (or a failing fit) get False / 0.0 (A-13)."""
     keys = list(keys)
@@ -185,7 +185,7 @@ def _stat_flags(s: np.ndarray, z: float = Z_THRESHOLD, k: float = IQR_MULT) -> n
 
 def detect_anomalies(df: DataFrame, keys: Sequence[str] = KEYS, with_forest: bool = True,
                      n_trees: int = N_TREES) -> DataFrame:
-    """stat_anomaly (M03) OR if_anomaly (M02) -> is_anomaly, one row per input row.
+    """stat_anomaly (M03) OR if_anomaly (M02, J02 grouped map) -> is_anomaly, one row per input row.
 
     With the forest, one grouped map per series computes both detectors (the statistical one is a
     few numpy reductions over the series already in memory), so no result is joined back: one
