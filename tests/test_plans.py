@@ -47,3 +47,20 @@ def test_filters_and_pruning_reach_parquet(spark, p, tmp_path):
     assert "PushedFilters: [IsNotNull(sku_id), EqualTo(sku_id,ECONOMY_1_001)]" in s
     assert "PartitionFilters: [isnotnull(store_id" in s
     assert "ReadSchema: struct<sku_id:string,date:date,sales:double>" in s
+
+
+def test_densify_and_baselines_need_no_join(p):
+    from skucast.operators import forecast
+    d = panel.densify(panel.daily_series(p), ["sku_id"])
+    s = plan(forecast.baseline_forecasts(d, forecast.MODELS, 14))
+    # only the panel's four dimension broadcasts: densify, summary and the five models add no join
+    assert "SortMergeJoin" not in s and "ShuffledHashJoin" not in s and "Union" not in s
+    assert s.count("BroadcastHashJoin") == 4
+    dense = plan(panel.densify(p.select("sku_id", "store_id", "date", "sales"), ["sku_id", "store_id"]))
+    assert dense.count("BroadcastHashJoin") == 4 and "SortMergeJoin" not in dense
+
+
+def test_anomalies_with_forest_single_grouped_map(p):
+    from skucast.operators import anomaly
+    s = plan(anomaly.detect_anomalies(p.select("sku_id", "store_id", "date", "sales"), with_forest=True))
+    assert s.count("FlatMapGroupsInPandas") == 1 and "Join" not in s.split("FlatMapGroupsInPandas")[0]
