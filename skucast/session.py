@@ -37,13 +37,18 @@ def get_spark(master: str | None = None, app: str = "skucast", shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset."""
+    """The session's checkpoint folder (URI), set from ``spark.checkpoint.dir`` when the context has none.
+
+    Only a local master, whose driver and executors are one process, may fall back on a scratch folder.
+    On a cluster an unset folder is an error: a machine-local path would lose data with its executor."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="skucast-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

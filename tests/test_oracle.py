@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
+from skucast.plans import catalog
 from tests.conftest import SF001
 from tools.oracle_check import compare, duck
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+catalog._ensure_all_modules()
+QUERIES = dict(catalog.QUERIES)
+ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
