@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skucast.llm import chat, rules
+from skucast.llm import chat, dart, rules
 from skucast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        NOT base_failed AND rid NOT IN (SELECT rid FROM hits) AS kept
 FROM flagged
 """
+
+
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark, sf):
+    return dart.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id")
