@@ -41,13 +41,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(df: DataFrame, col: str = "text") -> Column:
-    return F.coalesce(df[col], F.lit(""))
-
-
-def fold_of(df: DataFrame, n: int, col: str = "doc_id") -> Column:
+def fold_of(n: int, col: str = "doc_id") -> Column:
     """crc32 of the id's text modulo ``n``; a null id counts as the empty text (remainder 0)."""
-    return F.crc32(F.coalesce(df[col].cast("string"), F.lit("")).cast("binary")) % n
+    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def chunks(batches: Iterator[pa.RecordBatch], col: str, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skucast.llm import chat, dart, rules
+from skucast.llm import chat, dart, kneser_ney, rules
 from skucast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ FROM flagged
 @query("op1_near_duplicates")
 def op1_near_duplicates(spark, sf):
     return dart.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id")
+
+
+@query("op7_lm_scores")
+def op7_lm_scores(spark, sf):
+    return kneser_ney.model_scores(table(spark, sf, "documents"))
