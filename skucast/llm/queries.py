@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skucast.llm import chat, dart, kneser_ney, rules
+from skucast.llm import bpe, chat, dart, kneser_ney, rules
 from skucast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,12 @@ def op1_near_duplicates(spark, sf):
 @query("op7_lm_scores")
 def op7_lm_scores(spark, sf):
     return kneser_ney.model_scores(table(spark, sf, "documents"))
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark, sf):
+    import public_tokenizers
+    out = bpe.encode_documents(table(spark, sf, "documents"),
+                               public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
