@@ -46,14 +46,15 @@ def fold_of(n: int, col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def chunks(batches: Iterator[pa.RecordBatch], col: str, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most ``max_bytes`` of text in ``col``, one row at least."""
+def chunks(batches: Iterator[pa.RecordBatch], col: str, max_bytes: int = CHUNK_BYTES,
+           max_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most ``max_bytes`` of text in ``col`` and ``max_rows`` rows, one row at least."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch[col]), 0).to_numpy(zero_copy_only=False)
         ends, lo = np.cumsum(size, dtype=np.int64), 0
         while lo < batch.num_rows:
             done = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, done + max_bytes, side="right")))
+            hi = min(max(lo + 1, int(np.searchsorted(ends, done + max_bytes, side="right"))), lo + max_rows)
             # copied: string kernels of the Arrow library misread arrays that start at an offset
             yield batch if hi - lo == batch.num_rows else batch.take(pa.array(np.arange(lo, hi)))
             lo = hi
@@ -69,12 +70,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def hashed_words(texts: pa.Array, by_hash: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words (``[^\\x20\\x09-\\x0D]+``, A-Z lowered) of every text: local word numbers of all words in order,
-    words per text, and the 64-bit hash of each local number (ascending with ``by_hash``)."""
+def hashed_words(texts: pa.Array, by_hash: bool = False, lower: bool = True, with_words: bool = False) -> tuple:
+    """Words (``[^\\x20\\x09-\\x0D]+``, A-Z lowered unless told otherwise) of every text: local word numbers of
+    all words in order, words per text, the 64-bit hash of each local number (ascending with ``by_hash``), and
+    with ``with_words`` the word of each local number."""
     import xxhash
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat = lists.flatten()
     full = pc.greater(pc.binary_length(flat), 0)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -93,4 +96,4 @@ def hashed_words(texts: pa.Array, by_hash: bool = False) -> tuple[np.ndarray, np
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         ids, hashes = rank[ids], hashes[order]
-    return ids, counts, hashes
+    return (ids, counts, hashes, coded.dictionary.cast(pa.large_string())) if with_words else (ids, counts, hashes)

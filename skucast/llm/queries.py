@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skucast.llm import bitslice, bpe, chat, dart, kneser_ney, packing, rules
-from skucast.llm.common import table
+from skucast.llm import bitslice, bpe, chat, dart, kneser_ney, licences, mil, packing, rules, separators
+from skucast.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,33 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
 """
+
+
+@query("op6_licence_scan")
+def op6_licence_scan(spark, sf):
+    return licences.scan(table(spark, sf, "documents")).withColumn("dice", F.round("dice", 9))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf):
+    import public_tokenizers
+    separator = 50256
+    uri, names = separators.write_token_files(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        separator)
+    counts = separators.document_tokens(separators.read_blocks(spark, uri), separator)
+    return counts.join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
+
+
+@query("op3_quality_scores")
+def op3_quality_scores(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = mil.score(docs, mil.fit(docs, table(spark, sf, "labels")))
+    return scored.select("doc_id", (fold_of(5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= mil.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf)
