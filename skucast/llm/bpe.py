@@ -1,14 +1,16 @@
 """Operator 5: byte-level BPE encoding and decoding with higher-order functions.
 
-Texts are cut into pieces by the tokenizer's pattern, and every chunk of texts keeps its distinct pieces, as byte
-arrays, and the piece numbers of its texts. Spark folds the ranked merges over the byte array of each distinct
-piece: the state is the array of token ids, one a byte at first, and the ranks of adjacent pairs; each step joins
+Texts are cut into pieces by the tokenizer's pattern; every chunk of texts keeps its distinct pieces and the piece
+numbers of its texts in a written table. The distinct pieces of all chunks meet in buckets by hash, each once.
+Spark folds the ranked merges over the byte array of each distinct piece: the state is the array of token ids, one a byte at first, and the ranks of adjacent pairs; each step joins
 the leftmost pair of lowest rank, whose rank is the id of the joined token, and looks up the two new pairs, until
 no pair has a rank. The rank map is a literal: for every way to split a token into two, (left id, right id) ->
 rank, dealt to an array of small maps, since a Spark map is searched from its start. Decoding looks up the bytes
 of every id in a literal array and concatenates them; bytes are written there as the characters U+0000 to U+00FF
-(ISO-8859-1). Nothing is shuffled: cost and memory follow the text, a chunk holds ``CHUNK_BYTES`` of it or one
-longer text.
+(ISO-8859-1). A bucket stores its result as sorted hashes with ids and decoded bytes in the shared folder (a
+mounted file system), which workers map into memory to put the texts together again; every decoded piece is
+compared with its source there. Only distinct pieces are shuffled, so no frequent piece makes a hot group; the
+number of buckets follows the input, a chunk holds ``CHUNK_BYTES`` of text or one longer text.
 
 A fold copies its arrays at every merge, so pieces of over ``LONG_PIECE`` bytes are merged with a heap instead,
 by the same ranks and with the same result; ordinary texts have none. A piece that is itself a token is that
@@ -23,15 +25,17 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skucast.llm.common import chunks
+from skucast.llm.common import chunks, mounted, shared_folder, store_array, written
 
 CHUNK_BYTES = 32 << 20
+CUT = "doc_ids array<long>, counts array<int>, low binary, high binary, pieces binary, lens binary"
 BUCKETS = 1 << 13
 LONG_PIECE = 512
 
@@ -131,14 +135,26 @@ def unreached(ranks: dict[bytes, int]) -> dict[bytes, int]:
     return {t: r for t, r in ranks.items() if len(t) > 1 and _merge_long(t, ranks) != [r]}
 
 
-def _cut(batches, pattern: str, path: str):
-    """One row a chunk: ids and piece counts of its texts, piece numbers of all texts, distinct pieces as bytes
-    and as the ids of their bytes (empty where the piece is too long for the fold)."""
+def _blob(pieces: list[bytes]) -> tuple[bytes, bytes]:
+    return b"".join(pieces), np.array([len(p) for p in pieces], "<u4").tobytes()
+
+
+def _unblob(blob: bytes, lens: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(lens, "<u4"), dtype=np.int64).tolist()
+    return [blob[s:e] for s, e in zip([0, *ends[:-1]], ends)]
+
+
+def _hashes(pieces: list[bytes]) -> np.ndarray:
+    import xxhash
+    return np.fromiter((xxhash.xxh3_64_intdigest(p) for p in pieces), np.uint64, len(pieces))
+
+
+def _cut(batches, pattern: str):
+    """One row a chunk: ids and piece counts of its texts, the piece numbers of all texts (low 16 bits and the
+    rest apart, which packs better), and the distinct pieces with their lengths."""
     import regex
 
     find = regex.compile(pattern).findall
-    ranks = read_ranks(path)
-    of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
     for b in chunks(batches, "text", CHUNK_BYTES):
         found, counts = [], []
         for text in b["text"].to_pylist():
@@ -147,41 +163,103 @@ def _cut(batches, pattern: str, path: str):
             counts.append(len(pieces))
         coded = pa.array(found, pa.large_string()).dictionary_encode()
         del found
-        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        lens = np.array([len(n) if len(n) <= LONG_PIECE else 0 for n in names], np.int64)
-        flat = of_byte[np.frombuffer(b"".join(n for n in names if len(n) <= LONG_PIECE), np.uint8)]
-        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lens))), pa.int32()), pa.array(flat))
-        whole = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), ids)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b["doc_id"].to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
-             pa.array([coded.indices.to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()),
-             pa.array([[n if len(n) > LONG_PIECE else None for n in names]], pa.list_(pa.binary())), whole],
-            names=["doc_ids", "counts", "numbers", "long_pieces", "pieces"])
-
-
-def _assemble(batches, path: str, odd: dict[bytes, int]):
-    """The ids and the decoded bytes of every text from those of its pieces."""
+        numbers = coded.indices.to_numpy(zero_copy_only=False)
+        row = [b["doc_id"].to_pylist(), counts, (numbers & 0xFFFF).astype("<u2").tobytes(),
+               (numbers >> 16).astype("<u2").tobytes(), *_blob(coded.dictionary.cast(pa.large_binary()).to_pylist())]
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)],
+                                         names=[c.split()[0] for c in CUT.split(", ")])
+
+
+def _deal(batches, bits: int):
+    """The distinct pieces of every chunk, by top bits of their hashes."""
+    for b in batches:
+        for blob, lens in zip(b["pieces"].to_pylist(), b["lens"].to_pylist()):
+            pieces = _unblob(blob, lens)
+            bucket = (_hashes(pieces) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            at = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))[:len(pieces)]
+            parts = [[pieces[i] for i in order[s:e]] for s, e in zip(at, np.append(at[1:], len(pieces)))]
+            blobs = [_blob(p) for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[order[at]], pa.int32()), *[pa.array([x[j] for x in blobs], pa.binary()) for j in (0, 1)]],
+                names=["bucket", "pieces", "lens"])
+
+
+def _distinct(group: pa.Table, path: str) -> pa.Table:
+    """A bucket's distinct pieces, as bytes and as the ids of their bytes (none for pieces too long to fold)."""
+    ranks = read_ranks(path)
+    of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+    seen: set[bytes] = set()
+    for blob, lens in zip(group["pieces"].to_pylist(), group["lens"].to_pylist()):
+        seen.update(_unblob(blob, lens))
+    pieces = sorted(seen)
+    short = [p if len(p) <= LONG_PIECE else b"" for p in pieces]
+    flat = of_byte[np.frombuffer(b"".join(short), np.uint8)]
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in short]))).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    blob, lens = _blob(pieces)
+    return pa.table({"bucket": group["bucket"].slice(0, 1).combine_chunks(), "pieces": pa.array([blob], pa.binary()),
+                     "lens": pa.array([lens], pa.binary()),
+                     "bytes": pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), ids)})
+
+
+def _keep(batches, folder: str, path: str, odd: dict[bytes, int]):
+    """Stores a bucket: sorted piece hashes, ends of their ids and ids, ends of their decoded bytes and bytes."""
     ranks = None
     for b in batches:
         for row in range(b.num_rows):
-            ids = b["ids"][row].values
-            lens = np.diff(ids.offsets.to_numpy())
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            ends = np.concatenate(([0], np.cumsum(lens))) * 4
-            encoded = [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
+            bucket, pieces = b["bucket"][row].as_py(), _unblob(b["pieces"][row].as_py(), b["lens"][row].as_py())
+            lists = b["ids"][row].values
+            at = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+            ids = [flat[s:e] for s, e in zip(at[:-1], at[1:])]
             decoded = [x.encode("latin-1") for x in b["decoded"][row].values.to_pylist()]
-            for i in np.flatnonzero(lens == 0):  # pieces too long for the fold
-                ranks = ranks or read_ranks(path)
-                names = {v: k for k, v in ranks.items()}
-                long_ids = _merge_long(b["long_pieces"][row].values[int(i)].as_py(), ranks)
-                encoded[i] = np.array(long_ids, "<u4").tobytes()
-                decoded[i] = b"".join([names[x] for x in long_ids])
-            if odd:
-                encoded = [np.array([odd[d]], "<u4").tobytes() if d in odd else e for e, d in zip(encoded, decoded)]
-            numbers = np.frombuffer(b["numbers"][row].as_py(), "<i4").tolist()
-            docs, at = b["doc_ids"][row].as_py(), 0
+            for i, piece in enumerate(pieces):
+                if len(piece) > LONG_PIECE:
+                    ranks = ranks or read_ranks(path)
+                    names = {v: k for k, v in ranks.items()}
+                    ids[i] = np.array(_merge_long(piece, ranks), "<u4")
+                    decoded[i] = b"".join([names[x] for x in ids[i].tolist()])
+                elif piece in odd:
+                    ids[i] = np.array([odd[piece]], "<u4")
+            hashes = _hashes(pieces)
+            order = np.argsort(hashes)
+            for name, array in (("keys", hashes[order]),
+                                ("id-ends", np.cumsum([len(ids[i]) for i in order])),
+                                ("ids", np.concatenate([ids[i] for i in order])),
+                                ("byte-ends", np.cumsum([len(decoded[i]) for i in order])),
+                                ("bytes", np.frombuffer(b"".join([decoded[i] for i in order]), np.uint8))):
+                store_array(folder, f"{bucket}-{name}", array)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([len(pieces)])], names=["bucket", "n"])
+
+
+def _assemble(batches, folder: str, bits: int):
+    """The ids and the decoded bytes of every text from those of its pieces, looked up in the store."""
+    for b in batches:
+        for row in b.to_pylist():
+            pieces = _unblob(row["pieces"], row["lens"])
+            hashes = _hashes(pieces)
+            order = np.argsort(hashes)
+            bucket = (hashes[order] >> np.uint64(64 - bits)).astype(np.int64)
+            encoded, decoded = [b""] * len(pieces), [b""] * len(pieces)
+            at = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))[:len(pieces)]
+            for lo, hi in zip(at, np.append(at[1:], len(pieces))):
+                keys, id_ends, ids, byte_ends, raw = (
+                    np.load(f"{folder}/{bucket[lo]}-{name}.npy", mmap_mode="r")
+                    for name in ("keys", "id-ends", "ids", "byte-ends", "bytes"))
+                places = np.searchsorted(keys, hashes[order[lo:hi]])
+                for ends, flat, width, out in ((id_ends, ids.tobytes(), 4, encoded), (byte_ends, raw.tobytes(), 1, decoded)):
+                    stops = ends[places] * width
+                    starts = np.where(places > 0, ends[places - 1], 0) * width
+                    for i, s, e in zip(order[lo:hi].tolist(), starts.tolist(), stops.tolist()):
+                        out[i] = flat[s:e]
+            if decoded != pieces:
+                raise ValueError("a decoded piece differs from its source")
+            numbers = (np.frombuffer(row["low"], "<u2") + (np.frombuffer(row["high"], "<u2").astype(np.int64) << 16)).tolist()
+            docs, at = row["doc_ids"], 0
             out: list[tuple[bytes, bytes]] = []
-            for k, n in enumerate(b["counts"][row].as_py()):
+            for k, n in enumerate(row["counts"]):
                 of = numbers[at:at + n]
                 at += n
                 out.append((b"".join([encoded[i] for i in of]), b"".join([decoded[i] for i in of])))
@@ -198,9 +276,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     decoding them gives. ``path`` names a rank file that every worker can read."""
     ranks = read_ranks(path)
     odd, pair_map, tokens = unreached(ranks), pair_literal(ranks), token_literal(ranks)
-    cut = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
-        lambda it: _cut(it, pattern, path),
-        "doc_ids array<long>, counts array<int>, numbers binary, long_pieces array<binary>, pieces array<array<int>>")
-    coded = cut.withColumn("ids", _let(pair_map, lambda m: F.transform("pieces", lambda p: encode_piece(p, m))))
+    folder = mounted(shared_folder(docs.sparkSession, "pieces"))
+    text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = written(text.mapInArrow(lambda it: _cut(it, pattern), CUT), "cut")
+    bits = max(3, math.ceil(math.log2(2 * docs.rdd.getNumPartitions())))
+    dealt = cut.select("pieces", "lens").mapInArrow(lambda it: _deal(it, bits), "bucket int, pieces binary, lens binary")
+    found = dealt.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(
+        lambda t: _distinct(t, path), "bucket int, pieces binary, lens binary, bytes array<array<int>>")
+    coded = found.withColumn("ids", _let(pair_map, lambda m: F.transform("bytes", lambda p: encode_piece(p, m))))
     coded = coded.withColumn("decoded", _let(tokens, lambda t: F.transform("ids", lambda ids: decode_ids(ids, t))))
-    return coded.drop("pieces").mapInArrow(lambda it: _assemble(it, path, odd), "doc_id long, ids binary, decoded binary")
+    coded.drop("bytes").mapInArrow(lambda it: _keep(it, folder, path, odd), "bucket long, n long").agg(F.sum("n")).collect()
+    return cut.mapInArrow(lambda it: _assemble(it, folder, bits), "doc_id long, ids binary, decoded binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -60,6 +61,15 @@ def chunks(batches: Iterator[pa.RecordBatch], col: str, max_bytes: int = CHUNK_B
             lo = hi
 
 
+def store_array(folder: str, name: str, array: np.ndarray) -> None:
+    """Writes under a name of its own, then renames: readers and repeated tasks see whole files only."""
+    os.makedirs(folder, exist_ok=True)
+    part = f"{folder}/.{name}.{os.getpid()}-{os.urandom(4).hex()}"
+    with open(part, "wb") as f:
+        np.save(f, array)
+    os.replace(part, f"{folder}/{name}.npy")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of unsigned 64-bit integers over all others."""
     with np.errstate(over="ignore"):
