@@ -12,20 +12,13 @@ def _n_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
 
 
-SMALL_KEYS = 100_000  # size bound under which one ordered task is cheaper than a distributed ranking
-
-
-def global_index(df: DataFrame, col: str, out: str, small: int = SMALL_KEYS) -> DataFrame:
+def global_index(df: DataFrame, col: str, out: str) -> DataFrame:
     """0-based position of each row of ``df`` in ascending ``col`` order (``col`` unique).
 
-    ``df`` is first counted: up to ``small`` rows (a checked bound) are numbered by one ordered
-    window. Larger inputs are range-partitioned on ``col``, each row is tagged with its partition
-    id and checkpointed (so a recomputation after executor loss cannot re-draw the ranges), rows
-    are numbered inside each partition and the partition offsets added. Only the per-partition
-    size table (one row per partition) is ordered globally; it is broadcast, bounded by the
-    partition count."""
-    if df.count() <= small:
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(col)) - 1).cast("int"))
+    Rows are range-partitioned on ``col``, tagged with their partition id and checkpointed (so a
+    recomputation after executor loss cannot re-draw the ranges), numbered inside each partition,
+    and the partition offsets added. Only the per-partition size table (one row per partition) is
+    ordered globally; it is broadcast, bounded by the partition count."""
     ranged = cut_lineage(df.repartitionByRange(_n_parts(df), col).withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(col)))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -129,4 +129,4 @@ def insights(df: DataFrame, forecast: DataFrame | None = None, k: int = 2, cv_cu
 def forecast_summary(fc: DataFrame) -> DataFrame:
     """Q07: per SKU average and max forecast and the model used."""
     return fc.groupBy("sku_id").agg(F.avg("yhat").alias("avg_forecast"), F.max("yhat").alias("max_forecast"),
-                                    F.first("model_used").alias("model_used"))
+                                    F.max_by("model_used", "h").alias("model_used"))

@@ -1,20 +1,21 @@
 """Distribution drift (PSI, two-sample KS), staleness and retraining decisions (survey D06, L02-L07).
 
-Everything reduces to grouped aggregates: quantile edges are one exact ``percentile`` aggregate
-(partial aggregation of value counts), bucket counts are a grouped count, and the KS statistic
-comes from per-value counts with a distributed prefix sum (range partitions + per-partition
-offsets), so no step orders the whole sample inside one task.
+Everything reduces to one table of value counts with a distributed prefix sum (range partitions +
+per-partition offsets): exact quantiles, bucket counts and the KS statistic are read from it, so no
+step orders or holds a whole sample inside one task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skucast.functions.ranking import running_sums
 from skucast.schema import EPS
+from skucast.session import cut_lineage
 
 # Default thresholds of the drift test and the retraining policy.
 PSI_THRESHOLD = 0.2
@@ -24,24 +25,52 @@ PSI_SHARE_FLOOR = 1e-6
 STALE_HOURS = 24
 
 
+def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
+    """(v, n): how often each non-null value occurs (partial aggregation, one row per distinct value)."""
+    return df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias(name))
+
+
+def _order_statistics(cum: DataFrame, n: str, total: int, shares: Sequence[float]) -> dict[float, float]:
+    """Exact percentiles (linear interpolation) from value counts with running sums: the value at position p is the
+    first whose running sum passes p. A bounded number of values is fetched, whatever the data size."""
+    places = {q: q * (total - 1) for q in shares}
+    needed = sorted({math.floor(p) for p in places.values()} | {math.ceil(p) for p in places.values()})
+    row = cum.agg(*[F.min(F.when(F.col(f"cum_{n}") > p, F.col("v"))).alias(f"p{p}") for p in needed]).first()
+    at = {p: row[f"p{p}"] for p in needed}
+    return {q: at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)])
+            for q, p in places.items()}
+
+
+def exact_percentiles(df: DataFrame, col: str, shares: Sequence[float]) -> list[float] | None:
+    """Exact percentiles of a whole column without one task holding its values; None without values."""
+    counts = value_counts(df, col)
+    cum = running_sums(counts, "v", ["n"])
+    total = cum.agg(F.max("cum_n")).first()[0]
+    if not total:
+        return None
+    found = _order_statistics(cum, "n", total, shares)
+    return [found[q] for q in shares]
+
+
 def dist_stats(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
     """Mean, std (ddof 1), p25, p50, p75, p95 (exact, linear interpolation like numpy)."""
-    q = F.percentile(col, [0.25, 0.5, 0.75, 0.95])
-    t = df.agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"), q.alias("_q"))
-    return t.select(*[F.col(c).alias(prefix + c) for c in ("mean", "std")],
-                    *[F.col("_q")[i].alias(f"{prefix}{n}") for i, n in enumerate(["p25", "p50", "p75", "p95"])])
+    names = ["p25", "p50", "p75", "p95"]
+    q = exact_percentiles(df, col, [0.25, 0.5, 0.75, 0.95]) or [None] * 4
+    t = df.agg(F.avg(col).alias(prefix + "mean"), F.stddev_samp(col).alias(prefix + "std"))
+    return t.withColumns({prefix + n: F.lit(x).cast("double") for n, x in zip(names, q)})
 
 
-def psi_edges(ref: DataFrame, col: str, bins: int = 10, exact: bool = True) -> Column:
-    """Quantile edges of the reference (0, 10, ..., 100 %), de-duplicated, as a literal array.
+def psi_edges(ref: DataFrame, col: str, bins: int = 10) -> Column:
+    """Quantile edges of the reference (0, 10, ..., 100 %), de-duplicated, as a literal array of at most
+    ``bins + 1`` numbers (higher-order functions cannot hold subqueries)."""
+    edges = exact_percentiles(ref, col, [i / bins for i in range(bins + 1)]) or []
+    return _edge_literal(edges)
 
-    One aggregate job; the result has at most ``bins + 1`` numbers whatever the data size, so it
-    is fetched as a bounded scalar and inlined (higher-order functions cannot hold subqueries).
-    ``exact=False`` switches to ``percentile_approx`` for very many distinct values."""
-    qs = [i / bins for i in range(bins + 1)]
-    p = F.percentile(col, qs) if exact else F.percentile_approx(col, qs, 1_000_000)
-    edges = ref.select(F.array_distinct(F.array_sort(p))).first()[0] or []
-    return F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
+
+def _edge_literal(edges: Sequence[float]) -> Column:
+    distinct = sorted(set(edges))
+    return F.array(*[F.lit(float(e)) for e in distinct]) if distinct else F.array().cast("array<double>")
 
 
 def _bucket(x: Column, edges: Column) -> Column:
@@ -53,27 +82,39 @@ def _bucket(x: Column, edges: Column) -> Column:
              .when(x == last, nb - 1).otherwise(idx))
 
 
-def psi(ref: DataFrame, cur: DataFrame, col: str, bins: int = 10, exact: bool = True,
-        n_ref: int | None = None, n_cur: int | None = None) -> DataFrame:
-    """L02 (D14 histogram on quantile edges): population stability index of ``cur`` against ``ref``.
-
-    Shares are bucket counts / (n + 1e-8) (values outside the reference range stay in n),
-    floored at 1e-6; PSI = sum((c - r) * ln(c / r)); fewer than 2 distinct edges -> 0.
-    Jobs: one for the edges, one grouped count per sample (partial aggregation)."""
-    edges = psi_edges(ref, col, bins, exact)
-    spark = ref.sparkSession
-    if n_ref is None:
-        n_ref = ref.select(F.count(col)).first()[0]
-    if n_cur is None:
-        n_cur = cur.select(F.count(col)).first()[0]
-    rc = ref.select(_bucket(F.col(col), edges).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("r"))
-    cc = cur.select(_bucket(F.col(col), edges).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    dim = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.size(edges) - 2)).alias("b"))
-    t = dim.join(rc, "b", "left").join(cc, "b", "left")
+def psi(ref: DataFrame, cur: DataFrame, col: str, bins: int = 10) -> DataFrame:
+    """L02 (D14 histogram on quantile edges): population stability index of ``cur`` against ``ref``. One row."""
+    return _psi_of(_both_counts(ref, cur, col), bins)
+
+
+def _both_counts(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
+    """(v, a, b, cum_a, cum_b): counts of every value in both samples and their running sums, written once."""
+    both = (ref.select(F.col(col).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+            .unionByName(cur.select(F.col(col).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
+    counts = both.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return cut_lineage(running_sums(counts, "v", ["a", "b"]))
+
+
+def _totals(counts: DataFrame) -> tuple[int, int]:
+    n1, n2 = counts.agg(F.max("cum_a"), F.max("cum_b")).first()
+    return int(n1 or 0), int(n2 or 0)
+
+
+def _psi_of(counts: DataFrame, bins: int) -> DataFrame:
+    """Shares are bucket counts / (n + 1e-8) (values outside the reference range stay in n), floored at 1e-6;
+    PSI = sum((c - r) * ln(c / r)); fewer than 2 distinct edges, or an empty sample, -> 0."""
+    n_ref, n_cur = _totals(counts)
+    found = _order_statistics(counts, "a", n_ref, [i / bins for i in range(bins + 1)]) if n_ref and n_cur else {}
+    edges = _edge_literal(list(found.values()))
+    if len(set(found.values())) < 2:
+        return counts.sparkSession.range(1).select(F.lit(0.0).alias("psi"))
+    per = (counts.select(_bucket(F.col("v"), edges).alias("b_no"), "a", "b").where(F.col("b_no").isNotNull())
+           .groupBy("b_no").agg(F.sum("a").alias("r"), F.sum("b").alias("c")))
+    every = counts.sparkSession.range(len(set(found.values())) - 1).withColumnRenamed("id", "b_no")
+    t = every.join(per, "b_no", "left")
     rp = F.greatest(F.coalesce(F.col("r"), F.lit(0)) / F.lit(n_ref + EPS), F.lit(PSI_SHARE_FLOOR))
     cp = F.greatest(F.coalesce(F.col("c"), F.lit(0)) / F.lit(n_cur + EPS), F.lit(PSI_SHARE_FLOOR))
-    out = t.agg(F.sum((cp - rp) * F.log(cp / rp)).alias("psi"))
-    return out.select(F.when(F.size(edges) < 2, F.lit(0.0)).otherwise(F.coalesce("psi", F.lit(0.0))).alias("psi"))
+    return t.agg(F.coalesce(F.sum((cp - rp) * F.log(cp / rp)), F.lit(0.0)).alias("psi"))
 
 
 def kolmogorov_p(lam: Column, terms: int = 100) -> Column:
@@ -87,16 +128,17 @@ def kolmogorov_p(lam: Column, terms: int = 100) -> Column:
 
 def ks_two_sample(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
     """D = max |F_ref(v) - F_cur(v)| over all observed values and its asymptotic p-value
-    with lambda = D * sqrt(n1 n2 / (n1 + n2)) (A-12). One row: ``ks_d``, ``ks_p_value``."""
-    a = ref.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("a"))
-    b = cur.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("b"))
-    vc = a.join(b, "v", "full").fillna(0, ["a", "b"])
-    cum = running_sums(vc, "v", ["a", "b"])
-    # two counts, fetched as bounded scalars (doubles: n1 * n2 overflows a long at scale)
-    n1, n2 = (float(v or 0) for v in vc.agg(F.sum("a"), F.sum("b")).first())
-    d = cum.agg(F.max(F.abs(F.col("cum_a") / n1 - F.col("cum_b") / n2)).alias("ks_d"))
-    lam = F.col("ks_d") * F.lit(math.sqrt(n1 * n2 / (n1 + n2)) if n1 + n2 > 0 else 0.0)
-    return d.select("ks_d", kolmogorov_p(lam).alias("ks_p_value"))
+    with lambda = D * sqrt(n1 n2 / (n1 + n2)) (A-12). One row: ``ks_d``, ``ks_p_value``; an empty
+    sample shows no difference (0, 1)."""
+    return _ks_of(_both_counts(ref, cur, col))
+
+
+def _ks_of(counts: DataFrame) -> DataFrame:
+    n1, n2 = (float(n) for n in _totals(counts))  # doubles: n1 * n2 overflows a long at scale
+    if not n1 or not n2:
+        return counts.sparkSession.range(1).select(F.lit(0.0).alias("ks_d"), F.lit(1.0).alias("ks_p_value"))
+    d = counts.agg(F.max(F.abs(F.col("cum_a") / n1 - F.col("cum_b") / n2)).alias("ks_d"))
+    return d.select("ks_d", kolmogorov_p(F.col("ks_d") * math.sqrt(n1 * n2 / (n1 + n2))).alias("ks_p_value"))
 
 
 def reference_current(df: DataFrame, frac: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -111,14 +153,15 @@ def detect_drift(ref: DataFrame, cur: DataFrame, col: str = "sales", thr_psi: fl
     """One-row drift report: drift = PSI > thr OR KS p < thr OR relative mean change > 0.3,
     plus std change and rounded reference / current means.
 
-    Each sample is summarised by one aggregate (count, mean, std); those few numbers, the PSI
-    and the KS row are bounded scalars, so the report is assembled from them directly."""
-    rn, rm, rsd = ref.agg(F.count(col), F.avg(col), F.stddev_samp(col)).first()
-    cn, cm, csd = cur.agg(F.count(col), F.avg(col), F.stddev_samp(col)).first()
-    p = psi(ref, cur, col, bins, n_ref=rn, n_cur=cn).first()[0]
-    ks = ks_two_sample(ref, cur, col)
-    mean_ch = abs(cm - rm) / (rm + EPS)
-    std_ch = abs(csd - rsd) / (rsd + EPS)
+    Each sample is read twice: by one aggregate (mean, std) and into one table of value counts with
+    running sums, from which quantile edges, histogram and KS are read. An empty sample shows no drift."""
+    rm, rsd = ref.agg(F.avg(col), F.stddev_samp(col)).first()
+    cm, csd = cur.agg(F.avg(col), F.stddev_samp(col)).first()
+    counts = _both_counts(ref, cur, col)
+    p = _psi_of(counts, bins).first()[0]
+    ks = _ks_of(counts)
+    mean_ch = abs(cm - rm) / (rm + EPS) if rm is not None and cm is not None else 0.0
+    std_ch = abs(csd - rsd) / (rsd + EPS) if rsd is not None and csd is not None else 0.0
     return ks.select(
         ((F.lit(p) > thr_psi) | (F.col("ks_p_value") < thr_ks) | F.lit(mean_ch > MEAN_CHANGE_THRESHOLD))
         .alias("drift_detected"),
@@ -126,8 +169,8 @@ def detect_drift(ref: DataFrame, cur: DataFrame, col: str = "sales", thr_psi: fl
         F.round("ks_p_value", 4).alias("ks_p_value"),
         F.round(F.lit(mean_ch * 100), 2).alias("mean_change_pct"),
         F.round(F.lit(std_ch * 100), 2).alias("std_change_pct"),
-        F.round(F.lit(float(rm)), 3).alias("ref_mean"),
-        F.round(F.lit(float(cm)), 3).alias("curr_mean"),
+        F.round(F.lit(rm).cast("double"), 3).alias("ref_mean"),
+        F.round(F.lit(cm).cast("double"), 3).alias("curr_mean"),
         F.lit(thr_psi).alias("threshold_psi"),
         F.lit(thr_ks).alias("threshold_ks"))
 

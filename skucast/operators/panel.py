@@ -58,11 +58,18 @@ def favorita_category(df: DataFrame) -> DataFrame:
     return df.withColumn("category", F.lit(DEFAULTS["category"]))
 
 
+def _flag(c: Column) -> Column:
+    """Promo as int: true / false words first, else a number; anything else is null."""
+    low = F.lower(F.trim(c))
+    return (F.when(low.isin("true", "t", "yes", "y"), 1).when(low.isin("false", "f", "no", "n"), 0)
+            .otherwise(c.try_cast("double").cast("int")))
+
+
 def fill_panel(df: DataFrame, price_default: float = 2.0) -> DataFrame:
     """Promo null -> 0 (int), price null -> default."""
     return df.withColumns({
-        "promo": F.coalesce(F.col("promo").cast("int"), F.lit(0)),
-        "price": F.coalesce(F.col("price").cast("double"), F.lit(float(price_default))),
+        "promo": F.coalesce(_flag(F.col("promo").cast("string")), F.lit(0)),
+        "price": F.coalesce(F.col("price").cast("string").try_cast("double"), F.lit(float(price_default))),
     })
 
 
@@ -171,19 +178,18 @@ def add_holidays(df: DataFrame, holidays: DataFrame | None = None, mode: str = "
     """``is_holiday`` by left join on date with a holiday dimension; ``mode='weekend'`` flags weekends."""
     if mode == "weekend":
         return df.withColumn("is_holiday", (F.weekday("date") >= 5).cast("int"))
-    if holidays is None:
-        holidays = holiday_dim(df)
-    h = holidays.select("date").distinct().withColumn("_h", F.lit(1))
-    # bounded: at most 17 rows (11 holidays + 6 observed days) per calendar year of the data
-    return df.join(F.broadcast(h), "date", "left").withColumn("is_holiday", F.coalesce("_h", F.lit(0))).drop("_h")
+    bounded = holidays is None  # built by rule: at most 17 rows (11 holidays + 6 observed days) per year of the data
+    h = (holiday_dim(df) if bounded else holidays).select("date").distinct().withColumn("_h", F.lit(1))
+    return df.join(F.broadcast(h) if bounded else h, "date", "left").withColumn("is_holiday", F.coalesce("_h", F.lit(0))).drop("_h")
 
 
 def holiday_dim(df: DataFrame, date_col: str = "date") -> DataFrame:
     """US federal holidays (with Saturday->Friday / Sunday->Monday observed days) for the years of ``df``.
 
-    Built by rule from a ``sequence`` of years; the table has ~11 rows per year."""
+    Built by rule from a ``sequence`` of years, one beyond the last (New Year on a Saturday is observed
+    the day before), and kept within the years of ``df``; the table has ~11 rows per year."""
     yrs = df.agg(F.year(F.min(date_col)).alias("y0"), F.year(F.max(date_col)).alias("y1"))
-    y = yrs.select(F.explode(F.sequence("y0", "y1")).alias("y"))
+    y = yrs.select(F.explode(F.sequence("y0", F.col("y1") + 1)).alias("y"), "y0", "y1")
 
     def fixed(m, d):
         return F.make_date(F.col("y"), F.lit(m), F.lit(d))
@@ -211,13 +217,13 @@ def holiday_dim(df: DataFrame, date_col: str = "date") -> DataFrame:
     ]
     parts = []
     for name, d, observed in rules:
-        base = y.select(F.col("y"), d.alias("date"), F.lit(name).alias("holiday"))
+        base = y.select("y", "y0", "y1", d.alias("date"), F.lit(name).alias("holiday"))
         if name.startswith("Juneteenth"):
             base = base.where(F.col("y") >= 2021)
         parts.append(base)
         if observed:
             obs = base.select(
-                "y",
+                "y", "y0", "y1",
                 F.when(F.weekday("date") == 5, F.date_sub("date", 1))
                  .when(F.weekday("date") == 6, F.date_add("date", 1)).alias("date"),
                 F.concat(F.col("holiday"), F.lit(" (observed)")).alias("holiday"))
@@ -225,7 +231,7 @@ def holiday_dim(df: DataFrame, date_col: str = "date") -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("date", "holiday")
+    return out.where(F.year("date").between(F.col("y0"), F.col("y1"))).select("date", "holiday")
 
 
 def join_external(df: DataFrame, ext: DataFrame, on: Sequence[str] | str, defaults: dict) -> DataFrame:

@@ -80,7 +80,7 @@ def commentary(forecast: DataFrame, kpis: DataFrame | None = None, key: str = "s
     trend (last vs first step beyond +-5 % -> increasing / decreasing, else stable) and volatility
     (KPI cv > 0.5 -> high)."""
     f = forecast.groupBy(key).agg(
-        F.avg("yhat").alias("avg_forecast"), F.max("h").alias("horizon"), F.first("model_used").alias("model"),
+        F.avg("yhat").alias("avg_forecast"), F.max("h").alias("horizon"), F.max_by("model_used", "h").alias("model"),
         F.min_by("yhat", "h").alias("_first"), F.max_by("yhat", "h").alias("_last"))
     rel = F.try_divide(F.col("_last") - F.col("_first"), F.abs(F.col("_first")))
     f = f.withColumn("trend", F.when(rel > trend_cut, "increasing").when(rel < -trend_cut, "decreasing")
@@ -90,6 +90,7 @@ def commentary(forecast: DataFrame, kpis: DataFrame | None = None, key: str = "s
         f = f.withColumn("volatility", F.when(F.col("cv") > cv_cut, "high").otherwise("low")).drop("cv")
     else:
         f = f.withColumn("volatility", F.lit("low"))
+    # fixed values: the sentences of the report
     action = (F.when(F.col("trend") == "increasing", "Plan for increased inventory")
                .when(F.col("trend") == "decreasing", "Consider reducing safety stock")
                .otherwise("Maintain current inventory levels"))

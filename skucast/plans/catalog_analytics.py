@@ -148,13 +148,48 @@ def q_anomaly_points(spark, sf):
 @query("M02_M04_isolation_forest")
 def q_isolation_forest(spark, sf):
     from skucast.operators.anomaly import detect_anomalies
-    flagged = detect_anomalies(panel(spark, sf, reuse=True).select(*KEYS, "date", "sales"), with_forest=True)
+    flagged = detect_anomalies(panel(spark, sf).select(*KEYS, "date", "sales"), with_forest=True)
     return flagged.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"),
                                       F.count_if("if_anomaly").alias("n_isolation_forest"),
                                       F.count_if("stat_anomaly").alias("n_statistical"),
                                       F.count_if("is_anomaly").alias("n_anomalies"))
 
 
+def _forest(spark, sf):
+    """M04 as the pipeline runs it: both detectors, materialised."""
+    from skucast.operators.anomaly import detect_anomalies
+    from skucast.session import cut_lineage
+    return cut_lineage(detect_anomalies(panel(spark, sf).select(*KEYS, "date", "sales"), with_forest=True))
+
+
+@query("M04_forest_counts")
+def q_forest_counts(spark, sf):
+    """The part of M04 that SQL can state: rows and statistical flags, and that the forest flags its 5 % share."""
+    t = _forest(spark, sf).groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("stat_anomaly").alias("n_statistical"),
+        F.count_if("if_anomaly").alias("_f"), F.count_if("is_anomaly").alias("_a"))
+    share = (F.col("_f") <= F.ceil(F.col("n_rows") * 0.05)) & (F.col("_a") <= F.col("_f") + F.col("n_statistical"))
+    return t.select(*KEYS, "n_rows", "n_statistical", (share & (F.col("_a") >= F.greatest("_f", "n_statistical"))).alias("share_kept"))
+
+
+@query("M05_anomaly_summary_forest")
+def q_anomaly_summary_forest(spark, sf):
+    from skucast.operators.anomaly import anomaly_summary
+    return finish(anomaly_summary(_forest(spark, sf)))
+
+
+@query("M06_anomaly_report_forest")
+def q_anomaly_report_forest(spark, sf):
+    from skucast.operators.anomaly import anomaly_report
+    return anomaly_report(_forest(spark, sf))
+
+
+@query("M06_anomaly_points_forest")
+def q_anomaly_points_forest(spark, sf):
+    from skucast.operators.anomaly import anomaly_points
+    return finish(anomaly_points(_forest(spark, sf)))
+
+
 @query("M07_zero_runs")
 def q_zero_runs(spark, sf):
     from skucast.operators.anomaly import zero_runs
@@ -170,6 +205,13 @@ def q_edges(spark, sf):
     return finish(correlation_edges(panel(spark, sf, reuse=True), 0.5))
 
 
+@query("N01_correlation_edges_low")
+def q_edges_low(spark, sf):
+    """A threshold that pairs of these tables pass (at 0.5 none does: the complete graph)."""
+    from skucast.operators.graph import correlation_edges
+    return finish(correlation_edges(panel(spark, sf, reuse=True), 0.02, fallback=False))
+
+
 @query("N03_node_features")
 def q_nodes(spark, sf):
     from skucast.operators.graph import node_features
@@ -180,7 +222,15 @@ def q_nodes(spark, sf):
 def q_propagate(spark, sf):
     from skucast.operators.graph import correlation_edges, node_features, propagate
     p = panel(spark, sf, reuse=True)
-    return finish(propagate(node_features(p), correlation_edges(p, 0.5), hops=2))
+    edges = correlation_edges(p, 0.5, fallback=False)
+    return finish(propagate(node_features(p), None if edges.isEmpty() else edges, hops=2))
+
+
+@query("N04_propagate_low")
+def q_propagate_low(spark, sf):
+    from skucast.operators.graph import correlation_edges, node_features, propagate
+    p = panel(spark, sf, reuse=True)
+    return finish(propagate(node_features(p), correlation_edges(p, 0.02, fallback=False), hops=2))
 
 
 # ================================================================= O
@@ -209,6 +259,17 @@ def q_enrich(spark, sf):
     return finish(enrich_sentiment(days, sig))
 
 
+@query("O03_enrich_panel")
+def q_enrich_panel(spark, sf):
+    """O03 on a panel: events by type and day; a day's signal comes from its purchases and sign-ups alone."""
+    from skucast.operators.signals import enrich_sentiment, events_scored, sentiment_signal
+    events = read_table(spark, sf, "events")
+    by_day = events.groupBy("event_type", F.col("ts").cast("date").alias("date")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total_value"))
+    signal = sentiment_signal(events_scored(events.where(F.col("event_type").isin("purchase", "signup") & (F.hour("ts") < 6))))
+    return finish(enrich_sentiment(by_day, signal), 4)
+
+
 @query("O05_commentary")
 def q_commentary(spark, sf):
     from skucast.operators.analytics import kpis

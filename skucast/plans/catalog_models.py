@@ -75,12 +75,23 @@ def q_baselines(spark, sf):
 
 @query("K11_forecast_all")
 def q_forecast_all(spark, sf):
+    """Every SKU."""
+    return _forecast_all(spark, sf)
+
+
+@query("K11_forecast_category")
+def q_forecast_category(spark, sf):
+    """The request parameters: SKUs of a category, the first ``limit`` of them."""
+    return _forecast_all(spark, sf, category="PROMO", limit=2)
+
+
+def _forecast_all(spark, sf, **chosen):
     from skucast.operators.forecast import baseline_forecast, eligible, forecast_all
     d = daily_dense(spark, sf)
     # preference: moving average where the series has >= 2400 days, else the trend fallback
     ma_long = baseline_forecast(eligible(d, 2400), "moving_average", H)
-    return finish(forecast_all(d, H, order=("moving_average_long", "trend_naive"), category="PROMO", limit=2,
-                               extra={"moving_average_long": ma_long}))
+    return finish(forecast_all(d, H, order=("moving_average_long", "trend_naive"),
+                               extra={"moving_average_long": ma_long}, **chosen))
 
 
 @query("K12_forecast_sku")
@@ -147,27 +158,33 @@ def q_pinball(spark, sf):
 
 
 # ================================================================= K08 / K09 / D17: pooled boosted trees
-_GBT_CACHE: dict = {}
-
-
 def _gbt(spark, sf):
-    """Train once per (session, tables) and reuse for the three GBT queries."""
+    """Features, samples (materialised once: the x14 expansion is read by the split, the fit and the metrics),
+    the model and its columns."""
     from skucast.operators.features import build_features
     from skucast.operators.gbt import gbt_samples, train_gbt
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _GBT_CACHE:
-        feats = build_features(panel(spark, sf, reuse=True))
-        samples = gbt_samples(feats, H)
-        model, cols = train_gbt(samples)
-        _GBT_CACHE[key] = (feats, samples, model, cols)
-    return _GBT_CACHE[key]
+    from skucast.session import cut_lineage
+    feats = cut_lineage(build_features(panel(spark, sf, reuse=True)))
+    samples = cut_lineage(gbt_samples(feats, H))
+    model, cols = train_gbt(samples)
+    return feats, samples, model, cols
 
 
 @query("K08_gbt_holdout_metrics")
 def q_gbt_metrics(spark, sf):
     from skucast.operators.gbt import holdout_metrics
     _, samples, model, cols = _gbt(spark, sf)
-    return finish(holdout_metrics(model, samples, cols))
+    return finish(holdout_metrics(model, samples, cols).withColumn("n_trees", F.lit(model.getNumTrees)))
+
+
+@query("K08_gbt_validation_rows")
+def q_gbt_validation_rows(spark, sf):
+    """The part of K08 that SQL can state: validation rows, their horizons and dates."""
+    from skucast.operators.features import build_features
+    from skucast.operators.gbt import gbt_samples
+    val = gbt_samples(build_features(panel(spark, sf, reuse=True)), H).where("is_val")
+    return val.groupBy(F.col("horizon").cast("int").alias("horizon")).agg(
+        F.count(F.lit(1)).alias("n_obs"), F.min("date").alias("first_date"), F.sum("target").alias("sum_target"))
 
 
 @query("K09_gbt_forecast")
@@ -177,6 +194,16 @@ def q_gbt_forecast(spark, sf):
     return finish(score_gbt(model, feats, cols, H))
 
 
+@query("K09_gbt_forecast_grid")
+def q_gbt_forecast_grid(spark, sf):
+    """The part of K09 that SQL can state: series, dates and horizons, and bands in order."""
+    from skucast.operators.gbt import score_gbt
+    feats, _, model, cols = _gbt(spark, sf)
+    fc = score_gbt(model, feats, cols, H)
+    ordered = (F.col("yhat") >= 0) & (F.col("lo") <= F.col("yhat")) & (F.col("yhat") <= F.col("hi"))
+    return fc.select(*KEYS, "date", "h", "model_used", ordered.alias("band_in_order"))
+
+
 @query("D17_feature_importance")
 def q_importance(spark, sf):
     from skucast.operators.gbt import feature_importance

@@ -86,7 +86,7 @@ SELECT sku_id, store_id, date, sales FROM panel
 WHERE sku_id IN (SELECT DISTINCT sku_id FROM panel ORDER BY sku_id LIMIT 3)""")
 
 HOLIDAY_CTES = ("""years AS (
-  SELECT UNNEST(range(CAST(year(MIN(date)) AS BIGINT), CAST(year(MAX(date)) + 1 AS BIGINT))) AS y FROM panel)""",
+  SELECT UNNEST(range(CAST(year(MIN(date)) AS BIGINT), CAST(year(MAX(date)) + 2 AS BIGINT))) AS y FROM panel)""",
                 """rules AS (
   SELECT y, make_date(y, 1, 1) AS date, 'New Year''s Day' AS holiday, TRUE AS obs FROM years
   UNION ALL SELECT y, CAST(make_date(y, 1, 1) + CAST((1 - isodow(make_date(y, 1, 1)) + 7) % 7 + 14 AS INTEGER) AS DATE),
@@ -105,12 +105,13 @@ HOLIDAY_CTES = ("""years AS (
   UNION ALL SELECT y, CAST(make_date(y, 11, 1) + CAST((4 - isodow(make_date(y, 11, 1)) + 7) % 7 + 21 AS INTEGER) AS DATE),
          'Thanksgiving', FALSE FROM years
   UNION ALL SELECT y, make_date(y, 12, 25), 'Christmas Day', TRUE FROM years)""",
-                """holidays AS (
+                """holidays AS (SELECT * FROM (
   SELECT date, holiday FROM rules
   UNION ALL
   SELECT CASE WHEN isodow(date) = 6 THEN CAST(date - 1 AS DATE) ELSE CAST(date + 1 AS DATE) END AS date,
          holiday || ' (observed)' AS holiday
-  FROM rules WHERE obs AND isodow(date) IN (6, 7))""")
+  FROM rules WHERE obs AND isodow(date) IN (6, 7))
+  WHERE year(date) BETWEEN (SELECT MIN(y) FROM years) AND (SELECT MAX(y) - 1 FROM years))""")
 
 sql("C06_holiday_dim", "SELECT date, holiday FROM holidays", *HOLIDAY_CTES)
 

@@ -164,6 +164,10 @@ sql("M06_anomaly_points", """
 SELECT sku_id, store_id, strftime(date, '%Y-%m-%d') AS date, sales AS value, stat_anomaly, FALSE AS if_anomaly
 FROM flag WHERE stat_anomaly""", STAT_CTE)
 
+sql("M04_forest_counts", """
+SELECT sku_id, store_id, COUNT(*) AS n_rows, COUNT_IF(stat_anomaly) AS n_statistical, TRUE AS share_kept
+FROM flag GROUP BY 1, 2""", STAT_CTE)
+
 sql("M07_zero_runs", f"""
 SELECT sku_id, store_id, MIN(date) AS start, COUNT(*) AS length_days, MAX(island) = MAX(mx) AS is_open FROM (
   SELECT *, MAX(island) OVER (PARTITION BY sku_id, store_id) AS mx FROM (
@@ -173,25 +177,30 @@ SELECT sku_id, store_id, MIN(date) AS start, COUNT(*) AS length_days, MAX(island
 WHERE sales = 0 GROUP BY sku_id, store_id, island HAVING COUNT(*) >= 3""", *DENSE_CTES)
 
 # ================================================================= N
-GRAPH_CTES = (
-    "dm AS (SELECT sku_id, date, AVG(sales) AS x FROM panel GROUP BY 1, 2)",
-    "nodes AS (SELECT sku_id, CAST(ROW_NUMBER() OVER (ORDER BY sku_id) - 1 AS INTEGER) AS node FROM (SELECT DISTINCT sku_id FROM dm))",
-    "nd AS (SELECT COUNT(DISTINCT date) AS d FROM panel)",
-    """nst AS (SELECT n.node, n.sku_id, COALESCE(SUM(x), 0.0) AS sx, COALESCE(SUM(x * x), 0.0) AS sxx
+def graph_ctes(cut: float) -> tuple[str, ...]:
+    return (
+        "dm AS (SELECT sku_id, date, AVG(sales) AS x FROM panel GROUP BY 1, 2)",
+        "nodes AS (SELECT sku_id, CAST(ROW_NUMBER() OVER (ORDER BY sku_id) - 1 AS INTEGER) AS node FROM (SELECT DISTINCT sku_id FROM dm))",
+        "nd AS (SELECT COUNT(DISTINCT date) AS d FROM panel)",
+        """nst AS (SELECT n.node, n.sku_id, COALESCE(SUM(x), 0.0) AS sx, COALESCE(SUM(x * x), 0.0) AS sxx
   FROM nodes n LEFT JOIN dm ON dm.sku_id = n.sku_id GROUP BY 1, 2)""",
-    """sxy AS (SELECT a.sku_id AS si, b.sku_id AS sj, SUM(a.x * b.x) AS sxy FROM dm a JOIN dm b
+        """sxy AS (SELECT a.sku_id AS si, b.sku_id AS sj, SUM(a.x * b.x) AS sxy FROM dm a JOIN dm b
   ON a.date = b.date AND a.sku_id < b.sku_id GROUP BY 1, 2)""",
-    """corr AS (SELECT i.node AS i, j.node AS j, i.sku_id AS sku_i, j.sku_id AS sku_j,
+        """corr AS (SELECT i.node AS i, j.node AS j, i.sku_id AS sku_i, j.sku_id AS sku_j,
   ((SELECT d FROM nd) * COALESCE(s.sxy, 0.0) - i.sx * j.sx) /
   NULLIF(SQRT(((SELECT d FROM nd) * i.sxx - POW(i.sx, 2)) * ((SELECT d FROM nd) * j.sxx - POW(j.sx, 2))), 0) AS corr
   FROM nst i JOIN nst j ON i.node < j.node LEFT JOIN sxy s ON s.si = i.sku_id AND s.sj = j.sku_id)""",
-    """edges0 AS (SELECT i AS src, j AS dst, sku_i AS src_sku, sku_j AS dst_sku, corr AS weight FROM corr WHERE ABS(corr) >= 0.5
-  UNION ALL SELECT j, i, sku_j, sku_i, corr FROM corr WHERE ABS(corr) >= 0.5)""",
-    """edges AS (SELECT * FROM edges0 UNION ALL
+        f"""edges0 AS (SELECT i AS src, j AS dst, sku_i AS src_sku, sku_j AS dst_sku, corr AS weight FROM corr WHERE ABS(corr) >= {cut}
+  UNION ALL SELECT j, i, sku_j, sku_i, corr FROM corr WHERE ABS(corr) >= {cut})""",
+        """edges AS (SELECT * FROM edges0 UNION ALL
   SELECT a.node, b.node, a.sku_id, b.sku_id, 1.0 FROM nodes a JOIN nodes b ON a.node <> b.node
   WHERE NOT EXISTS (SELECT 1 FROM edges0))""",
-)
-sql("N01_correlation_edges", f"SELECT src, dst, src_sku, dst_sku, {R('weight')} AS weight FROM edges", *GRAPH_CTES)
+    )
+
+
+GRAPH_CTES, LOW_CTES = graph_ctes(0.5), graph_ctes(0.02)
+for _name, _ctes in (("N01_correlation_edges", GRAPH_CTES), ("N01_correlation_edges_low", LOW_CTES)):
+    sql(_name, f"SELECT src, dst, src_sku, dst_sku, {R('weight')} AS weight FROM edges", *_ctes)
 
 NODE_FEATS = (
     """nf AS (SELECT n.node, s.sku_id, s.mean, COALESCE(s.std, 0.0) AS std, s.mn AS min, s.mx AS max, s.q25, s.q75,
@@ -209,13 +218,14 @@ sql("N03_node_features", "SELECT node, sku_id, " + ", ".join(f"{R(c)} AS {c}" fo
 
 hop = lambda src, dst: f"""{dst} AS (SELECT c.dst AS node, """ + ", ".join(
     f"SUM(c.c * x.{k}) AS {k}" for k in FEATS) + f""" FROM coef c JOIN {src} x ON x.node = c.src GROUP BY c.dst)"""
-sql("N04_propagate", "SELECT node, " + ", ".join(f"{R(k)} AS {k}" for k in FEATS) + " FROM h2",
-    *GRAPH_CTES, *NODE_FEATS,
-    "e AS (SELECT src, dst, weight FROM edges UNION ALL SELECT node, node, 1.0 FROM nodes)",
-    "deg AS (SELECT dst AS node, CASE WHEN SUM(weight) > 0 THEN POW(SUM(weight), -0.5) ELSE 0.0 END AS dinv FROM e GROUP BY dst)",
-    """coef AS (SELECT e.src, e.dst, e.weight * s.dinv * d.dinv AS c FROM e
+for _name, _ctes in (("N04_propagate", GRAPH_CTES), ("N04_propagate_low", LOW_CTES)):
+    sql(_name, "SELECT node, " + ", ".join(f"{R(k)} AS {k}" for k in FEATS) + " FROM h2",
+        *_ctes, *NODE_FEATS,
+        "e AS (SELECT src, dst, weight FROM edges UNION ALL SELECT node, node, 1.0 FROM nodes)",
+        "deg AS (SELECT dst AS node, CASE WHEN SUM(weight) > 0 THEN POW(SUM(weight), -0.5) ELSE 0.0 END AS dinv FROM e GROUP BY dst)",
+        """coef AS (SELECT e.src, e.dst, e.weight * s.dinv * d.dinv AS c FROM e
   JOIN deg s ON s.node = e.src JOIN deg d ON d.node = e.dst)""",
-    hop("nf", "h1"), hop("h1", "h2"))
+        hop("nf", "h1"), hop("h1", "h2"))
 
 # ================================================================= O
 POS = ["good", "great", "excellent", "strong", "growth", "gain", "gains", "rise", "rising", "up", "high", "best",
@@ -246,6 +256,14 @@ SELECT d.date, {R('COALESCE(s.demand_sentiment, 1.0)')} AS demand_sentiment FROM
   SELECT CAST(UNNEST(generate_series(MIN(date), MAX(date) + 2, INTERVAL 1 DAY)) AS DATE) AS date FROM scored) d
 LEFT JOIN sig s ON s.date = d.date""", SCORED, SIGNAL)
 
+sql("O03_enrich_panel", """
+SELECT e.event_type, e.date, e.n_events, ROUND(e.total_value, 4) AS total_value,
+       ROUND(COALESCE(g.signal, 1.0), 4) AS demand_sentiment FROM (
+  SELECT event_type, CAST(ts AS DATE) AS date, COUNT(*) AS n_events, SUM(value) AS total_value FROM events GROUP BY 1, 2) e
+LEFT JOIN (
+  SELECT CAST(ts AS DATE) AS date, LEAST(1.3, GREATEST(0.7, 1 + 0.3 * AVG(LEAST(value / 500.0, 1.0)))) AS signal
+  FROM events WHERE event_type IN ('purchase', 'signup') AND hour(ts) < 6 GROUP BY 1) g ON g.date = e.date""")
+
 sql("O05_commentary", f"""
 SELECT sku_id, horizon, model, {R('avg_forecast')} AS avg_forecast, trend, volatility,
   printf('Forecast Summary for %s (%d-day horizon). Model Used: %s. Avg Forecast: %s units/day. Demand Trend: %s. Insight: %s. Risk: %s.',

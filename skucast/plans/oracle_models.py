@@ -116,6 +116,18 @@ SELECT sku_id, date, h, {R('yhat')} AS yhat, {R('lo')} AS lo, {R('hi')} AS hi, m
 WHERE sku_id IN (SELECT sku_id FROM sel)
 UNION ALL
 SELECT sku_id, date, h, {R('yhat')} AS yhat, {R('lo')} AS lo, {R('hi')} AS hi, model_used FROM fc_sel
+WHERE sku_id NOT IN (SELECT sku_id FROM fc_el)""",
+    *DAILY_CTES,
+    "sel AS (SELECT * FROM dense)",
+    "elig AS (SELECT * FROM dense WHERE sku_id IN (SELECT sku_id FROM dense GROUP BY sku_id HAVING COUNT(*) >= 2400))",
+    *summary_ctes("elig", "el"), forecast_cte("el", H, ("moving_average",)),
+    *summary_ctes("sel", "sel"), forecast_cte("sel", H, ("trend_naive",)))
+
+sql("K11_forecast_category", f"""
+SELECT sku_id, date, h, {R('yhat')} AS yhat, {R('lo')} AS lo, {R('hi')} AS hi, model_used FROM fc_el
+WHERE sku_id IN (SELECT sku_id FROM sel)
+UNION ALL
+SELECT sku_id, date, h, {R('yhat')} AS yhat, {R('lo')} AS lo, {R('hi')} AS hi, model_used FROM fc_sel
 WHERE sku_id NOT IN (SELECT sku_id FROM fc_el)""",
     *DAILY_CTES,
     """sel AS (SELECT * FROM dense WHERE sku_id IN (
@@ -124,6 +136,22 @@ WHERE sku_id NOT IN (SELECT sku_id FROM fc_el)""",
     *summary_ctes("elig", "el"), forecast_cte("el", H, ("moving_average",)),
     *summary_ctes("sel", "sel"), forecast_cte("sel", H, ("trend_naive",)))
 
+_LAST = f"feat AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER ({FR}) AS rn FROM panel) WHERE rn > 28)"
+sql("K08_gbt_validation_rows", """
+SELECT CAST(horizon AS INTEGER) AS horizon, COUNT(*) AS n_obs, MIN(date) AS first_date, SUM(target) AS sum_target
+FROM smp WHERE date > (SELECT MAX(date) FROM cum WHERE c <= FLOOR((SELECT COUNT(*) FROM smp) * 0.8)) GROUP BY horizon""",
+    _LAST,
+    f"""smp AS (SELECT sku_id, store_id, date, t.h AS horizon, arr[t.h] AS target
+  FROM (SELECT sku_id, store_id, date, [{leads}] AS arr FROM feat) p CROSS JOIN range(1, {H + 1}) t(h)
+  WHERE arr[t.h] IS NOT NULL)""",
+    """cum AS (SELECT date, SUM(n) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+  FROM (SELECT date, COUNT(*) AS n FROM smp GROUP BY date))""")
+
+sql("K09_gbt_forecast_grid", f"""
+SELECT sku_id, store_id, CAST(last_date + CAST(h AS INTEGER) AS DATE) AS date, CAST(h AS INTEGER) AS h,
+       'GBT' AS model_used, TRUE AS band_in_order
+FROM (SELECT sku_id, store_id, MAX(date) AS last_date FROM feat GROUP BY 1, 2) CROSS JOIN range(1, {H + 1}) t(h)""", _LAST)
+
 sql("K12_forecast_sku", fc_select("one"),
     "daily AS (SELECT sku_id, date, SUM(sales) AS sales FROM panel WHERE sku_id = 'PROMO_2_001' GROUP BY sku_id, date)",
     *DAILY_CTES[1:], *summary_ctes("dense", "one"), forecast_cte("one", H, ("trend_naive",)))

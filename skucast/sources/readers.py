@@ -22,8 +22,8 @@ from skucast.schema import DEFAULTS, FAVORITA_PRICE_DEFAULT, M5_ORIGIN, M5_PRICE
 M5_ID_COLS = ["id", "item_id", "dept_id", "cat_id", "store_id", "state_id"]
 # File names of the supported datasets.
 M5_SALES_FILES = ["sales_train_evaluation.csv", "sales_train_validation.csv"]
-M5_CALENDAR, M5_PRICES, M5_SAMPLE = "calendar.csv", "sell_prices.csv", "sample.csv"
-FAVORITA_TRAIN, FAVORITA_SAMPLE = "train.csv", "sample.csv"
+M5_CALENDAR, M5_PRICES, M5_SAMPLE = "calendar.csv", "sell_prices.csv", "m5_sample.csv"
+FAVORITA_TRAIN, FAVORITA_SAMPLE = "train.csv", "favorita_sample.csv"
 
 
 # ---------------------------------------------------------------- file system helpers
@@ -114,8 +114,7 @@ def read_prices(spark: SparkSession, data_dir: str) -> DataFrame:
 
 def read_m5_sample(spark: SparkSession, path: str) -> DataFrame:
     """Sample CSV (date, store_id, item_id, sales, snap_event, sell_price) -> panel columns."""
-    df = read_csv(spark, path, {"date": T.DateType(), "sales": T.StringType(), "snap_event": T.IntegerType(),
-                                "sell_price": T.DoubleType()})
+    df = read_csv(spark, path, {"date": T.DateType(), "sales": T.StringType()})
     df = rename_present(df, MAPPINGS["M5"])
     df = with_defaults(df, {"promo": 0, "price": M5_PRICE_DEFAULT})
     return _finish_panel(df, M5_PRICE_DEFAULT)
@@ -124,7 +123,7 @@ def read_m5_sample(spark: SparkSession, path: str) -> DataFrame:
 def load_m5(spark: SparkSession, data_dir: str, days: int | None = 365) -> DataFrame:
     """A01-A07 + C01/C02: wide -> recent days -> long -> dated panel with calendar promo and weekly
     price (week code from the calendar by date, A-01), hierarchy from the SKU id (A-04).
-    Falls back to ``sample.csv`` when the wide file is missing."""
+    Falls back to ``m5_sample.csv`` when the wide file is missing."""
     d = data_dir.rstrip("/")
     if not any(path_exists(spark, f"{d}/{n}") for n in M5_SALES_FILES):
         return read_m5_sample(spark, f"{d}/{M5_SAMPLE}")
@@ -144,7 +143,7 @@ def load_m5(spark: SparkSession, data_dir: str, days: int | None = 365) -> DataF
 # ---------------------------------------------------------------- Favorita / generic
 def read_favorita(spark: SparkSession, data_dir: str) -> DataFrame:
     """Typed Favorita file (splits replace chunked reads), negative sales -> 0, category from
-    family / class, price 1.0; ``sample.csv`` fallback."""
+    family / class, price 1.0; ``favorita_sample.csv`` fallback."""
     d = data_dir.rstrip("/")
     path = f"{d}/{FAVORITA_TRAIN}" if path_exists(spark, f"{d}/{FAVORITA_TRAIN}") else f"{d}/{FAVORITA_SAMPLE}"
     df = read_csv(spark, path, {"date": T.DateType(), "store_nbr": T.IntegerType(), "item_nbr": T.LongType(),
@@ -181,13 +180,13 @@ LOADERS = {"M5": load_m5, "FAVORITA": read_favorita}
 
 def load_panel(spark: SparkSession, dataset: str, data_dir: str, days: int | None = 365,
                mapping: dict | None = None) -> DataFrame:
-    """Dispatch by dataset name; unknown names use the generic mapped reader on ``sample.csv``."""
+    """Dispatch by dataset name; other names use the generic mapped reader on ``{dataset}_sample.csv``."""
     key = dataset.upper()
     if key == "M5":
         return load_m5(spark, data_dir, days)
     if key == "FAVORITA":
         return read_favorita(spark, data_dir)
-    return read_mapped(spark, f"{data_dir.rstrip('/')}/sample.csv", mapping or MAPPINGS.get(key, MAPPINGS["UCI"]))
+    return read_mapped(spark, f"{data_dir.rstrip('/')}/{dataset.lower()}_sample.csv", mapping or MAPPINGS.get(key, MAPPINGS["UCI"]))
 
 
 # ---------------------------------------------------------------- columnar cache
@@ -214,14 +213,16 @@ def read_cached(spark: SparkSession, root: str, dataset: str, days: int | None =
 
 
 def drop_cache(spark: SparkSession, root: str, dataset: str | None = None) -> list[str]:
-    """Delete cached panels: all, or those whose name contains ``dataset``."""
+    """Delete cached panels: those of exactly ``dataset`` (any number of days), or all of them. Only folders
+    that hold a written panel (a ``_SUCCESS`` mark) are ever removed."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
     removed = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if dataset is None or dataset.upper() in name.upper():
+        mine = dataset is None or re.fullmatch(re.escape(dataset.upper()) + r"(_\d+d)?", name)
+        if mine and st.isDirectory() and path_exists(spark, f"{st.getPath().toString()}/_SUCCESS"):
             fs.delete(st.getPath(), True)
             removed.append(name)
     return removed

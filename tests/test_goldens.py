@@ -176,9 +176,17 @@ def test_C10_pick_forecast_multi_key_and_C07_defaults(spark):
     assert out == {"S1": 1.5, "S2": 1.0}
 
 
-def test_L02_psi_approx_path(spark):
+def test_L02_psi_and_percentiles_from_value_counts(spark):
+    import numpy as np
     s = spark.createDataFrame([(float(v % 17),) for v in range(500)], "x double")
-    assert drift.psi(s, s, "x", exact=False).first()[0] == pytest.approx(0.0, abs=1e-12)
+    assert drift.psi(s, s, "x").first()[0] == pytest.approx(0.0, abs=1e-12)
+    shares = [0.0, 0.1, 0.25, 0.333, 0.95, 1.0]
+    want = np.percentile([v % 17 for v in range(500)], [100 * q for q in shares])
+    assert drift.exact_percentiles(s, "x", shares) == pytest.approx(list(want))
+    none = s.where("x > 99")
+    assert drift.exact_percentiles(none, "x", shares) is None
+    row = drift.detect_drift(s, none, "x").first()
+    assert not row.drift_detected and row.psi == 0 and row.ks_p_value == 1 and row.curr_mean is None
     shifted = s.select((F.col("x") + 5).alias("x"))
     assert drift.psi(s, shifted, "x").first()[0] > 0.2
 

@@ -75,7 +75,7 @@ def test_mapped_reader_and_defaults(spark, subset, tmp_path):
     pdf, _ = subset
     uci = pdf.rename(columns={"sales": "quantity"})[["date", "sku_id", "quantity"]].head(50)
     uci["unit_price"] = 4.25
-    uci.to_csv(tmp_path / "sample.csv", index=False)
+    uci.to_csv(tmp_path / "uci_sample.csv", index=False)
     out = readers.load_panel(spark, "UCI", str(tmp_path))
     assert out.count() == 50
     assert out.where("store_id != 'S1' OR price != 4.25 OR promo != 0").count() == 0
@@ -129,14 +129,14 @@ def test_forecast_and_log_sinks(spark, tmp_path):
 
 
 def test_m5_sample_fallback_and_dispatch(spark, subset, tmp_path):
-    """Without the wide file, load_m5 reads sample.csv (renames, defaults, clean target)."""
+    """Without the wide file, load_m5 reads m5_sample.csv (renames, defaults, clean target)."""
     pdf, _ = subset
     smp = pdf.head(40).rename(columns={"sku_id": "item_id"}).copy()
     smp["sales"] = smp["sales"].astype(str)
     smp.loc[smp.index[0], "sales"] = "n/a"  # non-numeric -> 0
     smp["snap_event"] = 1
     smp["sell_price"] = None
-    smp[["date", "store_id", "item_id", "sales", "snap_event", "sell_price"]].to_csv(tmp_path / "sample.csv", index=False)
+    smp[["date", "store_id", "item_id", "sales", "snap_event", "sell_price"]].to_csv(tmp_path / "m5_sample.csv", index=False)
     out = readers.load_panel(spark, "m5", str(tmp_path))
     rows = out.collect()
     assert len(rows) == 40 and all(r.promo == 1 and r.price == 2.0 for r in rows)
@@ -148,7 +148,7 @@ def test_favorita_sample_and_calendar_without_snaps(spark, subset, tmp_path):
     pdf, _ = subset
     fav = pdf.head(10).assign(store_nbr=3, item_nbr=7, unit_sales=pdf.head(10)["sales"])[
         ["date", "store_nbr", "item_nbr", "unit_sales"]]
-    fav.to_csv(tmp_path / "sample.csv", index=False)
+    fav.to_csv(tmp_path / "favorita_sample.csv", index=False)
     out = readers.read_favorita(spark, str(tmp_path)).collect()
     assert {(r.store_id, r.sku_id, r.category, r.promo, r.price) for r in out} == {("3", "7", "General", 0, 1.0)}
     import pandas as pd
