@@ -119,9 +119,11 @@ def list_skus(df: DataFrame, category: str | None = None, store: str | None = No
     return out.limit(limit) if limit else out
 
 
-def drop_warmup(df: DataFrame, col: str) -> DataFrame:
-    """Drop rows without full lag history."""
-    return df.where(F.col(col).isNotNull())
+def sku_page(df: DataFrame, category: str | None = None, store: str | None = None, limit: int = 1000) -> DataFrame:
+    """Q09: the first ``limit`` SKUs, each beside the ``total`` that match."""
+    every = list_skus(df, category, store, None)
+    total = every.select(F.count(F.lit(1))).scalar()
+    return every.limit(limit).withColumn("total", total)
 
 
 def select_features(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -294,6 +296,15 @@ def metadata(df: DataFrame) -> DataFrame:
     )
 
 
+def datasets_overview(panels: dict[str, DataFrame]) -> DataFrame:
+    """Q08: the metadata row of every dataset, named."""
+    out = None
+    for name, df in panels.items():
+        row = metadata(df).withColumn("dataset", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
     """Sorted distinct values of one column (kept distributed, not collected)."""
     return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skucast.plans.oracle import DENSE_CTES, R, sql
+from skucast.plans.oracle import DENSE_CTES, ORACLE, R, sql
 from skucast.plans.oracle_models import DAILY_CTES, forecast_cte, summary_ctes
 
 FR = "PARTITION BY sku_id, store_id ORDER BY date"
@@ -198,7 +198,7 @@ def graph_ctes(cut: float) -> tuple[str, ...]:
     )
 
 
-GRAPH_CTES, LOW_CTES = graph_ctes(0.5), graph_ctes(0.02)
+GRAPH_CTES, LOW_CTES, HIGH_CTES = graph_ctes(0.5), graph_ctes(0.02), graph_ctes(0.8)
 for _name, _ctes in (("N01_correlation_edges", GRAPH_CTES), ("N01_correlation_edges_low", LOW_CTES)):
     sql(_name, f"SELECT src, dst, src_sku, dst_sku, {R('weight')} AS weight FROM edges", *_ctes)
 
@@ -293,3 +293,19 @@ SELECT conv_id, COUNT(*) AS n_texts, COUNT_IF(label = 'POSITIVE') AS n_positive,
       SELECT conv_id, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}]+'), lambda t: length(t) > 0) AS tok
       FROM conversations)))
 GROUP BY conv_id""")
+
+
+# ================================================================= wide twins: every part is a SKU
+sql("N01_correlation_edges_wide", f"SELECT src, dst, src_sku, dst_sku, {R('weight')} AS weight FROM edges0", *HIGH_CTES)
+
+
+def wide(text: str) -> str:
+    narrow = "|| '_001' AS sku_id"
+    if narrow not in text:
+        raise ValueError("no panel in this statement")
+    return text.replace(narrow, "|| '_' || lpad(CAST(p.p_partkey AS VARCHAR), 9, '0') AS sku_id")
+
+
+ORACLE["N01_correlation_edges_wide"] = wide(ORACLE["N01_correlation_edges_wide"])
+for _name in ("E12_encode_ids", "K02_K07_baselines"):
+    ORACLE[f"{_name}_wide"] = wide(ORACLE[_name])

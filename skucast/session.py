@@ -5,29 +5,34 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "skucast", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
-    """Return (or create) a session: ANSI on, UTC, AQE with skew handling, no UI.
+    """Return (or create) a session: ANSI on, UTC, AQE with skew handling, no UI. The master is the given one,
+    the configured one, or local; memory and partition counts are only set for local masters.
 
     ``spark.checkpoint.dir`` is taken from the cluster configuration; a local
     scratch folder is only set when nothing is configured (tests, laptops).
     """
+    configured = master or SparkConf().get("spark.master", None)  # spark-submit and spark-defaults
     cores = os.environ.get("BENCH_CPUS", "8")
-    b = (SparkSession.builder
-         .master(master or f"local[{cores}]")
-         .appName(app)
+    b = SparkSession.builder.master(configured or f"local[{cores}]").appName(app)
+    if (configured or "local").startswith("local"):
+        b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cores)))
+              .config("spark.driver.memory", os.environ.get("SKUCAST_DRIVER_MEMORY", "16g")))
+    elif shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    b = (b
          .config("spark.ui.enabled", "false")
          .config("spark.sql.ansi.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cores)))
-         .config("spark.driver.memory", os.environ.get("SKUCAST_DRIVER_MEMORY", "16g")))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -189,6 +189,17 @@ def load_panel(spark: SparkSession, dataset: str, data_dir: str, days: int | Non
     return read_mapped(spark, f"{data_dir.rstrip('/')}/{dataset.lower()}_sample.csv", mapping or MAPPINGS.get(key, MAPPINGS["UCI"]))
 
 
+def prepare_panel(spark: SparkSession, dataset: str, data_dir: str, days: int | None = 365, store: str | None = None,
+                  category: str | None = None, sku: str | None = None, top: int | None = None, history: int = 30,
+                  mapping: dict | None = None) -> DataFrame:
+    """The whole preparation in one call: load, filter, keep the ``top`` SKUs by sales and those with ``history``
+    days, add holidays."""
+    from skucast.operators.panel import add_holidays, filter_panel, min_history, top_skus
+    df = filter_panel(load_panel(spark, dataset, data_dir, days, mapping), store, category, sku)
+    df = top_skus(df, top) if top else df
+    return add_holidays(min_history(df, history))
+
+
 # ---------------------------------------------------------------- columnar cache
 def cache_panel(df: DataFrame, root: str, dataset: str, days: int | None = None) -> str:
     """Write the panel once as parquet partitioned by store (the M5 key includes ``days``);

@@ -6,7 +6,8 @@ retried task after executor loss never leaves partial files behind.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,8 +33,34 @@ def write_registry(entries: DataFrame, path: str) -> str:
     return path
 
 
-def write_forecast(forecast: DataFrame, path: str) -> str:
-    """Long forecast table (sku, date, h, yhat, lo, hi, model_used), partitioned by model."""
-    (forecast.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("model_used").parquet(path))
+def save_model(model, cols: list[str], path: str, registry: str, dataset: str, name: str, metrics: dict) -> str:
+    """MLlib model and its column list under ``path``, and a registry row that points to it."""
+    spark = SparkSession.active()
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame(list(enumerate(cols)), "at int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+    entry = spark.createDataFrame([(dataset, name, path)], "dataset string, model string, artifact string")
+    write_registry(entry.withColumns({k: F.lit(float(v)) for k, v in metrics.items()}), registry)
+    return path
+
+
+def load_model(path: str) -> tuple[GBTRegressionModel, list[str]]:
+    """A saved model and its columns in vector order."""
+    spark = SparkSession.active()
+    cols = [r.name for r in spark.read.parquet(f"{path}/columns").orderBy("at").collect()]
+    return GBTRegressionModel.load(f"{path}/model"), cols
+
+
+def best_artifact(registry: str, dataset: str, metric: str = "WMAPE") -> str | None:
+    """C10 over the registry: the artifact of ``dataset`` with the lowest ``metric`` among each model's latest."""
+    rows = SparkSession.active().read.parquet(registry).where(F.col("dataset") == dataset)
+    latest = rows.groupBy("model").agg(F.max_by(F.struct(metric, "artifact"), "trained_at").alias("r"))
+    found = latest.select("r.*").where(F.col("artifact").isNotNull()).orderBy(F.asc_nulls_last(metric), "artifact").first()
+    return found["artifact"] if found else None
+
+
+def write_forecast(forecast: DataFrame, path: str, dataset: str) -> str:
+    """Long forecast table (dataset, sku, date, h, yhat, lo, hi, model_used), partitioned by dataset and
+    model; writing one dataset's forecast leaves those of others."""
+    (forecast.withColumn("dataset", F.lit(dataset)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "model_used").parquet(path))
     return path

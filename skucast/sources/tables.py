@@ -24,24 +24,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def store_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier -> region name. Joined by key; Catalyst broadcasts only when the scan size is under
-    ``spark.sql.autoBroadcastJoinThreshold`` (a size-checked broadcast), else it shuffles."""
-    sup = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nat = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    reg = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    return (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
-               .join(reg, nat.n_regionkey == reg.r_regionkey)
-               .select("s_suppkey", F.col("r_name").alias("store_id")))
-
-
-def sku_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sku_dim(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """Part -> SKU; ``wide`` makes every part a SKU of its own, so the number of SKUs grows with the data."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
-    sku = F.concat_ws("_", F.col("p_type"), (F.col("p_size") % 3 + 1).cast("string"), F.lit("001"))
+    sku = F.concat_ws("_", F.col("p_type"), (F.col("p_size") % 3 + 1).cast("string"),
+                      F.lpad(F.col("p_partkey").cast("string"), 9, "0") if wide else F.lit("001"))
     return part.select("p_partkey", sku.alias("sku_id"))
 
 
-def demand_panel(spark: SparkSession, sf_dir: str, with_hierarchy: bool = True) -> DataFrame:
+def demand_panel(spark: SparkSession, sf_dir: str, with_hierarchy: bool = True, wide: bool = False) -> DataFrame:
     """Canonical panel ``sku_id, store_id, date, sales, promo, price[, category, dept_id]``.
 
     Plan: pruned lineitem scan -> joins to the two dimensions -> one hash aggregate on
@@ -58,7 +49,7 @@ def demand_panel(spark: SparkSession, sf_dir: str, with_hierarchy: bool = True)
     # scan separately: small ones are broadcast (size-checked), large ones fall back to a
     # shuffle join. A pre-joined dimension would carry a product size estimate and force a
     # sort-merge join that shuffles the whole fact table.
-    j = (li.join(sku_dim(spark, sf_dir), li.l_partkey == F.col("p_partkey"))
+    j = (li.join(sku_dim(spark, sf_dir, wide), li.l_partkey == F.col("p_partkey"))
            .join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
            .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
            .join(reg, F.col("n_regionkey") == F.col("r_regionkey")))

@@ -270,3 +270,19 @@ def test_K13_ma_backtest(spark):
     r = forecast.ma_backtest(series(spark, [10, 20, 30])).first()
     # predictions: 10 (first row = actual), 10, 15 -> |e| = 0, 10, 15 over a total of 60
     assert r.wmape == pytest.approx(25 / 60 * 100) and r.n_obs == 3
+
+
+def test_N01_constant_series_have_no_edge(spark):
+    from skucast.operators import graph
+    days = [dt.date(2023, 1, 1) + dt.timedelta(days=i) for i in range(100)]
+    rows = [(s, d, v) for s, v in (("A", 0.1), ("B", 12.3)) for d in days]
+    rows += [("C", d, float(i % 7)) for i, d in enumerate(days)] + [("D", d, 2.0 * (i % 7) + 1) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "sku_id string, date date, sales double")
+    got = {(r.src_sku, r.dst_sku): r.weight for r in graph.correlation_edges(df, 0.5, block=2).collect()}
+    assert set(got) == {("C", "D"), ("D", "C")} and got["C", "D"] == pytest.approx(1.0)
+
+
+def test_C06_new_year_observed_the_day_before(spark):
+    df = spark.createDataFrame([(dt.date(2021, 12, 30),), (dt.date(2021, 12, 31),)], "date date")
+    got = {r.date: r.is_holiday for r in panel.add_holidays(df).collect()}
+    assert got == {dt.date(2021, 12, 30): 0, dt.date(2021, 12, 31): 1}

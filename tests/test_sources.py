@@ -121,7 +121,7 @@ def test_forecast_and_log_sinks(spark, tmp_path):
     from skucast.operators.forecast import forecast_all
     from skucast.operators.panel import daily_series, densify
     fc = forecast_all(densify(daily_series(demand_panel(spark, SF001))), 7, ("trend_naive",))
-    sinks.write_forecast(fc, str(tmp_path / "fc"))
+    sinks.write_forecast(fc, str(tmp_path / "fc"), "M5")
     assert spark.read.parquet(str(tmp_path / "fc")).count() == fc.count()
     sinks.write_run_log(spark.createDataFrame([("retrain", True)], "step string, ok boolean"), str(tmp_path / "log"))
     sinks.write_run_log(spark.createDataFrame([("drift", False)], "step string, ok boolean"), str(tmp_path / "log"))
@@ -175,3 +175,49 @@ def test_registry_staleness_and_plan(spark, tmp_path):
     assert plan == {"GBT": False, "SeasonalAR": True}
     forced = drift.retrain_plan(no_drift, drift.is_stale(back, "2024-01-11 00:00:00"), force=True).collect()
     assert all(r.retrain for r in forced)
+
+
+def test_bad_cells_do_not_stop_a_mapped_read(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("date,sku_id,store_id,sales,promo,price\n2021-01-01,A_1,S,3,True,1.5\n"
+                                    "2021-01-02,A_1,S,oops,no,n/a\n2021-01-03,A_1,S,4,1,2\n")
+    out = [(r.sales, r.promo, r.price) for r in
+           readers.read_mapped(spark, str(tmp_path / "x.csv"), {}, price_default=7.0).orderBy("date").collect()]
+    assert out == [(3.0, 1, 1.5), (0.0, 0, 7.0), (4.0, 1, 2.0)]
+
+
+def test_drop_cache_takes_exact_names_and_panels_only(spark, tmp_path):
+    p = demand_panel(spark, SF001).limit(5)
+    for name, days in (("M5", 365), ("M5", None), ("M5X", 365), ("UCI", None)):
+        readers.cache_panel(p, str(tmp_path), name, days)
+    (tmp_path / "M5_notes").mkdir()
+    assert sorted(readers.drop_cache(spark, str(tmp_path), "m5")) == ["M5", "M5_365d"]
+    assert sorted(readers.drop_cache(spark, str(tmp_path))) == ["M5X_365d", "UCI"]
+    assert (tmp_path / "M5_notes").exists()
+
+
+def test_prepare_panel_in_one_call(spark, tmp_path):
+    rows = [f"2021-{m:02d}-{d:02d},S{s},I_{i},{i},0,1.0" for m in (1, 2) for d in range(1, 25) for s in (1, 2) for i in (1, 2, 3)]
+    rows += ["2021-01-01,S1,I_9,500,0,1.0"]
+    (tmp_path / "m5_sample.csv").write_text("date,store_id,item_id,sales,snap_event,sell_price\n" + "\n".join(rows))
+    out = readers.prepare_panel(spark, "M5", str(tmp_path), store="S1", top=3, history=30)
+    assert {r.sku_id for r in out.select("sku_id").distinct().collect()} == {"I_2", "I_3"}
+    assert out.where("date = '2021-01-01' AND is_holiday = 1").count() == 2
+
+
+def test_overview_and_page_totals(spark):
+    from skucast.operators.panel import datasets_overview, sku_page
+    p = demand_panel(spark, SF001)
+    rows = {r.dataset: r.n_rows for r in datasets_overview({"A": p, "B": p.limit(7)}).collect()}
+    assert rows == {"A": p.count(), "B": 7}
+    page = sku_page(p, limit=2).collect()
+    assert len(page) == 2 and {r.total for r in page} == {p.select("sku_id").distinct().count()}
+
+
+def test_cluster_without_checkpoint_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from skucast.session import ensure_checkpoint_dir
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session)

@@ -25,3 +25,13 @@ def test_drift_monitor_matches_batch_report(spark, tmp_path):
     q2 = drift_monitor(spark, str(src), cur.schema, ref, "value", str(tmp_path / "log"), str(tmp_path / "ckpt"))
     q2.awaitTermination(300)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def test_a_replayed_batch_replaces_its_report(spark, tmp_path):
+    ev = read_table(spark, SF001, "events").select("ts", "value")
+    src = tmp_path / "incoming"
+    ev.write.parquet(str(src))
+    for checkpoint in ("one", "two"):  # the second run knows nothing of the first: batch 0 is processed again
+        q = drift_monitor(spark, str(src), ev.schema, ev, "value", str(tmp_path / "log"), str(tmp_path / checkpoint))
+        q.awaitTermination(300)
+    assert [r.batch_id for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [0]
