@@ -198,7 +198,7 @@ def graph_ctes(cut: float) -> tuple[str, ...]:
     )
 
 
-GRAPH_CTES, LOW_CTES, HIGH_CTES = graph_ctes(0.5), graph_ctes(0.02), graph_ctes(0.8)
+GRAPH_CTES, LOW_CTES, HIGH_CTES = graph_ctes(0.5), graph_ctes(0.02), graph_ctes(0.12)
 for _name, _ctes in (("N01_correlation_edges", GRAPH_CTES), ("N01_correlation_edges_low", LOW_CTES)):
     sql(_name, f"SELECT src, dst, src_sku, dst_sku, {R('weight')} AS weight FROM edges", *_ctes)
 
