@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skucast.llm.common import chunks, fold_of, hashed_words, mix64, mounted, shared_folder
+from skucast.llm.common import chunks, fold_of, hashed_words, mix64, mounted, shared_folder, store_array
 
 BOS, EOS = np.uint64(0x8F1BBCDC5A827999), np.uint64(0x6ED9EBA1CA62C1D6)  # hashes of text start and end
+CHUNK_BYTES = 8 << 20
 COUNTS = "bucket int, contexts binary, runs binary, words binary, counts binary"
 STATS = "kind string, bucket int, hashes binary, sums binary"
 TOTALS = "kind string, bucket int, totals array<long>"
@@ -43,14 +44,15 @@ def _pairs(texts: pa.Array):
     ids, counts, hashes = hashed_words(texts, by_hash=True)
     all_hashes = np.concatenate((hashes, [BOS, EOS]))
     order = np.argsort(all_hashes)
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     lens = counts + 1
     ends = np.cumsum(lens) - 1
-    word = np.empty(int(lens.sum()), np.int64)
+    word = np.empty(int(lens.sum()), np.int32)
     is_end = np.zeros(len(word), bool)
     is_end[ends] = True
     word[~is_end] = rank[ids]
+    del ids, is_end
     word[ends] = rank[-1]
     context = np.empty_like(word)
     context[1:] = word[:-1]
@@ -67,9 +69,9 @@ def _pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _count_chunks(batches, bits: int):
-    for b in chunks(batches, "text"):
+    for b in chunks(batches, "text", CHUNK_BYTES):
         hashes, context, word, _ = _pairs(b["text"])
-        pair, n = np.unique(context * len(hashes) + word, return_counts=True)  # ascending (context, word) hashes
+        pair, n = np.unique(context.astype(np.int64) * len(hashes) + word, return_counts=True)  # ascending (context, word) hashes
         c, w = hashes[pair // len(hashes)], hashes[pair % len(hashes)]
         bucket = (_top(c, bits) << bits) + _top(w, bits)
         order = np.argsort(bucket, kind="stable")
@@ -98,15 +100,6 @@ def _sums_by(keys: np.ndarray, *columns: np.ndarray):
     return keys[at], [np.add.reduceat(c[order], at) if len(at) else c[:0] for c in columns], order[at]
 
 
-def _store(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes under a name of its own, then renames: readers and repeated tasks see whole files only."""
-    os.makedirs(folder, exist_ok=True)
-    part = f"{folder}/.{name}.{os.getpid()}-{os.urandom(4).hex()}"
-    with open(part, "wb") as f:
-        np.save(f, array)
-    os.replace(part, f"{folder}/{name}.npy")
-
-
 def _count_of_counts(n: np.ndarray) -> list[int]:
     return [int((n == i).sum()) for i in (1, 2, 3, 4)]
 
@@ -117,8 +110,8 @@ def _merge_pairs(pdf: pd.DataFrame, folder: str, bits: int) -> pd.DataFrame:
     w = _joined(pdf["words"], np.uint64)
     keys, (n,), first = _sums_by(_pair_key(c, w), _joined(pdf["counts"], np.uint32).astype(np.int64))
     c, w = c[first], w[first]
-    _store(folder, f"pair-{bucket}-keys", keys)
-    _store(folder, f"pair-{bucket}-counts", n.astype(np.uint32) if n.max(initial=0) < 2**32 else n)
+    store_array(folder, f"pair-{bucket}-keys", keys)
+    store_array(folder, f"pair-{bucket}-counts", n.astype(np.uint32) if n.max(initial=0) < 2**32 else n)
     one, two = (n == 1).astype(np.int64), (n == 2).astype(np.int64)
     ctx, ctx_sums, _ = _sums_by(c, n, one, two, 1 - one - two)
     words, (conts,), _ = _sums_by(w, np.ones(len(w), np.int64))
@@ -139,8 +132,8 @@ def _merge_words(pdf: pd.DataFrame, folder: str) -> pd.DataFrame:
         return pd.DataFrame({"kind": [kind], "bucket": [bucket], "totals": [totals]})
     sums = np.concatenate([np.frombuffer(s, np.int64).reshape(5, -1) for s in pdf["sums"]], axis=1)
     hashes, cols, _ = _sums_by(_joined(pdf["hashes"], np.uint64), *sums)
-    _store(folder, f"word-{bucket}-keys", hashes)
-    _store(folder, f"word-{bucket}-sums", np.stack(cols))
+    store_array(folder, f"word-{bucket}-keys", hashes)
+    store_array(folder, f"word-{bucket}-sums", np.stack(cols))
     real = (hashes != BOS) & (hashes != EOS)
     conts = cols[4][hashes != BOS]
     texts = int(cols[0][hashes == BOS].sum())  # a start is followed by one token: its count is the number of texts
@@ -205,14 +198,14 @@ def _score_chunks(batches, model: dict):
     path, bits, n, v = model["path"], model["bits"], model["tokens"], model["vocabulary"]
     d, e = np.array([0, *model["pair_discounts"]]), np.array([0, *model["word_discounts"]])
     pairs, (m1, m2, m3, m4) = max(model["pairs"], 1), model["word_counts"]
-    for b in chunks(batches, "text"):
+    for b in chunks(batches, "text", CHUNK_BYTES):
         hashes, context, word, lens = _pairs(b["text"])
         total, f1, f2, f3, conts = _look_up(path, "word", _top(hashes, bits), hashes, 5)
         count = np.where(hashes == EOS, model["texts"], np.where(hashes == BOS, 0, total))
         # lower order: contexts of a word, interpolated with the uniform share of V + 1 words
         over = (e[1] * m1 + e[2] * m2 + e[3] * max(model["types"] - m1 - m2, 0)) / pairs if n else 1.0
         low = np.maximum(conts - e[np.minimum(conts, 3)], 0) / pairs + over / (v + 1)
-        pair, inverse = np.unique(context * len(hashes) + word, return_inverse=True)
+        pair, inverse = np.unique(context.astype(np.int64) * len(hashes) + word, return_inverse=True)
         c, w = pair // len(hashes), pair % len(hashes)
         bucket = (_top(hashes[c], bits) << bits) + _top(hashes[w], bits)
         (both,) = _look_up(path, "pair", bucket, _pair_key(hashes[c], hashes[w]), 1)
