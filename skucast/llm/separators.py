@@ -1,11 +1,13 @@
 """Operator 8: token counts of documents in flat, unindexed token files, by a separator scan.
 
 A token file is a flat array of little-endian unsigned integers; documents follow each other, each closed by the
-separator id, and nothing says where. Files are read by Spark's binary reader and cut into blocks of ``BLOCK``
-tokens; a vectorised search finds the separators of each block, on its own and in parallel. A document that spans
-blocks is stitched by a prefix scan over the block summaries (number of separators, last separator): within runs
-of ``RUN`` blocks, then over the runs of a file, so neither a file nor a run of blocks without a separator is
-gathered. Tokens after the last separator are an open document.
+separator id, and nothing says where. Files come from Spark's binary reader (a name ending in ``.z`` means
+zlib-compressed content) and are scanned in blocks of ``BLOCK`` tokens; a vectorised search finds the separators
+of each block, on its own. A document that spans blocks is stitched by a prefix scan over the block summaries
+(number of separators, last separator): within runs of ``RUN`` blocks, then over the runs of a file, so neither a
+file's documents nor a run of blocks without a separator is gathered. Tokens after the last separator are an open
+document. The binary reader holds a file in memory: files of up to 2 GB can be read, ours are closed at
+``FILE_BYTES``.
 
 Defined results: a document without tokens counts 0; an empty file has no documents; ``closed`` is false for the
 tokens after the last separator only. Writing: null texts are empty documents, null ids and repeated rows are
@@ -15,6 +17,7 @@ documents of their own; further columns are ignored.
 from __future__ import annotations
 
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +36,29 @@ NAMES = "file string, ordinal long, doc_id long"
 def _write(batches, folder: str, path: str, pattern: str, separator: int, dtype: str):
     code, task = encoder(path, pattern), TaskContext.get().partitionId()
     os.makedirs(folder, exist_ok=True)
-    number, ordinal, out = 0, 0, None
+    number, ordinal, out, pack, size = 0, 0, None, None, 0
+
+    def name() -> str:
+        return f"tokens-{task:06d}-{number:06d}.bin.z"
 
     def close():
+        out.write(pack.flush())
         out.close()
-        os.replace(out.name, f"{folder}/tokens-{task:06d}-{number:06d}.bin")
+        os.replace(out.name, f"{folder}/{name()}")
 
     for b in chunks(batches, "text"):
         files, ordinals = [], []
         for text in b["text"].to_pylist():
             if out is None:
                 out = open(f"{folder}/.tokens-{task}-{os.urandom(6).hex()}", "wb")
-            out.write(np.array([*code.encode_ordinary(text), separator], dtype).tobytes())
-            files.append(f"tokens-{task:06d}-{number:06d}.bin")
+                pack, size = zlib.compressobj(1), 0
+            tokens = np.array([*code.encode_ordinary(text), separator], dtype).tobytes()
+            out.write(pack.compress(tokens))
+            size += len(tokens)
+            files.append(name())
             ordinals.append(ordinal)
             ordinal += 1
-            if out.tell() >= FILE_BYTES:
+            if size >= FILE_BYTES:
                 close()
                 number, ordinal, out = number + 1, 0, None
         yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(ordinals, pa.int64()), b["doc_id"]],
@@ -69,32 +79,29 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, separator: int,
     return uri, written(rows.mapInArrow(lambda it: _write(it, where, path, pattern, separator, dtype), NAMES), "names")
 
 
-def read_blocks(spark: SparkSession, uri: str, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
-    """(file, block, tokens): the token files below ``uri`` in blocks of ``block`` tokens."""
-    step = np.dtype(dtype).itemsize * block
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").schema("path string, modificationTime timestamp, length long, content binary").load(uri)
-             .where("length > 0").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "length", "content"))
-    cut = F.transform(F.sequence(F.lit(0), ((F.col("length") - 1) / step).cast("int")),
-                      lambda i: F.col("content").substr(i * step + 1, F.lit(step)))
-    return files.select("file", F.posexplode(cut).alias("block", "tokens"))
+def read_files(spark: SparkSession, uri: str) -> DataFrame:
+    """(file, content) of the token files below ``uri``."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{bin,bin.z}")
+             .schema("path string, modificationTime timestamp, length long, content binary").load(uri))
+    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
 
 
-def document_tokens(blocks: DataFrame, separator: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
-    """(file, ordinal, start, n_tokens, closed) of every document of every file."""
+def document_tokens(files: DataFrame, separator: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
+    """(file, ordinal, start, n_tokens, closed) of every document of every file (file, content)."""
 
     def scan(batches):
         for b in batches:
-            ends, sizes = [], []
-            for tokens in b["tokens"]:
-                ids = np.frombuffer(tokens.as_buffer(), dtype)
-                ends.append(np.flatnonzero(ids == separator))
-                sizes.append(len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [b["file"], b["block"].cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))],
-                names=["file", "block", "size", "ends"])
-
-    found = blocks.select("file", "block", "tokens").mapInArrow(
-        scan, "file string, block long, size long, ends array<long>")
+            for file, content in zip(b["file"].to_pylist(), b["content"]):
+                raw = content.as_buffer()
+                ids = np.frombuffer(zlib.decompress(raw) if file.endswith(".z") else raw, dtype)
+                parts = [ids[i:i + block] for i in range(0, len(ids), block)]
+                ends = [np.flatnonzero(p == separator) for p in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()),
+                     pa.array([len(p) for p in parts], pa.int64()), pa.array(ends, pa.list_(pa.int64()))],
+                    names=["file", "block", "size", "ends"])
+
+    found = files.mapInArrow(scan, "file string, block long, size long, ends array<long>")
     base = F.col("block") * block
     found = found.select("file", "block", (base + F.col("size")).alias("stop"), F.size("ends").alias("n"),
                          F.transform("ends", lambda e: e + base).alias("ends"),

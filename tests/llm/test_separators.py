@@ -1,7 +1,7 @@
 """Separator scan against a plain scan, across block and run borders, and token counts of real texts."""
 
-import os
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -29,9 +29,12 @@ def test_matches_plain_scan(spark, tmp_path, monkeypatch, block, run):
         files[f"f{k}.bin"] = [SEP if rng.random() < chance else rng.randrange(SEP) for _ in range(60)]
     files |= {"empty.bin": [], "one.bin": [SEP], "open.bin": [1, 2, SEP, 3]}
     for name, ids in files.items():
-        np.array(ids, "<u2").tofile(tmp_path / name)
-    blocks = separators.read_blocks(spark, str(tmp_path), block=block)
-    got = sorted(tuple(r) for r in separators.document_tokens(blocks, SEP, block=block).collect())
+        raw = np.array(ids, "<u2").tobytes()
+        (tmp_path / name).write_bytes(raw)
+        (tmp_path / f"{name}.z").write_bytes(zlib.compress(raw))
+    files |= {f"{name}.z": ids for name, ids in files.items()}
+    got = sorted(tuple(r) for r in separators.document_tokens(
+        separators.read_files(spark, str(tmp_path)), SEP, block=block).collect())
     assert got == sorted((n, *row) for n, ids in files.items() for row in plain(ids))
 
 
@@ -42,7 +45,7 @@ def test_writes_and_counts_real_texts(spark, monkeypatch):
     docs = df.union(extra).repartition(3)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     uri, names = separators.write_token_files(docs, path, public_tokenizers.PATTERN, 50256)
-    counts = separators.document_tokens(separators.read_blocks(spark, uri, block=500), 50256, block=500)
+    counts = separators.document_tokens(separators.read_files(spark, uri), 50256, block=500)
     rows = counts.join(names, ["file", "ordinal"]).collect()
     code = packing.encoder(path, public_tokenizers.PATTERN)
     want = sorted((str(r.doc_id), len(code.encode_ordinary(r.text or ""))) for r in docs.collect())
@@ -54,4 +57,4 @@ def test_no_documents(spark):
     uri, names = separators.write_token_files(none, public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                               public_tokenizers.PATTERN, 50256)
     assert names.count() == 0
-    assert separators.document_tokens(separators.read_blocks(spark, uri), 50256).count() == 0
+    assert separators.document_tokens(separators.read_files(spark, uri), 50256).count() == 0
