@@ -102,7 +102,60 @@ def op1_near_duplicates(spark, sf):
 
 @query("op7_lm_scores")
 def op7_lm_scores(spark, sf):
-    return kneser_ney.model_scores(table(spark, sf, "documents"))
+    out = kneser_ney.model_scores(table(spark, sf, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score", "perplexity")})
+
+
+def _crc32(text: str) -> str:
+    """DuckDB expression of the CRC-32 of an ASCII text."""
+    return (f"xor(list_reduce([4294967295] || [CAST(ord(ch) AS BIGINT) for ch in string_split({text}, '')], "
+            "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], "
+            "lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)")
+
+
+def _sql_discounts(counts: str) -> str:
+    """Columns d1, d2, d3 of the discounts from columns n1 to n4."""
+    y = "(n1 / (n1 + 2.0 * n2))"
+    raw = [f"1 - 2 * {y} * n2 / n1", f"2 - 3 * {y} * n3 / n2", f"CASE WHEN n3 > 0 THEN 3 - 4 * {y} * n4 / n3 ELSE 2.0 END"]
+    return "SELECT " + ", ".join(
+        f"CASE WHEN n1 = 0 OR n2 = 0 THEN 0.5 ELSE least(greatest({r}, 0.0), {i}.0) END AS d{i}"
+        for i, r in enumerate(raw, 1)) + f" FROM {counts}"
+
+
+def _counts_of(column: str) -> str:
+    return ", ".join(f"count_if({column} = {i}) AS n{i}" for i in (1, 2, 3, 4))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE["op7_lm_scores"] = rf"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 10 = 0 AS held,
+                      translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+seqs AS (SELECT rid, doc_id, held, [' start'] || [x for x in regexp_split_to_array(t, '[ 	-]+') if x <> '']
+                || [' end'] AS w FROM texts),
+steps AS (SELECT rid, held, w[i] AS c, w[i + 1] AS x FROM (SELECT *, unnest(range(1, len(w))) AS i FROM seqs)),
+pairs AS (SELECT c, x, count(*) AS n FROM steps WHERE NOT held GROUP BY ALL),
+words AS (SELECT x, sum(n) AS k, count(*) AS conts FROM pairs GROUP BY x),
+ctx AS (SELECT c, sum(n) AS total, count_if(n = 1) AS f1, count_if(n = 2) AS f2, count_if(n > 2) AS f3 FROM pairs GROUP BY c),
+d AS ({_sql_discounts(f"(SELECT {_counts_of('n')} FROM pairs)")}),
+e AS ({_sql_discounts(f"(SELECT {_counts_of('conts')} FROM words)")}),
+g AS (SELECT sum(k) AS n_all, count(*) AS v, sum(conts) AS p,
+             (SUM(CASE conts WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END)) / sum(conts) AS over FROM words, e),
+low AS (SELECT x, k, greatest(conts - CASE conts WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) / p + over / (v + 1) AS low
+        FROM words, e, g),
+scored AS (
+  SELECT s.rid, coalesce(l.k, 0) AS k, v, n_all,
+         CASE WHEN ctx.c IS NULL THEN coalesce(l.low, over / (v + 1)) ELSE
+           coalesce(greatest(b.n - CASE b.n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0), 0) / total
+           + (d1 * f1 + d2 * f2 + d3 * f3) / total * coalesce(l.low, over / (v + 1)) END AS p
+  FROM steps s CROSS JOIN d CROSS JOIN g LEFT JOIN low l ON l.x = s.x LEFT JOIN ctx ON ctx.c = s.c
+  LEFT JOIN pairs b ON b.c = s.c AND b.x = s.x),
+sums AS (SELECT rid, count(*) AS n_tokens, count_if(k > 0) AS n_known, CAST(any_value(n_all) AS BIGINT) AS train_tokens,
+                sum(log10((k + 0.1::DOUBLE) / (n_all + 0.1::DOUBLE * (v + 1)))) AS base_score, sum(log10(p)) AS score
+         FROM scored GROUP BY rid)
+SELECT doc_id, held AS held_out, n_tokens, n_known, train_tokens, round(base_score, 6) AS base_score,
+       round(score, 6) AS score, round(pow(10, -score / n_tokens), 6) AS perplexity
+FROM sums JOIN seqs USING (rid)
+"""
 
 
 @query("op5_byte_bpe")
@@ -143,6 +196,33 @@ def op6_licence_scan(spark, sf):
     return licences.scan(table(spark, sf, "documents")).withColumn("dice", F.round("dice", 9))
 
 
+_TEMPLATES = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in licences.TEMPLATES.items())
+_SQL_WORDS = r"regexp_extract_all(lower(t), '[\p{L}\p{N}]+(\.\p{Nd}+)*')"
+ORACLE["op6_licence_scan"] = rf"""
+WITH templates AS (SELECT * FROM (VALUES {_TEMPLATES}) v(licence, t)),
+texts AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS lines, text FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT rid, doc_id, i - 1 AS i, lines[i] AS t FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM texts)),
+full_lines AS (SELECT *, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS island FROM lines WHERE regexp_matches(t, '\S')),
+paragraphs AS (SELECT rid, doc_id, min(i) AS i, string_agg(t, chr(10) ORDER BY i) AS t, count(*) AS n
+               FROM full_lines GROUP BY rid, doc_id, island),
+spans AS (
+  SELECT doc_id, rid, 'line' AS kind, i, t FROM full_lines
+  UNION ALL SELECT doc_id, rid, 'paragraph', i, t FROM paragraphs WHERE n > 1
+  UNION ALL SELECT doc_id, rid, 'text', 0, text FROM texts WHERE rid IN (SELECT rid FROM paragraphs GROUP BY rid HAVING count(*) > 1)),
+sized AS (SELECT *, CASE WHEN len(w) = 1 THEN 1 ELSE len(w) - 1 END AS size FROM (SELECT *, {_SQL_WORDS} AS w FROM spans)),
+twords AS (SELECT *, CASE WHEN len(w) = 1 THEN 1 ELSE len(w) - 1 END AS size FROM (SELECT *, {_SQL_WORDS} AS w FROM templates)),
+near AS (SELECT s.*, row_number() OVER () AS k, t.licence, t.w AS tw, t.size AS tsize FROM sized s JOIN twords t
+         ON s.size >= t.size * 0.8 / 1.2 - 1e-9 AND s.size <= t.size * 1.2 / 0.8 + 1e-9),
+a AS (SELECT k, g, count(*) AS n FROM (SELECT k, unnest([w[i] || ' ' || coalesce(w[i + 1], w[1]) for i in range(1, size + 1)]) AS g
+      FROM near) GROUP BY ALL),
+b AS (SELECT k, g, count(*) AS n FROM (SELECT k, unnest([tw[i] || ' ' || coalesce(tw[i + 1], tw[1]) for i in range(1, tsize + 1)]) AS g
+      FROM near) GROUP BY ALL),
+shared AS (SELECT k, sum(least(a.n, b.n)) AS n FROM a JOIN b USING (k, g) GROUP BY k)
+SELECT doc_id, kind, CAST(i AS INTEGER) AS first_line, licence, round(2.0 * n / (size + tsize), 9) AS dice
+FROM near JOIN shared USING (k) WHERE 2.0 * n / (size + tsize) >= 0.8 - 1e-9
+"""
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark, sf):
     import public_tokenizers
