@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skucast.llm import dart, mil, packing, rules
-from skucast.llm.common import table, written
+from skucast.llm.common import free_name, table, written
 
 #: No SQL twin: the classifier is trained. Stages are tested against brute-force versions.
 ORACLE_SQL = None
@@ -21,10 +21,11 @@ ORACLE_SQL = None
 
 def _rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, text_hash) is in ``chosen``."""
-    mine = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    picked = chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"))
-    return mine.join(picked, (F.col("_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")),
-                     "left_semi").drop("_hash")
+    name = free_name(docs, "_hash")
+    mine = docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit("")))).alias("mine")
+    picked = chosen.select("doc_id", "text_hash").alias("picked")
+    same = (F.col(f"mine.{name}") == F.col("picked.text_hash")) & F.col("mine.doc_id").eqNullSafe(F.col("picked.doc_id"))
+    return mine.join(picked, same, "left_semi").drop(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = mil.fit(docs, table(spark, sf_dir, "labels"))
-    return mil.score(docs, model, "_score").where(F.col("_score") >= mil.THRESHOLD).drop("_score")
+    name = free_name(docs, "_score")
+    return mil.score(docs, model, name).where(F.col(name) >= mil.THRESHOLD).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

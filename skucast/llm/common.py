@@ -42,6 +42,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores before it until no column of ``df`` has it."""
+    while name.lower() in [c.lower() for c in df.columns]:
+        name = f"_{name}"
+    return name
+
+
 def fold_of(n: int, col: str = "doc_id") -> Column:
     """crc32 of the id's text modulo ``n``; a null id counts as the empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

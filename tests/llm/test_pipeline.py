@@ -36,6 +36,16 @@ def test_stages_on_real_tables(spark):
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_columns_with_clashing_names_pass_through(spark):
+    extra = {n: f"'{n}'" for n in ("_hash", "_score", "text_hash", "kept", "score", "node", "bands", "n_words", "group", "_id", "picked")}
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(40).selectExpr("*", *[f"{v} AS `{n}`" for n, v in extra.items()])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF001)
+        assert out.columns == docs.columns and out.count() > 0
+        assert out.select(*extra).distinct().collect() == [tuple(extra)]
+    assert corpus_pipeline.best_fit_packing(spark, docs, SF001).count() >= 40
+
+
 def test_odd_rows(spark):
     long = " ".join(f"word{i}" for i in range(70))
     rows = [(None, long, None, None, None), (1, None, "en", "s", 0), (2, long, "en", "s", 1), (2, long, "en", "s", 1),
