@@ -90,20 +90,16 @@ def encdec_windows(df: DataFrame, enc: int = 30, dec: int = 14, min_enc: int | N
     min_enc = enc // 2 if min_enc is None else min_enc
     cutoff = df.select(F.max("time_idx")).scalar() - dec
     w = series_window(keys)
-    enc_f = w.rowsBetween(-enc, -1)
-    dec_f = w.rowsBetween(0, dec - 1)
-
-    def windows(frame: DataFrame) -> DataFrame:
-        return frame.select(
-            *keys, "date", "time_idx",
-            F.collect_list(target).over(enc_f).alias("encoder"),
-            F.collect_list(target).over(dec_f).alias("decoder"),
-            F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("date"))).alias("_rn_desc"))
-
-    train = windows(df.where(F.col("time_idx") <= cutoff))
-    train = train.where((F.size("encoder") >= min_enc) & (F.size("decoder") == dec)).withColumn("split", F.lit("train"))
-    val = windows(df).where((F.col("_rn_desc") == dec) & (F.size("encoder") >= min_enc)).withColumn("split", F.lit("val"))
-    return train.unionByName(val).drop("_rn_desc")
+    t = df.select(
+        *keys, "date", "time_idx",
+        F.collect_list(target).over(w.rowsBetween(-enc, -1)).alias("encoder"),
+        F.collect_list(target).over(w.rowsBetween(0, dec - 1)).alias("decoder"),
+        F.lead("date", dec).over(w).isNull().alias("_last"))
+    t = t.where((F.size("encoder") >= min_enc) & (F.size("decoder") == dec))
+    # a window of a short series can be both: its last one, and wholly before the cut-off
+    splits = F.array_compact(F.array(F.when(F.col("time_idx") + dec - 1 <= cutoff, F.lit("train")),
+                                     F.when(F.col("_last"), F.lit("val"))))
+    return t.withColumn("split", F.explode(splits)).drop("_last")
 
 
 def multitask_prepare(df: DataFrame, aux_col: str = "inventory_level", keys: Sequence[str] = KEYS) -> DataFrame:

@@ -24,6 +24,11 @@ def _sum_array(c):
     return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _weighted_sum(c):
+    """Sum of position x value: depends on the order of a window, not on its values alone."""
+    return _sum_array(F.transform(c, lambda x, i: x * (i + 1)))
+
+
 # ================================================================= G: samples
 @query("G01_multi_horizon")
 def q_multi_horizon(spark, sf):
@@ -46,6 +51,7 @@ def q_sequence_samples(spark, sf):
     s = sequence_samples(panel(spark, sf, reuse=True), seq_len=30, horizon=7, features=["promo", "price"])
     return finish(s.select(*KEYS, "date", "s_min", "s_max", "y", F.size("x").alias("seq_len"),
                            _sum_array(F.transform("x", lambda v: v[0])).alias("seq_sales_sum"),
+                           _weighted_sum(F.transform("x", lambda v: v[0])).alias("seq_sales_weighted"),
                            F.element_at(F.element_at("x", -1), 3).alias("last_price_z")))
 
 
@@ -56,7 +62,8 @@ def q_encdec(spark, sf):
     w = encdec_windows(prep, 30, 14)
     return finish(w.select(*KEYS, "date", "time_idx", "split", F.size("encoder").alias("enc_len"),
                            F.size("decoder").alias("dec_len"), _sum_array("encoder").alias("enc_sum"),
-                           _sum_array("decoder").alias("dec_sum")))
+                           _sum_array("decoder").alias("dec_sum"), _weighted_sum("encoder").alias("enc_weighted"),
+                           _weighted_sum("decoder").alias("dec_weighted")))
 
 
 @query("G06_multitask_prepare")

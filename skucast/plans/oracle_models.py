@@ -63,11 +63,14 @@ SELECT sku_id, store_id, date, sales, lag_1, lag_7, CAST(t.h AS INTEGER) AS hori
 
 sql("G03_sequence_samples", f"""
 SELECT sku_id, store_id, date, s_min, s_max, {R('y')} AS y, CAST(seq_len AS INTEGER) AS seq_len,
-       {R('ssum')} AS seq_sales_sum, {R('price_z')} AS last_price_z FROM (
+       {R('ssum')} AS seq_sales_sum, {R('wsum - (rn - 30) * ssum')} AS seq_sales_weighted,
+       {R('price_z')} AS last_price_z FROM (
   SELECT *, COUNT(*) OVER ({FR} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS seq_len,
          SUM(sn) OVER ({FR} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS ssum,
+         SUM(rn * sn) OVER ({FR} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS wsum,
          lead(sn, 7) OVER ({FR}) AS y FROM (
     SELECT p.sku_id, p.store_id, p.date, st.s_min, st.s_max,
+           ROW_NUMBER() OVER (PARTITION BY p.sku_id, p.store_id ORDER BY p.date) AS rn,
            (p.sales - st.s_min) / (st.s_max - st.s_min + 1e-8) AS sn,
            (p.price - st.mpr) / (st.spr + 1e-8) AS price_z
     FROM panel p JOIN (SELECT sku_id, store_id, MIN(sales) AS s_min, MAX(sales) AS s_max,
@@ -78,12 +81,15 @@ WHERE seq_len = 30 AND y IS NOT NULL""")
 
 def _encdec_select(src: str, split: str, cond: str) -> str:
     return f"""SELECT sku_id, store_id, date, time_idx, '{split}' AS split, CAST(enc_len AS INTEGER) AS enc_len,
-       CAST(dec_len AS INTEGER) AS dec_len, {R('enc_sum')} AS enc_sum, {R('dec_sum')} AS dec_sum FROM (
+       CAST(dec_len AS INTEGER) AS dec_len, {R('enc_sum')} AS enc_sum, {R('dec_sum')} AS dec_sum,
+       {R('enc_w - (time_idx - enc_len) * enc_sum')} AS enc_weighted, {R('dec_w - time_idx * dec_sum')} AS dec_weighted FROM (
   SELECT sku_id, store_id, date, time_idx,
          COUNT(sales) OVER ({FR} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS enc_len,
          COUNT(sales) OVER ({FR} ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) AS dec_len,
          COALESCE(SUM(sales) OVER ({FR} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 0.0) AS enc_sum,
          COALESCE(SUM(sales) OVER ({FR} ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING), 0.0) AS dec_sum,
+         COALESCE(SUM((time_idx + 1) * sales) OVER ({FR} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 0.0) AS enc_w,
+         COALESCE(SUM((time_idx + 1) * sales) OVER ({FR} ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING), 0.0) AS dec_w,
          ROW_NUMBER() OVER (PARTITION BY sku_id, store_id ORDER BY date DESC) AS rn_desc
   FROM {src}) WHERE {cond}"""
 
