@@ -9,10 +9,11 @@ value, so two texts agree on a coordinate with probability equal to their weight
 with an empty coordinate throws on to twice the rank.
 
 Groups: equal texts are one node. Nodes that share a band of the signature are compared with the bucket's hub
-(its member that meets most others), and a pair is linked if the exact Jaccard similarity of the shingle sets
-reaches the threshold. Buckets that still hold several components are compared again, one member of each drawn
-anew each round, with hub and neighbours in the bucket, until no round merges any. So a bucket of m
-texts yields O(m) pairs a round, never m squared; buckets of over ``PART`` members are ordered in parts.
+(its member that meets most others): if their signatures agree about enough, a pair is linked if the exact
+Jaccard similarity of the shingle sets reaches the threshold. Buckets that still hold several components are
+compared again, every member outside the bucket's most frequent component with the signatures of the rest, of
+which only the most alike become pairs, until no round merges any. So a bucket yields pairs in proportion to its
+members, never their square; buckets of over ``PART`` members are compared in parts.
 
 Defined results: null and empty texts are equal texts without shingles, one group of their own; rows with a
 repeated id stay rows; a null id takes part, a group's class is its smallest id that is not null; an empty table
@@ -23,14 +24,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skucast.llm.common import chunks, hashed_words, mix64, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5  # a pair at similarity 0.8 shares no band with probability 5e-5
-PART, NEIGHBOURS = 1024, 4
+PART, BEST, SLACK = 1024, 24, 0.15
+CHUNK_BYTES, CHUNK_TEXTS = 4 << 20, 1000  # a text throws about t darts however short it is
 
 
 def _throw(element: np.ndarray, unit: np.ndarray, room: np.ndarray, owner: np.ndarray, phi: np.ndarray, k: int,
@@ -98,11 +100,12 @@ def shingle_hashes(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray, size
 
 
 def band_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, bands): the 128-bit digest of the text and its band hashes (null without shingles)."""
+    """(doc_id, text_hash, node, bands, sketch): two hashes of the text, the 128-bit one naming its node, its band
+    hashes (null without shingles) and a byte of every signature value."""
     k = bands * rows
 
     def work(batches):
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", CHUNK_BYTES, CHUNK_TEXTS):
             ids, counts, hashes = hashed_words(b["text"])
             element, owner = shingle_hashes(ids, counts, hashes)
             # a set: every occurrence throws the same darts, so repeats change nothing but the rank limit
@@ -110,16 +113,19 @@ def band_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
             value = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2])
             for j in range(rows):
                 value = mix64(value + sig[:, :, j] * np.uint64(0x9E3779B97F4A7C15))
+            sketch = (sig.reshape(b.num_rows, k) & np.uint64(0xFF)).astype(np.uint8)
             some = np.bincount(owner, minlength=b.num_rows) > 0
             offsets = np.arange(b.num_rows + 1, dtype=np.int32) * bands
             lists = pa.ListArray.from_arrays(offsets, pa.array(value.reshape(-1).view(np.int64)),
                                              mask=pa.array(~some))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["node"], lists], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], b["text_hash"], b["node"], lists, pa.array([r.tobytes() for r in sketch], pa.binary())],
+                names=["doc_id", "text_hash", "node", "bands", "sketch"])
 
     text = F.coalesce("text", F.lit(""))
-    src = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text.cast("binary"))).alias("node"),
-                      text.alias("text"))
-    return src.mapInArrow(work, "doc_id long, node binary, bands array<long>")
+    src = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"),
+                      F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
+    return src.mapInArrow(work, "doc_id long, text_hash long, node binary, bands array<long>, sketch binary")
 
 
 def _shingle_set(text: str) -> frozenset:
@@ -129,104 +135,172 @@ def _shingle_set(text: str) -> frozenset:
     return frozenset(zip(*(words[i:] for i in range(WORDS))))
 
 
+def _small(df: DataFrame, label: str) -> DataFrame:
+    """A written table of links or labels in few files: a small table of many files costs more than its rows."""
+    return written(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), label)
+
+
+def _both_sides(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """``pairs`` (a, b) with the value of both nodes. The value of ``b`` joins first: ``a`` is the node with many
+    partners, whose value then moves once and not once a partner."""
+    with_b = pairs.join(values.select(F.col("node").alias("b"), F.col(name).alias("y")), "b")
+    both = with_b.join(values.select(F.col("node").alias("a"), F.col(name).alias("x")), "a")
+    return both.select("a", "b", "x", "y")
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose signatures agree on a share of coordinates not far below ``similarity``: a pair that reaches
+    it falls out with a probability of about 1e-5 (``SLACK`` is over four standard deviations)."""
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in "xy")
+                share = ((x == y).mean(axis=1) * 256 - 1) / 255
+                keep = pa.array(share >= similarity - SLACK)
+                yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
+
+    return _both_sides(pairs, sketches, "sketch").mapInArrow(work, "a binary, b binary")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts reach the exact Jaccard similarity of their shingle sets. Rows arrive grouped
-    by ``a`` after the sort-merge join, so a hub's set is built once for its run of partners."""
+    by ``a`` after a sort-merge join, so a hub's set is built once for its run of partners."""
 
     def work(batches):
         key, left = None, frozenset()
         for batch in batches:
-            yes = []
-            for a, x, y in zip(batch["a"].to_pylist(), batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
+            keep = []
+            for a, x, y in zip(batch["a"].to_pylist(), batch["x"].to_pylist(), batch["y"].to_pylist()):
                 if a != key:
                     key, left = a, _shingle_set(x)
                 right = _shingle_set(y)
                 small, large = sorted((len(left), len(right)))
-                if small < similarity * large:
-                    yes.append(False)
-                    continue
-                both = len(left & right)
-                yes.append(both >= similarity * (small + large - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(yes, pa.bool_())],
-                                             names=["a", "b", "linked"])
+                both = len(left & right) if small >= similarity * large - 1e-9 else -1
+                keep.append(both >= 0 and both >= similarity * (small + large - both) - 1e-9)
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(chosen), batch["b"].filter(chosen)], names=["a", "b"])
 
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a binary, b binary, linked boolean")
+    return _both_sides(pairs, texts, "text").mapInArrow(work, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of the connected component of every node in ``links`` (a, b).
 
-    Labels pass to neighbours and jump over labels of labels; every round is written to the shared folder."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")),
-                     "labels")
+    Every round a node takes the smallest label among its own, its neighbours' and its label's label; rounds are
+    written to the shared folder and end when no label changes."""
+    both = _small(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = _small(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
     while True:
-        near = (both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"))
-                .agg(F.min("label").alias("near")))
-        step = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("over"))
-        new = written(step.join(jump, "next", "left").select(
-            "node", F.col("label").alias("old"), F.least("next", "over").alias("label")), "labels")
+        heard = both.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "label")
+        over = labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
+        said = (labels.select("node", "label", F.col("label").alias("old"))
+                .union(heard.select("node", "label", F.lit(None).cast("binary")))
+                .union(over.select("node", F.col("next"), F.lit(None).cast("binary"))))
+        new = _small(said.groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old")), "labels")
         labels = new.select("node", "label")
         if new.where(F.col("old") != F.col("label")).isEmpty():
             return labels
 
 
-def _bucket_pairs(members: DataFrame, neighbours: int) -> DataFrame:
-    """Pairs (a, b) of a bucket table (bucket, node, weight, size): each member with the bucket's hub, the member
-    of largest weight, and with its next ``neighbours`` in hash order within parts of the bucket. ``a`` is the
-    node of larger weight, so that joins move a hub's text once and not once a partner."""
-    me = F.struct("weight", "node")
-    hubs = members.groupBy("bucket").agg(F.max(me).alias("x"))
-    pairs = members.join(hubs, "bucket").select("x", me.alias("y"))
-    if neighbours:
-        part = F.pmod(F.xxhash64("node", "bucket"), F.floor(F.col("size") / PART) + 1)
-        w = Window.partitionBy("bucket", "part").orderBy("node")
-        near = members.withColumn("part", part).select(
-            me.alias("x"), F.array(*[F.lead(me, i).over(w) for i in range(1, neighbours + 1)]).alias("next"))
-        pairs = pairs.union(near.select("x", F.explode("next").alias("y")).where(F.col("y").isNotNull()))
-    return (pairs.where(F.col("x.node") != F.col("y.node"))
-            .select(F.greatest("x", "y")["node"].alias("a"), F.least("x", "y")["node"].alias("b")).distinct())
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket table (bucket, node, weight): the member of largest weight with every other."""
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("hub"))
+    pairs = members.join(hubs, "bucket").select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
+    return pairs.where(F.col("a") != F.col("b")).distinct()
+
+
+def alike(open_buckets: DataFrame, sketches: DataFrame, similarity: float, rows_a_band: int = ROWS) -> DataFrame:
+    """Pairs (a, b) between components that share buckets (bucket, band, node, weight, size, label).
+
+    In a bucket, every member outside the most frequent component is compared, by signature, with all members of
+    other components, and paired with the ``BEST`` most alike of each component that are alike enough; a pair is
+    made in the first bucket it shares only. Large buckets are compared in parts of about ``PART`` members, which
+    all the members outside are copied to."""
+    most = (open_buckets.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("most")))
+    parts = F.floor(F.col("size") / PART) + 1
+    own = open_buckets.select("bucket", "band", F.pmod(F.xxhash64("node", "bucket"), parts).alias("part"), "node", "weight", "label",
+                              F.lit(False).alias("probe"))
+    outside = open_buckets.join(most, "bucket").where(F.col("label") != F.col("most")).select(
+        "bucket", "band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "node", "weight", "label",
+        F.lit(True).alias("probe"))
+    rows = (own.union(outside).join(sketches, "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+            .select("bucket", "part", "band", "node", "weight", "label", "probe", "sketch"))
+
+    def compare(band: int, group: list[tuple]) -> list[tuple]:
+        """(heavier node, lighter node) of one part; rows are (node, weight, label, probe, sketch)."""
+        probes, others = [g for g in group if g[3]], [g for g in group if not g[3]]
+        if not probes or not others:
+            return []
+        table = np.frombuffer(b"".join(g[4] for g in others), np.uint8).reshape(len(others), -1)
+        found = []
+        for x in probes:
+            same = table == np.frombuffer(x[4], np.uint8)
+            share = (same.mean(axis=1) * 256 - 1) / 255
+            met = same[:, :band * rows_a_band].reshape(len(others), band, rows_a_band).all(axis=2).any(axis=1)
+            taken: dict[bytes, int] = {}
+            for i in sorted(np.flatnonzero((share >= similarity - SLACK) & ~met).tolist(), key=lambda i: -share[i]):
+                y = others[i]
+                if y[2] != x[2] and taken.get(y[2], 0) < BEST:
+                    taken[y[2]] = taken.get(y[2], 0) + 1
+                    found.append((x[0], y[0]) if (x[1], x[0]) > (y[1], y[0]) else (y[0], x[0]))
+        return found
+
+    def work(batches):
+        key, group, out = (0, 0, 0), [], []
+        for batch in batches:
+            columns = [batch[c].to_pylist() for c in ("bucket", "part", "band", "node", "weight", "label", "probe", "sketch")]
+            for row in zip(*columns):
+                if row[:3] != key:
+                    out += compare(key[2], group)
+                    key, group = row[:3], []
+                group.append(row[3:])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            out = []
+        out = compare(key[2], group)
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.mapInArrow(work, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, class_id) for every row: the class is the smallest id of the row's group."""
+    """(doc_id, text_hash, group, class_id) for every row: the group's smallest node, and its smallest id."""
     marks = written(band_table(docs, bands, rows), "bands")
-    nodes = marks.where(F.col("bands").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"))
-    every = nodes.select("node", F.explode("bands").alias("bucket"))
+    every = (marks.where(F.col("bands").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"))
+             .select("node", F.posexplode("bands").alias("band", "bucket")))
     sizes = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = written(every.join(sizes, "bucket"), "buckets")
     degree = shared.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = written(shared.join(degree, "node").select("bucket", "node", "weight", "size"), "members")
+    members = written(shared.join(degree, "node").select("bucket", "band", "node", "weight", "size"), "members")
+    known = members.select("node").distinct()
+    sketches = written(marks.join(known, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
+
+    tested = _small(likely(hub_pairs(members), sketches, similarity), "likely")
     texts = written(
         docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("node"), "text")
-        .join(degree.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
-
-    pairs = _bucket_pairs(members, 0)
-    tested = links = labels = None
-    round_no = 0
-    while True:
-        fresh = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        seen = written(verified(fresh, texts, similarity), "tested")
-        tested = seen.select("a", "b") if tested is None else tested.union(seen.select("a", "b"))
-        new = seen.where("linked").select("a", "b")
-        if labels is not None:  # only links between components change anything
-            la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-            new = written(new.join(la, "a", "left").join(lb, "b", "left")
-                          .where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"), "new")
-            if new.isEmpty():
-                break
-        links = new if links is None else links.union(new)
-        labels = components(links)
-        round_no += 1
-        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        .join(known, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    labels = components(_small(verified(tested, texts, similarity), "links"))
+    open_buckets = members
+    while True:  # buckets that hold several components
+        named = open_buckets.select("bucket", "band", "node", "weight", "size").join(labels, "node", "left").withColumn(
+            "label", F.coalesce("label", "node"))
         several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        drawn = (named.join(several.select("bucket"), "bucket", "left_semi").groupBy("bucket", "label", "size")
-                 .agg(F.max(F.struct(F.xxhash64("node", "bucket", F.lit(round_no)), "node", "weight")).alias("m")))
-        pairs = _bucket_pairs(drawn.select("bucket", "m.node", "m.weight", "size"), NEIGHBOURS)
-
-    named = marks.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return named.join(classes, "label").select("doc_id", "node", "class_id")
+        open_buckets = _small(named.join(several.select("bucket"), "bucket", "left_semi"), "open")
+        fresh = _small(alike(open_buckets, sketches, similarity, rows).join(tested, ["a", "b"], "left_anti"), "alike")
+        new = _small(verified(fresh, texts, similarity), "new")
+        if new.isEmpty():
+            break
+        tested = tested.union(fresh)
+        la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
+        joined = new.join(la, "a", "left").join(lb, "b", "left").select(
+            F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        roots = components(joined).toDF("label", "root")
+        every = labels.union(new.select("a", "a")).union(new.select("b", "b"))  # linked for the first time: own labels
+        labels = _small(every.groupBy("node").agg(F.min("label").alias("label")).join(roots, "label", "left")
+                        .select("node", F.coalesce("root", "label").alias("label")), "labels")
+
+    named = marks.select("doc_id", "text_hash", "node").join(labels, "node", "left").select(
+        "doc_id", "text_hash", F.coalesce("label", "node").alias("group"))
+    classes = named.groupBy("group").agg(F.min("doc_id").alias("class_id"))
+    return named.join(classes, "group").select("doc_id", "text_hash", "group", "class_id")
