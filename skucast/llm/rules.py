@@ -105,11 +105,11 @@ def certified_cutoffs(good: DataFrame, stratum: str, max_loss: float, risk: floa
     per = (good.select(F.col(stratum).alias("stratum"), tried)
            .groupBy("stratum", "e.rule", "e.cutoff")
            .agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("e.x") > F.col("e.cutoff")).cast("long")).alias("k")))
-    tests = per.agg(F.count(F.lit(1)).alias("n_tests"))
+    tests = per.select(F.count(F.lit(1))).scalar()
     # The tail at k = n * max_loss is about one half: counts beyond cannot pass, so no longer sum is needed.
     tail = F.when(F.col("k") > F.col("n") * max_loss, F.lit(1.0)).otherwise(
         binomial_tail(F.col("n"), F.col("k"), max_loss))
-    return (per.join(F.broadcast(tests)).where(tail <= F.lit(risk) / F.col("n_tests"))
+    return (per.where(tail <= F.lit(risk) / tests)
             .groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")))
 
 
