@@ -30,6 +30,7 @@ PASSAGE, BUCKETS = 64, 64
 SAMPLE, TRAIN_PASSAGES = 4000, 32
 HIDDEN, ATTENTION, STEPS, RATE, DECAY = 24, 12, 60, 0.03, 1e-4
 THRESHOLD = 0.3
+CHUNK_BYTES = 6 << 20
 N_FIGURES = 12
 WIDTH = N_FIGURES + BUCKETS
 
@@ -119,7 +120,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, folds: int, sample: int) -
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def work(batches):
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", CHUNK_BYTES):
             x, n = passages(b["text"])
             at, bags, kept = 0, [], []
             for k in n.tolist():
@@ -173,7 +174,7 @@ def score(docs: DataFrame, model: dict | None, col: str = "score") -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(col, T.DoubleType())])
 
     def work(batches):
-        for b in chunks(batches, "text"):
+        for b in chunks(batches, "text", CHUNK_BYTES):
             if model is None:
                 p = np.full(b.num_rows, 0.5)
             else:
