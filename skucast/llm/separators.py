@@ -29,7 +29,7 @@ from skucast.llm.common import chunks, mounted, shared_folder, written
 from skucast.llm.packing import encoder
 
 BLOCK, RUN = 1 << 16, 1 << 10
-FILE_BYTES = 32 << 20  # a file is closed after the document that passes this size
+FILE_BYTES = 8 << 20  # a file is closed after the document that passes this size
 NAMES = "file string, ordinal long, doc_id long"
 
 
@@ -46,7 +46,7 @@ def _write(batches, folder: str, path: str, pattern: str, separator: int, dtype:
         out.close()
         os.replace(out.name, f"{folder}/{name()}")
 
-    for b in chunks(batches, "text"):
+    for b in chunks(batches, "text", FILE_BYTES):
         files, ordinals = [], []
         for text in b["text"].to_pylist():
             if out is None:
