@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from skucast.llm.common import chunks, mounted, shared_folder, store_array, written
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES, PIECES_AT_ONCE = 8 << 20, 100_000
 CUT = "doc_ids array<long>, counts array<int>, low binary, high binary, pieces binary, lens binary"
 BUCKETS = 1 << 13
 LONG_PIECE = 512
@@ -156,16 +156,25 @@ def _cut(batches, pattern: str):
 
     find = regex.compile(pattern).findall
     for b in chunks(batches, "text", CHUNK_BYTES):
-        found, counts = [], []
-        for text in b["text"].to_pylist():
-            pieces = find(text)
+        parts, found, counts = [], [], []
+        for text in b["text"]:
+            pieces = find(text.as_py())
             found += pieces
             counts.append(len(pieces))
-        coded = pa.array(found, pa.large_string()).dictionary_encode()
-        del found
+            if len(found) > PIECES_AT_ONCE:
+                parts.append(pa.array(found, pa.large_string()))
+                found = []
+        coded = pa.concat_arrays([*parts, pa.array(found, pa.large_string())]).dictionary_encode()
+        del parts, found
         numbers = coded.indices.to_numpy(zero_copy_only=False)
+        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        del coded
+        often = np.argsort(-np.bincount(numbers, minlength=len(names)), kind="stable")  # frequent pieces first
+        rank = np.empty(len(often), np.int32)
+        rank[often] = np.arange(len(often), dtype=np.int32)
+        numbers = rank[numbers]
         row = [b["doc_id"].to_pylist(), counts, (numbers & 0xFFFF).astype("<u2").tobytes(),
-               (numbers >> 16).astype("<u2").tobytes(), *_blob(coded.dictionary.cast(pa.large_binary()).to_pylist())]
+               (numbers >> 16).astype("<u2").tobytes(), *_blob([names[i] for i in often.tolist()])]
         kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)],
                                          names=[c.split()[0] for c in CUT.split(", ")])
@@ -186,30 +195,27 @@ def _deal(batches, bits: int):
                 names=["bucket", "pieces", "lens"])
 
 
-def _distinct(group: pa.Table, path: str) -> pa.Table:
-    """A bucket's distinct pieces, as bytes and as the ids of their bytes (none for pieces too long to fold)."""
-    ranks = read_ranks(path)
-    of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+def _distinct(group: pa.Table) -> pa.Table:
+    """A bucket's distinct pieces, their bytes as characters."""
     seen: set[bytes] = set()
     for blob, lens in zip(group["pieces"].to_pylist(), group["lens"].to_pylist()):
         seen.update(_unblob(blob, lens))
-    pieces = sorted(seen)
-    short = [p if len(p) <= LONG_PIECE else b"" for p in pieces]
-    flat = of_byte[np.frombuffer(b"".join(short), np.uint8)]
-    ends = np.concatenate(([0], np.cumsum([len(p) for p in short]))).astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-    blob, lens = _blob(pieces)
-    return pa.table({"bucket": group["bucket"].slice(0, 1).combine_chunks(), "pieces": pa.array([blob], pa.binary()),
-                     "lens": pa.array([lens], pa.binary()),
-                     "bytes": pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), ids)})
+    names = [p.decode("latin-1") for p in sorted(seen)]
+    return pa.table({"bucket": group["bucket"].slice(0, 1).combine_chunks(),
+                     "pieces": pa.array([names], pa.list_(pa.string()))})
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest unsigned type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
 def _keep(batches, folder: str, path: str, odd: dict[bytes, int]):
-    """Stores a bucket: sorted piece hashes, ends of their ids and ids, ends of their decoded bytes and bytes."""
+    """Stores a bucket: sorted piece hashes, counts of ids and ids, counts of decoded bytes and bytes."""
     ranks = None
     for b in batches:
         for row in range(b.num_rows):
-            bucket, pieces = b["bucket"][row].as_py(), _unblob(b["pieces"][row].as_py(), b["lens"][row].as_py())
+            bucket, pieces = b["bucket"][row].as_py(), [p.encode("latin-1") for p in b["pieces"][row].as_py()]
             lists = b["ids"][row].values
             at = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
@@ -226,9 +232,9 @@ def _keep(batches, folder: str, path: str, odd: dict[bytes, int]):
             hashes = _hashes(pieces)
             order = np.argsort(hashes)
             for name, array in (("keys", hashes[order]),
-                                ("id-ends", np.cumsum([len(ids[i]) for i in order])),
-                                ("ids", np.concatenate([ids[i] for i in order])),
-                                ("byte-ends", np.cumsum([len(decoded[i]) for i in order])),
+                                ("id-counts", _narrow(np.array([len(ids[i]) for i in order]))),
+                                ("ids", _narrow(np.concatenate([ids[i] for i in order]))),
+                                ("byte-counts", _narrow(np.array([len(decoded[i]) for i in order]))),
                                 ("bytes", np.frombuffer(b"".join([decoded[i] for i in order]), np.uint8))):
                 store_array(folder, f"{bucket}-{name}", array)
             yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([len(pieces)])], names=["bucket", "n"])
@@ -237,7 +243,8 @@ def _keep(batches, folder: str, path: str, odd: dict[bytes, int]):
 def _assemble(batches, folder: str, bits: int):
     """The ids and the decoded bytes of every text from those of its pieces, looked up in the store."""
     for b in batches:
-        for row in b.to_pylist():
+        for at_row in range(b.num_rows):
+            (row,) = b.slice(at_row, 1).to_pylist()
             pieces = _unblob(row["pieces"], row["lens"])
             hashes = _hashes(pieces)
             order = np.argsort(hashes)
@@ -245,25 +252,26 @@ def _assemble(batches, folder: str, bits: int):
             encoded, decoded = [b""] * len(pieces), [b""] * len(pieces)
             at = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))[:len(pieces)]
             for lo, hi in zip(at, np.append(at[1:], len(pieces))):
-                keys, id_ends, ids, byte_ends, raw = (
+                keys, id_counts, ids, byte_counts, raw = (
                     np.load(f"{folder}/{bucket[lo]}-{name}.npy", mmap_mode="r")
-                    for name in ("keys", "id-ends", "ids", "byte-ends", "bytes"))
+                    for name in ("keys", "id-counts", "ids", "byte-counts", "bytes"))
                 places = np.searchsorted(keys, hashes[order[lo:hi]])
-                for ends, flat, width, out in ((id_ends, ids.tobytes(), 4, encoded), (byte_ends, raw.tobytes(), 1, decoded)):
-                    stops = ends[places] * width
-                    starts = np.where(places > 0, ends[places - 1], 0) * width
+                for counts, flat, out in ((id_counts, ids.astype("<u4").tobytes(), encoded), (byte_counts, raw.tobytes(), decoded)):
+                    ends = np.cumsum(counts, dtype=np.int64) * (4 if out is encoded else 1)
+                    stops = ends[places]
+                    starts = np.where(places > 0, ends[places - 1], 0)
                     for i, s, e in zip(order[lo:hi].tolist(), starts.tolist(), stops.tolist()):
                         out[i] = flat[s:e]
             if decoded != pieces:
                 raise ValueError("a decoded piece differs from its source")
-            numbers = (np.frombuffer(row["low"], "<u2") + (np.frombuffer(row["high"], "<u2").astype(np.int64) << 16)).tolist()
+            numbers = np.frombuffer(row["low"], "<u2") + (np.frombuffer(row["high"], "<u2").astype(np.int32) << 16)
             docs, at = row["doc_ids"], 0
             out: list[tuple[bytes, bytes]] = []
             for k, n in enumerate(row["counts"]):
-                of = numbers[at:at + n]
+                of = numbers[at:at + n].tolist()
                 at += n
                 out.append((b"".join([encoded[i] for i in of]), b"".join([decoded[i] for i in of])))
-                if len(out) == 1000 or k + 1 == len(docs):
+                if len(out) == 200 or k + 1 == len(docs):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(docs[k + 1 - len(out):k + 1], pa.int64()),
                          *[pa.array([o[j] for o in out], pa.binary()) for j in (0, 1)]],
@@ -281,8 +289,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     cut = written(text.mapInArrow(lambda it: _cut(it, pattern), CUT), "cut")
     bits = max(3, math.ceil(math.log2(2 * docs.rdd.getNumPartitions())))
     dealt = cut.select("pieces", "lens").mapInArrow(lambda it: _deal(it, bits), "bucket int, pieces binary, lens binary")
-    found = dealt.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(
-        lambda t: _distinct(t, path), "bucket int, pieces binary, lens binary, bytes array<array<int>>")
+    # written, so that no task has a Python worker on either side of the fold
+    found = written(dealt.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(
+        _distinct, "bucket int, pieces array<string>"), "distinct")
+    of_byte = F.array(*[F.lit(ranks[bytes([i])]) for i in range(256)])
+    none = F.array().cast("array<int>")
+    found = found.withColumn("bytes", _let(of_byte, lambda ids: F.transform("pieces", lambda p: F.when(
+        F.length(p) > LONG_PIECE, none).otherwise(F.transform(F.split(p, ""), lambda c: F.get(ids, F.ascii(c)))))))
     coded = found.withColumn("ids", _let(pair_map, lambda m: F.transform("bytes", lambda p: encode_piece(p, m))))
     coded = coded.withColumn("decoded", _let(tokens, lambda t: F.transform("ids", lambda ids: decode_ids(ids, t))))
     coded.drop("bytes").mapInArrow(lambda it: _keep(it, folder, path, odd), "bucket long, n long").agg(F.sum("n")).collect()
