@@ -210,12 +210,11 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.where(F.col("a") != F.col("b")).distinct()
 
 
-def alike(open_buckets: DataFrame, sketches: DataFrame, similarity: float, rows_a_band: int = ROWS) -> DataFrame:
+def alike(open_buckets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) between components that share buckets (bucket, band, node, weight, size, label).
 
     In a bucket, every member outside the most frequent component is compared, by signature, with all members of
-    other components, and paired with the ``BEST`` most alike of each component that are alike enough; a pair is
-    made in the first bucket it shares only. Large buckets are compared in parts of about ``PART`` members, which
+    other components, and paired with the ``BEST`` most alike of each component that are alike enough. Large buckets are compared in parts of about ``PART`` members, which
     all the members outside are copied to."""
     most = (open_buckets.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("most")))
@@ -228,7 +227,7 @@ def alike(open_buckets: DataFrame, sketches: DataFrame, similarity: float, rows_
     rows = (own.union(outside).join(sketches, "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
             .select("bucket", "part", "band", "node", "weight", "label", "probe", "sketch"))
 
-    def compare(band: int, group: list[tuple]) -> list[tuple]:
+    def compare(group: list[tuple]) -> list[tuple]:
         """(heavier node, lighter node) of one part; rows are (node, weight, label, probe, sketch)."""
         probes, others = [g for g in group if g[3]], [g for g in group if not g[3]]
         if not probes or not others:
@@ -238,9 +237,8 @@ def alike(open_buckets: DataFrame, sketches: DataFrame, similarity: float, rows_
         for x in probes:
             same = table == np.frombuffer(x[4], np.uint8)
             share = (same.mean(axis=1) * 256 - 1) / 255
-            met = same[:, :band * rows_a_band].reshape(len(others), band, rows_a_band).all(axis=2).any(axis=1)
             taken: dict[bytes, int] = {}
-            for i in sorted(np.flatnonzero((share >= similarity - SLACK) & ~met).tolist(), key=lambda i: -share[i]):
+            for i in sorted(np.flatnonzero(share >= similarity - SLACK).tolist(), key=lambda i: -share[i]):
                 y = others[i]
                 if y[2] != x[2] and taken.get(y[2], 0) < BEST:
                     taken[y[2]] = taken.get(y[2], 0) + 1
@@ -253,12 +251,12 @@ def alike(open_buckets: DataFrame, sketches: DataFrame, similarity: float, rows_
             columns = [batch[c].to_pylist() for c in ("bucket", "part", "band", "node", "weight", "label", "probe", "sketch")]
             for row in zip(*columns):
                 if row[:3] != key:
-                    out += compare(key[2], group)
+                    out += compare(group)
                     key, group = row[:3], []
                 group.append(row[3:])
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
             out = []
-        out = compare(key[2], group)
+        out = compare(group)
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(work, "a binary, b binary").distinct()
@@ -287,7 +285,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
             "label", F.coalesce("label", "node"))
         several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
         open_buckets = _small(named.join(several.select("bucket"), "bucket", "left_semi"), "open")
-        fresh = _small(alike(open_buckets, sketches, similarity, rows).join(tested, ["a", "b"], "left_anti"), "alike")
+        fresh = _small(alike(open_buckets, sketches, similarity).join(tested, ["a", "b"], "left_anti"), "alike")
         new = _small(verified(fresh, texts, similarity), "new")
         if new.isEmpty():
             break

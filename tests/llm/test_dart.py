@@ -88,3 +88,12 @@ def test_word_hashes_of_sliced_batches():
 def test_shingle_counts(text, n):
     element, owner = dart.shingle_hashes(*common.hashed_words(pa.array([text, "x y z u v w"])))
     assert (owner == 0).sum() == n and (owner == 1).sum() == 2
+
+
+def test_pairs_whose_sketch_alone_agrees_in_an_earlier_band(spark):
+    """The bytes of band 0 agree by chance, the real bucket is that of band 1."""
+    rows = [(7, 1, bytes([n]) * 16, 10, 3, bytes([label]) * 16) for n, label in ((1, 1), (2, 1), (3, 3))]
+    buckets = spark.createDataFrame(rows, "bucket long, band int, node binary, weight long, size long, label binary")
+    sketches = spark.createDataFrame([(r[2], bytes(75)) for r in rows], "node binary, sketch binary")
+    found = {frozenset((bytes(r.a)[0], bytes(r.b)[0])) for r in dart.alike(buckets, sketches, 0.8).collect()}
+    assert found == {frozenset((1, 3)), frozenset((2, 3))}
