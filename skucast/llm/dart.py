@@ -11,9 +11,10 @@ with an empty coordinate throws on to twice the rank.
 Groups: equal texts are one node. Nodes that share a band of the signature are compared with the bucket's hub
 (its member that meets most others): if their signatures agree about enough, a pair is linked if the exact
 Jaccard similarity of the shingle sets reaches the threshold. Buckets that still hold several components are
-compared again, every member outside the bucket's most frequent component with the signatures of the rest, of
-which only the most alike become pairs, until no round merges any. So a bucket yields pairs in proportion to its
-members, never their square; buckets of over ``PART`` members are compared in parts.
+compared again, every member outside the bucket's most frequent component with the signatures of the rest. A
+round takes the most alike of the pairs that no round has tested, each round four times as many a member; rounds
+end when every pair whose signatures agree about enough is tested or inside one component. Buckets of over
+``PART`` members are compared in parts.
 
 Defined results: null and empty texts are equal texts without shingles, one group of their own; rows with a
 repeated id stay rows; a null id takes part, a group's class is its smallest id that is not null; an empty table
@@ -164,7 +165,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts reach the exact Jaccard similarity of their shingle sets. Rows arrive grouped
+    """(a, b, same): whether the texts reach the exact Jaccard similarity of their shingle sets. Rows arrive grouped
     by ``a`` after a sort-merge join, so a hub's set is built once for its run of partners."""
 
     def work(batches):
@@ -178,10 +179,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
                 small, large = sorted((len(left), len(right)))
                 both = len(left & right) if small >= similarity * large - 1e-9 else -1
                 keep.append(both >= 0 and both >= similarity * (small + large - both) - 1e-9)
-            chosen = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(chosen), batch["b"].filter(chosen)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(keep, pa.bool_())], names=["a", "b", "same"])
 
-    return _both_sides(pairs, texts, "text").mapInArrow(work, "a binary, b binary")
+    return _both_sides(pairs, texts, "text").mapInArrow(work, "a binary, b binary, same boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,56 +210,77 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.where(F.col("a") != F.col("b")).distinct()
 
 
-def alike(open_buckets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) between components that share buckets (bucket, band, node, weight, size, label).
+def alike(open_buckets: DataFrame, sketches: DataFrame, similarity: float, tested: DataFrame | None = None,
+          batch: int = BEST) -> DataFrame:
+    """Pairs (a, b, more) between components that share buckets (bucket, band, node, weight, size, label), without
+    those of ``tested`` (a, b).
 
     In a bucket, every member outside the most frequent component is compared, by signature, with all members of
-    other components, and paired with the ``BEST`` most alike of each component that are alike enough. Large buckets are compared in parts of about ``PART`` members, which
-    all the members outside are copied to."""
+    other components, and paired with the ``batch`` most alike of each component that are alike enough; ``more``
+    says that others as alike as needed were left for a later round. Large buckets are compared in parts of about
+    ``PART`` members, which all the members outside are copied to."""
     most = (open_buckets.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("most")))
     parts = F.floor(F.col("size") / PART) + 1
-    own = open_buckets.select("bucket", "band", F.pmod(F.xxhash64("node", "bucket"), parts).alias("part"), "node", "weight", "label",
-                              F.lit(False).alias("probe"))
+    part = F.pmod(F.xxhash64("node", "bucket"), parts)
+    own = open_buckets.select("bucket", part.alias("part"), "node", "weight", "label", F.lit(False).alias("probe"))
     outside = open_buckets.join(most, "bucket").where(F.col("label") != F.col("most")).select(
-        "bucket", "band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "node", "weight", "label",
+        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "node", "weight", "label",
         F.lit(True).alias("probe"))
-    rows = (own.union(outside).join(sketches, "node").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-            .select("bucket", "part", "band", "node", "weight", "label", "probe", "sketch"))
+    rows = own.union(outside).join(sketches, "node").select("bucket", "part", "node", "weight", "label", "probe", "sketch")
+    if tested is not None:  # rows without ``probe``: a node and, as its sketch, a partner in this part
+        there = open_buckets.select("bucket", "node", part.alias("part"), "label")
+        here = open_buckets.select("bucket", F.col("node").alias("from"), F.col("label").alias("mine"))
+        both = tested.select("a", "b").union(tested.select("b", "a")).toDF("from", "node")
+        past = both.join(there, "node").join(here, ["bucket", "from"]).where(F.col("label") != F.col("mine"))
+        rows = rows.union(past.select("bucket", "part", "from", F.lit(None).cast("long"), F.lit(None).cast("binary"),
+                                      F.lit(None).cast("boolean"), "node"))
+    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
 
     def compare(group: list[tuple]) -> list[tuple]:
-        """(heavier node, lighter node) of one part; rows are (node, weight, label, probe, sketch)."""
-        probes, others = [g for g in group if g[3]], [g for g in group if not g[3]]
+        """(heavier node, lighter node, more) of one part; rows are (node, weight, label, probe, sketch)."""
+        probes, others = [g for g in group if g[3]], [g for g in group if g[3] is False]
         if not probes or not others:
             return []
+        past: dict[bytes, set[bytes]] = {}
+        for g in group:
+            if g[3] is None:
+                past.setdefault(g[0], set()).add(g[4])
         table = np.frombuffer(b"".join(g[4] for g in others), np.uint8).reshape(len(others), -1)
         found = []
         for x in probes:
-            same = table == np.frombuffer(x[4], np.uint8)
-            share = (same.mean(axis=1) * 256 - 1) / 255
+            share = ((table == np.frombuffer(x[4], np.uint8)).mean(axis=1) * 256 - 1) / 255
             taken: dict[bytes, int] = {}
+            mine, done = [], past.get(x[0], ())
             for i in sorted(np.flatnonzero(share >= similarity - SLACK).tolist(), key=lambda i: -share[i]):
                 y = others[i]
-                if y[2] != x[2] and taken.get(y[2], 0) < BEST:
+                if y[2] != x[2] and y[0] not in done:
                     taken[y[2]] = taken.get(y[2], 0) + 1
-                    found.append((x[0], y[0]) if (x[1], x[0]) > (y[1], y[0]) else (y[0], x[0]))
+                    if taken[y[2]] <= batch:
+                        mine.append((x[0], y[0]) if (x[1], x[0]) > (y[1], y[0]) else (y[0], x[0]))
+            more = max(taken.values(), default=0) > batch
+            found += [(a, b, more) for a, b in mine]
         return found
 
+    def table_of(out: list[tuple]) -> pa.RecordBatch:
+        kinds = {"a": pa.binary(), "b": pa.binary(), "more": pa.bool_()}
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], names=[*kinds])
+
     def work(batches):
-        key, group, out = (0, 0, 0), [], []
-        for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("bucket", "part", "band", "node", "weight", "label", "probe", "sketch")]
+        key, group, out = (0, 0), [], []
+        for rows in batches:
+            columns = [rows[c].to_pylist() for c in ("bucket", "part", "node", "weight", "label", "probe", "sketch")]
             for row in zip(*columns):
-                if row[:3] != key:
+                if row[:2] != key:
                     out += compare(group)
-                    key, group = row[:3], []
-                group.append(row[3:])
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+                    key, group = row[:2], []
+                group.append(row[2:])
+            yield table_of(out)
             out = []
-        out = compare(group)
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        yield table_of(compare(group))
 
-    return rows.mapInArrow(work, "a binary, b binary").distinct()
+    found = rows.mapInArrow(work, "a binary, b binary, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -274,22 +295,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     known = members.select("node").distinct()
     sketches = written(marks.join(known, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
 
-    tested = _small(likely(hub_pairs(members), sketches, similarity), "likely")
+    hubs = _small(likely(hub_pairs(members), sketches, similarity), "likely")
     texts = written(
         docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("node"), "text")
         .join(known, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    labels = components(_small(verified(tested, texts, similarity), "links"))
-    open_buckets = members
+    links = _small(verified(hubs, texts, similarity), "links")
+    labels = components(links.where("same"))
+    open_buckets, tested, batch = members, links.where("not same"), BEST
     while True:  # buckets that hold several components
         named = open_buckets.select("bucket", "band", "node", "weight", "size").join(labels, "node", "left").withColumn(
             "label", F.coalesce("label", "node"))
         several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
         open_buckets = _small(named.join(several.select("bucket"), "bucket", "left_semi"), "open")
-        fresh = _small(alike(open_buckets, sketches, similarity).join(tested, ["a", "b"], "left_anti"), "alike")
-        new = _small(verified(fresh, texts, similarity), "new")
+        fresh = _small(alike(open_buckets, sketches, similarity, tested, batch), "alike")
+        judged = _small(verified(fresh, texts, similarity), "new")
+        new = judged.where("same").select("a", "b")
+        tested, batch = tested.union(judged.where("not same")), 4 * batch
         if new.isEmpty():
-            break
-        tested = tested.union(fresh)
+            if fresh.where("more").isEmpty():
+                break
+            continue
         la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
         joined = new.join(la, "a", "left").join(lb, "b", "left").select(
             F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))

@@ -90,6 +90,20 @@ def test_shingle_counts(text, n):
     assert (owner == 0).sum() == n and (owner == 1).sum() == 2
 
 
+def test_link_beyond_the_most_alike_members_of_a_large_group(spark):
+    """400 near copies, to all but one of which an outside text stays just under the threshold."""
+    for seed in (1, 2):
+        rng = random.Random(seed)
+
+        def fresh(n):
+            return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+        common, shared = fresh(400), fresh(50)
+        docs = [(i, " ".join(common + shared + fresh(50))) for i in range(400)]
+        docs += [(500, " ".join(common + shared + fresh(46))), (501, " ".join(common))]
+        assert {group for _, group in run(spark, docs)} == {0}
+
+
 def test_pairs_whose_sketch_alone_agrees_in_an_earlier_band(spark):
     """The bytes of band 0 agree by chance, the real bucket is that of band 1."""
     rows = [(7, 1, bytes([n]) * 16, 10, 3, bytes([label]) * 16) for n, label in ((1, 1), (2, 1), (3, 3))]
