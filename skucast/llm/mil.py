@@ -7,8 +7,8 @@ and characters; nothing but the text enters. A layer encodes every passage, gate
 representation. All parts are learned together from document labels alone, by Adam on the whole training sample:
 tasks return the gradients of their part of the sample, whose sums are a few thousand numbers.
 
-The training sample is bounded: the ``SAMPLE`` labelled rows of smallest id hash outside the held-out fold, at
-most ``TRAIN_PASSAGES`` evenly spaced passages of each. Scoring covers whole texts.
+The training sample is bounded: of the labelled ids in the table, outside the held-out fold, the ``SAMPLE`` of
+smallest id hash, with all their passages. Scoring covers whole texts too.
 
 Defined results: a null or empty text is a bag of one passage without words; several labels of an id count as the
 larger; null ids are held out; repeated rows stay; without any labelled training row every score is 0.5; an empty
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from skucast.llm.common import chunks, fold_of, hashed_words, written
 
 PASSAGE, BUCKETS = 64, 64
-SAMPLE, TRAIN_PASSAGES = 4000, 32
+SAMPLE = 4000
 HIDDEN, ATTENTION, STEPS, RATE, DECAY = 24, 12, 60, 0.03, 1e-4
 THRESHOLD = 0.3
 CHUNK_BYTES = 6 << 20
@@ -116,19 +116,15 @@ def gradients(model: dict, x: np.ndarray, n: np.ndarray, y: np.ndarray) -> dict[
 def training_bags(docs: DataFrame, labels: DataFrame, folds: int, sample: int) -> DataFrame:
     """(quality, n, passages) of the bounded training sample, written to the shared folder."""
     chosen = (labels.where(F.col("quality").isNotNull() & (fold_of(folds) != 0))
+              .join(docs.select("doc_id"), "doc_id", "left_semi")
               .groupBy("doc_id").agg(F.max("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def work(batches):
         for b in chunks(batches, "text", CHUNK_BYTES):
             x, n = passages(b["text"])
-            at, bags, kept = 0, [], []
-            for k in n.tolist():
-                take = at + np.unique(np.linspace(0, k - 1, min(k, TRAIN_PASSAGES)).astype(int))
-                bags.append(x[take].astype("<f4").tobytes())
-                kept.append(len(take))
-                at += k
-            yield pa.RecordBatch.from_arrays([b["quality"].cast(pa.int32()), pa.array(kept, pa.int32()), pa.array(bags, pa.binary())],
+            bags = [part.tobytes() for part in np.split(x.astype("<f4"), np.cumsum(n)[:-1])]
+            yield pa.RecordBatch.from_arrays([b["quality"].cast(pa.int32()), pa.array(n, pa.int32()), pa.array(bags, pa.binary())],
                                              names=["quality", "n", "bag"])
 
     # at most ``sample`` rows of two numbers: a proven bound
@@ -147,7 +143,7 @@ def train(bags: DataFrame, steps: int = STEPS) -> dict[str, np.ndarray] | None:
 
     def part(current):
         def work(batches):
-            for b in batches:
+            for b in chunks(batches, "bag", CHUNK_BYTES):
                 n = b["n"].to_numpy()
                 x = np.frombuffer(b"".join(b["bag"].to_pylist()), "<f4").reshape(-1, WIDTH).astype(np.float64)
                 g = gradients(current, x, n, b["quality"].to_numpy().astype(np.float64))
@@ -155,7 +151,7 @@ def train(bags: DataFrame, steps: int = STEPS) -> dict[str, np.ndarray] | None:
                 yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["g"])
         return work
 
-    few = bags.coalesce(4)  # the sample is bounded
+    few = bags.coalesce(4)  # the rows of the sample are bounded
     for step in range(1, steps + 1):
         got = few.mapInArrow(part(model), "g binary").collect()
         flat, at = np.sum([np.frombuffer(r.g, np.float64) for r in got], axis=0) / total, 0

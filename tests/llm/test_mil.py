@@ -61,3 +61,11 @@ def test_defined_results(spark):
         assert all(r.score == 0.5 for r in rows) == flat
         assert {r.quality for r in rows} == {"x", "y", None, "q"}
     assert mil.score(docs.limit(0), None).count() == 0
+
+
+def test_sample_holds_whole_texts_of_the_table(spark):
+    docs = spark.createDataFrame([(i, "w " * (40 * mil.PASSAGE)) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    bags = mil.training_bags(docs, labels, 5, 8).collect()
+    assert [r.n for r in bags] == [40] * 8
+    assert {len(r.bag) for r in bags} == {40 * mil.WIDTH * 4}
