@@ -6,8 +6,8 @@ turn to shards of about ``SHARD`` pieces, whatever their ids, and each shard is
 order of falling length, then local search. The search takes the emptiest bin and moves tokens out of it into
 fuller underfull bins, by moving a document, or by exchanging one of its documents, or two, for one smaller
 document; every step increases the sum of squared fills, and ends when bins are empty, the lower bound of bins
-is reached, or the ``PATIENCE`` emptiest bins allow no step. A shard loses less than one sequence against its
-bound on the pieces that fit it, whatever the size of the input.
+is reached, or the ``PATIENCE`` emptiest bins allow no step. So a shard can
+hold more sequences than the search could reach; README has counts against the bound on hard lengths.
 
 Ids are those of the tokenizer file's vocabulary as ranks, read by the faster of the two tokenizer libraries; the
 tests hold them against the other. Special strings in a text are ordinary text.
