@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skucast.llm import bitslice, bpe, chat, dart, kneser_ney, licences, mil, packing, rules, separators
+from skucast.llm import (bitslice, bpe, chat, dart, kneser_ney, licences, mil, packing, prefix_trie, rules,
+                         separators)
 from skucast.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,7 +131,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE["op7_lm_scores"] = rf"""
 WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, {_crc32("coalesce(CAST(doc_id AS VARCHAR), '')")} % 10 = 0 AS held,
                       translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
-seqs AS (SELECT rid, doc_id, held, [' start'] || [x for x in regexp_split_to_array(t, '[ 	-]+') if x <> '']
+seqs AS (SELECT rid, doc_id, held, [' start'] || [x for x in regexp_split_to_array(t, '[ 	-
+]+') if x <> '']
                 || [' end'] AS w FROM texts),
 steps AS (SELECT rid, held, w[i] AS c, w[i + 1] AS x FROM (SELECT *, unnest(range(1, len(w))) AS i FROM seqs)),
 pairs AS (SELECT c, x, count(*) AS n FROM steps WHERE NOT held GROUP BY ALL),
@@ -242,6 +244,38 @@ def op3_quality_scores(spark, sf):
                          (F.col("score") >= mil.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark, sf):
+    return prefix_trie.prefix_trie(prefix_trie.with_borrowed_openings(table(spark, sf, "conversations")))
+
+
+ORACLE["op11_prefix_trie"] = rf"""
+WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+             FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 20 AS head, {_crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h
+        FROM (SELECT DISTINCT conv_id FROM own)),
+built AS (SELECT conv_id, 1 AS part, pos, role, text FROM own JOIN ids USING (conv_id) WHERE pos > h
+          UNION ALL SELECT i.conv_id, 0, pos, role, text FROM ids i JOIN own o ON o.conv_id = i.head AND o.pos <= i.h),
+seqs AS (SELECT conv_id, coalesce(list({{'r': role, 't': text}} ORDER BY part, pos) FILTER (WHERE part IS NOT NULL), []) AS s
+         FROM ids LEFT JOIN built USING (conv_id) GROUP BY conv_id),
+prefixes AS (SELECT conv_id, len(s) = d AS last, d, s[1:d] AS p FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS (SELECT p, d, s.p[1:d - 1] AS up, min(conv_id) AS conv_id, count(*) AS n,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends
+          FROM prefixes s GROUP BY ALL),
+kids AS (SELECT up AS p, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY up),
+full_nodes AS (
+  SELECT nodes.*, coalesce(kids, 0) AS kids, CASE WHEN d = 0 THEN 0 ELSE
+           (n - 1) * len([x for x in regexp_split_to_array(p[d].t, '[\x20\x09-\x0D]+') if x <> '']) END AS saved
+  FROM nodes LEFT JOIN kids USING (p)),
+below AS (SELECT p[1:e] AS p, sum(saved) AS saved, count_if(kids = 0) AS leaves
+          FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM full_nodes) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, f.n AS n_convs, CAST(f.kids AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM full_nodes f JOIN below b USING (p) LEFT JOIN nodes up ON f.d > 0 AND up.p = f.up
+"""
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
