@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skucast.llm import (bitslice, bpe, chat, dart, kneser_ney, licences, mil, packing, prefix_trie, rules,
-                         separators)
+from skucast.llm import (bitslice, bpe, chat, dart, kneser_ney, licences, mil, packing, prefix_trie, repair,
+                         rules, separators)
 from skucast.llm.common import fold_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,6 +276,58 @@ FROM full_nodes f JOIN below b USING (p) LEFT JOIN nodes up ON f.d > 0 AND up.p
 """
 
 
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf):
+    turns = table(spark, sf, "conversations")
+    return repair.repair_report(repair.planted_damage(turns), turns)
+
+
+_STEPS = ", ".join(f"({q}, '{i}', {5 * len(i)}, {to}, '{said}')" for q, i, to, said in [
+    *((q, "", q, "") for q in range(4)), *((q, "I", 2, "user:|") for q in (0, 1, 3)), (2, "I", 3, "assistant:|"),
+    *((q, "II", 3, "user:|assistant:|") for q in (0, 1, 3)), (2, "II", 2, "assistant:|user:|")])
+ORACLE["op13_conversation_repair"] = rf"""
+WITH RECURSIVE base AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t,
+         {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k
+  FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                   CASE k WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS t
+            FROM base, (VALUES (1), (2)) copies(i) WHERE k <> 0 AND (i = 1 OR k = 3)),
+placed AS (SELECT *, left(role, 1) AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t) AS i,
+                  rtrim(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS f FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, t ORDER BY i) > 1 AS again,
+                lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM placed),
+faults AS (SELECT *, CASE WHEN f = '' THEN 'b' WHEN again THEN 'd' WHEN right(f, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault
+           FROM seen),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                  count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated,
+                  count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+steps AS (SELECT * FROM (VALUES {_STEPS}) v(q, letters, price, q2, said)),
+edits AS (SELECT f.conv_id, f.i, s.q, s.letters || e.letter AS letters, s.price + e.price + CASE WHEN e.letter <> 'D' AND fault = 't' THEN 5 ELSE 0 END AS price,
+                 CASE WHEN e.letter = 'D' THEN s.q2 ELSE e.q2 END AS q2,
+                 replace(s.said, '|', chr(10)) || CASE e.letter WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || t || chr(10)
+                   ELSE CASE e.q2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || t || chr(10) END AS said
+          FROM faults f, steps s JOIN (VALUES (0, 'D', 2, 0, ''), (1, 'D', 2, 1, ''), (2, 'D', 2, 2, ''), (3, 'D', 2, 3, ''),
+            (0, 'K', 0, 1, 's'), (0, 'K', 0, 2, 'u'), (1, 'K', 0, 2, 'u'), (3, 'K', 0, 2, 'u'), (2, 'K', 0, 3, 'a'),
+            (0, 'R', 1, 2, ''), (1, 'R', 1, 2, ''), (3, 'R', 1, 2, ''), (2, 'R', 1, 3, '')) e(q, letter, price, q2, r) ON e.q = s.q2
+          WHERE letter = 'D' OR (fault IN ('', 't') AND (letter = 'R' OR f.r = e.r))),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {{'cost': 0, 'audit': '', 'said': ''}} AS best FROM ids
+  UNION ALL
+  SELECT w.conv_id, w.i + 1, e.q2, min({{'cost': best.cost + e.price, 'audit': best.audit || e.letters, 'said': best.said || e.said}})
+  FROM walk w JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.q = w.q GROUP BY ALL),
+ends AS (SELECT w.conv_id, min({{'cost': best.cost + s.price, 'audit': best.audit || s.letters,
+                                'said': best.said || replace(s.said, '|', chr(10))}}) AS best
+         FROM walk w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id JOIN steps s USING (q)
+         WHERE w.i = coalesce(n, 0) AND s.q2 IN (0, 3) GROUP BY w.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.cost AS BIGINT) AS cost,
+       best.audit AS audit, sha256(left(best.said, greatest(length(best.said) - 1, 0))) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     import corpus_pipeline
