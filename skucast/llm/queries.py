@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skucast.llm import (bitslice, bpe, chat, dart, kneser_ney, licences, mil, packing, prefix_trie, repair,
+from skucast.llm import (bitslice, bpe, chat, dart, disclosure, kneser_ney, licences, mil, packing, prefix_trie, repair,
                          rules, separators)
 from skucast.llm.common import fold_of, table
 
@@ -276,6 +276,12 @@ FROM full_nodes f JOIN below b USING (p) LEFT JOIN nodes up ON f.d > 0 AND up.p
 """
 
 
+@query("op12_disclosure_spans")
+def op12_disclosure_spans(spark, sf):
+    out = disclosure.sanitise(table(spark, sf, "documents"), with_text=False)
+    return out.select("doc_id", *(f"n_{k}" for k in disclosure.BASE), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 @query("op13_conversation_repair")
 def op13_conversation_repair(spark, sf):
     turns = table(spark, sf, "conversations")
