@@ -8,13 +8,17 @@ whatever its length. Each dart names one of k coordinates; the earliest dart of
 value, so two texts agree on a coordinate with probability equal to their weighted Jaccard similarity. A text
 with an empty coordinate throws on to twice the rank.
 
+Weights are the numbers of times that a shingle occurs, so a text is a set of cells (shingle, occurrence), and the
+similarity, estimated and exact, is the weighted Jaccard similarity of the counts.
+
 Groups: equal texts are one node. Nodes that share a band of the signature are compared with the bucket's hub
-(its member that meets most others): if their signatures agree about enough, a pair is linked if the exact
-Jaccard similarity of the shingle sets reaches the threshold. Buckets that still hold several components are
-compared again, every member outside the bucket's most frequent component with the signatures of the rest. A
-round takes the most alike of the pairs that no round has tested, each round four times as many a member; rounds
-end when every pair whose signatures agree about enough is tested or inside one component. Buckets of over
-``PART`` members are compared in parts.
+(its member that meets most others): if their signatures agree about enough, a pair is linked if its exact
+similarity reaches the threshold. Buckets that then hold several components are searched: every member outside the
+bucket's most frequent component meets all members of other components, first by signature, which only tells the
+members that have a likely partner, then those by their cells, in the same task, which keeps the components that it
+joins and emits a link only where it joins two. So pairs are tested where they meet, and never become rows; what
+leaves a bucket is less than its members. A pair that shares several buckets is tested in the first. Buckets over
+``PART`` members, or ``PART_BYTES`` of cells, are searched part by part, each part being met by the members outside.
 
 Defined results: null and empty texts are equal texts without shingles, one group of their own; rows with a
 repeated id stay rows; a null id takes part, a group's class is its smallest id that is not null; an empty table
@@ -23,16 +27,19 @@ gives no rows. Further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skucast.llm.common import chunks, hashed_words, mix64, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5  # a pair at similarity 0.8 shares no band with probability 5e-5
-PART, BEST, SLACK = 1024, 24, 0.15
+PART, PART_BYTES, SLACK = 8192, 32 << 20, 0.15
 CHUNK_BYTES, CHUNK_TEXTS = 4 << 20, 1000  # a text throws about t darts however short it is
 
 
@@ -100,6 +107,25 @@ def shingle_hashes(ids: np.ndarray, counts: np.ndarray, hashes: np.ndarray, size
     return value[use], owner[use]
 
 
+def counted(element: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every element of every set once: (element, times, owner), by owner and element."""
+    order = np.lexsort((element, owner))
+    element, owner = element[order], owner[order]
+    first = np.ones(len(element), bool)
+    first[1:] = (element[1:] != element[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(first)
+    return element[at], np.diff(np.append(at, len(element))), owner[at]
+
+
+def cell_hashes(element: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, owner) of all cells (element, occurrence), by owner and hash."""
+    element, times, owner = counted(element, owner)
+    unit = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    cell, owner = mix64(np.repeat(element, times) + mix64(unit.astype(np.uint64) + np.uint64(1))), np.repeat(owner, times)
+    order = np.lexsort((cell, owner))
+    return cell[order], owner[order]
+
+
 def band_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, text_hash, node, bands, sketch): two hashes of the text, the 128-bit one naming its node, its band
     hashes (null without shingles) and a byte of every signature value."""
@@ -109,8 +135,8 @@ def band_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
         for b in chunks(batches, "text", CHUNK_BYTES, CHUNK_TEXTS):
             ids, counts, hashes = hashed_words(b["text"])
             element, owner = shingle_hashes(ids, counts, hashes)
-            # a set: every occurrence throws the same darts, so repeats change nothing but the rank limit
-            sig = dart_signatures(element, np.ones(len(element)), owner, b.num_rows, k).reshape(-1, bands, rows)
+            element, times, owner = counted(element, owner)
+            sig = dart_signatures(element, times.astype(np.float64), owner, b.num_rows, k).reshape(-1, bands, rows)
             value = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2])
             for j in range(rows):
                 value = mix64(value + sig[:, :, j] * np.uint64(0x9E3779B97F4A7C15))
@@ -130,10 +156,19 @@ def band_table(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
 
 def _shingle_set(text: str) -> frozenset:
+    """The cells of a text: its shingles, each with the number of its occurrence."""
     words = text.encode().lower().split()
     if len(words) < WORDS:
-        return frozenset([tuple(words)])
-    return frozenset(zip(*(words[i:] for i in range(WORDS))))
+        return frozenset([(tuple(words), 1)])
+    shingles = list(zip(*(words[i:] for i in range(WORDS))))
+    single = frozenset(shingles)
+    if len(single) == len(shingles):
+        return frozenset(zip(single, repeat(1)))
+    seen, out = Counter(), []
+    for s in shingles:
+        seen[s] += 1
+        out.append((s, seen[s]))
+    return frozenset(out)
 
 
 def _small(df: DataFrame, label: str) -> DataFrame:
@@ -210,77 +245,180 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.where(F.col("a") != F.col("b")).distinct()
 
 
-def alike(open_buckets: DataFrame, sketches: DataFrame, similarity: float, tested: DataFrame | None = None,
-          batch: int = BEST) -> DataFrame:
-    """Pairs (a, b, more) between components that share buckets (bucket, band, node, weight, size, label), without
-    those of ``tested`` (a, b).
+def _dealt(members: DataFrame, parts: Column) -> DataFrame:
+    """Bucket members dealt to parts, their own (``guest`` false) and, if they are outside the bucket's most frequent
+    component, all others; a part's own members come first."""
+    home = F.pmod(F.xxhash64("node", "bucket"), parts)
+    rows = members.withColumn("home", home)
+    own = rows.withColumns({"part": home, "guest": F.lit(False)})
+    guests = rows.where(F.col("outside") & (parts > 1)).withColumns(
+        {"part": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)), "guest": F.lit(True)}).where("part <> home")
+    return own.unionByName(guests).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "guest")
+
+
+class _Part:
+    """The own members of a part, and which of them a probe is likely to equal."""
+
+    def __init__(self, key: tuple, rows: list[dict], similarity: float):
+        self.key, self.rows = key, rows
+        self.sketches = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1).T.copy()
+        self.bands = np.array([r["bands"] for r in rows], np.int64)
+        self.numbers: dict[bytes, int] = {}  # of components
+        self.label = np.array([self.number(r["label"]) for r in rows])
+        self.outside = np.array([r["outside"] for r in rows])
+        self.place = np.arange(len(rows))
+        self.least = np.ceil(((similarity - SLACK) * 255 + 1) / 256 * len(self.sketches) - 1e-9)
+
+    def number(self, label: bytes) -> int:
+        return self.numbers.setdefault(label, len(self.numbers))
+
+    def likely(self, probe: dict, at: int | None) -> np.ndarray:
+        """Places of the members that a probe (own, at ``at``, or a guest) is to be tested with here, most alike first:
+        in another component, met in no earlier band, signatures alike enough (a pair that reaches the similarity falls
+        out with a probability of about 1e-5, ``SLACK`` being over four standard deviations). Of two probes that
+        would meet twice, one is tested with the other."""
+        turn = ~self.outside | (self.place > at if at is not None else probe["home"] < self.key[1])
+        place = np.flatnonzero(turn & (self.label != self.number(probe["label"])))
+        if not len(place):
+            return place
+        table = self.sketches if len(place) > len(self.rows) // 2 else self.sketches[:, place]
+        equal = (table == np.frombuffer(probe["sketch"], np.uint8)[:, None]).sum(axis=0, dtype=np.int16)
+        equal = equal[place] if table is self.sketches else equal
+        fit = equal >= self.least
+        place, equal = place[fit], equal[fit]
+        band = probe["band"]
+        if band and len(place):
+            new = ~(self.bands[place, :band] == np.array(probe["bands"][:band], np.int64)).any(axis=1)
+            place, equal = place[new], equal[new]
+        return place[np.argsort(-equal, kind="stable")]
+
+
+def _probes(batches, similarity: float):
+    """(part, probe, its place or None) of a sorted stream of dealt rows; a part's own members are held, guests
+    stream."""
+    key, rows, part = None, [], None
+
+    def own():
+        nonlocal part
+        part = _Part(key, rows, similarity)
+        for at in np.flatnonzero(part.outside).tolist():
+            yield part, rows[at], at
+
+    for b in batches:
+        for row in b.to_pylist():
+            now = (row["bucket"], row["part"])
+            if now != key:
+                if rows and part is None:
+                    yield from own()
+                key, rows, part = now, [], None
+            if not row["guest"]:
+                rows.append(row)
+            elif rows:  # a part without members of its own has nothing to compare
+                if part is None:
+                    yield from own()
+                yield part, row, None
+    if rows and part is None:
+        yield from own()
+
+
+def with_partners(members: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, node): the members of open buckets (bucket, band, node, label, outside, size, sketch, bands) that the
+    signature gives a likely partner in another component."""
 
-    In a bucket, every member outside the most frequent component is compared, by signature, with all members of
-    other components, and paired with the ``batch`` most alike of each component that are alike enough; ``more``
-    says that others as alike as needed were left for a later round. Large buckets are compared in parts of about
-    ``PART`` members, which all the members outside are copied to."""
-    most = (open_buckets.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("most")))
-    parts = F.floor(F.col("size") / PART) + 1
-    part = F.pmod(F.xxhash64("node", "bucket"), parts)
-    own = open_buckets.select("bucket", part.alias("part"), "node", "weight", "label", F.lit(False).alias("probe"))
-    outside = open_buckets.join(most, "bucket").where(F.col("label") != F.col("most")).select(
-        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "node", "weight", "label",
-        F.lit(True).alias("probe"))
-    rows = own.union(outside).join(sketches, "node").select("bucket", "part", "node", "weight", "label", "probe", "sketch")
-    if tested is not None:  # rows without ``probe``: a node and, as its sketch, a partner in this part
-        there = open_buckets.select("bucket", "node", part.alias("part"), "label")
-        here = open_buckets.select("bucket", F.col("node").alias("from"), F.col("label").alias("mine"))
-        both = tested.select("a", "b").union(tested.select("b", "a")).toDF("from", "node")
-        past = both.join(there, "node").join(here, ["bucket", "from"]).where(F.col("label") != F.col("mine"))
-        rows = rows.union(past.select("bucket", "part", "from", F.lit(None).cast("long"), F.lit(None).cast("binary"),
-                                      F.lit(None).cast("boolean"), "node"))
-    rows = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-
-    def compare(group: list[tuple]) -> list[tuple]:
-        """(heavier node, lighter node, more) of one part; rows are (node, weight, label, probe, sketch)."""
-        probes, others = [g for g in group if g[3]], [g for g in group if g[3] is False]
-        if not probes or not others:
-            return []
-        past: dict[bytes, set[bytes]] = {}
-        for g in group:
-            if g[3] is None:
-                past.setdefault(g[0], set()).add(g[4])
-        table = np.frombuffer(b"".join(g[4] for g in others), np.uint8).reshape(len(others), -1)
-        found = []
-        for x in probes:
-            share = ((table == np.frombuffer(x[4], np.uint8)).mean(axis=1) * 256 - 1) / 255
-            taken: dict[bytes, int] = {}
-            mine, done = [], past.get(x[0], ())
-            for i in sorted(np.flatnonzero(share >= similarity - SLACK).tolist(), key=lambda i: -share[i]):
-                y = others[i]
-                if y[2] != x[2] and y[0] not in done:
-                    taken[y[2]] = taken.get(y[2], 0) + 1
-                    if taken[y[2]] <= batch:
-                        mine.append((x[0], y[0]) if (x[1], x[0]) > (y[1], y[0]) else (y[0], x[0]))
-            more = max(taken.values(), default=0) > batch
-            found += [(a, b, more) for a, b in mine]
-        return found
-
-    def table_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = {"a": pa.binary(), "b": pa.binary(), "more": pa.bool_()}
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds.values())], names=[*kinds])
+    def work(batches):
+        now, out, seen = None, [], set()
+        for part, probe, at in _probes(batches, similarity):
+            if part is not now:
+                now, seen = part, set()
+            for node in ([probe["node"]] if len(found := part.likely(probe, at)) else []) + [part.rows[i]["node"] for i in found]:
+                if node not in seen:
+                    seen.add(node)
+                    out.append((part.key[0], node))
+            if len(out) > 4096:
+                yield _pairs(out, ("bucket", "node"), (pa.int64(), pa.binary()))
+                out = []
+        yield _pairs(out, ("bucket", "node"), (pa.int64(), pa.binary()))
+
+    dealt = _dealt(members, F.floor(F.col("size") / PART) + 1)
+    return dealt.mapInArrow(work, "bucket long, node binary").distinct()
+
+
+def spanning_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that join the components of each bucket wherever a pair of its members, in the first bucket
+    they share, reaches the exact similarity; rows as for ``with_partners`` with ``cells``, sorted 64-bit hashes, and
+    ``bytes``, their total in the bucket."""
+
+    def joined(part: _Part, probe: dict, at: int | None, parent: list[int], cells: list[np.ndarray]):
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        mine, me = np.frombuffer(probe["cells"], np.uint64), part.number(probe["label"])
+        places = part.likely(probe, at)
+        parent += range(len(parent), len(part.numbers))
+        size = 1
+        while len(places):
+            here = root(me)
+            places = np.array([i for i in places.tolist() if root(part.label[i]) != here], np.int64)
+            batch, places = places[:size], places[size:]
+            if not len(batch):
+                return
+            lengths = np.array([len(cells[i]) for i in batch])
+            flat = np.concatenate([cells[i] for i in batch])
+            spot = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            both = np.add.reduceat(mine[spot] == flat, np.cumsum(lengths) - lengths, dtype=np.int64)
+            for i in batch[both >= similarity * (lengths + len(mine) - both) - 1e-9].tolist():
+                if (there := root(part.label[i])) != (here := root(me)):
+                    parent[there] = here
+                    yield part.rows[i]["node"], probe["node"]
+            size *= 2
 
     def work(batches):
-        key, group, out = (0, 0), [], []
-        for rows in batches:
-            columns = [rows[c].to_pylist() for c in ("bucket", "part", "node", "weight", "label", "probe", "sketch")]
-            for row in zip(*columns):
-                if row[:2] != key:
-                    out += compare(group)
-                    key, group = row[:2], []
-                group.append(row[2:])
-            yield table_of(out)
-            out = []
-        yield table_of(compare(group))
-
-    found = rows.mapInArrow(work, "a binary, b binary, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+        now, out, parent, cells = None, [], [], []
+        for part, probe, at in _probes(batches, similarity):
+            if part is not now:
+                now, parent = part, list(range(len(part.numbers)))
+                cells = [np.frombuffer(r["cells"], np.uint64) for r in part.rows]
+            out += joined(part, probe, at, parent, cells)
+            if len(out) > 4096:
+                yield _pairs(out, ("a", "b"), (pa.binary(), pa.binary()))
+                out = []
+        yield _pairs(out, ("a", "b"), (pa.binary(), pa.binary()))
+
+    dealt = _dealt(members, F.floor(F.col("bytes") / PART_BYTES) + 1)
+    return dealt.mapInArrow(work, "a binary, b binary").distinct()
+
+
+def _pairs(rows: list[tuple], names: tuple, types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=list(names))
+
+
+def cell_table(texts: DataFrame) -> DataFrame:
+    """(node, cells): the sorted cell hashes of every text (node, text)."""
+
+    def work(batches):
+        for b in chunks(batches, "text", CHUNK_BYTES):
+            cell, owner = cell_hashes(*shingle_hashes(*hashed_words(b["text"])))
+            ends = np.cumsum(np.bincount(owner, minlength=b.num_rows))[:-1]
+            cells = [c.tobytes() for c in np.split(cell, ends)]
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array(cells, pa.binary())], names=["node", "cells"])
+
+    return texts.select("node", "text").mapInArrow(work, "node binary, cells binary")
+
+
+def links_in_open_buckets(open_buckets: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components that share buckets (bucket, band, node, size, label), a spanning forest of
+    them in each bucket. ``sketches`` has (node, sketch, bands), ``texts`` (node, text)."""
+    most = (open_buckets.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("most")))
+    told = open_buckets.join(most, "bucket").select(
+        "bucket", "band", "node", "size", "label", (F.col("label") != F.col("most")).alias("outside")).join(sketches, "node")
+    some = _small(with_partners(told, similarity), "partners")
+    cells = cell_table(texts.join(some.select("node").distinct(), "node", "left_semi"))
+    chosen = written(told.join(some, ["bucket", "node"], "left_semi").join(cells, "node"), "cells")
+    total = chosen.groupBy("bucket").agg(F.sum(F.octet_length("cells").cast("long")).alias("bytes"))
+    return spanning_links(chosen.join(total, "bucket"), similarity)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -293,7 +431,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     degree = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     members = written(shared.join(degree, "node").select("bucket", "band", "node", "weight", "size"), "members")
     known = members.select("node").distinct()
-    sketches = written(marks.join(known, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
+    sketches = written(marks.join(known, "node", "left_semi").groupBy("node").agg(
+        F.first(F.struct("sketch", "bands")).alias("s")).select("node", "s.sketch", "s.bands"), "sketches")
 
     hubs = _small(likely(hub_pairs(members), sketches, similarity), "likely")
     texts = written(
@@ -301,27 +440,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         .join(known, "node", "left_semi").dropDuplicates(["node"]), "texts")
     links = _small(verified(hubs, texts, similarity), "links")
     labels = components(links.where("same"))
-    open_buckets, tested, batch = members, links.where("not same"), BEST
-    while True:  # buckets that hold several components
-        named = open_buckets.select("bucket", "band", "node", "weight", "size").join(labels, "node", "left").withColumn(
-            "label", F.coalesce("label", "node"))
-        several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        open_buckets = _small(named.join(several.select("bucket"), "bucket", "left_semi"), "open")
-        fresh = _small(alike(open_buckets, sketches, similarity, tested, batch), "alike")
-        judged = _small(verified(fresh, texts, similarity), "new")
-        new = judged.where("same").select("a", "b")
-        tested, batch = tested.union(judged.where("not same")), 4 * batch
-        if new.isEmpty():
-            if fresh.where("more").isEmpty():
-                break
-            continue
-        la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-        joined = new.join(la, "a", "left").join(lb, "b", "left").select(
-            F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        roots = components(joined).toDF("label", "root")
-        every = labels.union(new.select("a", "a")).union(new.select("b", "b"))  # linked for the first time: own labels
-        labels = _small(every.groupBy("node").agg(F.min("label").alias("label")).join(roots, "label", "left")
-                        .select("node", F.coalesce("root", "label").alias("label")), "labels")
+    placed = members.select("bucket", "band", "node", "size").join(labels, "node", "left").withColumn(
+        "label", F.coalesce("label", "node"))
+    several = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    open_buckets = _small(placed.join(several.select("bucket"), "bucket", "left_semi"), "open")
+    found = _small(links_in_open_buckets(open_buckets, sketches, texts, similarity), "found")
+    new = _small(verified(found, texts, similarity).where("same").select("a", "b"), "new")  # on the words themselves
+    la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    joined = new.join(la, "a", "left").join(lb, "b", "left").select(
+        F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    roots = components(joined).toDF("label", "root")
+    every = labels.union(new.select("a", "a")).union(new.select("b", "b"))  # linked for the first time: own labels
+    labels = _small(every.groupBy("node").agg(F.min("label").alias("label")).join(roots, "label", "left")
+                    .select("node", F.coalesce("root", "label").alias("label")), "labels")
 
     named = marks.select("doc_id", "text_hash", "node").join(labels, "node", "left").select(
         "doc_id", "text_hash", F.coalesce("label", "node").alias("group"))

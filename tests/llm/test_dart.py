@@ -104,10 +104,47 @@ def test_link_beyond_the_most_alike_members_of_a_large_group(spark):
         assert {group for _, group in run(spark, docs)} == {0}
 
 
+def searched(spark, rows, texts):
+    """Links of the components of one bucket; rows are (node, label, band values), equal sketches for all."""
+    name = lambda n: bytes([n]) * 16
+    open_buckets = spark.createDataFrame([(7, 1, name(n), len(rows), name(label)) for n, label, _ in rows],
+                                         "bucket long, band int, node binary, size long, label binary")
+    sketches = spark.createDataFrame([(name(n), bytes(75), bands) for n, _, bands in rows], "node binary, sketch binary, bands array<long>")
+    table = spark.createDataFrame([(name(n), texts[n]) for n, _, _ in rows], "node binary, text string")
+    return [(r.a[0], r.b[0]) for r in dart.links_in_open_buckets(open_buckets, sketches, table, 0.8).collect()]
+
+
 def test_pairs_whose_sketch_alone_agrees_in_an_earlier_band(spark):
-    """The bytes of band 0 agree by chance, the real bucket is that of band 1."""
-    rows = [(7, 1, bytes([n]) * 16, 10, 3, bytes([label]) * 16) for n, label in ((1, 1), (2, 1), (3, 3))]
-    buckets = spark.createDataFrame(rows, "bucket long, band int, node binary, weight long, size long, label binary")
-    sketches = spark.createDataFrame([(r[2], bytes(75)) for r in rows], "node binary, sketch binary")
-    found = {frozenset((bytes(r.a)[0], bytes(r.b)[0])) for r in dart.alike(buckets, sketches, 0.8).collect()}
-    assert found == {frozenset((1, 3)), frozenset((2, 3))}
+    """The bytes of band 0 agree by chance, the real bucket is that of band 1: the pair is tested there. A pair that
+    shares band 0 itself was tested there and is not tested again."""
+    texts = dict.fromkeys((1, 2, 3, 4), "a b c d e f g h i j")
+    found = searched(spark, [(1, 1, [5, 9]), (2, 1, [6, 9]), (3, 3, [7, 9]), (4, 4, [7, 9])], texts)
+    assert len(found) == 2 and {frozenset(f) & {3, 4} for f in found} == {frozenset((3,)), frozenset((4,))}
+
+
+@pytest.mark.parametrize("part, part_bytes", [(8192, 32 << 20), (3, 200), (1, 1)])
+def test_parts_of_buckets_find_the_same_components(spark, monkeypatch, part, part_bytes):
+    monkeypatch.setattr(dart, "PART", part)
+    monkeypatch.setattr(dart, "PART_BYTES", part_bytes)
+    rng = random.Random(3)
+    bases = [[f"b{f}x{i}" for i in range(300)] for f in range(4)]
+    texts = {n: edited(rng, bases[n % 4], n % 3) for n in range(1, 25)}
+    found = searched(spark, [(n, n, [n, 9]) for n in texts], texts)
+    assert len(found) >= 20
+    parent = {n: n for n in texts}
+
+    def root(n):
+        return n if parent[n] == n else root(parent[n])
+
+    for a, b in found:
+        parent[root(a)] = root(b)
+    assert {frozenset(n for n in texts if root(n) == root(m)) for m in texts} == {
+        frozenset(n for n in texts if n % 4 == f) for f in range(4)}
+    if part > 100:
+        assert len(found) == 20  # a spanning forest
+
+
+def test_repeats_weigh(spark):
+    line = "one two three four five six seven"
+    docs = [(1, line + " x " * 3), (2, (line + " ") * 9), (3, (line + " ") * 10), (4, (line + " ") * 20)]
+    assert run(spark, docs) == brute(docs) == [(1, 1), (2, 2), (3, 2), (4, 4)]
