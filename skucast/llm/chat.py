@@ -164,6 +164,6 @@ def conversation_digests(formatted: DataFrame, train_role: str = "assistant") ->
             close()
             yield rows()
 
-    ordered = (formatted.select("conv_id", "turn", "role", "formatted").repartition("conv_id")
-               .sortWithinPartitions("conv_id", "turn", "role", "formatted").select("conv_id", "formatted"))
+    ordered = (formatted.select("conv_id", "turn", "role", "text", "formatted").repartition("conv_id")
+               .sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted"))
     return ordered.mapInArrow(work, SPAN)

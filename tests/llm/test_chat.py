@@ -33,7 +33,7 @@ def test_parser_refuses(bad):
 
 def test_digests_and_defined_results(spark):
     rows = [(1, 1, "assistant", "é\n<|im_end|>"), (1, 0, "user", "hi"), (2, 0, "assistant", None), (2, 0, "assistant", "b"),
-            (2, 0, "assistant", "b"), (None, None, None, None), (3, 5, "a\nb", "x" * 50000), (3, 4, "assistant", "<\\|")]
+            (2, 0, "assistant", "b"), (4, 0, "user", "ok then"), (4, 0, "user", "ok"), (4, 1, "user", "a<|b"), (4, 1, "user", "a<a"), (None, None, None, None), (3, 5, "a\nb", "x" * 50000), (3, 4, "assistant", "<\\|")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS n_turns").repartition(3)
     turns = chat.format_turns(df)
     got = {r.conv_id: tuple(r)[1:] for r in chat.conversation_digests(turns).collect()}
