@@ -14,7 +14,8 @@ each block go to a window per query.
 Defined results: rows whose vector is null, or holds null or non-finite components, or whose id is null, take no
 part; an empty vector has score 0 with all; vectors of different length are compared on the dimensions of both;
 rows that repeat an id are candidates each, a query's candidates are all rows of other ids; of several queries
-with one id the first in order of vector stands; ties go to smaller ids; an empty table gives no rows.
+with one id the first in order of vector stands; ties go to smaller ids; an empty table gives no rows. Finite components
+that are too large are an error: 2**53 or more after scaling, or a query and rows whose scores could leave 62 bits.
 """
 
 from __future__ import annotations
@@ -35,8 +36,12 @@ def quantised(vector: str | Column) -> Column:
     """floor(256 * x) of every component as double; null if the vector takes no part."""
     v = F.col(vector) if isinstance(vector, str) else vector
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return F.when(F.coalesce(finite, F.lit(False)),
-                  F.transform(v, lambda x: F.floor(x.cast("double") * 256).cast("long")))
+    def scaled(x: Column) -> Column:
+        y = F.floor(x.cast("double") * 256).cast("long")
+        return F.when(F.abs(x.cast("double")) * 256 < 2.0**53, y).otherwise(
+            F.raise_error(F.lit("a vector component is too large for integer scores")).cast("long"))
+
+    return F.when(F.coalesce(finite, F.lit(False)), F.transform(v, scaled))
 
 
 class Block:
@@ -48,6 +53,7 @@ class Block:
         self.n, self.dims = rows.shape
         self.low = self.rows.min(axis=0) if self.n else np.zeros(self.dims, np.int64)
         above = self.rows - self.low
+        self.largest = max(int(above.max(initial=0)), abs(int(self.rows.max(initial=0))), abs(int(self.rows.min(initial=0))))
         self.bits = max(int(above.max(initial=0)).bit_length(), 1)
         self.drop = min(drop, self.bits - 1)
         self.words = -(-self.n // 64)
@@ -92,6 +98,8 @@ class Block:
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best rows of other ids, best first."""
         query = np.concatenate((query, np.zeros(max(0, self.dims - len(query)), np.int64)))[:self.dims]
+        if self.largest * sum(map(abs, query.tolist())) >= 1 << 62:
+            raise ValueError(f"scores of query {query_id} can leave 62 bits")
         live = self.all.copy()
         lo, hi = np.searchsorted(self.ids, [query_id, query_id + 1])
         for r in range(lo, hi):

@@ -59,3 +59,9 @@ def test_sliced_scores_bound_exact_ones(drop):
     exact = rows @ query
     gap = exact - sliced
     assert gap.max() - gap.min() <= np.abs(query).sum() * ((1 << block.drop) - 1)
+
+
+@pytest.mark.parametrize("rows", [[(0, [1e30]), (1, [1.0])], [(0, [1e13] * 3), (1, [1e13] * 3)]])
+def test_components_too_large_for_scores_are_an_error(spark, rows):
+    with pytest.raises(Exception, match="too large|62 bits"):
+        run(spark, rows)
