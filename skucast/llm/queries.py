@@ -80,11 +80,12 @@ ratios AS (SELECT f.*, rule, CAST(CASE rule {_RATIOS} END AS DOUBLE) AS x
            FROM flagged f, (SELECT DISTINCT rule FROM cuts)),
 per AS (SELECT r.lang, rule, CAST(cutoff AS DOUBLE) AS cutoff, count(*) AS n,
                CAST(sum(CASE WHEN x > CAST(cutoff AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS k
-        FROM ratios r JOIN cuts USING (rule)
-        WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+        FROM (SELECT DISTINCT lang, t, rule, x FROM ratios JOIN words USING (rid, lang)
+              WHERE NOT base_failed AND ratios.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) r JOIN cuts USING (rule)
+        GROUP BY ALL),
 tails AS (SELECT lang, rule, cutoff, (SELECT count(*) FROM per) AS n_tests,
-                 sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98))) AS tail
-          FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM per WHERE k <= n * 0.02) GROUP BY ALL),
+                 sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.004) + (n - i) * ln(0.996))) AS tail
+          FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM per WHERE k <= n * 0.004) GROUP BY ALL),
 chosen AS (SELECT lang, rule, min(cutoff) AS cutoff FROM tails WHERE tail <= 0.05 / n_tests GROUP BY ALL),
 hits AS (SELECT DISTINCT rid FROM ratios r JOIN chosen c
          ON r.rule = c.rule AND r.lang IS NOT DISTINCT FROM c.lang WHERE x > c.cutoff)
@@ -173,7 +174,7 @@ def op5_byte_bpe(spark, sf):
 def op9_best_fit_packing(spark, sf):
     import public_tokenizers
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                                  public_tokenizers.PATTERN)
+                                  public_tokenizers.PATTERN, added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @query("op2_bit_sliced_topk")

@@ -1,20 +1,23 @@
 """Operator 4: quality rules with risk-controlled thresholds (DataFrame functions only).
 
 Every rule is a ratio of a text with a fixed grid of cutoffs; it rejects texts above its cutoff. Cutoffs are
-chosen per stratum from labelled holdouts: of the n good holdout texts of a stratum, k lie above a cutoff. A
-cutoff is certified if the exact binomial tail P(Bin(n, max_loss) <= k) is at most the test level, that is, if
-the exact upper bound of its false-rejection rate is at most ``max_loss``. The test level is ``risk`` divided by
-the number of all tests (strata x rules x cutoffs), so with probability 1 - risk every certified cutoff keeps
-its promise in every stratum. The lowest certified cutoff of a stratum and rule is used; a rule without one
-rejects nothing there.
+chosen per stratum from labelled holdouts: of the n different good holdout texts of a stratum, k lie above a cutoff
+(copies of a text are no independent trials, so they count once). The verdict rejects what any rule rejects, so
+each rule may lose ``max_loss`` divided by the number of rules. A cutoff is certified if the exact binomial tail
+P(Bin(n, share) <= k) is at most the test level, that is, if the exact upper bound of its false-rejection rate is at
+most that share. The test level is ``risk`` divided by the number of all tests (strata x rules x cutoffs), so with
+probability 1 - risk the verdict of every stratum rejects at most ``max_loss`` of its good texts. The lowest certified
+cutoff of a stratum and rule is used; a rule without one rejects nothing there.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Defined results: a null or empty text has no words, fails the base rule and is
-not kept; a null stratum is a stratum of its own; repeated ids keep a row each, and a label counts once for
-every row of its id; without labels only the base rule decides. Further columns are ignored.
+not kept; a null stratum is a stratum of its own; repeated ids keep a row each, and a label counts for every different
+text of its id; without labels only the base rule decides. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,31 +87,42 @@ def _ratio(rule: str) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(0.0)
 
 
+def _log_factorial(n: Column) -> Column:
+    """log(n!): exact to 20, then Stirling's series (its next term is under 1e-12)."""
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = (x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)))
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k), summed exactly term by term in logarithms."""
-    step = F.log(F.lit(p / (1 - p)))
-    first = F.struct((n * F.log(F.lit(1 - p))).alias("t"), F.exp(n * F.log(F.lit(1 - p))).alias("s"))
+    """P(Bin(n, p) <= k) for k up to the mean: the terms fall from k downwards and are summed until they vanish,
+    a number in proportion to the root of n."""
+    first = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p))
+    odds = (1 - p) / p
+    width = F.ceil(F.lit(64) + 12 * F.sqrt(n * p)).cast("long")
+    terms = F.when(k >= 1, F.sequence(k, F.greatest(k - width, F.lit(1).cast("long")), F.lit(-1).cast("long"))).otherwise(
+        F.array().cast("array<bigint>"))
 
     def add(a, i):
-        t = a["t"] + F.log((n - i + 1) / i) + step
-        return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
+        t = a["t"] * i / (n - i + 1) * odds
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
 
-    terms = F.when(k >= 1, F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)))).otherwise(
-        F.array().cast("array<bigint>"))
-    return F.aggregate(terms, first, add, lambda a: F.least(a["s"], F.lit(1.0)))
+    start = F.struct(first.alias("t"), first.alias("s"))
+    return F.aggregate(terms, start, add, lambda a: F.least(a["s"], F.lit(1.0)))
 
 
 def certified_cutoffs(good: DataFrame, stratum: str, max_loss: float, risk: float) -> DataFrame:
-    """(stratum, rule, cutoff) from the counts of the labelled good holdout texts: strata x rules rows."""
+    """(stratum, rule, cutoff) from the counts of the different labelled good holdout texts: strata x rules rows."""
+    share = max_loss / len(RULES)
     tried = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _ratio(r).alias("x"), F.lit(c).alias("cutoff"))
                                 for r in RULES for c in RULES[r][2]])).alias("e")
     per = (good.select(F.col(stratum).alias("stratum"), tried)
            .groupBy("stratum", "e.rule", "e.cutoff")
            .agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("e.x") > F.col("e.cutoff")).cast("long")).alias("k")))
     tests = per.select(F.count(F.lit(1))).scalar()
-    # The tail at k = n * max_loss is about one half: counts beyond cannot pass, so no longer sum is needed.
-    tail = F.when(F.col("k") > F.col("n") * max_loss, F.lit(1.0)).otherwise(
-        binomial_tail(F.col("n"), F.col("k"), max_loss))
+    # The tail at k = n * share is about one half: counts beyond cannot pass, so no longer sum is needed.
+    tail = F.when(F.col("k") > F.col("n") * share, F.lit(1.0)).otherwise(
+        binomial_tail(F.col("n"), F.col("k"), share))
     return (per.where(tail <= F.lit(risk) / tests)
             .groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")))
 
@@ -117,7 +131,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
                      risk: float = 0.05, id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id, ``text_hash``, counts, base_failed, kept and the rules that reject it.
 
-    Holdouts: every labelled good text that passes the base rule. Rules and grids are fixed beforehand and
+    Holdouts: every different labelled good text that passes the base rule. Rules and grids are fixed beforehand and
     nothing is fitted on labels, so no label is spent before the test. The counts of all texts are written once
     (a few numbers a text) and read for the holdouts and for the verdicts."""
     counts = written(text_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum).alias("_stratum"), "text",
@@ -125,7 +139,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
                                  "doc_id", "_stratum", "text_hash"), "rules")
     counts = counts.withColumn("base_failed", base_failed())
     good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("doc_id")).distinct()
-    hold = counts.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+    hold = counts.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").dropDuplicates(["_stratum", "text_hash"])
     cuts = certified_cutoffs(hold, "_stratum", max_loss, risk).groupBy("stratum").agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     out = counts.join(cuts, counts["_stratum"].eqNullSafe(cuts["stratum"]), "left")

@@ -1,6 +1,7 @@
 """Quality rules: counts and verdicts against plain Python, exact binomial tails, defined results."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -33,21 +34,21 @@ def test_counts_match_plain(spark):
 
 
 def test_binomial_tail(spark):
-    cases = [(n, k, p) for n in (1, 7, 300, 5000) for k in (0, 1, 3) if k <= n for p in (0.01, 0.2)]
+    cases = [(n, k, p) for n in (1, 7, 300, 5000, 90000) for k in (0, 1, 3, 19, 22, 250) for p in (0.004, 0.2) if k <= n * p]
     for n, k, p in cases:
         (got,) = spark.range(1).select(rules.binomial_tail(F.lit(n).cast("long"), F.lit(k).cast("long"), p)).first()
-        want = sum(math.comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1))
-        assert math.isclose(got, want, rel_tol=1e-9)
+        want = sum(math.exp(math.log(math.comb(n, i)) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
+        assert math.isclose(got, want, rel_tol=1e-9, abs_tol=1e-300)
 
 
 def make(n, bad, lang, start):
-    return [(start + i, " ".join(f"w{k}" + "###" * (i < bad) for k in range(60)), lang) for i in range(n)]
+    return [(start + i, " ".join(f"{lang}{i}w{k}" + "###" * (i < bad) for k in range(60)), lang) for i in range(n)]
 
 
 def test_cutoffs_hold_their_promise_by_stratum(spark):
     # en: no good text has signs; de: every third has, so no cutoff may reject them; fr: too few labels to certify
-    docs = make(900, 0, "en", 0) + make(900, 300, "de", 1000) + make(5, 0, "fr", 2000)
-    docs += [(5000 + k, make(1, 1, lang, 0)[0][1], lang) for k, lang in enumerate(("en", "de", "fr", None))]
+    docs = make(2400, 0, "en", 0) + make(900, 300, "de", 2500) + make(5, 0, "fr", 4000)
+    docs += [(5000 + k, make(1, 1, f"{lang}x", 0)[0][1], lang) for k, lang in enumerate(("en", "de", "fr", None))]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(d[0], 1) for d in docs if d[0] < 5000], "doc_id long, quality int")
     got = {r.doc_id: (r.kept, r.rejected_by) for r in rules.quality_verdicts(df, labels).collect()}
@@ -68,3 +69,35 @@ def test_defined_results(spark):
         assert got == [("1", 0, True, False), ("1", 60, False, True), ("1", 60, False, True), ("2", 0, True, False),
                        ("None", 60, False, True)]
     assert rules.quality_verdicts(spark.createDataFrame([], schema), none).count() == 0
+
+
+def test_the_verdict_of_all_rules_keeps_the_promise(spark):
+    """Four rules that each reject 1.3 % of the good texts, others each: none may, together they reject 5.2 %."""
+    rng = random.Random(2)
+
+    def text(i):
+        words = [f"t{i}w{k}" for k in range(60)]
+        kind = i // 65 if i < 4 * 65 else None
+        if kind == 0:
+            words = [w + "###" for w in words]
+        elif kind == 1:
+            words = [w + "!" for w in words]
+        elif kind == 2:
+            words = [w.upper() + "ABCDEF" for w in words]
+        elif kind == 3:
+            words = words[:40] + words[:20]
+        return " ".join(words)
+
+    docs = [(i, text(i), "en") for i in range(5000)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5000)], "doc_id long, quality int")
+    assert rules.quality_verdicts(df, labels).where("NOT kept").count() <= 100
+
+
+def test_copies_are_no_trials(spark):
+    good = " ".join(f"w{k}" for k in range(60))
+    noisy = " ".join(f"w{k}###" for k in range(60))
+    df = spark.createDataFrame([(i, good, "en") for i in range(6000)] + [(9999, noisy, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(6000)], "doc_id long, quality int")
+    assert rules.quality_verdicts(df, labels).where("doc_id = 9999").first().kept
