@@ -5,16 +5,16 @@ numbers of its texts in a written table. The distinct pieces of all chunks meet
 Spark folds the ranked merges over the byte array of each distinct piece: the state is the array of token ids, one a byte at first, and the ranks of adjacent pairs; each step joins
 the leftmost pair of lowest rank, whose rank is the id of the joined token, and looks up the two new pairs, until
 no pair has a rank. The rank map is a literal: for every way to split a token into two, (left id, right id) ->
-rank, dealt to an array of small maps, since a Spark map is searched from its start. Decoding looks up the bytes
-of every id in a literal array and concatenates them; bytes are written there as the characters U+0000 to U+00FF
-(ISO-8859-1). A bucket stores its result as sorted hashes with ids and decoded bytes in the shared folder (a
-mounted file system), which workers map into memory to put the texts together again; every decoded piece is
-compared with its source there. Only distinct pieces are shuffled, so no frequent piece makes a hot group; the
-number of buckets follows the input, a chunk holds ``CHUNK_BYTES`` of text or one longer text.
+rank, dealt to an array of small maps, since a Spark map is searched from its start. Decoding looks up the bytes of every
+id in a literal array of binary values and concatenates them. A bucket stores its result in the shared folder (a
+mounted file system) as a sorted table of hashes and a blob of ids and decoded bytes, which workers map into memory
+and read only where their texts' pieces are; every decoded piece is compared with its source there. Only distinct
+pieces are shuffled, so no frequent piece makes a hot group; the number of buckets follows the input, a chunk holds
+``CHUNK_BYTES`` of text or one longer text.
 
-A fold copies its arrays at every merge, so pieces of over ``LONG_PIECE`` bytes are merged with a heap instead,
-by the same ranks and with the same result; ordinary texts have none. A piece that is itself a token is that
-token: merges give the same but for tokens that no merges reach, which are listed when the ranks are read.
+A piece that is itself a token is that token, as in the tiktoken library, and is not folded. A fold copies its arrays
+at every merge, so its time grows with the square of a piece's length: pieces of over ``LONG_PIECE`` bytes are merged
+with a heap instead, by the same ranks and with the same result.
 
 Defined results: a null text is empty (no ids); null ids and repeated rows stay as they are; an empty table gives
 no rows. Further columns are ignored.
@@ -67,11 +67,11 @@ def pair_literal(ranks: dict[bytes, int]) -> Column:
 
 
 def token_literal(ranks: dict[bytes, int]) -> Column:
-    """Literal array<string> of the bytes of every id."""
+    """Literal array<binary> of the bytes of every id."""
     names = [""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
-        names[rank] = token.decode("latin-1")
-    return F.from_json(F.lit(json.dumps(names)), "array<string>")
+        names[rank] = base64.b64encode(token).decode()
+    return F.transform(F.from_json(F.lit(json.dumps(names)), "array<string>"), F.unbase64)
 
 
 def _let(value: Column, body) -> Column:
@@ -103,11 +103,11 @@ def encode_piece(piece: Column, pairs_of: Column) -> Column:
 
     first = F.struct(piece.alias("ids"), F.transform(
         F.slice(piece, 2, F.size(piece)), lambda right, i: rank(F.get(piece, i), right)).alias("pairs"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(piece)), first, merge, lambda s: s["ids"])
+    return F.aggregate(F.slice(piece, 2, F.size(piece)), first, merge, lambda s: s["ids"])  # a merge less than bytes at most
 
 
 def decode_ids(ids: Column, tokens: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda i: F.get(tokens, i)), "")
+    return F.aggregate(ids, F.lit(b""), lambda so_far, i: F.concat(so_far, F.get(tokens, i)))
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -130,11 +130,6 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p]
 
 
-def unreached(ranks: dict[bytes, int]) -> dict[bytes, int]:
-    """Tokens that merging their own bytes does not give."""
-    return {t: r for t, r in ranks.items() if len(t) > 1 and _merge_long(t, ranks) != [r]}
-
-
 def _blob(pieces: list[bytes]) -> tuple[bytes, bytes]:
     return b"".join(pieces), np.array([len(p) for p in pieces], "<u4").tobytes()
 
@@ -180,11 +175,12 @@ def _cut(batches, pattern: str):
                                          names=[c.split()[0] for c in CUT.split(", ")])
 
 
-def _deal(batches, bits: int):
-    """The distinct pieces of every chunk, by top bits of their hashes."""
+def _deal(batches, bits: int, path: str):
+    """The distinct pieces of every chunk that are no tokens, by top bits of their hashes."""
+    ranks = read_ranks(path)
     for b in batches:
         for blob, lens in zip(b["pieces"].to_pylist(), b["lens"].to_pylist()):
-            pieces = _unblob(blob, lens)
+            pieces = [p for p in _unblob(blob, lens) if p not in ranks]
             bucket = (_hashes(pieces) >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             at = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))[:len(pieces)]
@@ -205,63 +201,77 @@ def _distinct(group: pa.Table) -> pa.Table:
                      "pieces": pa.array([names], pa.list_(pa.string()))})
 
 
-def _narrow(values: np.ndarray) -> np.ndarray:
-    """The same numbers in the narrowest unsigned type that holds them."""
-    return values.astype(np.min_scalar_type(int(values.max(initial=0))))
+#: A stored piece: its hash, where its part of the blob ends, and the bytes of its ids there (its bytes follow).
+ENTRY = np.dtype([("hash", "<u8"), ("end", "<u8"), ("id_bytes", "<u4")])
+
+
+def _id_type(ranks: dict[bytes, int]) -> np.dtype:
+    return np.min_scalar_type(max(ranks.values(), default=0)).newbyteorder("<")
 
 
-def _keep(batches, folder: str, path: str, odd: dict[bytes, int]):
-    """Stores a bucket: sorted piece hashes, counts of ids and ids, counts of decoded bytes and bytes."""
-    ranks = None
+def _keep(batches, folder: str, path: str):
+    """Stores a bucket: the entries in order of their hashes, and the blob of ids and decoded bytes."""
+    ranks = read_ranks(path)
+    names, kind = {v: k for k, v in ranks.items()}, _id_type(ranks)
     for b in batches:
         for row in range(b.num_rows):
             bucket, pieces = b["bucket"][row].as_py(), [p.encode("latin-1") for p in b["pieces"][row].as_py()]
             lists = b["ids"][row].values
             at = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            ids = [flat[s:e] for s, e in zip(at[:-1], at[1:])]
-            decoded = [x.encode("latin-1") for x in b["decoded"][row].values.to_pylist()]
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(kind)
+            ids = [flat[s:e].tobytes() for s, e in zip(at[:-1], at[1:])]
+            decoded = b["decoded"][row].values.to_pylist()
             for i, piece in enumerate(pieces):
                 if len(piece) > LONG_PIECE:
-                    ranks = ranks or read_ranks(path)
-                    names = {v: k for k, v in ranks.items()}
-                    ids[i] = np.array(_merge_long(piece, ranks), "<u4")
-                    decoded[i] = b"".join([names[x] for x in ids[i].tolist()])
-                elif piece in odd:
-                    ids[i] = np.array([odd[piece]], "<u4")
+                    merged = _merge_long(piece, ranks)
+                    ids[i], decoded[i] = np.array(merged, kind).tobytes(), b"".join([names[x] for x in merged])
             hashes = _hashes(pieces)
-            order = np.argsort(hashes)
-            for name, array in (("keys", hashes[order]),
-                                ("id-counts", _narrow(np.array([len(ids[i]) for i in order]))),
-                                ("ids", _narrow(np.concatenate([ids[i] for i in order]))),
-                                ("byte-counts", _narrow(np.array([len(decoded[i]) for i in order]))),
-                                ("bytes", np.frombuffer(b"".join([decoded[i] for i in order]), np.uint8))):
-                store_array(folder, f"{bucket}-{name}", array)
+            order = np.argsort(hashes).tolist()
+            entries = np.zeros(len(pieces), ENTRY)
+            entries["hash"], entries["id_bytes"] = hashes[order], [len(ids[i]) for i in order]
+            entries["end"] = np.cumsum([len(ids[i]) + len(decoded[i]) for i in order])
+            store_array(folder, f"{bucket}-blob", np.frombuffer(b"".join([x for i in order for x in (ids[i], decoded[i])]), np.uint8))
+            store_array(folder, f"{bucket}-entries", entries)
             yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([len(pieces)])], names=["bucket", "n"])
 
 
-def _assemble(batches, folder: str, bits: int):
-    """The ids and the decoded bytes of every text from those of its pieces, looked up in the store."""
+def _looked_up(pieces: list[bytes], folder: str, bits: int, ranks: dict[bytes, int], names: list[bytes], kind: np.dtype):
+    """The ids, as bytes, and the decoded bytes of every piece: tokens by the ranks, others from the store."""
+    encoded, decoded, others = [b""] * len(pieces), [b""] * len(pieces), []
+    for i, piece in enumerate(pieces):
+        rank = ranks.get(piece)
+        if rank is None:
+            others.append(i)
+        else:
+            encoded[i], decoded[i] = rank.to_bytes(4, "little"), names[rank]
+    hashes = _hashes([pieces[i] for i in others])
+    order = np.argsort(hashes)
+    bucket = (hashes[order] >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))[:len(others)]
+    for lo, hi in zip(at, np.append(at[1:], len(others))):
+        entries = np.load(f"{folder}/{bucket[lo]}-entries.npy", mmap_mode="r")
+        blob = memoryview(np.load(f"{folder}/{bucket[lo]}-blob.npy", mmap_mode="r"))
+        places = np.searchsorted(entries["hash"], hashes[order[lo:hi]])
+        stops = entries["end"][places]
+        starts = np.where(places > 0, entries["end"][places - 1], 0)
+        ids = starts + entries["id_bytes"][places]
+        for k, s, m, e in zip(order[lo:hi].tolist(), starts.tolist(), ids.tolist(), stops.tolist()):
+            encoded[others[k]] = np.frombuffer(blob[s:m], kind).astype("<u4").tobytes()
+            decoded[others[k]] = bytes(blob[m:e])
+    return encoded, decoded
+
+
+def _assemble(batches, folder: str, bits: int, path: str):
+    """The ids and the decoded bytes of every text from those of its pieces."""
+    ranks = read_ranks(path)
+    kind, names = _id_type(ranks), [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        names[rank] = token
     for b in batches:
         for at_row in range(b.num_rows):
             (row,) = b.slice(at_row, 1).to_pylist()
             pieces = _unblob(row["pieces"], row["lens"])
-            hashes = _hashes(pieces)
-            order = np.argsort(hashes)
-            bucket = (hashes[order] >> np.uint64(64 - bits)).astype(np.int64)
-            encoded, decoded = [b""] * len(pieces), [b""] * len(pieces)
-            at = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))[:len(pieces)]
-            for lo, hi in zip(at, np.append(at[1:], len(pieces))):
-                keys, id_counts, ids, byte_counts, raw = (
-                    np.load(f"{folder}/{bucket[lo]}-{name}.npy", mmap_mode="r")
-                    for name in ("keys", "id-counts", "ids", "byte-counts", "bytes"))
-                places = np.searchsorted(keys, hashes[order[lo:hi]])
-                for counts, flat, out in ((id_counts, ids.astype("<u4").tobytes(), encoded), (byte_counts, raw.tobytes(), decoded)):
-                    ends = np.cumsum(counts, dtype=np.int64) * (4 if out is encoded else 1)
-                    stops = ends[places]
-                    starts = np.where(places > 0, ends[places - 1], 0)
-                    for i, s, e in zip(order[lo:hi].tolist(), starts.tolist(), stops.tolist()):
-                        out[i] = flat[s:e]
+            encoded, decoded = _looked_up(pieces, folder, bits, ranks, names, kind)
             if decoded != pieces:
                 raise ValueError("a decoded piece differs from its source")
             numbers = np.frombuffer(row["low"], "<u2") + (np.frombuffer(row["high"], "<u2").astype(np.int32) << 16)
@@ -283,20 +293,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded) of every row: ids as little-endian unsigned 32-bit integers, and the bytes that
     decoding them gives. ``path`` names a rank file that every worker can read."""
     ranks = read_ranks(path)
-    odd, pair_map, tokens = unreached(ranks), pair_literal(ranks), token_literal(ranks)
+    pair_map, tokens = pair_literal(ranks), token_literal(ranks)
     folder = mounted(shared_folder(docs.sparkSession, "pieces"))
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     cut = written(text.mapInArrow(lambda it: _cut(it, pattern), CUT), "cut")
     bits = max(3, math.ceil(math.log2(2 * docs.rdd.getNumPartitions())))
-    dealt = cut.select("pieces", "lens").mapInArrow(lambda it: _deal(it, bits), "bucket int, pieces binary, lens binary")
+    dealt = cut.select("pieces", "lens").mapInArrow(lambda it: _deal(it, bits, path), "bucket int, pieces binary, lens binary")
     # written, so that no task has a Python worker on either side of the fold
     found = written(dealt.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(
-        _distinct, "bucket int, pieces array<string>"), "distinct")
+        _distinct, "bucket int, pieces array<string>"), "distinct").repartition(1 << bits)  # a row a task: folds take long
     of_byte = F.array(*[F.lit(ranks[bytes([i])]) for i in range(256)])
     none = F.array().cast("array<int>")
     found = found.withColumn("bytes", _let(of_byte, lambda ids: F.transform("pieces", lambda p: F.when(
         F.length(p) > LONG_PIECE, none).otherwise(F.transform(F.split(p, ""), lambda c: F.get(ids, F.ascii(c)))))))
     coded = found.withColumn("ids", _let(pair_map, lambda m: F.transform("bytes", lambda p: encode_piece(p, m))))
     coded = coded.withColumn("decoded", _let(tokens, lambda t: F.transform("ids", lambda ids: decode_ids(ids, t))))
-    coded.drop("bytes").mapInArrow(lambda it: _keep(it, folder, path, odd), "bucket long, n long").agg(F.sum("n")).collect()
-    return cut.mapInArrow(lambda it: _assemble(it, folder, bits), "doc_id long, ids binary, decoded binary")
+    coded.drop("bytes").mapInArrow(lambda it: _keep(it, folder, path), "bucket long, n long").agg(F.sum("n")).collect()
+    return cut.mapInArrow(lambda it: _assemble(it, folder, bits, path), "doc_id long, ids binary, decoded binary")
