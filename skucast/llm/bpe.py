@@ -235,6 +235,12 @@ def _keep(batches, folder: str, path: str):
             yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([len(pieces)])], names=["bucket", "n"])
 
 
+def _gathered(blob: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ranges one after another, and where each ends (from 0)."""
+    cuts = np.concatenate(([0], np.cumsum(stops - starts)))
+    return blob[np.arange(cuts[-1]) + np.repeat(starts - cuts[:-1], stops - starts)], cuts
+
+
 def _looked_up(pieces: list[bytes], folder: str, bits: int, ranks: dict[bytes, int], names: list[bytes], kind: np.dtype):
     """The ids, as bytes, and the decoded bytes of every piece: tokens by the ranks, others from the store."""
     encoded, decoded, others = [b""] * len(pieces), [b""] * len(pieces), []
@@ -250,14 +256,17 @@ def _looked_up(pieces: list[bytes], folder: str, bits: int, ranks: dict[bytes, i
     at = np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0)))[:len(others)]
     for lo, hi in zip(at, np.append(at[1:], len(others))):
         entries = np.load(f"{folder}/{bucket[lo]}-entries.npy", mmap_mode="r")
-        blob = memoryview(np.load(f"{folder}/{bucket[lo]}-blob.npy", mmap_mode="r"))
+        blob = np.load(f"{folder}/{bucket[lo]}-blob.npy", mmap_mode="r")
         places = np.searchsorted(entries["hash"], hashes[order[lo:hi]])
-        stops = entries["end"][places]
-        starts = np.where(places > 0, entries["end"][places - 1], 0)
-        ids = starts + entries["id_bytes"][places]
-        for k, s, m, e in zip(order[lo:hi].tolist(), starts.tolist(), ids.tolist(), stops.tolist()):
-            encoded[others[k]] = np.frombuffer(blob[s:m], kind).astype("<u4").tobytes()
-            decoded[others[k]] = bytes(blob[m:e])
+        stops = entries["end"][places].astype(np.int64)
+        starts = np.where(places > 0, entries["end"][places - 1], 0).astype(np.int64)
+        middle = starts + entries["id_bytes"][places]
+        ids, cuts = _gathered(blob, starts, middle)
+        ids, cuts = ids.view(kind).astype("<u4").tobytes(), (cuts // kind.itemsize * 4).tolist()
+        raw, ends = _gathered(blob, middle, stops)
+        raw, ends = raw.tobytes(), ends.tolist()
+        for k, s, e, x, y in zip(order[lo:hi].tolist(), cuts, cuts[1:], ends, ends[1:]):
+            encoded[others[k]], decoded[others[k]] = ids[s:e], raw[x:y]
     return encoded, decoded
 
 
@@ -301,7 +310,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     dealt = cut.select("pieces", "lens").mapInArrow(lambda it: _deal(it, bits, path), "bucket int, pieces binary, lens binary")
     # written, so that no task has a Python worker on either side of the fold
     found = written(dealt.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(
-        _distinct, "bucket int, pieces array<string>"), "distinct").repartition(1 << bits)  # a row a task: folds take long
+        _distinct, "bucket int, pieces array<string>"), "distinct")
+    # folds take long: buckets are dealt evenly to tasks, though not one each, as every task reads the literals
+    found = found.repartition(min(1 << bits, 4 * docs.sparkSession.sparkContext.defaultParallelism))
     of_byte = F.array(*[F.lit(ranks[bytes([i])]) for i in range(256)])
     none = F.array().cast("array<int>")
     found = found.withColumn("bytes", _let(of_byte, lambda ids: F.transform("pieces", lambda p: F.when(
