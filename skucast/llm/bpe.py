@@ -36,7 +36,7 @@ from skucast.llm.common import chunks, mounted, shared_folder, store_array, writ
 
 CHUNK_BYTES, PIECES_AT_ONCE = 8 << 20, 100_000
 CUT = "doc_ids array<long>, counts array<int>, low binary, high binary, pieces binary, lens binary"
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 LONG_PIECE = 512
 
 
@@ -80,8 +80,8 @@ def _let(value: Column, body) -> Column:
 
 
 def encode_piece(piece: Column, pairs_of: Column) -> Column:
-    """Ids of one piece, given as the ids of its bytes, by folding merges from the lowest rank upwards."""
-    none = F.array().cast("array<int>")
+    """Ids of one piece, given as the ids of its bytes, by folding merges from the lowest rank upwards. The ids stand
+    between two that no pair has (-1), so every pair has neighbours."""
 
     def rank(left: Column, right: Column) -> Column:
         return F.element_at(F.get(pairs_of, _bucket(left, right).bitwiseAND(F.lit(BUCKETS - 1))),
@@ -90,20 +90,21 @@ def encode_piece(piece: Column, pairs_of: Column) -> Column:
     def merge(state: Column, _step: Column) -> Column:
         ids, pairs = state["ids"], state["pairs"]
 
-        def at(p: Column) -> Column:  # the pair's place, from 1; 0 if no pair has a rank
+        def at(p: Column) -> Column:  # the pair's place, from 1; null if no pair has a rank
             low = F.get(pairs, p - 1)
-            return F.when(p == 0, state).otherwise(F.struct(
+            return F.when(p.isNull(), state).otherwise(F.struct(
                 F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, F.size(ids))).alias("ids"),
-                F.concat(F.slice(pairs, F.lit(1), F.greatest(p - 2, F.lit(0))),
-                         F.when(p > 1, F.array(rank(F.get(ids, p - 2), low))).otherwise(none),
-                         F.when(p + 1 < F.size(ids), F.array(rank(low, F.get(ids, p + 1)))).otherwise(none),
+                F.concat(F.slice(pairs, F.lit(1), p - 2),
+                         F.array(rank(F.get(ids, p - 2), low), rank(low, F.get(ids, p + 1))),
                          F.slice(pairs, p + 2, F.size(pairs))).alias("pairs")))
 
-        return _let(F.coalesce(F.array_position(pairs, F.array_min(pairs)), F.lit(0)).cast("int"), at)
+        return _let(F.array_position(pairs, F.array_min(pairs)).cast("int"), at)
 
-    first = F.struct(piece.alias("ids"), F.transform(
-        F.slice(piece, 2, F.size(piece)), lambda right, i: rank(F.get(piece, i), right)).alias("pairs"))
-    return F.aggregate(F.slice(piece, 2, F.size(piece)), first, merge, lambda s: s["ids"])  # a merge less than bytes at most
+    edge = F.array(F.lit(-1))
+    first = _let(F.concat(edge, piece, edge), lambda ids: F.struct(ids.alias("ids"), F.transform(
+        F.slice(ids, 2, F.size(ids)), lambda right, i: rank(F.get(ids, i), right)).alias("pairs")))
+    steps = F.slice(piece, 2, F.size(piece))  # a merge less than bytes at most
+    return F.aggregate(steps, first, merge, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
 
 
 def decode_ids(ids: Column, tokens: Column) -> Column:
@@ -152,8 +153,8 @@ def _cut(batches, pattern: str):
     find = regex.compile(pattern).findall
     for b in chunks(batches, "text", CHUNK_BYTES):
         parts, found, counts = [], [], []
-        for text in b["text"]:
-            pieces = find(text.as_py())
+        for text in b["text"].to_pylist():
+            pieces = find(text)
             found += pieces
             counts.append(len(pieces))
             if len(found) > PIECES_AT_ONCE:
@@ -191,14 +192,19 @@ def _deal(batches, bits: int, path: str):
                 names=["bucket", "pieces", "lens"])
 
 
-def _distinct(group: pa.Table) -> pa.Table:
-    """A bucket's distinct pieces, their bytes as characters."""
+def _distinct(group: pa.Table, of_byte: np.ndarray) -> pa.Table:
+    """A bucket's distinct pieces, and the ids of their bytes (none for long pieces, which are not folded)."""
     seen: set[bytes] = set()
     for blob, lens in zip(group["pieces"].to_pylist(), group["lens"].to_pylist()):
         seen.update(_unblob(blob, lens))
-    names = [p.decode("latin-1") for p in sorted(seen)]
+    pieces = sorted(seen)
+    folded = [p if len(p) <= LONG_PIECE else b"" for p in pieces]
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in folded], dtype=np.int64))).astype(np.int32)
+    ids = pa.ListArray.from_arrays(ends, pa.array(of_byte[np.frombuffer(b"".join(folded), np.uint8)]))
+    rows = [0, len(pieces)]
     return pa.table({"bucket": group["bucket"].slice(0, 1).combine_chunks(),
-                     "pieces": pa.array([names], pa.list_(pa.string()))})
+                     "pieces": pa.ListArray.from_arrays(rows, pa.array(pieces, pa.binary())),
+                     "bytes": pa.ListArray.from_arrays(rows, ids)})
 
 
 #: A stored piece: its hash, where its part of the blob ends, and the bytes of its ids there (its bytes follow).
@@ -215,7 +221,7 @@ def _keep(batches, folder: str, path: str):
     names, kind = {v: k for k, v in ranks.items()}, _id_type(ranks)
     for b in batches:
         for row in range(b.num_rows):
-            bucket, pieces = b["bucket"][row].as_py(), [p.encode("latin-1") for p in b["pieces"][row].as_py()]
+            bucket, pieces = b["bucket"][row].as_py(), b["pieces"][row].as_py()
             lists = b["ids"][row].values
             at = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False).astype(kind)
@@ -309,14 +315,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     bits = max(3, math.ceil(math.log2(2 * docs.rdd.getNumPartitions())))
     dealt = cut.select("pieces", "lens").mapInArrow(lambda it: _deal(it, bits, path), "bucket int, pieces binary, lens binary")
     # written, so that no task has a Python worker on either side of the fold
+    of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
     found = written(dealt.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(
-        _distinct, "bucket int, pieces array<string>"), "distinct")
+        lambda group: _distinct(group, of_byte), "bucket int, pieces array<binary>, bytes array<array<int>>"), "distinct")
     # folds take long: buckets are dealt evenly to tasks, though not one each, as every task reads the literals
     found = found.repartition(min(1 << bits, 4 * docs.sparkSession.sparkContext.defaultParallelism))
-    of_byte = F.array(*[F.lit(ranks[bytes([i])]) for i in range(256)])
-    none = F.array().cast("array<int>")
-    found = found.withColumn("bytes", _let(of_byte, lambda ids: F.transform("pieces", lambda p: F.when(
-        F.length(p) > LONG_PIECE, none).otherwise(F.transform(F.split(p, ""), lambda c: F.get(ids, F.ascii(c)))))))
     coded = found.withColumn("ids", _let(pair_map, lambda m: F.transform("bytes", lambda p: encode_piece(p, m))))
     coded = coded.withColumn("decoded", _let(tokens, lambda t: F.transform("ids", lambda ids: decode_ids(ids, t))))
     coded.drop("bytes").mapInArrow(lambda it: _keep(it, folder, path), "bucket long, n long").agg(F.sum("n")).collect()
