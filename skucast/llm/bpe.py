@@ -36,7 +36,7 @@ from skucast.llm.common import chunks, mounted, shared_folder, store_array, writ
 
 CHUNK_BYTES, PIECES_AT_ONCE = 8 << 20, 100_000
 CUT = "doc_ids array<long>, counts array<int>, low binary, high binary, pieces binary, lens binary"
-BUCKETS = 1 << 12
+BUCKETS = 1 << 14
 LONG_PIECE = 512
 
 
