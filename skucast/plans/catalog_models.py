@@ -240,6 +240,25 @@ def q_seasonal_ar_holdout(spark, sf):
     return finish(holdout_report(daily_dense(spark, sf, reuse=True), 28))
 
 
+@query("K06_unit_root_tests")
+def q_unit_root_tests(spark, sf):
+    from skucast.operators.arima import unit_root_tests
+    return finish(unit_root_tests(daily_dense(spark, sf, reuse=True)))
+
+
+@query("K06_arima_forecast")
+def q_arima(spark, sf):
+    from skucast.operators.arima import arima
+    return finish(arima(daily_dense(spark, sf, reuse=True), 28))
+
+
+@query("K06_arima_holdout")
+def q_arima_holdout(spark, sf):
+    from skucast.operators.arima import arima
+    from skucast.operators.seasonal_ar import holdout_report
+    return finish(holdout_report(daily_dense(spark, sf, reuse=True), 28, model=arima, name="ARIMA"))
+
+
 @query("D18_interval_from_samples")
 def q_interval(spark, sf):
     """D18 on the panel: per (SKU, day) the stores' sales are the draws."""

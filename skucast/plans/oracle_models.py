@@ -234,6 +234,39 @@ SELECT sku_id, {_g}, {_b}, {R('SUM(sales * sales)')} AS yty, COUNT(*) AS n FROM
          lag(sales, 14) OVER w AS l14 FROM dense WINDOW w AS (PARTITION BY sku_id ORDER BY date))
 WHERE l14 IS NOT NULL GROUP BY sku_id""", *DAILY_CTES)
 
+_lagged = ", ".join(f"lag(e{i}, {l}) OVER w AS e{i}_{l}" for i in (0, 1) for l in range(1, 16))
+_sums = ", ".join(f"SUM(e{i} * e{i}_{l}) AS g{i}_{l}" for i in (0, 1) for l in range(1, 16))
+
+
+def _kpss(i: int) -> str:
+    lags = f"FLOOR(4 * POW(n{i} / 100.0, 0.25))"
+    spread = " + ".join([f"g{i}_0"] + [f"CASE WHEN {lags} >= {l} THEN 2 * (1 - {l} / ({lags} + 1)) * COALESCE(g{i}_{l}, 0) ELSE 0 END"
+                                       for l in range(1, 16)])
+    return f"CASE WHEN {spread} > 1e-9 THEN s{i} / (n{i} * ({spread})) ELSE 0 END AS kpss_{i}"
+
+
+sql("K06_unit_root_tests", f"""
+SELECT sku_id, n, {R('strength')} AS strength, seasonal_d, {R('kpss_0')} AS kpss_0, {R('kpss_1')} AS kpss_1,
+       CASE WHEN kpss_0 <= 0.463 THEN 0 WHEN kpss_1 <= 0.463 THEN 1 ELSE 2 END AS d
+FROM (SELECT sku_id, n, strength, seasonal_d, {_kpss(0)}, {_kpss(1)} FROM (
+  SELECT sku_id, COUNT(*) AS n, MAX(strength) AS strength, MAX(seasonal_d) AS seasonal_d, COUNT(e0) AS n0, COUNT(e1) AS n1,
+         SUM(c0 * c0) AS s0, SUM(c1 * c1) AS s1, SUM(e0 * e0) AS g0_0, SUM(e1 * e1) AS g1_0, {_sums}
+  FROM (SELECT *, {_lagged}, CASE WHEN e0 IS NOT NULL THEN SUM(e0) OVER w END AS c0,
+               CASE WHEN e1 IS NOT NULL THEN SUM(e1) OVER w END AS c1
+        FROM (SELECT *, x0 - AVG(x0) OVER (PARTITION BY sku_id) AS e0, x1 - AVG(x1) OVER (PARTITION BY sku_id) AS e1 FROM steps)
+        WINDOW w AS (PARTITION BY sku_id ORDER BY date ROWS UNBOUNDED PRECEDING)) GROUP BY sku_id))""",
+    *DAILY_CTES,
+    """strengths AS (SELECT sku_id, strength, CAST(strength > 0.64 AS INTEGER) AS seasonal_d FROM (
+  SELECT sku_id, CASE WHEN SUM(q) - SUM(s) * SUM(s) / SUM(n) > 1e-9
+                 THEN (SUM(s * s / n) - SUM(s) * SUM(s) / SUM(n)) / (SUM(q) - SUM(s) * SUM(s) / SUM(n)) ELSE 0 END AS strength
+  FROM (SELECT sku_id, day, COUNT(*) AS n, SUM(x) AS s, SUM(x * x) AS q FROM (
+    SELECT sku_id, dayofweek(date) AS day, sales - AVG(sales) OVER v AS x, COUNT(*) OVER v AS k FROM dense
+    WINDOW v AS (PARTITION BY sku_id ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) WHERE k = 7 GROUP BY ALL)
+  GROUP BY sku_id))""",
+    """steps AS (SELECT *, x0 - lag(x0) OVER (PARTITION BY sku_id ORDER BY date) AS x1 FROM (
+  SELECT sku_id, date, strength, seasonal_d, CASE WHEN seasonal_d = 1 THEN sales - lag(sales, 7) OVER (PARTITION BY sku_id ORDER BY date)
+         ELSE sales END AS x0 FROM dense JOIN strengths USING (sku_id)))""")
+
 sql("D18_interval_from_samples", f"""
 SELECT sku_id, date, {R('AVG(sales)')} AS mean, {R('quantile_cont(sales, 0.025)')} AS lower,
        {R('quantile_cont(sales, 0.975)')} AS upper FROM panel GROUP BY sku_id, date""")
