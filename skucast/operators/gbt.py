@@ -1,53 +1,46 @@
-"""Pooled boosted-tree forecaster over direct multi-step samples (survey K08, K09, D17, B14).
+"""Pooled boosted-tree forecaster over direct multi-step samples (survey K08, K09, D17, B14, E18).
 
-One model for all series and horizons: features (E17) x horizon 1..H (G01) -> MLlib
-``GBTRegressor`` trained with distributed histogram aggregation. The last 20 % of sample dates
-form the validation set, which drives early stopping. Samples
-are checkpointed before fitting, so tree iterations re-read a short lineage and a lost executor
-only recomputes its checkpointed blocks.
+One model for all series and horizons: features (E17) x horizon 1..H (G01) -> regularised boosting
+(``boosting``: L1 and L2 terms, histograms added up by Spark). The last 20 % of sample dates form the
+validation set, which drives early stopping in the one fit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skucast.operators.features import split_fraction
+from skucast.operators import boosting
+from skucast.operators.boosting import BoostedTrees
+from skucast.operators.features import DEFAULT_LAGS, DEFAULT_WINDOWS, split_fraction
 from skucast.operators.forecast import pct_band
 from skucast.operators.metrics import evaluate
 from skucast.operators.panel import select_features
 from skucast.operators.samples import multi_horizon, scoring_frame
 from skucast.session import cut_lineage
 
-# Model input columns (those present are used) and tree parameters.
-GBT_FEATURES = [
-    "lag_1", "lag_7", "lag_14", "lag_28",
-    "roll_mean_7", "roll_mean_14", "roll_mean_28",
-    "roll_std_7", "roll_std_28", "roll_max_7", "roll_max_28",
-    "day_of_week", "day_of_month", "week_of_year", "month", "quarter",
-    "is_weekend", "is_holiday", "is_month_start", "is_month_end",
-    "sin_week", "cos_week", "sin_year", "cos_year",
-    "promo", "price", "price_change_pct", "price_vs_mean",
-    "promo_next_7", "promo_rolling",
-    "web_trend", "macro_cpi", "competitor_price", "inventory_level",
-    "sku_mean", "sku_std", "sku_cv", "sku_id_enc", "store_id_enc",
-]
-GBT_PARAMS = dict(maxIter=300, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-                  seed=42)
+#: Columns that the feature operators make beside lags and rolling statistics.
+CALENDAR = ("day_of_week", "day_of_month", "week_of_year", "month", "quarter", "is_weekend", "is_holiday", "is_month_start",
+            "is_month_end", "sin_week", "cos_week", "sin_year", "cos_year")
+PRICE = ("promo", "price", "price_change_pct", "price_vs_mean", "promo_next_7", "promo_rolling")
+SERIES = ("sku_mean", "sku_std", "sku_cv", "sku_id_enc", "store_id_enc")
 PATIENCE = 20  # rounds without a lower validation error before boosting stops
-FIRST_ROUNDS = 12
-FIT_PARTITIONS = 32  # fixed: subsampling draws by partition, so results depend on the placement of rows
 TOP_IMPORTANCE = 15
 KEYS = ["sku_id", "store_id"]
 
 
-def model_columns(df: DataFrame) -> list[str]:
+def feature_catalogue(lags: Sequence[int] = DEFAULT_LAGS, windows: Sequence[int] = DEFAULT_WINDOWS,
+                      external: Sequence[str] = ()) -> list[str]:
+    """The names of all model columns for these lags and windows, then ``external`` columns."""
+    rolling = [f"roll_{stat}_{n}" for stat in ("mean", "std", "max") for n in windows]
+    return [*(f"lag_{n}" for n in lags), *rolling, *CALENDAR, *PRICE, *SERIES, *external]
+
+
+def model_columns(df: DataFrame, external: Sequence[str] = ()) -> list[str]:
     """Requested features that exist, plus ``horizon``."""
-    return [c for c in GBT_FEATURES if c in df.columns] + ["horizon"]
+    return [c for c in feature_catalogue(external=external) if c in df.columns] + ["horizon"]
 
 
 def gbt_samples(features: DataFrame, horizon: int = 14, keys: Sequence[str] = KEYS,
@@ -72,59 +65,33 @@ def best_rounds(errors: Sequence[float], patience: int = PATIENCE) -> tuple[int,
     return best + 1, False
 
 
-def train_gbt(samples: DataFrame, params: dict | None = None,
-              patience: int = PATIENCE) -> tuple[GBTRegressionModel, list[str]]:
-    """The pooled model with early stopping; returns (model, feature names in vector order).
-
-    Trees are fitted on the training rows; the validation error of every prefix of trees is read from one
-    evaluation, and the prefix of lowest error is kept (``best_rounds``). A fit with fewer rounds is a prefix of
-    one with more (same seed, same rows in the same partitions), so rounds are doubled up to ``maxIter`` only
-    while the choice is still open, and the chosen prefix is fitted as the final model."""
+def train_gbt(samples: DataFrame, params: dict | None = None, patience: int = PATIENCE) -> tuple[BoostedTrees, list[str]]:
+    """The pooled model with early stopping; returns (model, feature names)."""
     cols = [c for c in samples.columns if c not in (*KEYS, "date", "target", "is_val")]
-    assembled = VectorAssembler(inputCols=cols, outputCol="features").transform(samples)
-    placed = assembled.repartition(FIT_PARTITIONS, *KEYS).sortWithinPartitions(*KEYS, "date", "horizon")
-    rows = cut_lineage(placed.select("features", "target", "is_val"))
-    train, val = rows.where(~F.col("is_val")), rows.where("is_val")
-    options = {**GBT_PARAMS, **(params or {})}
-    most = options.pop("maxIter")
-
-    def fit(rounds: int) -> GBTRegressionModel:
-        return GBTRegressor(featuresCol="features", labelCol="target", maxIter=rounds, **options).fit(train)
-
-    rounds = min(most, patience + FIRST_ROUNDS)
-    while True:
-        model = fit(rounds)
-        if val.isEmpty():
-            return (model if rounds == most else fit(most)), cols
-        best, settled = best_rounds(model.evaluateEachIteration(val, "squared"), patience)
-        if settled or rounds == most:
-            return (model if best == rounds else fit(best)), cols
-        rounds = min(most, 2 * rounds)
-
-
-def predict(model: GBTRegressionModel, df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    model = boosting.fit(samples, cols, [*KEYS, "date", "horizon"], params, patience)
+    return model, cols
+
+
+def predict(model: BoostedTrees, df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Clipped (>= 0) prediction with the +-20 % band."""
-    t = VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
-    t = model.transform(t).withColumn("yhat", F.greatest(F.col("prediction"), F.lit(0.0)))
-    return pct_band(t.drop("features", "prediction"))
+    return pct_band(df.withColumn("yhat", F.greatest(boosting.predicted(model, df), F.lit(0.0))))
 
 
-def holdout_metrics(model: GBTRegressionModel, samples: DataFrame, cols: Sequence[str]) -> DataFrame:
+def holdout_metrics(model: BoostedTrees, samples: DataFrame, cols: Sequence[str]) -> DataFrame:
     """L01 on the validation rows (MAE ... SMAPE, n_obs, band coverage / width)."""
     val = predict(model, samples.where("is_val"), cols)
     return evaluate(val, "target", "yhat", "lo", "hi").withColumn("model", F.lit("GBT"))
 
 
-def feature_importance(model: GBTRegressionModel, cols: Sequence[str], top: int = TOP_IMPORTANCE) -> DataFrame:
-    """The ``top`` largest importances (the vector has one entry per model column)."""
+def feature_importance(model: BoostedTrees, cols: Sequence[str], top: int = TOP_IMPORTANCE) -> DataFrame:
+    """The ``top`` largest shares of all gain (one entry per model column)."""
     spark = SparkSession.active()
-    imp = model.featureImportances.toArray().tolist()
-    rows = sorted(zip(cols, imp), key=lambda x: (-x[1], x[0]))[:top]
+    rows = sorted(model.importances().items(), key=lambda x: (-x[1], x[0]))[:top]
     return spark.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
                                  "feature string, importance double, rank int")
 
 
-def score_gbt(model: GBTRegressionModel, features: DataFrame, cols: Sequence[str], horizon: int = 14,
+def score_gbt(model: BoostedTrees, features: DataFrame, cols: Sequence[str], horizon: int = 14,
               keys: Sequence[str] = KEYS) -> DataFrame:
     """Latest feature row of every series x h = 1..H -> clipped forecast and band, dated last + h."""
     base = [c for c in cols if c != "horizon"]

@@ -158,6 +158,70 @@ SELECT sku_id, store_id, CAST(last_date + CAST(h AS INTEGER) AS DATE) AS date, C
        'GBT' AS model_used, TRUE AS band_in_order
 FROM (SELECT sku_id, store_id, MAX(date) AS last_date FROM feat GROUP BY 1, 2) CROSS JOIN range(1, {H + 1}) t(h)""", _LAST)
 
+_COLS = ("lag_1", "lag_7", "promo", "price", "horizon")
+_GAIN = "POW(GREATEST(ABS({g}) - 0.1, 0), 2) / ({h} + 1.0)"
+_LEAF = "-SIGN({g}) * GREATEST(ABS({g}) - 0.1, 0) / ({h} + 1.0) * 0.05"
+
+
+def _split(tag: str, rows: str) -> tuple[str, ...]:
+    """The best split of each node of ``rows`` (rid, node, f, bin, g)."""
+    gain = (f"0.5 * ({_GAIN.format(g='lg', h='lh')} + {_GAIN.format(g='(tg - lg)', h='(th - lh)')}"
+            f" - {_GAIN.format(g='tg', h='th')})")
+    return (
+        f"""cum_{tag} AS (SELECT node, f, bin, SUM(g) OVER w AS lg, SUM(h) OVER w AS lh, SUM(g) OVER t AS tg, SUM(h) OVER t AS th
+  FROM (SELECT node, f, bin, SUM(g) AS g, CAST(COUNT(*) AS DOUBLE) AS h FROM {rows} GROUP BY ALL)
+  WINDOW t AS (PARTITION BY node, f), w AS (PARTITION BY node, f ORDER BY bin))""",
+        f"""gains_{tag} AS (SELECT *, CASE WHEN lh >= 1 AND th - lh >= 1 AND raw > 0
+    THEN ROUND(raw * POW(10, 8 - FLOOR(LOG10(raw)))) / POW(10, 8 - FLOOR(LOG10(raw))) ELSE 0 END AS gain
+  FROM (SELECT *, {gain} AS raw FROM cum_{tag}))""",
+        f"""split_{tag} AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) AS k
+  FROM gains_{tag}) WHERE k = 1 AND gain > 0)""",
+    )
+
+
+TREE_CTES = (
+    f"""lagged AS (SELECT *, COALESCE(lag(sales, 1) OVER ({FR}), 0) AS lag_1, COALESCE(lag(sales, 7) OVER ({FR}), 0) AS lag_7 FROM panel)""",
+    f"""smp AS (SELECT sku_id, store_id, date, t.h AS horizon, arr[t.h] AS target, lag_1, lag_7, promo, price
+  FROM (SELECT *, [{leads}] AS arr FROM lagged) p CROSS JOIN range(1, {H + 1}) t(h) WHERE arr[t.h] IS NOT NULL)""",
+    """cum AS (SELECT date, SUM(n) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+  FROM (SELECT date, COUNT(*) AS n FROM smp GROUP BY date))""",
+    f"""train AS (SELECT row_number() OVER () AS rid, target, CAST([{", ".join(_COLS)}] AS DOUBLE[]) AS x FROM smp
+  WHERE date <= (SELECT MAX(date) FROM cum WHERE c <= FLOOR((SELECT COUNT(*) FROM smp) * 0.8)))""",
+    f"""edges AS (SELECT f, list_sort(list_distinct(quantile_cont(x[f], [{", ".join(f"{i / 64}" for i in range(1, 64))}]))) AS e
+  FROM train CROSS JOIN range(1, {len(_COLS) + 1}) t(f) GROUP BY f)""",
+    "base AS (SELECT AVG(target) AS b FROM train)",
+    """bins AS (SELECT rid, f, len([v for v in e if v < x[f]]) AS bin, b - target AS g FROM train, edges, base)""",
+    "level0 AS (SELECT rid, 0 AS node, f, bin, g FROM bins)",
+    *_split("0", "level0"),
+    """side AS (SELECT rid, CASE WHEN bins.bin > s.bin THEN 1 ELSE 0 END AS node FROM bins JOIN split_0 s ON bins.f = s.f)""",
+    "level1 AS (SELECT rid, node, f, bin, g FROM bins JOIN side USING (rid))",
+    *_split("1", "level1"),
+    f"""nodes AS (
+  SELECT 0 AS node, f, e[bin + 1] AS cut, NULL AS value FROM split_0 JOIN edges USING (f)
+  UNION ALL SELECT node + 1, f, e[bin + 1], NULL FROM split_1 JOIN edges USING (f)
+  UNION ALL SELECT 2 * node + 3, NULL, NULL, {_LEAF.format(g='lg', h='lh')} FROM split_1
+  UNION ALL SELECT 2 * node + 4, NULL, NULL, {_LEAF.format(g='(tg - lg)', h='(th - lh)')} FROM split_1
+  UNION ALL SELECT node + 1, NULL, NULL, value FROM (
+    SELECT 0 AS node, {_LEAF.format(g='lg', h='lh')} AS value FROM split_0
+    UNION ALL SELECT 1, {_LEAF.format(g='(tg - lg)', h='(th - lh)')} FROM split_0)
+  WHERE node NOT IN (SELECT node FROM split_1)
+  UNION ALL SELECT 0, NULL, NULL, (SELECT {_LEAF.format(g='SUM(g)', h='COUNT(*)')} FROM level0 WHERE f = 1)
+  WHERE NOT EXISTS (SELECT * FROM split_0))""",
+)
+_NAME = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_COLS, 1))
+sql("K08_first_tree", f"""
+SELECT CAST(node AS INTEGER) AS node, CASE f {_NAME} END AS feature, {R('cut')} AS cut, {R('value')} AS value FROM nodes""", *TREE_CTES)
+
+sql("K09_first_tree_forecast", f"""
+SELECT sku_id, store_id, date, h, {R('yhat')} AS yhat, {R('yhat * 0.8')} AS lo, {R('yhat * 1.2')} AS hi, 'GBT' AS model_used FROM (
+  SELECT sku_id, store_id, CAST(l.date + CAST(h AS INTEGER) AS DATE) AS date, CAST(h AS INTEGER) AS h,
+         GREATEST(b + COALESCE(n2.value, n1.value, n0.value), 0) AS yhat
+  FROM (SELECT *, CAST([lag_1, lag_7, promo, price, t.h] AS DOUBLE[]) AS x, t.h AS h FROM lagged CROSS JOIN range(1, {H + 1}) t(h)
+        QUALIFY ROW_NUMBER() OVER (PARTITION BY sku_id, store_id, t.h ORDER BY date DESC) = 1) l
+  CROSS JOIN base JOIN nodes n0 ON n0.node = 0
+  LEFT JOIN nodes n1 ON n0.f IS NOT NULL AND n1.node = CASE WHEN x[n0.f] > n0.cut THEN 2 ELSE 1 END
+  LEFT JOIN nodes n2 ON n1.f IS NOT NULL AND n2.node = 2 * n1.node + CASE WHEN x[n1.f] > n1.cut THEN 2 ELSE 1 END)""", *TREE_CTES)
+
 sql("K12_forecast_sku", fc_select("one"),
     "daily AS (SELECT sku_id, date, SUM(sales) AS sales FROM panel WHERE sku_id = 'PROMO_2_001' GROUP BY sku_id, date)",
     *DAILY_CTES[1:], *summary_ctes("dense", "one"), forecast_cte("one", H, ("trend_naive",)))

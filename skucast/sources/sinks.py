@@ -6,16 +6,18 @@ retried task after executor loss never leaves partial files behind.
 
 from __future__ import annotations
 
-from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skucast.operators.boosting import BoostedTrees
+
 
 def write_report(metrics: DataFrame, report_dir: str, dataset: str, model: str) -> str:
-    """Metric rows as JSON under ``{report_dir}/dataset=../model=..`` (one file per report);
-    rewriting a report replaces only its own partition (dynamic partition overwrite)."""
+    """Metric rows as JSON under ``{report_dir}/dataset=../model=..`` (reports by product keep their
+    partitions; adaptive execution makes small ones one file); rewriting a report replaces only its own
+    partition (dynamic partition overwrite)."""
     out = metrics.withColumns({"dataset": F.lit(dataset), "model": F.lit(model)})
-    (out.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("dataset", "model").json(report_dir))
     return report_dir
 
@@ -33,21 +35,19 @@ def write_registry(entries: DataFrame, path: str) -> str:
     return path
 
 
-def save_model(model, cols: list[str], path: str, registry: str, dataset: str, name: str, metrics: dict) -> str:
-    """MLlib model and its column list under ``path``, and a registry row that points to it."""
+def save_model(model: BoostedTrees, cols: list[str], path: str, registry: str, dataset: str, name: str, metrics: dict) -> str:
+    """The model and its column list under ``path``, and a registry row that points to it."""
     spark = SparkSession.active()
-    model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame(list(enumerate(cols)), "at int, name string").coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
+    spark.createDataFrame([(model.to_json(), cols)], "model string, columns array<string>").coalesce(1).write.mode("overwrite").parquet(path)
     entry = spark.createDataFrame([(dataset, name, path)], "dataset string, model string, artifact string")
     write_registry(entry.withColumns({k: F.lit(float(v)) for k, v in metrics.items()}), registry)
     return path
 
 
-def load_model(path: str) -> tuple[GBTRegressionModel, list[str]]:
-    """A saved model and its columns in vector order."""
-    spark = SparkSession.active()
-    cols = [r.name for r in spark.read.parquet(f"{path}/columns").orderBy("at").collect()]
-    return GBTRegressionModel.load(f"{path}/model"), cols
+def load_model(path: str) -> tuple[BoostedTrees, list[str]]:
+    """A saved model and its columns."""
+    row = SparkSession.active().read.parquet(path).first()
+    return BoostedTrees.from_json(row["model"]), list(row["columns"])
 
 
 def best_artifact(registry: str, dataset: str, metric: str = "WMAPE") -> str | None:
