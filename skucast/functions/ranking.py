@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +47,50 @@ def running_sums(df: DataFrame, order_col: str, sum_cols: list[str]) -> DataFram
     out = local.join(F.broadcast(offs), "_pid")
     return out.withColumns({f"cum_{c}": F.col(f"_off_{c}") + F.col(f"_run_{c}") for c in sum_cols}).drop(
         "_pid", *[f"_run_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])
+
+
+def grouped_percentiles(df: DataFrame, keys: Sequence[str], col: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles (linear interpolation, nulls left out) per key, without one task holding a key's values.
+
+    Value counts, made with partial sums, are range-partitioned by key and value, so the distinct values of one
+    key may span tasks. Running counts come from sums within a partition and the totals of the key's earlier
+    partitions (one row per partition and key); the values at the two ranks beside each position are then grouped
+    minima. ``shares`` maps the output columns to their percentiles; a key without values has no row."""
+    keys = list(keys)
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = (df.where(F.col(col).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(col).cast("double").alias("_v"))
+              .groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    ranged = cut_lineage(counts.repartitionByRange(_n_parts(df), *names, "_v").withColumn("_pid", F.spark_partition_id()))
+    upto = Window.partitionBy("_pid", *names).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumn("_run", F.sum("_c").over(upto))
+    totals = ranged.groupBy(*names, "_pid").agg(F.sum("_c").alias("_t"))
+    by = Window.partitionBy(*names)
+    offsets = totals.select(
+        *[F.col(n).alias(f"{n}_o") for n in names], F.col("_pid").alias("_pid_o"), F.sum("_t").over(by).alias("_n"),
+        F.coalesce(F.sum("_t").over(by.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    same = F.col("_pid") == F.col("_pid_o")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_o"))
+    ranked = local.join(offsets, same).withColumn("_cum", F.col("_off") + F.col("_run"))
+    places = {}
+    for i, share in enumerate(shares.values()):
+        at = (F.col("_n") - 1) * F.lit(float(share))
+        places[f"_p{i}"] = F.first(at)
+        places[f"_l{i}"] = F.min(F.when(F.col("_cum") > F.floor(at), F.col("_v")))
+        places[f"_h{i}"] = F.min(F.when(F.col("_cum") > F.ceil(at), F.col("_v")))
+    found = ranked.groupBy(*names).agg(*[c.alias(n) for n, c in places.items()])
+    out = []
+    for i, name in enumerate(shares):
+        at, low, high = F.col(f"_p{i}"), F.col(f"_l{i}"), F.col(f"_h{i}")
+        mixed = (F.ceil(at) - at) * low + (at - F.floor(at)) * high
+        out.append(F.when(low == high, low).otherwise(mixed).alias(name))
+    return found.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *out)
+
+
+def join_by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` in which null keys are equal; the columns of ``left``, then the others of ``right``."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(r[f"_r_{k}"])
+    return left.join(r, on, "left").drop(*[f"_r_{k}" for k in keys])

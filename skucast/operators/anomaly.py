@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skucast.functions.ranking import grouped_percentiles, join_by_keys
 from skucast.schema import EPS, KEYS
 
 ANOMALY_FEATURES = ["sales", "lag1", "lag7", "roll_mean_7", "roll_std_7", "zscore", "change", "pct_change",
@@ -50,14 +51,14 @@ def stat_anomaly(df: DataFrame, keys: Sequence[str] = KEYS, col: str = "sales",
                  k: float = IQR_MULT) -> DataFrame:
     """Per key |z| > 3 with the population std (+1e-8) OR outside [Q1 - 3 IQR, Q3 + 3 IQR]."""
     keys = list(keys)
-    st = df.groupBy(*keys).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"),
-                               F.percentile(col, [0.25, 0.75]).alias("_q"))
+    st = df.groupBy(*keys).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
+    st = join_by_keys(st, grouped_percentiles(df, keys, col, {"_q1": 0.25, "_q3": 0.75}), keys)
     t = df.join(st, keys, "left")
-    q1, q3 = F.col("_q")[0], F.col("_q")[1]
+    q1, q3 = F.col("_q1"), F.col("_q3")
     iqr = q3 - q1
     zz = F.abs((F.col(col) - F.col("_m")) / (F.col("_s") + F.lit(EPS)))
     flag = (zz > z) | (F.col(col) < q1 - k * iqr) | (F.col(col) > q3 + k * iqr)
-    return t.withColumn("stat_anomaly", flag).drop("_m", "_s", "_q")
+    return t.withColumn("stat_anomaly", flag).drop("_m", "_s", "_q1", "_q3")
 
 
 # ---------------------------------------------------------------- M02: isolation forest
@@ -144,11 +145,19 @@ def isolation_scores(X: np.ndarray, seed: int, n_trees: int = N_TREES, max_sampl
     return decision, decision < 0
 
 
+def _forest(pdf: pd.DataFrame, keys: list[str], feats: list[str], n_trees: int, contamination: float):
+    """(score, flag) of one series in date order; missing features count as 0."""
+    if len(pdf) < 2:
+        return 0.0, False
+    seed = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
+    return isolation_scores(np.nan_to_num(pdf[feats].to_numpy(dtype=float)), seed, n_trees, MAX_SAMPLES, contamination)
+
+
 def isolation_forest(df: DataFrame, keys: Sequence[str] = KEYS, features: Sequence[str] = ANOMALY_FEATURES,
                      contamination: float = CONTAMINATION, n_trees: int = N_TREES) -> DataFrame:
     """Per-series isolation forest (grouped map). Adds ``if_score`` (lower = more anomalous) and
     ``if_anomaly``; the seed is crc32 of the series key, so results do not depend on partitioning
-    or on task retries. Series of fewer than 2 rows (or a failing fit) get False / 0.0 (A-13)."""
+    or on task retries. Series of fewer than 2 rows get False / 0.0 (A-13); any other failure fails the job."""
     keys = list(keys)
     feats = list(features)
     slim = df.select(*keys, "date", *[F.col(c).cast("double").alias(c) for c in feats])
@@ -158,15 +167,7 @@ def isolation_forest(df: DataFrame, keys: Sequence[str] = KEYS, features: Sequen
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         out = pdf[keys + ["date"]].copy()
-        try:
-            if len(pdf) < 2:
-                raise ValueError("too short")
-            seed = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
-            dec, flag = isolation_scores(pdf[feats].to_numpy(dtype=float), seed, n_trees, MAX_SAMPLES,
-                                         contamination)
-            out["if_score"], out["if_anomaly"] = dec, flag
-        except Exception:  # noqa: BLE001 - the reference isolates failures per group
-            out["if_score"], out["if_anomaly"] = 0.0, False
+        out["if_score"], out["if_anomaly"] = _forest(pdf, keys, feats, n_trees, contamination)
         return out
 
     # Explicit hash partitioning on the series key: the groups are CPU-heavy, and an explicit count
@@ -204,14 +205,7 @@ def detect_anomalies(df: DataFrame, keys: Sequence[str] = KEYS, with_forest: boo
         pdf = pdf.sort_values("date")
         out = pdf[keys + ["date", "sales"]].copy()
         out["stat_anomaly"] = _stat_flags(pdf["sales"].to_numpy(dtype=float))
-        try:
-            if len(pdf) < 2:
-                raise ValueError("too short")
-            seed = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
-            dec, flag = isolation_scores(pdf[feats].to_numpy(dtype=float), seed, n_trees, MAX_SAMPLES, CONTAMINATION)
-            out["if_score"], out["if_anomaly"] = dec, flag
-        except Exception:  # noqa: BLE001 - failures are isolated per series (A-13)
-            out["if_score"], out["if_anomaly"] = 0.0, False
+        out["if_score"], out["if_anomaly"] = _forest(pdf, keys, feats, n_trees, CONTAMINATION)
         out["is_anomaly"] = out["stat_anomaly"] | out["if_anomaly"]
         return out
 

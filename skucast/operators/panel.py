@@ -138,10 +138,10 @@ def promo_days(df: DataFrame) -> DataFrame:
 
 
 def winsorise(df: DataFrame, p: float = 0.99, keys: Sequence[str] = ("sku_id",), col: str = "sales") -> DataFrame:
-    """Cap ``col`` at its per-key percentile ``p`` (exact; partial aggregation of value counts)."""
-    keys = list(keys)
-    caps = df.groupBy(*keys).agg(F.percentile(col, p).alias("_cap"))
-    return df.join(caps, keys, "left").withColumn(col, F.least(F.col(col), F.col("_cap"))).drop("_cap")
+    """Cap ``col`` at its per-key percentile ``p`` (exact; no task holds a key's values)."""
+    from skucast.functions.ranking import grouped_percentiles, join_by_keys
+    caps = grouped_percentiles(df, keys, col, {"_cap": p})
+    return join_by_keys(df, caps, keys).withColumn(col, F.least(F.col(col), F.col("_cap"))).drop("_cap")
 
 
 def sort_panel(df: DataFrame, keys: Sequence[str] = ("sku_id", "store_id"), within_partitions: bool = False) -> DataFrame:
@@ -311,13 +311,14 @@ def distinct_sorted(df: DataFrame, col: str) -> DataFrame:
 
 
 def sku_stats(df: DataFrame, keys: Sequence[str] = ("sku_id",), col: str = "sales") -> DataFrame:
-    """Mean, std (ddof 1), max, exact median and cv = std / (mean + 1e-8) per key."""
+    """Mean, std (ddof 1), max, exact median (no task holds a key's values) and cv = std / (mean + 1e-8)
+    per key."""
     from skucast.functions.columns import cv
+    from skucast.functions.ranking import grouped_percentiles, join_by_keys
     keys = list(keys)
-    return (df.groupBy(*keys)
-              .agg(F.avg(col).alias("sku_mean"), F.stddev_samp(col).alias("sku_std"),
-                   F.max(col).alias("sku_max"), F.median(col).alias("sku_median"))
-              .withColumn("sku_cv", cv("sku_std", "sku_mean")))
+    stats = df.groupBy(*keys).agg(F.avg(col).alias("sku_mean"), F.stddev_samp(col).alias("sku_std"), F.max(col).alias("sku_max"))
+    return (join_by_keys(stats, grouped_percentiles(df, keys, col, {"sku_median": 0.5}), keys)
+            .withColumn("sku_cv", cv("sku_std", "sku_mean")))
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:

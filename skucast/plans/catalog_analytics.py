@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skucast.plans.catalog import finish, panel, query
@@ -201,8 +202,18 @@ def q_zero_runs(spark, sf):
 # ================================================================= N
 @query("N01_correlation_edges")
 def q_edges(spark, sf):
-    from skucast.operators.graph import correlation_edges
-    return finish(correlation_edges(panel(spark, sf, reuse=True), 0.5))
+    """Edges; as no pair of these tables passes, the complete graph, a row a node."""
+    from skucast.operators.graph import correlation_graph
+    return finish(correlation_graph(panel(spark, sf, reuse=True), 0.5).relation())
+
+
+@query("N02_complete_graph_sums")
+def q_complete_sums(spark, sf):
+    """Joined and added up without its edges: each node's degree and the sum of its neighbours' mean sales."""
+    from skucast.operators.graph import correlation_graph, node_features
+    p = panel(spark, sf, reuse=True)
+    graph = correlation_graph(p, 0.5)
+    return finish(graph.neighbour_sums(node_features(p), ["mean"]).join(graph.degrees(), "node"))
 
 
 @query("N01_correlation_edges_low")
@@ -220,10 +231,10 @@ def q_nodes(spark, sf):
 
 @query("N04_propagate")
 def q_propagate(spark, sf):
-    from skucast.operators.graph import correlation_edges, node_features, propagate
+    from skucast.operators.graph import correlation_graph, node_features, propagate
     p = panel(spark, sf, reuse=True)
-    edges = correlation_edges(p, 0.5, fallback=False)
-    return finish(propagate(node_features(p), None if edges.isEmpty() else edges, hops=2))
+    graph = correlation_graph(p, 0.5)
+    return finish(propagate(node_features(p), None if graph.complete else graph.edges, hops=2))
 
 
 @query("N04_propagate_low")
@@ -261,13 +272,23 @@ def q_enrich(spark, sf):
 
 @query("O03_enrich_panel")
 def q_enrich_panel(spark, sf):
-    """O03 on a panel: events by type and day; a day's signal comes from its purchases and sign-ups alone."""
+    """O03 on a panel: events by type and day, with the signal of all scored events of the day."""
     from skucast.operators.signals import enrich_sentiment, events_scored, sentiment_signal
     events = read_table(spark, sf, "events")
     by_day = events.groupBy("event_type", F.col("ts").cast("date").alias("date")).agg(
         F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total_value"))
-    signal = sentiment_signal(events_scored(events.where(F.col("event_type").isin("purchase", "signup") & (F.hour("ts") < 6))))
-    return finish(enrich_sentiment(by_day, signal), 4)
+    return finish(enrich_sentiment(by_day, sentiment_signal(events_scored(events))), 4)
+
+
+@query("L03_ks_by_sku")
+def q_ks_by_sku(spark, sf):
+    """The last 28 days of every SKU against the 28 before, with exact p-values."""
+    from skucast.operators.drift import ks_by_key
+    from skucast.plans.catalog_models import daily_dense
+    daily = daily_dense(spark, sf)
+    age = F.row_number().over(Window.partitionBy("sku_id").orderBy(F.desc("date")))
+    tail = daily.withColumn("_age", age).where("_age <= 56")
+    return finish(ks_by_key(tail.where("_age > 28"), tail.where("_age <= 28"), ["sku_id"], "sales"))
 
 
 @query("O05_commentary")

@@ -199,8 +199,10 @@ def graph_ctes(cut: float) -> tuple[str, ...]:
 
 
 GRAPH_CTES, LOW_CTES, HIGH_CTES = graph_ctes(0.5), graph_ctes(0.02), graph_ctes(0.12)
-for _name, _ctes in (("N01_correlation_edges", GRAPH_CTES), ("N01_correlation_edges_low", LOW_CTES)):
-    sql(_name, f"SELECT src, dst, src_sku, dst_sku, {R('weight')} AS weight FROM edges", *_ctes)
+sql("N01_correlation_edges", f"""
+SELECT src, dst, src_sku, dst_sku, {R('weight')} AS weight, FALSE AS complete FROM edges0
+UNION ALL SELECT node, NULL, sku_id, NULL, 1.0, TRUE FROM nodes WHERE NOT EXISTS (SELECT 1 FROM edges0)""", *GRAPH_CTES)
+sql("N01_correlation_edges_low", f"SELECT src, dst, src_sku, dst_sku, {R('weight')} AS weight FROM edges", *LOW_CTES)
 
 NODE_FEATS = (
     """nf AS (SELECT n.node, s.sku_id, s.mean, COALESCE(s.std, 0.0) AS std, s.mn AS min, s.mx AS max, s.q25, s.q75,
@@ -216,6 +218,10 @@ FEATS = ["mean", "std", "min", "max", "q25", "q75", "autocorr"]
 sql("N03_node_features", "SELECT node, sku_id, " + ", ".join(f"{R(c)} AS {c}" for c in FEATS) + " FROM nf",
     *GRAPH_CTES, *NODE_FEATS)
 
+sql("N02_complete_graph_sums", f"""
+SELECT dst AS node, {R('SUM(weight * mean)')} AS mean, {R('SUM(weight)')} AS degree FROM edges JOIN nf ON nf.node = src GROUP BY dst""",
+    *GRAPH_CTES, *NODE_FEATS)
+
 hop = lambda src, dst: f"""{dst} AS (SELECT c.dst AS node, """ + ", ".join(
     f"SUM(c.c * x.{k}) AS {k}" for k in FEATS) + f""" FROM coef c JOIN {src} x ON x.node = c.src GROUP BY c.dst)"""
 for _name, _ctes in (("N04_propagate", GRAPH_CTES), ("N04_propagate_low", LOW_CTES)):
@@ -258,11 +264,19 @@ LEFT JOIN sig s ON s.date = d.date""", SCORED, SIGNAL)
 
 sql("O03_enrich_panel", """
 SELECT e.event_type, e.date, e.n_events, ROUND(e.total_value, 4) AS total_value,
-       ROUND(COALESCE(g.signal, 1.0), 4) AS demand_sentiment FROM (
+       ROUND(COALESCE(g.demand_sentiment, 1.0), 4) AS demand_sentiment FROM (
   SELECT event_type, CAST(ts AS DATE) AS date, COUNT(*) AS n_events, SUM(value) AS total_value FROM events GROUP BY 1, 2) e
-LEFT JOIN (
-  SELECT CAST(ts AS DATE) AS date, LEAST(1.3, GREATEST(0.7, 1 + 0.3 * AVG(LEAST(value / 500.0, 1.0)))) AS signal
-  FROM events WHERE event_type IN ('purchase', 'signup') AND hour(ts) < 6 GROUP BY 1) g ON g.date = e.date""")
+LEFT JOIN sig g ON g.date = e.date""", SCORED, SIGNAL)
+
+# exact p for two samples of n values: 2 * sum (-1)^(k-1) C(2n, n - kh) / C(2n, n), h = n * D
+sql("L03_ks_by_sku", f"""
+SELECT sku_id, 28 AS n1, 28 AS n2, {R('h / 28.0')} AS ks_d, {R('LEAST(1.0, CASE WHEN h = 0 THEN 1.0 ELSE p END)')} AS ks_p_value FROM (
+  SELECT sku_id, h, (SELECT 2 * SUM(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(2 * lgamma(29) - lgamma(29 - k * h) - lgamma(29 + k * h)))
+                     FROM range(1, 29) t(k) WHERE k * h <= 28) AS p FROM (
+    SELECT sku_id, MAX(ABS(c)) AS h FROM (
+      SELECT sku_id, sales, SUM(SUM(CASE WHEN age > 28 THEN 1 ELSE -1 END)) OVER (PARTITION BY sku_id ORDER BY sales) AS c FROM (
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY sku_id ORDER BY date DESC) AS age FROM dense) WHERE age <= 56 GROUP BY sku_id, sales)
+    GROUP BY sku_id))""", *DAILY_CTES)
 
 sql("O05_commentary", f"""
 SELECT sku_id, horizon, model, {R('avg_forecast')} AS avg_forecast, trend, volatility,

@@ -96,3 +96,44 @@ def test_stat_flags_numpy_equals_jvm(p):
     a = {(r.sku_id, r.store_id, r.date): r.stat_anomaly for r in fl.collect()}
     b = {(r.sku_id, r.store_id, r.date): r.stat_anomaly for r in jvm.collect()}
     assert a == b and any(b.values())
+
+
+def test_exact_ks_equals_enumeration():
+    """Every way to mix two samples of up to 8 values."""
+    import itertools
+    import math
+    for n1, n2 in [(1, 1), (2, 5), (3, 3), (4, 7), (8, 8), (6, 8)]:
+        scale, seen = math.lcm(n1, n2), {}
+        for places in itertools.combinations(range(n1 + n2), n1):
+            mine, i, most = set(places), 0, 0
+            for k in range(n1 + n2):
+                i += k in mine
+                most = max(most, abs(i * scale // n1 - (k + 1 - i) * scale // n2))
+            seen[most] = seen.get(most, 0) + 1
+        total = sum(seen.values())
+        for h in seen:
+            want = sum(c for d, c in seen.items() if d >= h) / total
+            assert abs(drift._exact_ks(h, n1, n2) - want) < 1e-12
+
+
+def test_ks_by_key_small_large_and_missing(spark):
+    ref = spark.createDataFrame([("a", float(i)) for i in range(5)] + [("b", 1.0)] + [("c", float(i)) for i in range(30)], "k string, v double")
+    cur = spark.createDataFrame([("a", float(i) + 10) for i in range(5)] + [("c", float(i)) for i in range(30)] + [("b", None)], "k string, v double")
+    got = {r.k: (r.n1, r.n2, r.ks_d, round(r.ks_p_value, 9)) for r in drift.ks_by_key(ref, cur, ["k"], "v").collect()}
+    assert got == {"a": (5, 5, 1.0, round(2 / 252, 9)), "b": (1, 0, 0.0, 1.0), "c": (30, 30, 0.0, 1.0)}
+    loose = {r.k: r.ks_p_value for r in drift.ks_by_key(ref, cur, ["k"], "v", exact_up_to=4).collect()}
+    assert loose["c"] == 1.0 and abs(loose["a"] - 2 / 252) < 0.01
+
+
+def test_the_complete_graph_stays_implied(spark):
+    """30,000 nodes and no edge: relation, degrees and sums have a row a node."""
+    nodes = spark.range(30_000).select(F.col("id").cast("int").alias("node"), F.col("id").cast("string").alias("sku_id"), (F.col("id") * 1.0).alias("x"))
+    none = spark.createDataFrame([], "src int, dst int, src_sku string, dst_sku string, weight double")
+    g = graph.Graph(nodes.select("node", "sku_id"), none, True)
+    assert g.relation().count() == 30_000 and g.degrees().where("degree = 29999").count() == 30_000
+    total = 29_999 * 30_000 / 2
+    assert g.neighbour_sums(nodes, ["x"]).where(F.abs(F.col("x") - (total - F.col("node"))) < 1e-6).count() == 30_000
+    few = graph.complete_graph(nodes.where("node < 5").select("node", "sku_id"))
+    small = graph.Graph(nodes.where("node < 5"), few, False), graph.Graph(nodes.where("node < 5"), none, True)
+    for a, b in zip(*[(x.degrees(), x.neighbour_sums(nodes.where("node < 5"), ["x"])) for x in small]):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

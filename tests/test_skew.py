@@ -50,3 +50,23 @@ def test_stat_anomaly_by_sku_under_skew(skewed):
     q1, q3 = np.percentile(g, [25, 75])
     want = int(((z > 3) | (g < q1 - 3 * (q3 - q1)) | (g > q3 + 3 * (q3 - q1))).sum())
     assert flagged == want
+
+
+def test_a_hot_key_of_distinct_values_spans_tasks(spark):
+    """One key of over a third of the rows, nearly all values distinct: exact percentiles, and no range holds the key."""
+    from skucast.functions import ranking
+    n, shares = 40_000, {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q99": 0.99, "q100": 1.0}
+    hot = spark.range(n).select(F.lit("hot").alias("k"), (F.col("id") * 7919 % 40_009 / 3).alias("v"))
+    rest = spark.range(n).select(F.when(F.col("id") % 9 > 0, F.concat(F.lit("k"), F.col("id") % 100)).alias("k"),
+                                 F.when(F.col("id") % 5 > 0, (F.col("id") % 37).cast("double")).alias("v"))
+    df = hot.unionByName(rest).unionByName(spark.createDataFrame([("null", None)], "k string, v double"))
+    got = {r.k: tuple(r)[1:] for r in ranking.grouped_percentiles(df, ["k"], "v", shares).collect()}
+    want = df.where("v IS NOT NULL").groupBy("k").agg(F.percentile("v", list(shares.values())).alias("q")).collect()
+    assert set(got) == {r.k for r in want} and None in got and "null" not in got
+    for r in want:
+        assert got[r.k] == pytest.approx(r.q, rel=1e-12)
+    counts = df.groupBy("k", "v").count().repartitionByRange(8, "k", "v").withColumn("pid", F.spark_partition_id())
+    spread = counts.where("k = 'hot'").groupBy("pid").count().collect()
+    assert len(spread) >= 6 and max(r["count"] for r in spread) < n / 3
+    joined = ranking.join_by_keys(df.groupBy("k").agg(F.count("v").alias("n")), ranking.grouped_percentiles(df, ["k"], "v", {"m": 0.5}), ["k"])
+    assert joined.count() == df.select("k").distinct().count() and joined.where("k IS NULL").first().m is not None
