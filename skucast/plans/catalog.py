@@ -259,7 +259,7 @@ def q_split_cutoff(spark, sf):
 
 def _ensure_all_modules():
     """Import modules that register further queries."""
-    from skucast.plans import catalog_analytics, catalog_models, catalog_wide  # noqa: F401
+    from skucast.plans import catalog_analytics, catalog_models, catalog_sources, catalog_wide  # noqa: F401
     from skucast.plans import oracle
     oracle._load_all()
 

@@ -253,7 +253,7 @@ GROUP BY 1, 2, 3""")
 
 def _load_all():
     """Import the modules that add further oracle statements."""
-    from skucast.plans import oracle_analytics, oracle_models  # noqa: F401
+    from skucast.plans import oracle_analytics, oracle_models, oracle_sources  # noqa: F401
 
 sql("C01_C02_calendar_price_joins", f"""
 SELECT p.sku_id, p.store_id, p.date, p.sales, CAST(COALESCE(c.promo, 0) AS INTEGER) AS promo, c.wm_yr_wk,
