@@ -8,7 +8,6 @@ the calendar length, never by the table size.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,6 +23,7 @@ ANOMALY_FEATURES = ["sales", "lag1", "lag7", "roll_mean_7", "roll_std_7", "zscor
 # Detector defaults.
 Z_THRESHOLD, IQR_MULT = 3.0, 3.0
 CONTAMINATION, N_TREES, MAX_SAMPLES = 0.05, 100, 256
+PRIME = 2**31 - 1
 
 
 def anomaly_features(df: DataFrame, keys: Sequence[str] = KEYS, col: str = "sales") -> DataFrame:
@@ -78,27 +78,43 @@ def _c_vec(n: np.ndarray) -> np.ndarray:
     return out
 
 
+def series_seed(key: str) -> int:
+    """A number of a series' key: its characters as digits of base 31, modulo ``PRIME``."""
+    x = 1
+    for c in key:
+        x = (x * 31 + ord(c)) % PRIME
+    return x
+
+
+def drawn(seed: int, *counters) -> np.ndarray:
+    """Random numbers in [0, PRIME) that depend on nothing but the seed and the counters (arrays or numbers): a
+    quadratic map takes in one counter a step, and two zeros at the end."""
+    x = np.asarray(seed, np.int64)
+    for c in (*counters, 0, 0):
+        x = (x * x + 48271 * x + np.asarray(c, np.int64) + 11) % PRIME
+    return x
+
+
 def isolation_scores(X: np.ndarray, seed: int, n_trees: int = N_TREES, max_samples: int = MAX_SAMPLES,
                      contamination: float = CONTAMINATION) -> tuple[np.ndarray, np.ndarray]:
-    """Isolation forest on standardised X: returns (decision, is_anomaly); decision < 0 is anomalous
-    (score minus its ``contamination`` percentile, lower = more anomalous).
-
-    All trees grow together, one tree level per step: points are grouped by (tree, node),
-    per-group feature ranges come from sorted ``reduceat``, each splittable group draws a random
-    non-constant feature and a uniform threshold. Scoring walks all trees x points level by level."""
+    """Isolation forest on X: returns (decision, is_anomaly); decision is the score minus its ``contamination``
+    percentile, lower = more anomalous.
+
+    All trees grow together, one level per step: points are grouped by (tree, node), per-group feature ranges come
+    from sorted ``reduceat``, each group that can be split takes one of its features that vary and a threshold. All
+    draws are counter-based (``drawn``: seed, tree, and row, or node and feature), so the same forest can be grown as
+    tables. Path lengths are added up in whole millionths, so the flags do not depend on the order of the sums.
+    Splits do not depend on the scale of a feature, so X is used as it is."""
     n, nf = X.shape
-    mu, sd = X.mean(axis=0), X.std(axis=0)
-    Xs = (X - mu) / np.where(sd > 0, sd, 1.0)
     psi = min(max_samples, n)
-    limit = int(np.ceil(np.log2(max(psi, 2))))
+    limit = int(np.ceil(np.log2(max(psi, 2)) - 1e-9))
     width = 2 ** (limit + 1) - 1  # heap-indexed nodes per tree
-    rng = np.random.default_rng(seed)
     feat = np.zeros((n_trees, width), dtype=np.int64)
     thr = np.zeros((n_trees, width))
     leaf = np.ones((n_trees, width), dtype=bool)
     size = np.zeros((n_trees, width))
     tree = np.repeat(np.arange(n_trees), psi)
-    row = np.concatenate([rng.choice(n, size=psi, replace=False) for _ in range(n_trees)])
+    row = np.argsort(drawn(seed, np.arange(n_trees)[:, None], np.arange(n)[None, :]), axis=1, kind="stable")[:, :psi].ravel()
     node = np.zeros(tree.size, dtype=np.int64)
     for depth in range(limit + 1):
         if tree.size == 0:
@@ -110,14 +126,14 @@ def isolation_scores(X: np.ndarray, seed: int, n_trees: int = N_TREES, max_sampl
         counts = np.diff(np.r_[starts, key.size])
         g_tree, g_node = tree[starts], node[starts]
         size[g_tree, g_node] = counts
-        vals = Xs[row]
+        vals = X[row]
         lo = np.minimum.reduceat(vals, starts, axis=0)
         hi = np.maximum.reduceat(vals, starts, axis=0)
         can = (hi > lo) & (counts[:, None] > 1)
         split = can.any(axis=1) & (depth < limit)
-        pick = np.argmax(np.where(can, rng.random(can.shape), -1.0), axis=1)
-        t = lo[np.arange(len(starts)), pick] + rng.random(len(starts)) * (
-            hi[np.arange(len(starts)), pick] - lo[np.arange(len(starts)), pick])
+        pick = np.argmax(np.where(can, drawn(seed, g_tree[:, None], g_node[:, None], np.arange(1, nf + 1)[None, :]) * 16 + np.arange(nf), -1), axis=1)
+        at = np.arange(len(starts))
+        t = lo[at, pick] + (drawn(seed, g_tree, g_node, 100) + 0.5) / PRIME * (hi[at, pick] - lo[at, pick])
         feat[g_tree[split], g_node[split]] = pick[split]
         thr[g_tree[split], g_node[split]] = t[split]
         leaf[g_tree[split], g_node[split]] = False
@@ -135,28 +151,27 @@ def isolation_scores(X: np.ndarray, seed: int, n_trees: int = N_TREES, max_sampl
         if is_leaf.all():
             break
         f = feat[tix, cur]
-        x = Xs[np.arange(n)[None, :], f]
+        x = X[np.arange(n)[None, :], f]
         nxt = np.where(x < thr[tix, cur], 2 * cur + 1, 2 * cur + 2)
         cur = np.where(is_leaf, cur, nxt)
         depth_at = np.where(is_leaf, depth_at, depth_at + 1)
-    path = depth_at + _c_vec(size[tix, cur])
-    score = -np.power(2.0, -path.mean(axis=0) / _c(psi))
-    decision = score - np.percentile(score, 100.0 * contamination)
-    return decision, decision < 0
+    path = np.round(1e6 * (depth_at + _c_vec(size[tix, cur]))).astype(np.int64).sum(axis=0)
+    score = -np.power(2.0, -path / (1e6 * n_trees) / _c(psi))
+    return score - np.percentile(score, 100.0 * contamination), path < np.percentile(path, 100.0 * contamination)
 
 
 def _forest(pdf: pd.DataFrame, keys: list[str], feats: list[str], n_trees: int, contamination: float):
     """(score, flag) of one series in date order; missing features count as 0."""
     if len(pdf) < 2:
         return 0.0, False
-    seed = zlib.crc32("|".join(str(pdf[k].iloc[0]) for k in keys).encode())
+    seed = series_seed("|".join(str(pdf[k].iloc[0]) for k in keys))
     return isolation_scores(np.nan_to_num(pdf[feats].to_numpy(dtype=float)), seed, n_trees, MAX_SAMPLES, contamination)
 
 
 def isolation_forest(df: DataFrame, keys: Sequence[str] = KEYS, features: Sequence[str] = ANOMALY_FEATURES,
                      contamination: float = CONTAMINATION, n_trees: int = N_TREES) -> DataFrame:
     """Per-series isolation forest (grouped map). Adds ``if_score`` (lower = more anomalous) and
-    ``if_anomaly``; the seed is crc32 of the series key, so results do not depend on partitioning
+    ``if_anomaly``; the seed is a number of the series key, so results do not depend on partitioning
     or on task retries. Series of fewer than 2 rows get False / 0.0 (A-13); any other failure fails the job."""
     keys = list(keys)
     feats = list(features)
@@ -197,7 +212,8 @@ def detect_anomalies(df: DataFrame, keys: Sequence[str] = KEYS, with_forest: boo
         t = stat_anomaly(df, keys).withColumns({"if_score": F.lit(0.0), "if_anomaly": F.lit(False)})
         return t.withColumn("is_anomaly", F.col("stat_anomaly") | F.col("if_anomaly"))
     feats = list(ANOMALY_FEATURES)
-    slim = anomaly_features(df, keys).select(*keys, "date", *[F.col(c).cast("double").alias(c) for c in feats])
+    # rounded, so that sums made in another order give the same splits
+    slim = anomaly_features(df, keys).select(*keys, "date", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in feats])
     schema = (", ".join(f"{k} string" for k in keys) + ", date date, sales double, stat_anomaly boolean, "
               "if_score double, if_anomaly boolean, is_anomaly boolean")
 

@@ -164,6 +164,64 @@ sql("M06_anomaly_points", """
 SELECT sku_id, store_id, strftime(date, '%Y-%m-%d') AS date, sales AS value, stat_anomaly, FALSE AS if_anomaly
 FROM flag WHERE stat_anomaly""", STAT_CTE)
 
+# The isolation forest as tables: the sample, ten levels of nodes, and the way of every row through every tree.
+_F = ("sales", "lag1", "lag7", "roll_mean_7", "roll_std_7", "zscore", "change", "pct_change", "day_of_week", "month")
+_DRAW = "list_reduce([seed, {c}, 0, 0], lambda a, b: (a * a + 48271 * a + b + 11) % 2147483647)"
+
+
+def _level(k: int) -> tuple[str, ...]:
+    lo, hi = ("[" + ", ".join(f"{fn}(x[{j}])" for j in range(1, len(_F) + 1)) + "]" for fn in ("MIN", "MAX"))
+    draw = _DRAW.format(c="tree, node, j")
+    return (
+        f"""node{k} AS MATERIALIZED (SELECT *, CASE WHEN size > 1 AND {k} < depth THEN list_max([
+      CASE WHEN hi[j] > lo[j] THEN {draw} * 16 + j - 1 ELSE -1 END for j in range(1, {len(_F) + 1})]) ELSE -1 END AS best FROM (
+    SELECT s, seed, depth, tree, node, COUNT(*) AS size, {lo} AS lo, {hi} AS hi FROM lvl{k} JOIN rows USING (s, i) GROUP BY ALL))""",
+        f"""cut{k} AS MATERIALIZED (SELECT s, tree, node, size, CASE WHEN best >= 0 THEN best % 16 + 1 END AS f,
+    CASE WHEN best >= 0 THEN lo[best % 16 + 1] + ({_DRAW.format(c="tree, node, 100")} + 0.5::DOUBLE) / 2147483647::DOUBLE
+      * (hi[best % 16 + 1] - lo[best % 16 + 1]) END AS t FROM node{k})""",
+        f"""lvl{k + 1} AS MATERIALIZED (SELECT l.s, l.tree, 2 * l.node + CASE WHEN x[f] < t THEN 1 ELSE 2 END AS node, l.i
+    FROM lvl{k} l JOIN cut{k} c USING (s, tree, node) JOIN rows USING (s, i) WHERE f IS NOT NULL)""",
+    )
+
+
+FOREST_CTES = (
+    STAT_CTE,
+    f"""rows AS MATERIALIZED (SELECT *, CAST(CEIL(LOG2(GREATEST(LEAST(n, 256), 2)) - 1e-9) AS INTEGER) AS depth,
+    list_reduce([1] || [CAST(ord(c) AS BIGINT) for c in string_split(s, '')], lambda a, b: (a * 31 + b) % 2147483647) AS seed FROM (
+  SELECT sku_id || '|' || store_id AS s, sku_id, store_id, date, ROW_NUMBER() OVER ({FR}) - 1 AS i,
+         COUNT(*) OVER (PARTITION BY sku_id, store_id) AS n, [{", ".join(f"ROUND(CAST({c} AS DOUBLE), 6)" for c in _F)}] AS x
+  FROM (SELECT *, (sales - roll_mean_7) / (roll_std_7 + 1e-8) AS zscore FROM ({ANOM_FEATS}))) WHERE n > 1)""",
+    f"""lvl0 AS MATERIALIZED (SELECT s, tree, 0 AS node, i FROM (
+  SELECT s, n, i, tree, {_DRAW.format(c="tree, i")} AS h FROM rows CROSS JOIN range(100) t(tree))
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY s, tree ORDER BY h, i) <= 256)""",
+    *[c for k in range(9) for c in _level(k)],
+    "cuts AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM cut{k}" for k in range(9)) + ")",
+    "way0 AS (SELECT s, i, x, tree, 0 AS node FROM rows CROSS JOIN range(100) t(tree))",
+    *[f"""way{k + 1} AS (SELECT s, i, x, tree, CASE WHEN f IS NULL THEN node WHEN x[f] < t THEN 2 * node + 1 ELSE 2 * node + 2 END AS node
+  FROM way{k} LEFT JOIN cuts USING (s, tree, node))""" for k in range(8)],
+    """paths AS MATERIALIZED (SELECT s, i, SUM(CAST(ROUND(1e6::DOUBLE * (FLOOR(LOG2(node + 1)) + CASE WHEN size > 2
+    THEN 2.0::DOUBLE * (ln(size - 1) + 0.5772156649015329::DOUBLE) - 2.0::DOUBLE * (size - 1) / size WHEN size = 2 THEN 1 ELSE 0 END)) AS BIGINT)) AS path
+  FROM way8 JOIN cuts USING (s, tree, node) GROUP BY s, i)""",
+    """verdicts AS MATERIALIZED (SELECT f.*, COALESCE(if_anomaly, FALSE) AS if_anomaly, stat_anomaly OR COALESCE(if_anomaly, FALSE) AS is_anomaly
+  FROM flag f LEFT JOIN (SELECT sku_id, store_id, date, path < quantile_cont(path, 0.05) OVER (PARTITION BY s) AS if_anomaly
+                         FROM rows JOIN paths USING (s, i)) g USING (sku_id, store_id, date))""",
+)
+sql("M02_M04_isolation_forest", """
+SELECT sku_id, store_id, COUNT(*) AS n_rows, COUNT_IF(if_anomaly) AS n_isolation_forest, COUNT_IF(stat_anomaly) AS n_statistical,
+       COUNT_IF(is_anomaly) AS n_anomalies FROM verdicts GROUP BY 1, 2""", *FOREST_CTES)
+sql("M05_anomaly_summary_forest", """
+SELECT CAST(SUM(n) AS BIGINT) AS total_points, CAST(SUM(a) AS BIGINT) AS anomalies_found,
+       ROUND(SUM(a) / SUM(n) * 100, 2) AS anomaly_rate, COUNT_IF(anyf) AS skus_with_anomalies FROM (
+  SELECT sku_id, COUNT(*) AS n, SUM(CAST(is_anomaly AS BIGINT)) AS a, BOOL_OR(is_anomaly) AS anyf
+  FROM verdicts GROUP BY sku_id)""", *FOREST_CTES)
+sql("M06_anomaly_report_forest", """
+SELECT sku_id, COUNT(*) AS n_anomalies, MIN(date) AS first_anomaly, MAX(date) AS last_anomaly,
+       COUNT_IF(stat_anomaly) AS n_statistical, COUNT_IF(if_anomaly) AS n_isolation_forest
+FROM verdicts WHERE is_anomaly GROUP BY sku_id""", *FOREST_CTES)
+sql("M06_anomaly_points_forest", """
+SELECT sku_id, store_id, strftime(date, '%Y-%m-%d') AS date, sales AS value, stat_anomaly, if_anomaly
+FROM verdicts WHERE is_anomaly""", *FOREST_CTES)
+
 sql("M04_forest_counts", """
 SELECT sku_id, store_id, COUNT(*) AS n_rows, COUNT_IF(stat_anomaly) AS n_statistical, TRUE AS share_kept
 FROM flag GROUP BY 1, 2""", STAT_CTE)

@@ -137,3 +137,16 @@ def test_the_complete_graph_stays_implied(spark):
     small = graph.Graph(nodes.where("node < 5"), few, False), graph.Graph(nodes.where("node < 5"), none, True)
     for a, b in zip(*[(x.degrees(), x.neighbour_sums(nodes.where("node < 5"), ["x"])) for x in small]):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+@pytest.mark.parametrize("n_blocks, side", [(1, 1), (7, 3), (16, 4), (33, 5)])
+def test_grid_cells_meet_every_pair_of_blocks_once(spark, n_blocks, side):
+    z = spark.range(n_blocks).select(F.col("id").cast("int").alias("blk"))
+    dealt = graph.dealt_blocks(z, n_blocks, side)
+    assert dealt.count() == n_blocks * (side + 1)  # copies: blocks x side, not blocks squared
+    cells = {}
+    for r in dealt.collect():
+        cells.setdefault((r.r, r.c), ([], []))[r.column].append(r.blk)
+    met = sorted((a, b) for rows, cols in cells.values() for a in rows for b in cols if a <= b)
+    assert met == [(a, b) for a in range(n_blocks) for b in range(a, n_blocks)]
+    assert graph.grid_side(118, 200) == 20 and graph.grid_side(3, 200) == 3 and graph.grid_side(4000, 8) == 500

@@ -31,7 +31,8 @@ def test_days_and_filters_are_read_in_the_source(spark, folder):
     df = read_wide_days(spark, folder, days=9).where("store_id = '2' AND item_id = 'c' AND sales > 7")
     assert rows(df) == [("c_2", "c", "2", "d_2", 8)]
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "(store_id" not in plan.split("BatchScan")[0]  # no filter on the ids is left above the scan
+    above = plan.split("BatchScan")[0]
+    assert "> 7" in above and " = 2)" not in above and " = c)" not in above  # no equality on the ids is left above the scan
     reader = WideReader({"path": folder}, df.schema)
     from pyspark.sql.datasource import EqualTo, GreaterThan
     assert list(reader.pushFilters([EqualTo(("store_id",), "2"), GreaterThan(("sales",), 7)])) == [GreaterThan(("sales",), 7)]
@@ -44,7 +45,7 @@ def test_load_m5_reads_the_same(spark, tmp_path):
     from skucast.plans.catalog_sources import write_m5
     from skucast.sources.tables import demand_panel
     from tests.conftest import SF001
-    few = demand_panel(spark, SF001).where("store_id = 'ASIA' AND category = 'PROMO' AND date < '1993-01-01'")
+    few = demand_panel(spark, SF001).where("store_id = 'ASIA' AND category = 'PROMO'")
     write_m5(spark, few, str(tmp_path))
     a = readers.load_m5(spark, str(tmp_path), 100).select("sku_id", "store_id", "date", "sales")
     b = read_wide_days(spark, f"{tmp_path}/sales_train_evaluation.csv", days=100, range_bytes=2000)
