@@ -5,8 +5,8 @@ Counting: tasks count the distinct (context, word) pairs of a chunk of text and
 the row named by top bits of the context's hash and the column by top bits of the word's, so pairs of one frequent
 context spread over a whole row of buckets and those of one frequent word over a column. A bucket merges its
 counts and stores them as a sorted array of pair hashes with counts; its partial statistics of contexts and
-words (counts, numbers of followers with count 1, 2, 3+, numbers of contexts) go to word buckets, which store
-sorted arrays of word hashes. Only sums (token and word totals, counts of counts) reach the driver.
+words (counts, numbers of followers with count 1, 2, 3+, numbers of contexts) go to word buckets, as many as there
+are pair buckets, which store sorted arrays of word hashes. Only sums (token and word totals, counts of counts) reach the driver.
 Scoring: tasks map the arrays into memory, look up the sorted distinct pairs of a chunk and add logarithms.
 
 The store is a folder under the shared checkpoint folder, which must be a mounted file system; files appear by
@@ -116,12 +116,12 @@ def _merge_pairs(pdf: pd.DataFrame, folder: str, bits: int) -> pd.DataFrame:
     ctx, ctx_sums, _ = _sums_by(c, n, one, two, 1 - one - two)
     words, (conts,), _ = _sums_by(w, np.ones(len(w), np.int64))
     none = np.zeros(len(words), np.int64)
-    return pd.DataFrame({
-        "kind": ["word", "word", "pairs"], "bucket": [bucket >> bits, bucket & ((1 << bits) - 1), -1],
-        "hashes": [ctx.tobytes(), words.tobytes(), b""],
-        "sums": [np.stack([*ctx_sums, np.zeros(len(ctx), np.int64)]).tobytes(),
-                 np.stack([none, none, none, none, conts]).tobytes(),
-                 np.array(_count_of_counts(n) + [len(n)]).tobytes()]})
+    rows = [("pairs", -1, b"", np.array(_count_of_counts(n) + [len(n)]).tobytes())]
+    for hashes, sums in ((ctx, [*ctx_sums, np.zeros(len(ctx), np.int64)]), (words, [none, none, none, none, conts])):
+        of, sums = _top(hashes, 2 * bits), np.stack(sums)  # hashes ascend, so a bucket's are neighbours
+        at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))[:len(of)]
+        rows += [("word", int(of[lo]), hashes[lo:hi].tobytes(), sums[:, lo:hi].tobytes()) for lo, hi in zip(at, np.append(at[1:], len(of)))]
+    return pd.DataFrame(rows, columns=["kind", "bucket", "hashes", "sums"])
 
 
 def _merge_words(pdf: pd.DataFrame, folder: str) -> pd.DataFrame:
@@ -200,7 +200,7 @@ def _score_chunks(batches, model: dict):
     pairs, (m1, m2, m3, m4) = max(model["pairs"], 1), model["word_counts"]
     for b in chunks(batches, "text", CHUNK_BYTES):
         hashes, context, word, lens = _pairs(b["text"])
-        total, f1, f2, f3, conts = _look_up(path, "word", _top(hashes, bits), hashes, 5)
+        total, f1, f2, f3, conts = _look_up(path, "word", _top(hashes, 2 * bits), hashes, 5)
         count = np.where(hashes == EOS, model["texts"], np.where(hashes == BOS, 0, total))
         # lower order: contexts of a word, interpolated with the uniform share of V + 1 words
         over = (e[1] * m1 + e[2] * m2 + e[3] * max(model["types"] - m1 - m2, 0)) / pairs if n else 1.0
