@@ -131,11 +131,11 @@ def kolmogorov_p(lam: Column, terms: int = 100) -> Column:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * series)))
 
 
-def ks_two_sample(ref: DataFrame, cur: DataFrame, col: str) -> DataFrame:
+def ks_two_sample(ref: DataFrame, cur: DataFrame, col: str, exact_up_to: int = EXACT_KS) -> DataFrame:
     """D = max |F_ref(v) - F_cur(v)| over all observed values and its p-value: exact for samples of at most
-    ``EXACT_KS`` values, else asymptotic with lambda = D * sqrt(n1 n2 / (n1 + n2)) (A-12). One row: ``ks_d``, ``ks_p_value``; an empty
+    ``exact_up_to`` values, else asymptotic with lambda = D * sqrt(n1 n2 / (n1 + n2)) (A-12). One row: ``ks_d``, ``ks_p_value``; an empty
     sample shows no difference (0, 1)."""
-    return _ks_of(_both_counts(ref, cur, col))
+    return _ks_of(_both_counts(ref, cur, col), exact_up_to)
 
 
 def _ks_of(counts: DataFrame, exact_up_to: int = EXACT_KS) -> DataFrame:
@@ -206,7 +206,7 @@ def reference_current(df: DataFrame, frac: float = 0.8) -> tuple[DataFrame, Data
 
 
 def detect_drift(ref: DataFrame, cur: DataFrame, col: str = "sales", thr_psi: float = PSI_THRESHOLD,
-                 thr_ks: float = KS_THRESHOLD, bins: int = 10) -> DataFrame:
+                 thr_ks: float = KS_THRESHOLD, bins: int = 10, exact_up_to: int = EXACT_KS) -> DataFrame:
     """One-row drift report: drift = PSI > thr OR KS p < thr OR relative mean change > 0.3,
     plus std change and rounded reference / current means.
 
@@ -216,7 +216,7 @@ def detect_drift(ref: DataFrame, cur: DataFrame, col: str = "sales", thr_psi: fl
     cm, csd = cur.agg(F.avg(col), F.stddev_samp(col)).first()
     counts = _both_counts(ref, cur, col)
     p = _psi_of(counts, bins).first()[0]
-    ks = _ks_of(counts)
+    ks = _ks_of(counts, exact_up_to)
     mean_ch = abs(cm - rm) / (rm + EPS) if rm is not None and cm is not None else 0.0
     std_ch = abs(csd - rsd) / (rsd + EPS) if rsd is not None and csd is not None else 0.0
     return ks.select(
