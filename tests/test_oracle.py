@@ -21,7 +21,7 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     res = compare(spark, name, QUERIES[name], ORACLE.get(name), SF001, con)
     if name not in ORACLE:
-        assert res["rows"] >= 0  # rows-only check for non-SQL operators
+        assert res["rows"] > 0  # their own tests hold them against plain programs
         return
     assert res["ok"], res
 
