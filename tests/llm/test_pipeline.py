@@ -18,7 +18,7 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
 
 
 def test_stages_on_real_tables(spark):
