@@ -233,7 +233,7 @@ def op8_token_counts(spark, sf):
     uri, names = separators.write_token_files(
         table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
         separator)
-    counts = separators.document_tokens(separators.read_files(spark, uri), separator)
+    counts = separators.document_tokens(separators.read_ranges(spark, uri), separator)
     return counts.join(names, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "start", "n_tokens")
 
 

@@ -1,13 +1,13 @@
 """Operator 8: token counts of documents in flat, unindexed token files, by a separator scan.
 
 A token file is a flat array of little-endian unsigned integers; documents follow each other, each closed by the
-separator id, and nothing says where. Files come from Spark's binary reader (a name ending in ``.z`` means
-zlib-compressed content) and are scanned in blocks of ``BLOCK`` tokens; a vectorised search finds the separators
-of each block, on its own. A document that spans blocks is stitched by a prefix scan over the block summaries
-(number of separators, last separator): within runs of ``RUN`` blocks, then over the runs of a file, so neither a
-file's documents nor a run of blocks without a separator is gathered. Tokens after the last separator are an open
-document. The binary reader holds a file in memory: files of up to 2 GB can be read, ours are closed at
-``FILE_BYTES``.
+separator id, and nothing says where. Files are cut into ranges of about ``RANGE_BYTES``, each read by itself from the
+mounted folder, so that one large file is scanned by many tasks, in blocks of ``BLOCK`` tokens; a vectorised search
+finds the separators of each block, on its own. A document that spans blocks is stitched by a prefix scan over the
+block summaries (number of separators, last separator): within runs of ``RUN`` blocks, then over the runs of a file,
+so neither a file's documents nor a run of blocks without a separator is gathered. Tokens after the last separator are
+an open document. A task holds one range. Files on other stores, or zlib-compressed (a name ending in ``.z``), come
+whole from Spark's binary reader instead (``read_files``), up to 2 GB each.
 
 Defined results: a document without tokens counts 0; an empty file has no documents; ``closed`` is false for the
 tokens after the last separator only. Writing: null texts are empty documents, null ids and repeated rows are
@@ -29,31 +29,31 @@ from skucast.llm.common import chunks, mounted, shared_folder, written
 from skucast.llm.packing import encoder
 
 BLOCK, RUN = 1 << 16, 1 << 10
-FILE_BYTES = 8 << 20  # a file is closed after the document that passes this size
+RANGE_BYTES, CHUNK_BYTES = 8 << 20, 8 << 20
+FILE_BYTES = 64 << 20  # a file is closed after the document that passes this size
 NAMES = "file string, ordinal long, doc_id long"
 
 
 def _write(batches, folder: str, path: str, pattern: str, separator: int, dtype: str):
     code, task = encoder(path, pattern), TaskContext.get().partitionId()
     os.makedirs(folder, exist_ok=True)
-    number, ordinal, out, pack, size = 0, 0, None, None, 0
+    number, ordinal, out, size = 0, 0, None, 0
 
     def name() -> str:
-        return f"tokens-{task:06d}-{number:06d}.bin.z"
+        return f"tokens-{task:06d}-{number:06d}.bin"
 
     def close():
-        out.write(pack.flush())
         out.close()
         os.replace(out.name, f"{folder}/{name()}")
 
-    for b in chunks(batches, "text", FILE_BYTES):
+    for b in chunks(batches, "text", CHUNK_BYTES):
         files, ordinals = [], []
         for text in b["text"].to_pylist():
             if out is None:
                 out = open(f"{folder}/.tokens-{task}-{os.urandom(6).hex()}", "wb")
-                pack, size = zlib.compressobj(1), 0
+                size = 0
             tokens = np.array([*code.encode_ordinary(text), separator], dtype).tobytes()
-            out.write(pack.compress(tokens))
+            out.write(tokens)
             size += len(tokens)
             files.append(name())
             ordinals.append(ordinal)
@@ -79,25 +79,48 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, separator: int,
     return uri, written(rows.mapInArrow(lambda it: _write(it, where, path, pattern, separator, dtype), NAMES), "names")
 
 
-def read_files(spark: SparkSession, uri: str) -> DataFrame:
-    """(file, content) of the token files below ``uri``."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{bin,bin.z}")
+def _listed(spark: SparkSession, uri: str, names: str) -> DataFrame:
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", names)
              .schema("path string, modificationTime timestamp, length long, content binary").load(uri))
-    return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "content")
+    return files.withColumn("file", F.regexp_extract("path", "[^/]+$", 0))
+
+
+def read_files(spark: SparkSession, uri: str) -> DataFrame:
+    """(file, content) of the token files below ``uri``, flat or compressed, each held whole by a task."""
+    return _listed(spark, uri, "*.{bin,bin.z}").select("file", "content")
+
+
+def read_ranges(spark: SparkSession, uri: str, dtype: str = "<u2", block: int = BLOCK, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(file, path, offset, length) of ranges of the flat files below the mounted folder ``uri``, whole blocks but for a
+    file's last; a file's bytes are not read here."""
+    size = max(1, range_bytes // (block * np.dtype(dtype).itemsize)) * block * np.dtype(dtype).itemsize
+    files = _listed(spark, uri, "*.bin").where("length > 0")
+    ranges = files.select("file", "path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("offset"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.select("file", "path", "offset", F.least(F.lit(size), F.col("length") - F.col("offset")).alias("length")).repartition(parts)
 
 
 def document_tokens(files: DataFrame, separator: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
-    """(file, ordinal, start, n_tokens, closed) of every document of every file (file, content)."""
+    """(file, ordinal, start, n_tokens, closed) of every document of every file, given as ranges (``read_ranges`` with
+    the same ``block``) or whole (``read_files``)."""
+    whole, width = "content" in files.columns, np.dtype(dtype).itemsize
 
-    def scan(batches):
-        for b in batches:
+    def pieces(b):
+        if whole:
             for file, content in zip(b["file"].to_pylist(), b["content"]):
                 raw = content.as_buffer()
-                ids = np.frombuffer(zlib.decompress(raw) if file.endswith(".z") else raw, dtype)
+                yield file, 0, np.frombuffer(zlib.decompress(raw) if file.endswith(".z") else raw, dtype)
+        else:
+            for r in b.to_pylist():
+                yield r["file"], r["offset"] // width, np.fromfile(mounted(r["path"]), dtype, r["length"] // width, offset=r["offset"])
+
+    def scan(batches):
+        for b in batches:
+            for file, first, ids in pieces(b):
                 parts = [ids[i:i + block] for i in range(0, len(ids), block)]
                 ends = [np.flatnonzero(p == separator) for p in parts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()),
+                    [pa.array([file] * len(parts), pa.string()), pa.array(range(first // block, first // block + len(parts)), pa.int64()),
                      pa.array([len(p) for p in parts], pa.int64()), pa.array(ends, pa.list_(pa.int64()))],
                     names=["file", "block", "size", "ends"])
 

@@ -36,6 +36,11 @@ def test_matches_plain_scan(spark, tmp_path, monkeypatch, block, run):
     got = sorted(tuple(r) for r in separators.document_tokens(
         separators.read_files(spark, str(tmp_path)), SEP, block=block).collect())
     assert got == sorted((n, *row) for n, ids in files.items() for row in plain(ids))
+    for size in (1, 50, 1 << 20):  # ranges of a few bytes: one file is scanned by many tasks
+        ranges = separators.read_ranges(spark, str(tmp_path), block=block, range_bytes=size)
+        assert ranges.where("file = 'f0.bin'").count() == -(-120 // (max(1, size // (2 * block)) * 2 * block))
+        got = sorted(tuple(r) for r in separators.document_tokens(ranges, SEP, block=block).collect())
+        assert got == sorted((n, *row) for n, ids in files.items() if n.endswith(".bin") for row in plain(ids))
 
 
 def test_writes_and_counts_real_texts(spark, monkeypatch):
@@ -45,7 +50,7 @@ def test_writes_and_counts_real_texts(spark, monkeypatch):
     docs = df.union(extra).repartition(3)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     uri, names = separators.write_token_files(docs, path, public_tokenizers.PATTERN, 50256)
-    counts = separators.document_tokens(separators.read_files(spark, uri), 50256, block=500)
+    counts = separators.document_tokens(separators.read_ranges(spark, uri, block=500, range_bytes=4000), 50256, block=500)
     rows = counts.join(names, ["file", "ordinal"]).collect()
     code = packing.encoder(path, public_tokenizers.PATTERN)
     want = sorted((str(r.doc_id), len(code.encode_ordinary(r.text or ""))) for r in docs.collect())
@@ -58,3 +63,4 @@ def test_no_documents(spark):
                                               public_tokenizers.PATTERN, 50256)
     assert names.count() == 0
     assert separators.document_tokens(separators.read_files(spark, uri), 50256).count() == 0
+    assert separators.document_tokens(separators.read_ranges(spark, uri), 50256).count() == 0
