@@ -53,13 +53,15 @@ class Tree:
         n = 2 ** (depth + 1) - 1
         return cls(np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n))
 
-    def leaf_of(self, bins: np.ndarray) -> np.ndarray:
-        """The node that each row (a column of ``bins``) ends at."""
-        at, rows = np.zeros(bins.shape[1], np.int32), np.arange(bins.shape[1])
-        for _ in range((len(self.feature) + 1).bit_length() - 2):
-            feature = self.feature[at]
-            right = bins[np.maximum(feature, 0), rows] > self.cut[at]
-            at = np.where(feature >= 0, 2 * at + 1 + right, at)
+    def leaf_of(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The node that each row (a column of ``bins``) ends at, or is at after so many ``levels``."""
+        n, flat = bins.shape[1], bins.ravel()
+        at, rows = np.zeros(n, np.int64), np.arange(n)
+        start = np.maximum(self.feature, 0).astype(np.int64) * n  # where a node's column begins in ``flat``
+        first = np.where(self.feature >= 0, 2 * np.arange(len(self.feature)) + 1, np.arange(len(self.feature)))
+        cut = np.where(self.feature >= 0, self.cut, 255).astype(np.int16)  # no bin is beyond: a leaf stays where it is
+        for _ in range((len(self.feature) + 1).bit_length() - 2 if levels is None else levels):
+            at = first[at] + (flat[start[at] + rows] > cut[at])
         return at
 
 
@@ -225,11 +227,11 @@ def level_sums(chunks: DataFrame, run: str, model: BoostedTrees, grown: Tree | N
                 if grown is None:
                     continue
                 draw = mixed(np.frombuffer(row["hash"], "<u8") + mixed(np.array([seed * 1000003 + number], np.uint64)))
-                node = grown.leaf_of(bins) - (nodes - 1)
+                node = grown.leaf_of(bins, level) - (nodes - 1)
                 use = np.flatnonzero(train & (draw <= limit) & (node >= 0))
                 node, pull = node[use].astype(np.int64) * bins_of, (margin - y)[use]
                 for i, f in enumerate(features):
-                    cell = node + bins[f, use]
+                    cell = node + bins[f][use]
                     g[:, i] += np.bincount(cell, pull, nodes * bins_of).reshape(nodes, bins_of)
                     h[:, i] += np.bincount(cell, minlength=nodes * bins_of).reshape(nodes, bins_of)
         rows = [(f, g[:, i].ravel(), h[:, i].ravel()) for i, f in enumerate(features) if h[:, i].any()]
