@@ -202,9 +202,9 @@ def q_zero_runs(spark, sf):
 # ================================================================= N
 @query("N01_correlation_edges")
 def q_edges(spark, sf):
-    """Edges; as no pair of these tables passes, the complete graph, a row a node."""
-    from skucast.operators.graph import correlation_graph
-    return finish(correlation_graph(panel(spark, sf, reuse=True), 0.5).relation())
+    """Edges; where no pair passes, all edges of the complete graph."""
+    from skucast.operators.graph import correlation_edges
+    return finish(correlation_edges(panel(spark, sf, reuse=True), 0.5, fallback=True))
 
 
 @query("N02_complete_graph_sums")

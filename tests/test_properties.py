@@ -139,6 +139,16 @@ def test_the_complete_graph_stays_implied(spark):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_correlation_query_has_every_edge_where_no_pair_passes(spark, monkeypatch):
+    from skucast.plans import catalog_analytics as queries
+    days = [("a", 1, 5.0), ("a", 2, 1.0), ("b", 3, 4.0), ("c", 5, 2.0), ("d", 6, 2.0)]
+    tiny = spark.createDataFrame(days, "sku_id string, day int, sales double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), "day"))
+    monkeypatch.setattr(queries, "panel", lambda spark, sf, reuse=False: tiny)
+    rows = queries.q_edges(spark, "").collect()
+    assert sorted((r.src_sku, r.dst_sku) for r in rows) == sorted((a, b) for a in "abcd" for b in "abcd" if a != b)
+    assert {r.weight for r in rows} == {1.0} and all(r.src != r.dst for r in rows)
+
+
 @pytest.mark.parametrize("n_blocks, side", [(1, 1), (7, 3), (16, 4), (33, 5)])
 def test_grid_cells_meet_every_pair_of_blocks_once(spark, n_blocks, side):
     z = spark.range(n_blocks).select(F.col("id").cast("int").alias("blk"))
