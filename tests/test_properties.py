@@ -1,5 +1,6 @@
 """Property tests on the driver tables (sf0.001)."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,27 @@ def test_correlation_query_has_every_edge_where_no_pair_passes(spark, monkeypatc
     assert {r.weight for r in rows} == {1.0} and all(r.src != r.dst for r in rows)
 
 
+@pytest.mark.parametrize("share", [0.0, 1 / 16, 1.0])
+def test_sparse_and_dense_blocks_give_the_same_correlations(spark, monkeypatch, share):
+    """Rare and frequent series, a constant one and one of a single day, in blocks of 4, against numpy; mostly zero
+    blocks are packed as their non-zero values."""
+    monkeypatch.setattr(graph, "SPARSE", share)
+    rng = np.random.default_rng(3)
+    n_dates, n = 120, 14
+    x = np.where(rng.random((n_dates, n)) < np.where(np.arange(n) < 9, 0.03, 0.7), rng.integers(1, 50, (n_dates, n)), 0).astype(float)
+    x[:, 5], x[:, 6], x[:, 11] = 0.0, 0.0, 7.0
+    x[17, 6] = 3.0
+    rows = [(int(i), int(d), float(x[d, i])) for d, i in zip(*np.nonzero(x))]
+    vals = spark.createDataFrame(rows, "node int, d int, x double")
+    packed = graph._blocks(vals, n_dates, 4).collect()
+    assert any(len(b.u or b"") for b in packed) == (share > 0) and sum(b.z is None for b in packed) >= (4 if share == 1 else 0)
+    got = {(r.i, r.j): r.corr for r in graph._corr_blocks(vals, n, n_dates, 4, 0.05).collect()}
+    with np.errstate(invalid="ignore"):
+        c = np.corrcoef(x.T)
+    want = {(i, j): c[i, j] for i in range(n) for j in range(i + 1, n) if abs(c[i, j]) >= 0.05}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-12
+
+
 @pytest.mark.parametrize("n_blocks, side", [(1, 1), (7, 3), (16, 4), (33, 5)])
 def test_grid_cells_meet_every_pair_of_blocks_once(spark, n_blocks, side):
     z = spark.range(n_blocks).select(F.col("id").cast("int").alias("blk"))
