@@ -148,7 +148,7 @@ def q_forecast_table(spark, sf):
     from skucast.operators.forecast import MODELS, baseline_forecasts
     from skucast.plans.catalog_models import H, daily_dense
     from skucast.sources.sinks import write_forecast
-    path, fc = folder(spark, "forecast"), baseline_forecasts(daily_dense(spark, sf), MODELS, H)
+    path, fc = folder(spark, "forecast"), baseline_forecasts(daily_dense(spark, sf), MODELS, H, gap_free=True)
     write_forecast(fc, path, "OTHER")
     write_forecast(fc, path, "M5")
     back = spark.read.parquet(path).where("dataset = 'M5'")

@@ -40,6 +40,24 @@ def test_forecast_shape_and_band(p):
     assert fc.where("NOT (lo <= yhat AND yhat <= hi) OR yhat < 0").count() == 0
 
 
+def test_summary_of_gap_free_series_equals_the_ranked_one(spark, p):
+    """Short, long, undated, null and leap-day series: the same summary, without a sort of the daily rows."""
+    starts = {"one": (1, 3), "eight": (8, 5), "w27": (27, 2), "w28": (28, 2), "w29": (29, 9), "long": (400, 40)}
+    rows = [(k, (i * 7 + n) % 13 * 1.5, at + i) for k, (n, at) in starts.items() for i in range(n)]
+    rows += [("undated", 4.0, None), ("nulls", None, 1), ("nulls", 3.0, 2), ("nulls", None, 3)]
+    daily = spark.createDataFrame(rows, "sku_id string, sales double, d int").select(
+        "sku_id", F.date_add(F.lit("2019-12-30").cast("date"), "d").alias("date"), "sales")
+    got, want = ({r.sku_id: r.asDict() for r in forecast.series_summary(daily, gap_free=free).collect()} for free in (True, False))
+    assert got.keys() == want.keys() == {*starts, "undated", "nulls"}
+    for k, row in want.items():
+        for c, v in row.items():
+            assert got[k][c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), (k, c)
+    dense = panel.densify(panel.daily_series(p), ["sku_id"])
+    plan = forecast.series_summary(dense, gap_free=True)._jdf.queryExecution().executedPlan().toString()
+    after = plan[:plan.index("Generate posexplode")]  # what is done to the daily rows
+    assert after.count("Sort [") == 1 and after.rindex("HashAggregate(keys=[sku_id") > after.index("Sort [") and "Exchange" not in after
+
+
 def test_edges_symmetric(p):
     e = graph.correlation_edges(p, 0.0, fallback=False)
     a = {(r.src, r.dst, round(r.weight, 12)) for r in e.collect()}
