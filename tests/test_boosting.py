@@ -89,6 +89,34 @@ def test_rows_may_lie_anywhere(spark, monkeypatch, parts, chunk):
     assert all(np.allclose(t.value, u.value) for t, u in zip(whole.trees, other.trees))
 
 
+def test_a_level_is_one_job_over_evenly_dealt_chunks(spark, monkeypatch):
+    x, y, val = table(1000)
+    df = frame(spark, x, y, val, 5)
+    sc = spark.sparkContext
+    jobs = []
+    for trees in (1, 4):
+        sc.setJobGroup(f"boosting-{trees}", "")
+        assert B.fit(df, ["a", "b", "c"], ["id"], {**OPTIONS, "maxIter": trees}).getNumTrees == trees
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"boosting-{trees}")))
+    sc.setJobGroup("", "")
+    assert jobs[1] - jobs[0] == 3 * OPTIONS["maxDepth"]
+    monkeypatch.setattr(B, "CHUNK", 20)
+    model = B.BoostedTrees(["a", "b", "c"], [[0.0]] * 3, 0.0)
+    dealt = B.dealt_chunks(B.chunk_table(df, model, [F.col("id")], "target")).glom().map(len).collect()
+    assert len(dealt) == sc.defaultParallelism and max(dealt) - min(dealt) <= 1
+
+
+def test_splits_of_all_nodes_and_columns_at_once():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 4, (4, 5, 16)).astype(float)
+    g = rng.normal(0, 3, h.shape) * h
+    h[2, 3], g[2, 3], h[1], g[1] = 0, 0, 0, 0
+    whole = B.best_splits(g, h, 1.0, 0.1, 1.0)
+    assert all([x[k, i] for x in whole] == list(B.best_split(g[k, i], h[k, i], 1.0, 0.1, 1.0)) for k in range(4) for i in range(5))
+    found = B.level_splits(np.stack([g, h]), [2, 3, 5, 7, 11], 1.0, 0.1, 1.0)
+    assert [r.node for r in found] == [0, 2, 3] and all(r.gain == whole[1][r.node].max() for r in found)
+
+
 def test_regularisation_shrinks_leaves_and_splits():
     g, h = np.array([-3.0, -3.0, 2.0]), np.array([1.0, 1.0, 1.0])
     at, gain, left, rows = B.best_split(g, h, 1.0, 0.0, 1.0)
