@@ -8,8 +8,11 @@ complement of the slice), and all bitmaps of one weight are summed by carry-save
 and a carry of the next weight, which leaves the bit slices of the quantised score. The top rows are then selected
 from the most significant slice downward. Dropped slices change a score by at most ``slack``, so the rows at most
 ``slack`` below the k-th quantised score are the boundary: they are scored exactly, which gives the block's exact
-top k. Every block of rows meets every block of queries as one row of a join on the block number; the k best of
-each block go to a window per query.
+top k. Blocks of rows and sets of queries are packed in the smallest integers that hold them and meet in the cells of a
+grid of about ``TASKS`` cells a core: a task holds the query sets of its cell (``HELD`` bytes at most), streams its
+blocks, each indexed once, and keeps the k best of every query over all of them. So a query set is copied once for each
+group of blocks, not once for each block, a block once for each group of query sets, and k rows a query and group go to
+the window per query.
 
 Defined results: rows whose vector is null, or holds null or non-finite components, or whose id is null, take no
 part; an empty vector has score 0 with all; vectors of different length are compared on the dimensions of both;
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERIES, DROP = 1 << 13, 1 << 9, 2
+BLOCK, QUERIES, DROP, TASKS, HELD = 1 << 13, 1 << 9, 2, 4, 128 << 20
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -137,20 +140,60 @@ class Block:
         return above | equal
 
 
-def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-    """(name, ids, matrix, dims): rows dealt at random but repeatably to blocks of about ``size`` rows."""
-    n = max(1, math.ceil(df.count() / size))
+PACKED = "no int, ids binary, matrix binary, dims int, kind string"
+PACKED_NAMES = [c.split()[0] for c in PACKED.split(", ")]
+
+
+def _blocks(df: DataFrame, n: int) -> DataFrame:
+    """(no, ids, matrix, dims, kind): rows dealt at random but repeatably to ``n`` blocks, integers of type ``kind``."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         dims = max(len(v) for v in pdf["v"])
         matrix = np.zeros((len(pdf), dims), "<i8")
         for r, v in enumerate(pdf["v"]):  # shorter vectors are padded with zeros
             matrix[r, :len(v)] = v
-        return pd.DataFrame({name: [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()],
-                             "matrix": [matrix.tobytes()], "dims": [dims]})
+        low, high = matrix.min(initial=0), matrix.max(initial=0)
+        kind = next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        return pd.DataFrame({"no": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()],
+                             "matrix": [matrix.astype(kind).tobytes()], "dims": [dims], "kind": [kind]})
 
     dealt = df.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(work, f"{name} int, ids binary, matrix binary, dims int")
+    return dealt.groupBy("block").applyInPandas(work, PACKED)
+
+
+def grid(n_rows: int, n_queries: int, n_blocks: int, n_sets: int, dims: int, tasks: int) -> tuple[int, int]:
+    """Groups of blocks and of query sets, whose cells are about ``tasks``: what is copied is least where the groups are
+    in proportion to the rows; the queries of a group take ``HELD`` bytes at most (eight a component)."""
+    sides = math.ceil(math.sqrt(tasks * n_rows / max(1, n_queries)))
+    rows = max(1, min(sides, tasks, n_blocks))
+    held = math.ceil(n_queries * max(1, dims) * 8 / HELD)
+    sets = max(1, min(n_sets, max(math.ceil(tasks / rows), held)))
+    return max(1, min(n_blocks, math.ceil(tasks / sets))), sets
+
+
+class Queries:
+    """A query set (ids, integer matrix) and the k best rows of each query so far."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int):
+        self.ids, self.rows, self.k = ids, rows, k
+        self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(ids)
+
+    def meet(self, block: Block) -> None:
+        for i, query in enumerate(self.rows):
+            ids, score = block.top(int(self.ids[i]), query.astype(np.int64), self.k)
+            if self.best[i] is not None:
+                ids, score = np.concatenate((self.best[i][0], ids)), np.concatenate((self.best[i][1], score))
+                first = np.lexsort((ids, -score))[:self.k]
+                ids, score = ids[first], score[first]
+            self.best[i] = ids, score
+
+    def found(self) -> pa.RecordBatch:
+        some = [(i, *b) for i, b in zip(self.ids, self.best) if b is not None and len(b[0])]
+        none = np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.array([s[0] for s in some], np.int64), [len(s[1]) for s in some])),
+             *[pa.array(np.concatenate([none, *[s[j] for s in some]])) for j in (1, 2)]],
+            names=["query_id", "vec_id", "score"])
 
 
 def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
@@ -159,29 +202,38 @@ def top_inner_products(vectors: DataFrame, queries: DataFrame, k: int, block: in
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select("vec_id", "v")
     asked = (queries.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
              .groupBy("vec_id").agg(F.min("v").alias("v")))
-    index = _blocks(rows, block, "block")
-    n_blocks = max(1, math.ceil(rows.count() / block))
-    sets = _blocks(asked, QUERIES, "query_block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    n_rows, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n_queries = asked.count()
+    n_blocks, n_sets = max(1, math.ceil(n_rows / block)), max(1, math.ceil(n_queries / QUERIES))
+    tasks = TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    across, down = grid(n_rows, n_queries, n_blocks, n_sets, dims or 0, tasks)
+    sets = _blocks(asked, n_sets).select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("r"),
+                                         (F.col("no") % down).alias("c"), F.lit(False).alias("indexed"), *PACKED_NAMES)
+    index = _blocks(rows, n_blocks).select((F.col("no") % across).alias("r"),
+                                           F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("c"),
+                                           F.lit(True).alias("indexed"), *PACKED_NAMES)
+    cells = (sets.unionByName(index).repartitionById(across * down, (F.col("r") * down + F.col("c")).cast("int"))
+             .sortWithinPartitions("r", "c", "indexed", "no"))
 
     def search(batches):
-        at, current = None, None
-        for b in batches:
-            for r in range(b.num_rows):
-                row = {name: b[name][r].as_py() for name in ("block", "ids", "matrix", "dims", "q_ids", "q_matrix", "q_dims")}
-                if at != row["block"]:
-                    at, ids = row["block"], np.frombuffer(row["ids"], "<i8")
-                    current = Block(ids, np.frombuffer(row["matrix"], "<i8").reshape(len(ids), row["dims"]))
-                q_ids = np.frombuffer(row["q_ids"], "<i8")
-                q_rows = np.frombuffer(row["q_matrix"], "<i8").reshape(len(q_ids), row["q_dims"])
-                found = [current.top(int(i), q, k) for i, q in zip(q_ids, q_rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(f[0]) for f in found])),
-                     *[pa.array(np.concatenate([f[j] for f in found])) for j in (0, 1)]],
-                    names=["query_id", "vec_id", "score"])
-
-    pairs = sets.select("block", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"),
-                        F.col("dims").alias("q_dims")).join(index, "block")
-    found = pairs.mapInArrow(search, FOUND)
+        cell, held = None, []
+        for b in batches:  # a cell's query sets, then its blocks
+            for i in range(b.num_rows):
+                row = {name: b[name][i].as_py() for name in ("r", "c", "indexed", *PACKED_NAMES)}
+                if cell != (row["r"], row["c"]):
+                    yield from (q.found() for q in held)
+                    cell, held = (row["r"], row["c"]), []
+                ids = np.frombuffer(row["ids"], "<i8")
+                matrix = np.frombuffer(row["matrix"], row["kind"]).reshape(len(ids), row["dims"])
+                if row["indexed"]:
+                    one = Block(ids, matrix.astype(np.int64))
+                    for q in held:
+                        q.meet(one)
+                else:
+                    held.append(Queries(ids, matrix, k))
+        yield from (q.found() for q in held)
+
+    found = cells.mapInArrow(search, FOUND)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -65,3 +65,28 @@ def test_sliced_scores_bound_exact_ones(drop):
 def test_components_too_large_for_scores_are_an_error(spark, rows):
     with pytest.raises(Exception, match="too large|62 bits"):
         run(spark, rows)
+
+
+def test_many_cells_match_plain(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, [round(rng.gauss(0, 0.3), 2) for _ in range(5)]) for i in range(120)] + [(200 + i, []) for i in range(8)]
+    monkeypatch.setattr(bitslice, "QUERIES", 4)
+    monkeypatch.setattr(bitslice, "HELD", 4 * 5 * 8)
+    assert run(spark, rows, every=3, block=9) == plain(rows, 3, 3)
+    assert run(spark, rows[120:]) == plain(rows[120:], 3, 4)
+
+
+def test_copies_follow_the_groups_not_the_blocks():
+    n_blocks, n_sets = 1880, 602  # 15.4 million rows, a fiftieth of them queries
+    across, down = bitslice.grid(15_400_000, 308_000, n_blocks, n_sets, 64, 24)
+    assert across * down <= 2 * 24 and 308_000 / down * 64 * 8 <= bitslice.HELD
+    whole = 15_400_000 * down + 308_000 * across
+    assert whole < 3 * 15_400_000 < 308_000 * n_blocks / 10
+    assert bitslice.grid(0, 0, 1, 1, 0, 24) == (1, 1)
+
+
+def test_blocks_are_packed_in_the_smallest_integers(spark):
+    rows = [(1, [1, -128]), (2, [300, 0]), (3, [1 << 20, 1]), (4, [1 << 40, 1])]
+    for row, kind, size in zip(rows, ("<i1", "<i2", "<i4", "<i8"), (1, 2, 4, 8)):
+        packed = bitslice._blocks(spark.createDataFrame([row], "vec_id long, v array<long>"), 1).first()
+        assert (packed.kind, len(packed.matrix), packed.dims) == (kind, 2 * size, 2)
