@@ -132,3 +132,35 @@ def test_empty_and_constant(spark):
     assert model.base == 0 and df.select(B.predicted(model, df).alias("p")).where("p <> 0").count() == 0
     model = B.fit(df.withColumn("target", F.lit(4.0)), ["a", "b", "c"], ["id"], OPTIONS)
     assert df.select(B.predicted(model, df).alias("p")).where("abs(p - 4) > 1e-9").count() == 0
+
+
+def test_cut_points_are_quantiles_of_all_training_rows(spark, monkeypatch):
+    monkeypatch.setattr(B, "RUN", 300)
+    rng = np.random.default_rng(9)
+    n = 3000
+    a = np.where(np.arange(n) % 2 == 0, 0.0, rng.normal(0, 1e6, n))  # every second day has one value
+    b, c = rng.integers(-3, 4, n).astype(float), -(10.0 ** rng.integers(-300, 300, n))
+    val = np.arange(n) % 7 == 0
+    rows = [(i, float(a[i]), float(b[i]), None if i % 3 else float(c[i]), None, bool(val[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, is_val boolean").repartition(5)
+    df = df.withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id")))
+    shares = [i / 16 for i in range(1, 16)]
+    train = df.where("not is_val")
+    want = [sorted(set(train.agg(F.percentile(x, F.array(*map(F.lit, shares)))).first()[0] or [])) for x in "abcd"]
+    assert B.edges_of(df, ["a", "b", "c", "d"], 16) == want and len(want[0]) > 7 and want[3] == []
+    assert B.edges_of(df.limit(0), ["a", "b"], 16) == [[], []]
+
+
+def test_cut_points_of_more_rows_than_a_sample(spark):
+    n = 1_200_000  # the rows beyond a million counted only by every second day
+    df = spark.range(n).selectExpr("date_add(date'2020-01-01', cast(id % 2 as int)) AS date", "if(id % 2 = 0, 0D, cast(id AS double)) AS a",
+                                   "false AS is_val")
+    want = df.agg(F.percentile("a", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]
+    assert B.edges_of(df, ["a"], 4) == [sorted(set(want))] and want[2] > 0
+
+
+def test_ordered_keys_keep_the_order_of_doubles():
+    x = np.array([-np.inf, -1e300, -1.0, -1e-320, 0.0, 1e-320, 1.0, 1e300, np.inf, np.nan])
+    keys = B.ordered(x)
+    assert (np.diff(keys.astype(object)) > 0).all() and np.array_equal(B.of_ordered(keys), x, equal_nan=True)
+    assert B.ordered(np.array([-0.0]))[0] == B.ordered(np.array([0.0]))[0]
