@@ -200,3 +200,30 @@ def test_grid_cells_meet_every_pair_of_blocks_once(spark, n_blocks, side):
     met = sorted((a, b) for rows, cols in cells.values() for a in rows for b in cols if a <= b)
     assert met == [(a, b) for a in range(n_blocks) for b in range(a, n_blocks)]
     assert graph.grid_side(118, 200) == 20 and graph.grid_side(3, 200) == 3 and graph.grid_side(4000, 8) == 500
+
+
+def test_edges_are_not_stored_on_the_way_and_equal_numpy(spark, monkeypatch):
+    """Returns as well as sales, rows without a date, an SKU or sales, in small blocks and many cells."""
+    rng = np.random.default_rng(5)
+    n_dates, n = 90, 23
+    x = np.where(rng.random((n_dates, n)) < 0.05, rng.integers(-9, 30, (n_dates, n)), 0).astype(float)
+    x[:, 3] = np.where(rng.random(n_dates) < 0.8, 4.0 + np.arange(n_dates) % 3, 0.0)  # a dense block among sparse ones
+    x[0] = np.maximum(x[0], 1.0)
+    rows = [(f"s{i:02d}", int(d), float(x[d, i])) for d, i in zip(*np.nonzero(x))] + [("s00", d, None) for d in range(n_dates) if x[d, 0] == 0]
+    rows += [(None, 1, 5.0), ("s05", None, 7.0)]
+    df = spark.createDataFrame(rows, "sku_id string, day int, sales double").withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), "day"))
+    kept = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, cut=graph.cut_lineage: kept.append(df.columns) or cut(df))
+    monkeypatch.setattr(graph, "HELD", 2)
+    monkeypatch.setattr(graph, "HELD_BYTES", 1)
+    edges = graph.correlation_edges(df, 0.15, block=4)
+    got = {(r.src_sku, r.dst_sku): (r.src, r.dst, r.weight) for r in edges.collect()}
+    c = np.corrcoef(np.vstack([x, np.zeros(n)]).T)  # the row without a date counts as one more, of zeros
+    want = {(f"s{i:02d}", f"s{j:02d}"): (i + 1, j + 1, c[i, j]) for i in range(n) for j in range(n) if i != j and abs(c[i, j]) >= 0.15}
+    assert got.keys() == want.keys() and len(want) > 10 and min(w for _, _, w in want.values()) < 0
+    assert all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-12 for k in want)
+    assert not any("weight" in columns for columns in kept)
+
+
+def test_small_blocks_are_held_by_their_bytes():
+    assert graph.grid_side(4688, 24, held=1000) == 7 and graph.grid_side(4688, 24) == 586
